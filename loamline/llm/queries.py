@@ -13,6 +13,18 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loamline.llm import suffix_dedup
+
+    return suffix_dedup.dedup(_documents(spark, sf_dir))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loamline.llm import substring_dedup
+
+    return substring_dedup.dedup(_documents(spark, sf_dir))
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loamline.llm import ngram_lm
 
