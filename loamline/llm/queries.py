@@ -25,6 +25,12 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(_documents(spark, sf_dir))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loamline.llm import packing
+
+    return packing.pack(_documents(spark, sf_dir))
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loamline.llm import ngram_lm
 
