@@ -19,18 +19,36 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.dedup(_documents(spark, sf_dir))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loamline.llm import quality
+
+    return quality.classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loamline.llm import suffix_dedup
 
     return suffix_dedup.dedup(_documents(spark, sf_dir))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loamline.llm import token_counts
+
+    return token_counts.count_documents(_documents(spark, sf_dir))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loamline.llm import substring_dedup
 
     return substring_dedup.dedup(_documents(spark, sf_dir))
 
 
+def op8_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loamline.llm import media
+
+    return media.digest(_documents(spark, sf_dir))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loamline.llm import packing
 

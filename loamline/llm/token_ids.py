@@ -43,8 +43,9 @@ class Encoder:
         ids = self.plain.encode_ordinary(piece) if self.plain else self.whole.encode(piece, add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
 
-    def ids(self, text: str) -> bytes:
-        if SPECIAL in text:
+    def ids(self, text: str, special: bool = True) -> bytes:
+        """With `special`, the special token's string in a text is that token, as the tokenizer has it; else ordinary text."""
+        if special and SPECIAL in text:
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         pieces = text.split(" ") if _LOOSE.search(text) is None else _CUT.split(text)
         return self.first[pieces[0]] + b"".join(map(self.rest.__getitem__, pieces[1:]))
