@@ -31,12 +31,24 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(_documents(spark, sf_dir))
 
 
+def op4_piece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loamline.llm import piece_lattice
+
+    return piece_lattice.encode(_documents(spark, sf_dir))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loamline.llm import token_counts
 
     return token_counts.count_documents(_documents(spark, sf_dir))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loamline.llm import flat_graph
+
+    return flat_graph.near_dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loamline.llm import substring_dedup
 
