@@ -11,9 +11,11 @@ over the united lists: greedily to its neighbourhood, and from there on through
 every vector in range until no new one is found.  Links are verified in double
 precision.  A pair counts in the first shard that both are in.
 
-Each shard audits its recall: the exact links of a bounded number of its vectors
-are compared with those found, and below `recall` the shard is searched again
-with a beam twice as wide, up to its own size.
+Every vector is a node of its own graph, so a search that doesn't come across its
+own node went astray and is made again with a beam twice as wide.  Besides, each
+shard audits its recall: the exact links of a bounded number of its vectors are
+compared with those found, and below `recall` all its vectors are searched with
+the wider beam.
 
 Only centres are fitted on a sample (`SAMPLE` vectors a shard at most); every
 vector is indexed and searched.  Centres come to the driver: at most one for
@@ -79,6 +81,36 @@ class Graph:
             own = order[at : at + batch]
             ids, _, _ = self.search(self.x4[own], self.beam)
             self._link(own, ids)
+        return self.repair()
+
+    def reachable(self) -> np.ndarray:
+        """Which nodes a walk from the medoid can come to."""
+        got = np.zeros(len(self.x) + 1, bool)
+        got[[self.medoid, -1]] = True
+        front = np.array([self.medoid])
+        while len(front):
+            nb = np.unique(self.adj[front])
+            front = nb[~got[nb]]
+            got[front] = True
+        return got[:-1]
+
+    def repair(self, batch: int = 48) -> Graph:
+        """Links unreachable nodes from the nearest node that a search for them finds, until every node can be reached.
+
+        A ball of near copies fills its lists with itself; this is its door.
+        """
+        while len(self.x):
+            away = np.flatnonzero(~self.reachable())
+            if not len(away):
+                break
+            own = away[:: -(-len(away) // batch)]
+            ids, _, _ = self.search(self.x4[own], self.beam)
+            for r, u in zip(ids[:, 0].tolist(), own.tolist(), strict=True):
+                free = np.flatnonzero(self.adj[r] < 0)
+                if not len(free):
+                    self.adj = np.concatenate([self.adj, np.full((len(self.adj), 4), -1, np.int64)], axis=1)
+                    free = [self.adj.shape[1] - 4]
+                self.adj[r, free[0]] = u
         return self
 
     def _link(self, own: np.ndarray, cand: np.ndarray) -> None:
@@ -126,8 +158,12 @@ class Graph:
             alive[r, pick] = False
         return out
 
-    def search(self, q: np.ndarray, beam: int, wide: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Greedy beam search from the medoid, all queries in step: ids and cosines, best first, and what was seen."""
+    def search(self, q: np.ndarray, beam: int, wide: int = 4, edge: float | None = None) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, ...]]]:
+        """Greedy beam search from the medoid, all queries in step: ids, best first, and what was seen.
+
+        With `edge`, also every (query, node, cosine) met whose cosine is at least that, in the beam or not.
+        """
+        met: list[tuple[np.ndarray, ...]] = []
         n, b = len(self.x), len(q)
         rows = np.arange(b)[:, None]
         seen = np.zeros((b, n + 1), bool)
@@ -136,12 +172,15 @@ class Graph:
         done = np.ones((b, beam), bool)
         ids[:, 0], sims[:, 0], done[:, 0] = self.medoid, q @ self.x4[self.medoid], False
         seen[:, self.medoid] = True
+        if edge is not None:
+            r = np.flatnonzero(sims[:, 0] >= edge)
+            met.append((r, ids[r, 0], sims[r, 0]))
         while True:
             open_ = np.where(done, -np.inf, sims)
             pick = np.argsort(-open_, axis=1)[:, :wide]
             valid = open_[rows, pick] > -np.inf
             if not valid.any():
-                return ids, sims, seen[:, :n]
+                return ids, seen[:, :n], met
             done[rows, pick] = True
             nb = self.adj[np.where(valid, ids[rows, pick], 0)]
             nb = np.where(valid[:, :, None], nb, -1).reshape(b, -1)
@@ -155,21 +194,27 @@ class Graph:
             seen[rows, nb] = True
             seen[:, n] = False
             s = np.where(nb >= 0, np.matmul(self.x4[nb], q[:, :, None])[:, :, 0], -np.inf)
+            if edge is not None:
+                r, c = np.nonzero(s >= edge)
+                met.append((r, nb[r, c], s[r, c]))
             ids, sims = np.concatenate([ids, nb], axis=1), np.concatenate([sims, s], axis=1)
             done = np.concatenate([done, nb < 0], axis=1)
             by = np.argsort(-sims, axis=1, kind="stable")[:, :beam]
             ids, sims, done = ids[rows, by], sims[rows, by], done[rows, by]
             done |= ids < 0
 
-    def in_range(self, own: np.ndarray, cosine: float, beam: int, batch: int = 192) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, other) of indices whose cosine is at least `cosine`, by range-expanding search; verified in double precision."""
-        found_q, found_x = [], []
+    def in_range(self, own: np.ndarray, cosine: float, beam: int, batch: int = 192) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs (query, other) of indices whose cosine is at least `cosine`, by range-expanding search; verified in double precision.
+
+        Also the queries whose own node the search did not come across: they looked in the wrong place.
+        """
+        found_q, found_x, lost = [], [], []
         for at in range(0, len(own), batch):
             q = own[at : at + batch]
-            ids, sims, seen = self.search(self.x4[q], min(beam, len(self.x)))
             edge = np.float32(cosine - SLACK)
-            r, c = np.nonzero((sims >= edge) & (ids >= 0))
-            node, s = ids[r, c], sims[r, c]
+            _, seen, met = self.search(self.x4[q], min(beam, len(self.x)), edge=edge)
+            lost.append(q[~seen[np.arange(len(q)), q]])
+            r, node, s = (np.concatenate(m) for m in zip(*met, strict=True))
             while len(r):
                 hit = s >= cosine - 1e-4
                 found_q.append(q[r[hit]])
@@ -192,7 +237,7 @@ class Graph:
             part = slice(k, k + (1 << 16))
             exact[part] = np.einsum("kd,kd->k", self.x[i[part]], self.x[j[part]])
         good = (exact >= cosine) & (i != j)
-        return i[good], j[good]
+        return i[good], j[good], np.concatenate(lost) if lost else np.zeros(0, np.int64)
 
 
 def centres(x: np.ndarray, k: int, rounds: int = 6, seed: int = 3) -> np.ndarray:
@@ -331,13 +376,17 @@ def search_shard(x: np.ndarray, ids: np.ndarray, near: list[list[int]], cosine:
     sample = np.random.default_rng(len(x)).permutation(len(x))[:audit]
     exact = x[sample] @ x.T >= cosine
     exact[np.arange(len(sample)), sample] = False
-    beam = BEAM
+    g.repair()
+    key, beam = np.zeros(0, np.int64), BEAM
     while True:
-        i, j = g.in_range(np.arange(len(x)), cosine, beam)
-        key = np.unique(np.concatenate([i * len(x) + j, j * len(x) + i]))
-        i, j = key // len(x), key % len(x)
+        pending, width = np.arange(len(x)), beam
+        while len(pending):
+            i, j, lost = g.in_range(pending, cosine, width)
+            key = np.union1d(key, np.concatenate([i * len(x) + j, j * len(x) + i]))
+            if width >= len(x):
+                break
+            pending, width = lost, 2 * width
         r, c = np.nonzero(exact)
-        hit = np.isin(sample[r] * len(x) + c, key).sum()
-        if hit >= recall * len(r) or beam >= len(x):
-            return i, j
+        if beam >= len(x) or np.isin(sample[r] * len(x) + c, key).sum() >= recall * len(r):
+            return key // len(x), key % len(x)
         beam *= 2
