@@ -84,8 +84,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Block:
     """The rows of a block: ids (None where null), order (ids for comparing) and texts as bytes."""
 
-    def __init__(self, ids: list, texts: list[bytes], extra: object = None):
-        self.ids, self.texts, self.extra = ids, texts, extra
+    def __init__(self, ids: list, texts: list[bytes], extra: object = None, carry: list[list] | None = None):
+        self.ids, self.texts, self.extra, self.carry = ids, texts, extra, carry or []
 
     @property
     def order(self) -> np.ndarray:
@@ -93,40 +93,48 @@ class Block:
 
     def pack(self) -> bytes:
         lens = np.array([len(t) for t in self.texts], dtype=np.int64)
-        return dumps((self.ids, lens, b"".join(self.texts), self.extra), level=3)
+        return dumps((self.ids, lens, b"".join(self.texts), self.extra, self.carry), level=3)
 
     @staticmethod
     def unpack(blob: bytes) -> Block:
-        ids, lens, joined, extra = loads(blob)
+        ids, lens, joined, extra, carry = loads(blob)
         ends = np.cumsum(lens).tolist()
-        return Block(ids, [joined[e - n : e] for e, n in zip(ends, lens.tolist(), strict=True)], extra)
+        return Block(ids, [joined[e - n : e] for e, n in zip(ends, lens.tolist(), strict=True)], extra, carry)
 
 
-def to_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = BLOCK_BYTES, extra: Callable[[Block], object] | None = None) -> DataFrame:
-    """Documents as rows (block, payload).  A null text is an empty one; `extra` adds to a block what later stages need again."""
+def to_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = BLOCK_BYTES, extra: Callable[[Block], object] | None = None, carry: list[str] | None = None) -> DataFrame:
+    """Documents as rows (block, payload).
+
+    A null text is an empty one; `extra` adds to a block what later stages need again; `carry` names further columns
+    that travel with their rows.
+    """
+    carry = carry or []
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, seq, ids, texts, held = TaskContext.get().partitionId() << 32, 0, [], [], 0
+        base, seq, ids, texts, held, more = TaskContext.get().partitionId() << 32, 0, [], [], 0, [[] for _ in carry]
 
         def out() -> pa.RecordBatch:
-            b = Block(ids, texts)
+            b = Block(ids, texts, carry=more)
             if extra:
                 b.extra = extra(b)
             return pa.RecordBatch.from_pydict({"block": pa.array([base + seq], pa.int64()), "payload": pa.array([b.pack()], pa.binary())})
 
         for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            others = [batch.column(2 + k).to_pylist() for k in range(len(carry))]
+            for row, (i, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
                 t = t.as_py() or b""
                 ids.append(i)
+                for own, other in zip(more, others, strict=True):
+                    own.append(other[row])
                 texts.append(t)
                 held += len(t) + 64
                 if held >= size:
                     yield out()
-                    ids, texts, held, seq = [], [], 0, seq + 1
+                    ids, texts, held, seq, more = [], [], 0, seq + 1, [[] for _ in carry]
         if ids:
             yield out()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry)))
     return rows.mapInArrow(build, BLOCK_SCHEMA)
 
 

@@ -175,13 +175,30 @@ def is_held_out(doc_id: int | None, folds: int = FOLDS, held_out: int = HELD_OUT
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % folds == held_out
 
 
-def classify(docs: DataFrame, labels: DataFrame, shrinkage: float = SHRINKAGE, folds: int = FOLDS, held_out: int = HELD_OUT, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep: Scratch | None = None) -> DataFrame:
-    """Scores of every document by a model of the labelled ones whose crc32(id) mod folds is not held_out."""
-    keep = keep or Scratch(docs.sparkSession, "quality")
+def train(docs: DataFrame, labels: DataFrame, shrinkage: float, folds: int, held_out: int, id_col: str, text_col: str, label_col: str, keep: Scratch) -> tuple[Model, DataFrame]:
+    """A model of the labelled rows outside the held-out fold, and the statistics of every document."""
     x = keep.save(described(docs, id_col, text_col))
     known = labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).alias("quality"))
     known = known.filter(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) != held_out)
-    model = fit(x.join(known, "doc_id"), shrinkage)
+    return fit(x.join(known, "doc_id"), shrinkage), x
+
+
+def accepted(docs: DataFrame, labels: DataFrame, shrinkage: float = SHRINKAGE, folds: int = FOLDS, held_out: int = HELD_OUT, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", least: float = 0.5) -> DataFrame:
+    """The rows of documents, unchanged, that score at least `least`."""
+    model, _ = train(docs, labels, shrinkage, folds, held_out, id_col, text_col, label_col, Scratch(docs.sparkSession, "quality"))
+
+    def keep_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.array([statistics((t.as_py() or "").encode()) for t in b.column(b.schema.get_field_index(text_col))]).reshape(-1, D)
+            yield b.filter(pa.array(model.score(x) >= least))
+
+    return docs.mapInArrow(keep_rows, docs.schema)
+
+
+def classify(docs: DataFrame, labels: DataFrame, shrinkage: float = SHRINKAGE, folds: int = FOLDS, held_out: int = HELD_OUT, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep: Scratch | None = None) -> DataFrame:
+    """Scores of every document by a model of the labelled ones whose crc32(id) mod folds is not held_out."""
+    keep = keep or Scratch(docs.sparkSession, "quality")
+    model, x = train(docs, labels, shrinkage, folds, held_out, id_col, text_col, label_col, keep)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

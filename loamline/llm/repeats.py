@@ -177,10 +177,10 @@ def classes(got: list[tuple]) -> list[np.ndarray]:
     return np.split(out, np.cumsum(sizes)[:-1])
 
 
-def covered(docs: DataFrame, task: Task, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+def covered(docs: DataFrame, task: Task, id_col: str, text_col: str, carry: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Blocks, and parts with the ranges of tokens (in the block's own count) that repeat earlier ones."""
     keep = Scratch(docs.sparkSession, task.name)
-    blocks = keep.save(B.to_blocks(docs, id_col, text_col, extra=remember(task)), "none")
+    blocks = keep.save(B.to_blocks(docs, id_col, text_col, extra=remember(task), carry=carry), "none")
     shards = B.shard_count(blocks)
 
     def ask(_: int, b: B.Block) -> Iterator[tuple[int, bytes]]:

@@ -14,6 +14,13 @@ number of documents they stand for.  A node with more than `limit` leaves is cut
 into sub-tries, and their pairs are tasks of their own.  A task sends on a
 spanning forest of its links, never all pairs.
 
+For looser similarities (near copies of 0.8 and more by their shingles differ in
+a seventh of their bits) fingerprints of several lanes are joined by `wide_links`:
+choices of some of their bits are keys, as many choices as the wanted recall
+takes; leaves that agree in a key are a trie of their own over further bits,
+walked with a budget for those, and what is left is held to the whole
+fingerprint's budget.
+
 Defined results: a text without words has fingerprint zero and links like any
 other; null texts are empty; rows with a null id have a fingerprint and no
 component; repeated ids are one node; an empty table gives no rows.
@@ -30,6 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamline.llm.blocks import mix
 from loamline.llm.components import components, local_forest
 from loamline.llm.store import Scratch
 
@@ -238,6 +246,106 @@ def links(fps: DataFrame, keep: Scratch, budget: int = BUDGET, limit: int = LIMI
     return found.unionByName(dealt.groupBy("choice", "value", "lo", "hi").applyInArrow(two, "a long, b long"))
 
 
+def lanes_of(text: bytes, words: int, lanes: int, seed: int = SEED) -> bytes:
+    """A fingerprint of 64 bits a lane: the lanes are those of differently mixed hashes of the same shingles."""
+    w = text.lower().split()
+    if not w:
+        return bytes(8 * lanes)
+    joined = b" ".join(w)
+    ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
+    starts = np.append(0, ends[:-1] + 1)
+    n = max(1, len(w) - words + 1)
+    digest = xxhash.xxh64_intdigest
+    h = np.fromiter((digest(joined[i:j], seed) for i, j in zip(starts[:n].tolist(), ends[min(words, len(w)) - 1 :].tolist(), strict=True)), np.uint64, n)
+    h = np.unique(h)
+    count = np.zeros((lanes, BITS), np.int64)
+    for at in range(0, len(h), 1 << 13):
+        part = h[at : at + (1 << 13)]
+        for k in range(lanes):
+            count[k] += np.unpackbits(mix(part + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(count.ravel() * 2 > len(h), bitorder="little").tobytes()
+
+
+def wide_fingerprints(docs: DataFrame, words: int = 5, lanes: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp): a fingerprint of `lanes` x 64 bits of each text's distinct shingles, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([lanes_of(t.as_py() or b"", words, lanes) for t in b.column(1)], pa.binary())], names=["doc_id", "fp"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp binary")
+
+
+def differing_share(similarity: float) -> float:
+    """The share of bits in which fingerprints of two shingle sets of this Jaccard similarity differ on average."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def wide_links(fps: DataFrame, keep: Scratch, similarity: float = 0.8, lanes: int = 8, recall: float = 0.97, per_task: int = 1 << 15) -> DataFrame:
+    """A spanning forest (a, b) of the links between distinct wide fingerprints (column fp, bytes).
+
+    Two are linked if they differ in at most the bits that a pair of the given similarity differs in, plus 1.3 standard
+    deviations of that number; `recall` is that of a pair just as similar, and more similar pairs have more.
+    """
+    n, bits, share = fps.count(), BITS * lanes, differing_share(similarity)
+    budget = int(bits * share + 1.3 * (bits * share * (1 - share)) ** 0.5)
+    top = max(10, min(28, n.bit_length() - 2))
+    rest = 48
+    rest_budget = int(rest * budget / bits + 3.3 * (rest * share * (1 - share)) ** 0.5)
+    tables = int(np.ceil(np.log(1 - recall) / np.log(1 - (1 - share) ** top)))
+    rng = np.random.default_rng(11)
+    picks = [rng.permutation(bits)[: min(64, top + rest)] for _ in range(tables)]
+    spread = max(0, min(top, (n // per_task).bit_length()))
+
+    def keys(raw: np.ndarray, t: int) -> np.ndarray:
+        """The chosen bits of a table, the key on top."""
+        b = np.unpackbits(raw, axis=1, bitorder="little")[:, picks[t]]
+        out = np.zeros(len(raw), np.uint64)
+        for k in range(b.shape[1]):
+            out |= b[:, k].astype(np.uint64) << np.uint64(63 - k)
+        return out
+
+    def matrix(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
+        return np.frombuffer(b"".join(x.as_py() for x in col), np.uint8).reshape(-1, 8 * lanes)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = matrix(b.column(0))
+            for t in range(tables):
+                task = (keys(raw, t) >> np.uint64(64 - spread)).astype(np.int32) if spread else np.zeros(len(raw), np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(raw), t, np.int32)), pa.array(task), b.column(0)], names=["choice", "task", "fp"])
+
+    def near(raw: np.ndarray, found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for i, j in found:
+            for at in range(0, len(i), 1 << 18):
+                a, b = i[at : at + (1 << 18)], j[at : at + (1 << 18)]
+                good = np.bitwise_count(raw[a] ^ raw[b]).sum(axis=1) <= budget
+                if good.any():
+                    yield a[good], b[good]
+
+    def one(t: pa.Table) -> pa.Table:
+        raw = matrix(t.column("fp"))
+        v = keys(raw, t.column("choice")[0].as_py())
+        by = np.argsort(v, kind="stable")
+        wide = np.ascontiguousarray(raw[by]).view(np.uint64)
+        a, b = _forest(np.arange(len(v)), near(wide, trie_join(v[by], None, rest_budget, top=top)))
+        return pa.table({"a": pa.array([wide[k].tobytes() for k in a], pa.binary()), "b": pa.array([wide[k].tobytes() for k in b], pa.binary())})
+
+    return fps.select("fp").mapInArrow(deal, "choice int, task int, fp binary").groupBy("choice", "task").applyInArrow(one, "a binary, b binary")
+
+
+def dedup_similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) of documents whose wide fingerprints say that they are as similar as that, by 5-word shingles."""
+    keep = Scratch(docs.sparkSession, "simhash-similar")
+    fps = keep.save(wide_fingerprints(docs, words, id_col=id_col, text_col=text_col).filter("doc_id is not null"))
+    leaf = keep.save(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    forest = keep.save(wide_links(leaf, keep, similarity).distinct())
+    joined = forest.join(leaf.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(leaf.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
+    comp = components(joined.select(F.col("ra").alias("a"), F.col("rb").alias("b")), keep)
+    named = leaf.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    return fps.join(named, "fp").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+
+
 def dedup(docs: DataFrame, budget: int = BUDGET, words: int = SHINGLE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, fingerprint, component_id, and kept (doc_id = component_id)."""
     keep = Scratch(docs.sparkSession, "simhash")

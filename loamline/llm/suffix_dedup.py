@@ -21,6 +21,8 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from loamline.llm import blocks as B
 from loamline.llm import repeats as R
@@ -229,6 +231,31 @@ def _columns_far(eight: np.ndarray, at: np.ndarray, length: int) -> list[np.ndar
     return cols
 
 
+def rewrite(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The same rows and columns, each text without the bytes that start earlier.
+
+    Bytes of a character that loses only some of its own go with it.  Null texts stay null.
+    """
+    others = [f for f in docs.schema.fields if f.name != text_col]
+    carry = [f.name for f in others] + ["_was_null"]
+    kinds = [to_arrow_type(f.dataType) for f in others]
+    names = [f.name for f in docs.schema.fields]
+    blocks, parts = R.covered(docs.withColumn("_was_null", F.col(text_col).isNull()), task(length), id_col, text_col, carry)
+
+    def finish(_: int, b: B.Block, got: list[tuple[int, bytes]]) -> pa.Table:
+        m = R.mask(sum(len(t) for t in b.texts), got)
+        kept, at = [], 0
+        for t, null in zip(b.texts, b.carry[-1], strict=True):
+            own = m[at : at + len(t)]
+            at += len(t)
+            rest = np.frombuffer(t, np.uint8)[~own].tobytes() if own.any() else t
+            kept.append(None if null else rest.decode("utf-8", "ignore"))
+        cols = {f.name: pa.array(c, k) for f, c, k in zip(others, b.carry, kinds, strict=False)} | {text_col: pa.array(kept, pa.string())}
+        return pa.table({n: cols[n] for n in names})
+
+    return B.meet(blocks, parts, finish, docs.schema)
+
+
 def tokens(b: B.Block) -> R.Tokens:
     raw = b"".join(b.texts)
     table = B.mix(np.arange(1, 257, dtype=np.uint64))
