@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    pass
+    from loamline.plans import basics, lines_and_time, rules  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
