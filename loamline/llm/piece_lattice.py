@@ -8,11 +8,13 @@ backward from the end: complete paths come off its queue best first, and the
 search ends with the n-th.
 
 A text is escaped as the library does it (a space before the text, spaces as
-U+2581, nothing else normalised).  It is cut where no piece spans two characters
-(at every space, above all): a segmentation of the text is one of each part, so
-the search runs once for each distinct part, which a bounded table remembers,
-and the n best of the text are the n best sums of the parts' alternatives.  Only
-the n - 1 parts whose second choice costs least can differ from their best.
+U+2581, nothing else normalised).  No piece spans a space and what is before it,
+so a segmentation of the text is one of each word, and the n best of the text
+are the n best sums of the words' alternatives.  Only the n - 1 words whose
+second choice costs least can differ from their best.  A forward and a backward
+Viterbi pass give every word's best and what its second loses (the best path
+over any arc off the best path), which a bounded table remembers; the A-star
+search then runs over the words that can differ.
 
 Defined results: null and empty texts have no pieces and one segmentation, of
 score 0; U+2581 in a text decodes to a space; ties go to the longer first piece;
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-N_BEST, TABLE = 4, 150_000
+N_BEST, TABLE = 4, 200_000
 SPACE = "▁"
 BYTE_PENALTY = 10.0
 UNUSABLE = -1e8
@@ -52,11 +54,14 @@ class Lattice:
         self.pieces, self.byte_ids, self.n = pieces, byte_ids, n
         self.byte_score = min((s for _, s in pieces.values()), default=0.0) - BYTE_PENALTY
         self.longest: dict[str, int] = {}
-        self.joined: set[str] = set()
-        for p in pieces:
+        self.trie: dict = {}
+        for p, v in pieces.items():
             self.longest[p[0]] = max(self.longest.get(p[0], 0), len(p))
-            self.joined.update(p[i : i + 2] for i in range(len(p) - 1))
-        self.parts = _Parts(self, table)
+            node = self.trie
+            for ch in p:
+                node = node.setdefault(ch, {})
+            node[""] = v
+        self.words = _Words(self, table)
 
     def arcs(self, s: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """For each node, the arcs that end there: (first node, score, ids), longest first."""
@@ -82,7 +87,8 @@ class Lattice:
             best[k] = max([best[i] + w for i, w, _ in arcs[k]], default=-np.inf)
         out: list[tuple[float, tuple[int, ...]]] = []
         queue: list = [(-best[-1], 0, len(s), 0.0, None)]
-        pushed = 1
+        # Of equals the last pushed is taken first, so that ties end in paths and not in a wide front.
+        pushed = -1
         while queue and len(out) < n:
             _, _, at, done, path = heapq.heappop(queue)
             if at == 0:
@@ -94,18 +100,57 @@ class Lattice:
                 continue
             for i, w, ids in arcs[at]:
                 heapq.heappush(queue, (-(best[i] + w + done), pushed, i, done + w, (ids, path)))
-                pushed += 1
+                pushed -= 1
         return out
 
-    def cut(self, text: str) -> list[str]:
-        """The parts of an escaped text that segment independently."""
-        joined, out, at = self.joined, [], 0
-        for i in range(1, len(text)):
-            if text[i - 1 : i + 1] not in joined:
-                out.append(text[at:i])
-                at = i
-        out.append(text[at:])
-        return out
+    def best_two(self, s: str) -> tuple[bytes, float, float]:
+        """The best segmentation's ids and score, and what the second best loses (infinite where there is none)."""
+        n, trie = len(s), self.trie
+        best = [-np.inf] * (n + 1)
+        best[0] = 0.0
+        back: list = [None] * (n + 1)
+        arcs = []
+        for i in range(n):
+            node, out, b = trie, [], best[i]
+            for k in range(i, n):
+                node = node.get(s[k])
+                if node is None:
+                    break
+                v = node.get("")
+                if v is not None:
+                    out.append((k + 1, v[1]))
+                    if b + v[1] > best[k + 1]:
+                        best[k + 1], back[k + 1] = b + v[1], (i, v[0])
+            if not out or out[0][0] != i + 1:
+                raw = s[i].encode("utf-8", "surrogatepass")
+                w = self.byte_score * len(raw)
+                out.append((i + 1, w))
+                if b + w > best[i + 1]:
+                    best[i + 1], back[i + 1] = b + w, (i, raw)
+            arcs.append(out)
+        ids: list[int] = []
+        on_path = [0] * (n + 1)
+        at = n
+        while at:
+            i, piece = back[at]
+            on_path[i] = at
+            if isinstance(piece, bytes):
+                ids += [self.byte_ids[x] for x in reversed(piece)]
+            else:
+                ids.append(piece)
+            at = i
+        ahead = [0.0] * (n + 1)
+        second = -np.inf
+        for i in range(n - 1, -1, -1):
+            most, b, nxt = -np.inf, best[i], on_path[i]
+            for k, w in arcs[i]:
+                t = w + ahead[k]
+                if t > most:
+                    most = t
+                if k != nxt and b + t > second:
+                    second = b + t
+            ahead[i] = most
+        return np.array(ids[::-1], "<u4").tobytes(), best[n], best[n] - second
 
     def segment(self, text: str) -> tuple[bytes, list[float]]:
         """Ids of the best segmentation (little-endian unsigned 32-bit) and the scores of the n best."""
@@ -115,13 +160,14 @@ class Lattice:
     def _all(self, text: str) -> tuple[bytes, list[float], list[dict[int, int]]]:
         if not text:
             return b"", [0.0], [{}]
-        parts = list(map(self.parts.__getitem__, text.split(" ")))
+        words = text.split(" ")
+        parts = list(map(self.words.__getitem__, words))
         ids = b"".join([p[0] for p in parts])
         total = float(sum([p[1] for p in parts]))
         gap = np.fromiter([p[2] for p in parts], np.float64, len(parts))
         n = self.n
         few = np.argsort(gap, kind="stable")[: n - 1] if len(gap) > n - 1 else np.arange(len(gap))
-        choices = [(int(k), parts[k][3]) for k in few if np.isfinite(gap[k])]
+        choices = [(int(k), self.losses(words[k])) for k in few if np.isfinite(gap[k])]
         # The n least sums: each step takes the least and lets one part after the last one changed go one choice on.
         found, queue, seen = [], [(0.0, (0,) * len(choices))], set()
         while queue and len(found) < n:
@@ -143,36 +189,34 @@ class Lattice:
         for score, pick in zip(scores, picks, strict=True):
             ids: list[int] = []
             for k, w in enumerate(words):
-                ids += self.word(w)[pick.get(k, 0)][1]
+                ids += self.n_best(SPACE + w)[pick.get(k, 0)][1]
             out.append((score, ids))
         return out
 
-    def word(self, word: str) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best of a space and a word, from the n best of its parts."""
-        best: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
-        for part in self.cut(SPACE + word):
-            own = self.n_best(part)
-            if len(own) == 1:
-                best = [(s + own[0][0], i + own[0][1]) for s, i in best]
-            else:
-                best = heapq.nsmallest(self.n, ((s + t, i + j) for s, i in best for t, j in own), key=lambda x: -x[0])
-        return best
+    def losses(self, word: str) -> list[float]:
+        """What each of a word's n best loses against the best."""
+        found = self.n_best(SPACE + word)
+        return [found[0][0] - score for score, _ in found]
 
 
-class _Parts(dict):
-    """word: (ids of the best, its score, what the second loses, what each loses)."""
+class _Words(dict):
+    """word: (ids of the best, its score, what the second loses).
+
+    Two generations: when the young one is full it becomes the old one, and words met again come back from it.
+    """
 
     def __init__(self, lattice: Lattice, most: int):
         super().__init__()
-        self.lattice, self.most = lattice, most
-
-    def __missing__(self, word: str) -> tuple[bytes, float, float, tuple[float, ...]]:
-        found = self.lattice.word(word)
-        losses = tuple(found[0][0] - s for s, _ in found)
-        got = (np.array(found[0][1], "<u4").tobytes(), found[0][0], losses[1] if len(losses) > 1 else np.inf, losses)
-        if len(self) >= self.most:
-            self.clear()
+        self.lattice, self.most, self.old = lattice, most, {}
+
+    def __missing__(self, word: str) -> tuple[bytes, float, float]:
+        got = self.old.get(word)
+        if got is None:
+            got = self.lattice.best_two(SPACE + word)
         if len(word) <= 64:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
             self[word] = got
         return got
 
