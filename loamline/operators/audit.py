@@ -92,10 +92,23 @@ def suppress(found: DataFrame, rows: DataFrame, rules: list[tuple[str, str]], pa
     return kept.filter(~silent)
 
 
-def adjust_severity(severity: Column, category: Column, role: Column, is_test: Column) -> Column:
-    """The severity in context: tests and examples count less, a generated or vendored place least."""
-    down = F.when(severity == "critical", "medium").when(severity == "high", "low").when(severity == "medium", "low").otherwise("info")
-    return F.when(role.isin("generated", "vendored"), "info").when(is_test & (category == "HardcodedSecret"), "info").when(is_test, down).when(role.isin("example", "docs"), down).otherwise(severity)
+def in_context(severity: Column, category: Column, role: Column, is_test: Column, is_const: Column) -> tuple[Column, Column]:
+    """(severity, confidence) of a finding where it stands; the first rule that fits decides."""
+    errors, crypto = category == "UnsafeErrorHandling", category.isin("WeakCrypto", "WeakCryptography")
+    rules = [
+        (errors & is_const, "info", "certain"),
+        (errors & is_test, "info", "certain"),
+        ((category == "HardcodedSecret") & is_test, "low", "probable"),
+        (crypto & (role == "i18n"), "info", "certain"),
+        (role == "generated", "info", "certain"),
+        (category == "DependencyVulnerability", None, "certain"),
+        (errors & (role == "audit_pattern"), "info", "probable"),
+    ]
+    sev, conf = severity, F.lit("heuristic")
+    for cond, s, c in reversed(rules):
+        sev = F.when(cond, severity if s is None else F.lit(s)).otherwise(sev)
+        conf = F.when(cond, F.lit(c)).otherwise(conf)
+    return sev, conf
 
 
 #: Markers of explicit debt, in the order in which they are looked for.

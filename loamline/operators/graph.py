@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from loamline.plans.lineage import cut
 
-#: Names so common that a bare call of one says nothing about its target.
-COMMON_NAMES = ("new", "get", "set", "run", "main", "init", "open", "close", "read", "write", "load", "save", "start", "stop", "update", "delete", "create", "add", "remove", "from", "into", "len", "next", "iter", "push", "pop", "insert", "clone", "default", "fmt", "drop", "eq", "hash", "parse", "build", "test", "map", "filter", "to_string")
+# Names so common that a bare call of one says nothing about its target, and names that are called
+# through traits and frameworks rather than by name.
+COMMON_NAMES = ("new", "from", "default", "get", "set", "path", "fmt", "clone", "len", "build", "init", "main", "run", "next", "into", "parse", "write", "read", "map", "insert", "push", "create", "update", "delete", "value", "name", "id", "to_string", "as_str", "close", "open", "start", "stop", "add", "remove", "send", "call", "apply", "execute")
+TRAIT_NAMES = ("fmt", "eq", "ne", "hash", "clone", "default", "drop", "from", "into", "try_from", "deserialize", "serialize", "next", "poll", "deref", "deref_mut", "as_ref", "as_mut", "partial_cmp", "cmp", "to_string", "build", "visit", "index", "add", "sub", "mul", "call", "call_once", "call_mut", "new")
 
 
 def bfs(adjacency: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
@@ -52,8 +54,8 @@ def last_two(qn: Column) -> Column:
 
 
 def module_prefix(path: Column) -> Column:
-    """The folder of a path; empty at the top."""
-    return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
+    """The first folder of a path; in a workspace the member's folder below it."""
+    return F.regexp_extract(F.translate(path, "\\", "/"), r"^(crates/[^/]+|[^/]*)", 1)
 
 
 def definitions(nodes: DataFrame) -> DataFrame:
@@ -62,7 +64,7 @@ def definitions(nodes: DataFrame) -> DataFrame:
 
 
 def module_definitions(nodes: DataFrame) -> DataFrame:
-    """For each name and folder how many files define it."""
+    """For each name and module how many files define it."""
     return nodes.filter("kind <> 'File'").groupBy("name", module_prefix(F.col("file_path")).alias("prefix")).agg(F.countDistinct("file_path").alias("files_here"))
 
 
@@ -77,7 +79,7 @@ def callers(nodes: DataFrame, edges: DataFrame, low_confidence: bool = False) ->
     """(target, caller) with bare names resolved.
 
     A bare call is of a node if the name is not too common (then only within the file) and the node's is the only
-    definition, or in the caller's file, or the only one in the caller's folder, or in a file that the caller's imports.
+    definition, or in the caller's file, or the only one in the caller's module, or in a file that the caller's imports.
     """
     exact = callers_typed(nodes, edges)
     t = nodes.filter("kind <> 'File'").select(F.col("qualified_name").alias("target"), F.col("file_path").alias("t_file"), last_segment(F.col("qualified_name")).alias("name"))
@@ -133,9 +135,14 @@ def adaptive_threshold(coupled: DataFrame) -> DataFrame:
 
 
 def dead_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Functions and classes that no call names, in full, bare or by parent; tests and entry points are never dead."""
+    """Functions and classes that no call names, in full, bare or by parent.
+
+    Tests, entry points and what is called through traits are never dead.
+    """
+    path = F.concat(F.lit("/"), F.translate("file_path", "\\", "/"))
+    alive = F.col("is_test") | F.col("name").isin("main", *TRAIT_NAMES) | path.rlike(r"/(tests?|bin)/|/build\.rs$")
     called = edges.filter("kind = 'CALLS'").select(F.col("target_qualified").alias("t")).distinct()
-    c = nodes.filter("kind in ('Function', 'Class') and not is_test and name <> 'main'")
+    c = nodes.filter("kind in ('Function', 'Class')").filter(~alive)
     c = c.join(called, c["qualified_name"] == called["t"], "left_anti").join(called, c["name"] == called["t"], "left_anti")
     typed = F.concat_ws("::", F.col("parent_name"), F.col("name"))
     return c.join(called, (F.col("parent_name").isNotNull()) & (typed == called["t"]), "left_anti")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Severities from the gravest, and what a finding of a severity adds to the risk by its confidence.
 SEVERITIES = ("critical", "high", "medium", "low", "info")
 RISK = {"critical": (20, 15, 10), "high": (10, 7, 4), "medium": (3, 2, 1), "low": (0, 0, 0), "info": (0, 0, 0)}
-CONFIDENCES = ("high", "medium", "low")
+CONFIDENCES = ("certain", "probable", "heuristic")
 IMPORTANCE = {"important": 5.0, "warning": 2.0, "suggestion": 0.5}
 
 
@@ -36,15 +36,35 @@ def distribution(rows: DataFrame, key: str, weight: Column) -> DataFrame:
     return g.join(F.broadcast(total)).select(key, "n", "weight", F.round(100.0 * F.col("n") / F.col("_all"), 6).alias("pct"))
 
 
-def antipatterns(modules: DataFrame) -> DataFrame:
-    """(path, kind, severity) of modules (path, layer, loc, function_count, class_count, is_hub, fan_in, fan_out)."""
-    def rule(kind: str, cond: Column, severe: Column) -> DataFrame:
-        return modules.filter(cond).select("path", F.lit(kind).alias("kind"), F.when(severe, "high").otherwise("medium").alias("severity"))
+#: Lines and functions from which a module is too large, medium and high, by language.
+GOD_CLASS = {"dart": (800, 1500, 25, 40), "rust": (600, 1200, 20, 35), "": (500, 1000, 15, 25)}
 
-    god = rule("god_class", (F.col("loc") > 500) & (F.col("function_count") > 20), F.col("loc") > 1000)
-    fat = rule("fat_controller", (F.col("layer") == "controller") & (F.col("loc") > 200), F.col("loc") > 400)
-    wide = rule("excessive_coupling", (F.col("fan_out") > 10) & ~F.col("is_hub"), F.col("fan_out") > 20)
-    return god.unionByName(fat).unionByName(wide)
+
+def antipatterns(modules: DataFrame, imports: DataFrame, cycles: DataFrame) -> DataFrame:
+    """(path, kind, severity) of modules (path, language, layer, loc, function_count, is_hub, has_macros, fan_out).
+
+    imports: (src, dst) between modules; cycles: (node) in cycles.  Tests and hubs are never god classes, and functions
+    of modules made by macros don't count; a project of over five modules with controllers needs services.
+    """
+
+    def limit(i: int) -> Column:
+        out = F.lit(GOD_CLASS[""][i])
+        for lang, t in GOD_CLASS.items():
+            out = F.when(F.col("language") == lang, t[i]).otherwise(out) if lang else out
+        return out
+
+    def rule(rows: DataFrame, kind: str, severe: Column) -> DataFrame:
+        return rows.select("path", F.lit(kind).alias("kind"), F.when(severe, "high").otherwise("medium").alias("severity"))
+
+    many = lambda i: ~F.col("has_macros") & (F.col("function_count") > limit(i))
+    god = rule(modules.filter((F.col("layer") != "test") & ~F.col("is_hub") & ((F.col("loc") > limit(0)) | many(2))), "god_class", (F.col("loc") > limit(1)) | many(3))
+    fat = rule(modules.filter("layer = 'controller' and loc > 200"), "fat_controller", F.col("loc") > 400)
+    skips = layer_violations(modules, imports, [("controller", "repository")]).select(F.col("src").alias("path"), F.lit("fat_controller").alias("kind"), F.lit("medium").alias("severity"))
+    wide = rule(modules.filter("fan_out > 10"), "excessive_coupling", F.col("fan_out") > 20)
+    round_ = cycles.select(F.col("node").alias("path"), F.lit("circular_dependency").alias("kind"), F.lit("high").alias("severity"))
+    shape = modules.agg(F.count("*").alias("n"), F.max((F.col("layer") == "service").cast("int")).alias("services"))
+    bare = modules.filter("layer = 'controller'").join(F.broadcast(shape.filter("n > 5 and services = 0"))).select("path", F.lit("no_service_layer").alias("kind"), F.lit("medium").alias("severity"))
+    return god.unionByName(fat).unionByName(skips).unionByName(wide).unionByName(round_).unionByName(bare)
 
 
 def layer_violations(modules: DataFrame, imports: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:

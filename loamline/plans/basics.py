@@ -116,9 +116,9 @@ def r08(spark: SparkSession, d: str) -> DataFrame:
 
 # --- The call graph that the graph queries run over: parts are functions, lineitems their calls.
 
-NODES = """select case when p_size % 3 = 0 then 'src/m' || (p_partkey % 8)::varchar || '/f' || (p_partkey % 64)::varchar || '.py::' || p_type || '::' || nm
-  else 'src/m' || (p_partkey % 8)::varchar || '/f' || (p_partkey % 64)::varchar || '.py::' || nm end as qualified_name,
- 'src/m' || (p_partkey % 8)::varchar || '/f' || (p_partkey % 64)::varchar || '.py' as file_path, nm as name,
+NODES = """select case when p_size % 3 = 0 then 'm' || (p_partkey % 8)::varchar || '/f' || (p_partkey % 64)::varchar || '.py::' || p_type || '::' || nm
+  else 'm' || (p_partkey % 8)::varchar || '/f' || (p_partkey % 64)::varchar || '.py::' || nm end as qualified_name,
+ 'm' || (p_partkey % 8)::varchar || '/f' || (p_partkey % 64)::varchar || '.py' as file_path, nm as name,
  case when p_size % 3 = 0 then p_type end as parent_name, case when p_size % 5 = 0 then 'Class' else 'Function' end as kind, (p_size % 7 = 0) as is_test, p_partkey
  from (select *, replace(p_name, ' ', '_') || '_' || (p_partkey % 37)::varchar as nm from part)"""
 CALLS = f"""select distinct 'CALLS' as kind, a.qualified_name as source_qualified, a.file_path,
@@ -130,7 +130,7 @@ CTE = f"with recursive n as ({NODES}), e as ({CALLS})"
 def call_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of the tables' call graph."""
     p = table(spark, d, "part").withColumn("name", F.concat(F.translate("p_name", " ", "_"), F.lit("_"), (F.col("p_partkey") % 37).cast("string")))
-    file = F.concat(F.lit("src/m"), (F.col("p_partkey") % 8).cast("string"), F.lit("/f"), (F.col("p_partkey") % 64).cast("string"), F.lit(".py"))
+    file = F.concat(F.lit("m"), (F.col("p_partkey") % 8).cast("string"), F.lit("/f"), (F.col("p_partkey") % 64).cast("string"), F.lit(".py"))
     parent = F.when(F.col("p_size") % 3 == 0, F.col("p_type"))
     n = p.select(F.concat_ws("::", file, parent, F.col("name")).alias("qualified_name"), file.alias("file_path"), "name", parent.alias("parent_name"), F.when(F.col("p_size") % 5 == 0, "Class").otherwise("Function").alias("kind"), (F.col("p_size") % 7 == 0).alias("is_test"), "p_partkey")
     total = p.count()
@@ -159,7 +159,7 @@ def j02(spark: SparkSession, d: str) -> DataFrame:
 
 
 COMMON = ", ".join(f"'{x}'" for x in G.COMMON_NAMES)
-PFX = "regexp_extract({}, '^(.*)/[^/]*$', 1)"
+PFX = "regexp_extract({}, '^(crates/[^/]+|[^/]*)', 1)"
 
 
 @query("j03_callers_disambiguated", CTE + f""", df as (select name, count(distinct file_path) as files from n group by name), dm as (select name, {PFX.format('file_path')} as prefix, count(distinct file_path) as files_here from n group by 1, 2),
@@ -183,7 +183,10 @@ def j05(spark: SparkSession, d: str) -> DataFrame:
     return G.callees(n, e)
 
 
-@query("j30_dead_nodes", CTE + """ select qualified_name, kind from n where not is_test and name <> 'main' and qualified_name not in (select target_qualified from e) and name not in (select target_qualified from e)
+TRAITS = ", ".join(f"'{x}'" for x in ("main", *G.TRAIT_NAMES))
+
+
+@query("j30_dead_nodes", CTE + f""" select qualified_name, kind from n where not is_test and name not in ({TRAITS}) and qualified_name not in (select target_qualified from e) and name not in (select target_qualified from e)
  and (parent_name is null or parent_name || '::' || name not in (select target_qualified from e))""")
 def j30(spark: SparkSession, d: str) -> DataFrame:
     n, e = call_graph(spark, d)

@@ -191,28 +191,39 @@ def a13(spark: SparkSession, d: str) -> DataFrame:
     return g.withColumn("pct", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("p_type")), 6))
 
 
-MODS = """m as (select s_suppkey as path, case when s_nationkey % 3 = 0 then 'controller' when s_nationkey % 3 = 1 then 'service' else 'repository' end as layer, count(*) as loc, count(distinct l_partkey) as function_count, count(distinct l_orderkey) as fan_out, (s_suppkey % 17 = 0) as is_hub from supplier join lineitem on l_suppkey = s_suppkey where l_orderkey % 3 = 0 group by s_suppkey, s_nationkey)"""
+MODS = """m as (select s_suppkey as path, case s_nationkey % 4 when 0 then 'rust' when 1 then 'dart' else 'python' end as language, case when s_nationkey % 3 = 0 then 'controller' when s_nationkey % 3 = 1 then 'service' when s_suppkey % 19 = 0 then 'test' else 'repository' end as layer, count(*) * 2 as loc, count(distinct l_partkey) % 50 as function_count, count(distinct l_orderkey) % 30 as fan_out, (s_suppkey % 17 = 0) as is_hub, (s_suppkey % 23 = 0) as has_macros from supplier join lineitem on l_suppkey = s_suppkey where l_orderkey % 3 = 0 group by s_suppkey, s_nationkey),
+i as (select distinct l_suppkey as src, (l_partkey % (select count(*) from supplier)) as dst from lineitem where l_linenumber = 1)"""
 
 
 def modules(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").filter("l_orderkey % 3 = 0").groupBy("l_suppkey").agg(F.count("*").alias("loc"), F.countDistinct("l_partkey").alias("function_count"), F.countDistinct("l_orderkey").alias("fan_out"))
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("path"), F.expr("case when s_nationkey % 3 = 0 then 'controller' when s_nationkey % 3 = 1 then 'service' else 'repository' end").alias("layer"), (F.col("s_suppkey") % 17 == 0).alias("is_hub"))
+    li = table(spark, d, "lineitem").filter("l_orderkey % 3 = 0").groupBy("l_suppkey").agg((F.count("*") * 2).alias("loc"), (F.countDistinct("l_partkey") % 50).alias("function_count"), (F.countDistinct("l_orderkey") % 30).alias("fan_out"))
+    s = table(spark, d, "supplier").selectExpr("s_suppkey as path", "case s_nationkey % 4 when 0 then 'rust' when 1 then 'dart' else 'python' end as language", "case when s_nationkey % 3 = 0 then 'controller' when s_nationkey % 3 = 1 then 'service' when s_suppkey % 19 = 0 then 'test' else 'repository' end as layer", "s_suppkey % 17 = 0 as is_hub", "s_suppkey % 23 = 0 as has_macros")
     return s.join(li, s["path"] == li["l_suppkey"]).drop("l_suppkey")
 
 
-@query("a14_antipatterns", f"""with {MODS} select path, 'god_class' as kind, case when loc > 1000 then 'high' else 'medium' end as severity from m where loc > 500 and function_count > 20
+def imports(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "supplier").count()
+    return table(spark, d, "lineitem").filter("l_linenumber = 1").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % n).alias("dst")).distinct()
+
+
+@query("a14_antipatterns", f"""with {MODS}, t as (select *, case language when 'dart' then 800 when 'rust' then 600 else 500 end as l0, case language when 'dart' then 1500 when 'rust' then 1200 else 1000 end as l1, case language when 'dart' then 25 when 'rust' then 20 else 15 end as f0, case language when 'dart' then 40 when 'rust' then 35 else 25 end as f1 from m)
+select path, 'god_class' as kind, case when loc > l1 or (not has_macros and function_count > f1) then 'high' else 'medium' end as severity from t where layer <> 'test' and not is_hub and (loc > l0 or (not has_macros and function_count > f0))
 union all select path, 'fat_controller', case when loc > 400 then 'high' else 'medium' end from m where layer = 'controller' and loc > 200
-union all select path, 'excessive_coupling', case when fan_out > 20 then 'high' else 'medium' end from m where fan_out > 10 and not is_hub""")
+union all select src, 'fat_controller', 'medium' from (select distinct i.src, i.dst from i join m a on a.path = i.src and a.layer = 'controller' join m b on b.path = i.dst and b.layer = 'repository')
+union all select path, 'excessive_coupling', case when fan_out > 20 then 'high' else 'medium' end from m where fan_out > 10
+union all select path, 'no_service_layer', 'medium' from m where layer = 'controller' and (select count(*) from m) > 5 and not exists (select 1 from m where layer = 'service')
+union all select path, 'circular_dependency', 'high' from m where path in (select x.src from i x join i y on x.src = y.dst and x.dst = y.src where x.src <> x.dst)""")
 def a14(spark: SparkSession, d: str) -> DataFrame:
-    return M.antipatterns(modules(spark, d))
+    i = imports(spark, d)
+    back = i.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    m = modules(spark, d)
+    mutual = i.join(back, ["src", "dst"]).filter("src <> dst").select(F.col("src").alias("node")).distinct().join(m.select(F.col("path").alias("node")), "node", "left_semi")
+    return M.antipatterns(m, i, mutual)
 
 
-@query("j38_layer_violations", f"""with {MODS}, i as (select distinct l_suppkey as src, (l_partkey % (select count(*) from supplier)) as dst from lineitem where l_linenumber = 1)
-select distinct i.src, i.dst, a.layer as from_layer, b.layer as to_layer from i join m a on a.path = i.src join m b on b.path = i.dst where (a.layer = 'controller' and b.layer = 'repository') or (a.layer = 'service' and b.layer = 'controller')""")
+@query("j38_layer_violations", f"""with {MODS} select distinct i.src, i.dst, a.layer as from_layer, b.layer as to_layer from i join m a on a.path = i.src join m b on b.path = i.dst where (a.layer = 'controller' and b.layer = 'repository') or (a.layer = 'service' and b.layer = 'controller')""")
 def j38(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "supplier").count()
-    i = table(spark, d, "lineitem").filter("l_linenumber = 1").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % n).alias("dst")).distinct()
-    return M.layer_violations(modules(spark, d), i, [("controller", "repository"), ("service", "controller")])
+    return M.layer_violations(modules(spark, d), imports(spark, d), [("controller", "repository"), ("service", "controller")])
 
 
 MONTHS = "mo as (select o_orderpriority as service, date_trunc('month', o_orderdate)::timestamp as ts, count(*) as n, round(sum(o_totalprice) * 100)::bigint as cents from orders group by 1, 2)"

@@ -48,15 +48,16 @@ def audit_suppressed(spark: SparkSession, d: str) -> DataFrame:
     return A.suppress(f, doc_lines(spark, d), [("secret-*", "src1*"), ("PersonalData", "***2")], F.col("source")).drop("source")
 
 
-ADJUSTED = ", g as (select f.*, case when d.lang = 'de' then 'docs' else 'core' end as role, d.source like '%7' as is_test, case when coalesce(quality, 0) = 1 then 'high' when quality = 0 then 'low' else 'medium' end as confidence from f join documents d on d.doc_id = f.file left join labels on labels.doc_id = f.file), a as (select *, case when is_test and category = 'HardcodedSecret' then 'info' when is_test or role = 'docs' then case severity when 'critical' then 'medium' when 'high' then 'low' when 'medium' then 'low' else 'info' end else severity end as adjusted from g)"
+ADJUSTED = """, g as (select f.*, case when d.lang = 'de' then 'generated' when d.lang = 'es' then 'i18n' else 'core' end as role, d.source like '%7' as is_test, d.source like '%3' as is_const from f join documents d on d.doc_id = f.file),
+a as (select *, case when category = 'UnsafeErrorHandling' and (is_const or is_test) then 'info' when category = 'HardcodedSecret' and is_test then 'low' when category = 'WeakCryptography' and role = 'i18n' then 'info' when role = 'generated' then 'info' else severity end as adjusted,
+ case when category = 'UnsafeErrorHandling' and (is_const or is_test) then 'certain' when category = 'HardcodedSecret' and is_test then 'probable' when category = 'WeakCryptography' and role = 'i18n' then 'certain' when role = 'generated' then 'certain' else 'heuristic' end as confidence from g)"""
 
 
 def adjusted(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("file"), F.when(F.col("lang") == "de", "docs").otherwise("core").alias("role"), F.col("source").like("%7").alias("is_test"))
-    lab = table(spark, d, "labels").select(F.col("doc_id").alias("file"), "quality")
-    q = F.when(F.coalesce("quality", F.lit(0)) == 1, "high").when(F.col("quality") == 0, "low").otherwise("medium")
-    f = found(spark, d).join(docs, "file").join(lab, "file", "left").withColumn("confidence", q)
-    return f.withColumn("adjusted", A.adjust_severity(F.col("severity"), F.col("category"), F.col("role"), F.col("is_test")))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("file"), F.when(F.col("lang") == "de", "generated").when(F.col("lang") == "es", "i18n").otherwise("core").alias("role"), F.col("source").like("%7").alias("is_test"), F.col("source").like("%3").alias("is_const"))
+    f = found(spark, d).join(docs, "file")
+    sev, conf = A.in_context(F.col("severity"), F.col("category"), F.col("role"), F.col("is_test"), F.col("is_const"))
+    return f.withColumn("adjusted", sev).withColumn("confidence", conf)
 
 
 SUMMARY = ", ".join(f"coalesce(sum((adjusted = '{s}')::int), 0)::bigint as {s}" for s in M.SEVERITIES)
@@ -101,8 +102,6 @@ def a25(spark: SparkSession, d: str) -> DataFrame:
     return M.hot_spots(per, none, pat).withColumn("file", F.col("file").cast("long"))
 
 
-MARK = "'(^|[^A-Za-z0-9_])(The|Und|Que|Les)'"
-
 
 @query("st06_log_filter", f"""with {LINES}, s as (select file, line, regexp_replace(content, '\\x1b\\[[0-9;?]*[A-Za-z]', '', 'g') as c from l), p as (select * from s where not (regexp_matches(c, '^\\s*\\d{{1,3}}(\\.\\d+)?%\\s*$') or regexp_matches(c, '^\\s*\\[[=#>. -]+\\]') or regexp_matches(c, '^\\s*[|/\\\\-]\\s*$') or regexp_matches(c, '^[\\s█▓▒░▏▎▍▌▋▊▉=>#.-]{{5,}}$'))),
 q as (select *, lag(c) over (partition by file order by line) as prev from p) select file, line, md5(c) as digest from q where prev is null or prev <> c""".replace("\\\\-]", "\\-]").replace("\\x1b", "\x1b"))

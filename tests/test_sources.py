@@ -204,7 +204,7 @@ def test_islands_with_nulls(spark):
 
 
 def test_scores(spark):
-    f = spark.createDataFrame([("critical", "high")] * 6, "severity string, confidence string")
+    f = spark.createDataFrame([("critical", "certain")] * 6, "severity string, confidence string")
     assert metrics.risk_score(f).first().risk == 100 and metrics.risk_score(f.limit(0)).first().risk == 0
     z = F.lit(0)
     got = spark.range(1).select(metrics.trend(F.lit(1), z, z, z, z).alias("a"), metrics.trend(z, z, z, z, F.lit(4)).alias("b"), metrics.trend(z, F.lit(1), z, z, z).alias("c")).first()
