@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loamline.operators import audit as A
 from loamline.operators import intervals as I
 from loamline.operators import metrics as M
-from loamline.plans.basics import call_graph, table
+from loamline.plans.basics import CTE, call_graph, table
 from loamline.plans.registry import query
 
 LINES = "l as (select doc_id as file, unnest(string_split(coalesce(text, ''), chr(10))) as content, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as line from documents)"
@@ -304,7 +304,7 @@ def a27(spark: SparkSession, d: str) -> DataFrame:
     return f.agg(F.count("*").alias("files"), F.sum("loc").alias("loc"), F.sum("filled").alias("filled"))
 
 
-@query("j36_local_resolution", None)
+@query("j36_local_resolution", CTE + """ select source_qualified, target_qualified as name, coalesce(r, target_qualified) as target from e left join (select file_path, name, min(qualified_name) as r from n group by 1, 2) f on f.file_path = e.file_path and f.name = e.target_qualified where not contains(target_qualified, '::')""")
 def j36(spark: SparkSession, d: str) -> DataFrame:
     """Bare calls resolved to the first symbol of their name in the same file."""
     n, e = call_graph(spark, d)
