@@ -289,7 +289,8 @@ def wide_links(fps: DataFrame, keep: Scratch, similarity: float = 0.8, lanes: in
     """
     n, bits, share = fps.count(), BITS * lanes, differing_share(similarity)
     budget = int(bits * share + 1.3 * (bits * share * (1 - share)) ** 0.5)
-    top = max(10, min(28, n.bit_length() - 2))
+    # Below a key of a table there are 256 leaves at most on average; the number of tables stays as it is until then.
+    top = max(16, min(40, n.bit_length() - 8))
     rest = 48
     rest_budget = int(rest * budget / bits + 3.3 * (rest * share * (1 - share)) ** 0.5)
     tables = int(np.ceil(np.log(1 - recall) / np.log(1 - (1 - share) ** top)))
