@@ -41,8 +41,10 @@ from loamline.llm.components import components, local_forest
 from loamline.llm.store import Scratch
 
 COSINE, DEGREE, BEAM, ALPHA = 0.93, 24, 48, 1.2
-LIMIT, SAMPLE, OVERLAP, AUDIT, RECALL = 1500, 4096, 3, 48, 0.995
+LIMIT, SAMPLE, OVERLAP, AUDIT, RECALL = 600, 4096, 3, 48, 0.995
 SLACK = 0.12
+#: Pairs of a query and a node that are looked at together; it bounds memory.
+STEP = 1 << 13
 
 
 def unit(x: list | None) -> bytes | None:
@@ -94,8 +96,8 @@ class Graph:
             got[front] = True
         return got[:-1]
 
-    def repair(self, batch: int = 48) -> Graph:
-        """Links unreachable nodes from the nearest node that a search for them finds, until every node can be reached.
+    def repair(self, batch: int = 6) -> Graph:
+        """Links unreachable nodes from the least linked of the nearest nodes that a search for them finds, until every node can be reached.
 
         A ball of near copies fills its lists with itself; this is its door.
         """
@@ -105,7 +107,9 @@ class Graph:
                 break
             own = away[:: -(-len(away) // batch)]
             ids, _, _ = self.search(self.x4[own], self.beam)
-            for r, u in zip(ids[:, 0].tolist(), own.tolist(), strict=True):
+            for near, u in zip(ids[:, :8], own.tolist(), strict=True):
+                near = near[near >= 0]
+                r = int(near[(self.adj[near] >= 0).sum(axis=1).argmin()])
                 free = np.flatnonzero(self.adj[r] < 0)
                 if not len(free):
                     self.adj = np.concatenate([self.adj, np.full((len(self.adj), 4), -1, np.int64)], axis=1)
@@ -219,22 +223,24 @@ class Graph:
                 hit = s >= cosine - 1e-4
                 found_q.append(q[r[hit]])
                 found_x.append(node[hit])
-                nb = self.adj[node]
-                rr, nn = np.repeat(r, nb.shape[1]), nb.ravel()
-                good = (nn >= 0) & ~seen[rr, nn]
-                key = np.unique(rr[good] * len(self.x) + nn[good])
-                r, node = key // len(self.x), key % len(self.x)
-                seen[r, node] = True
-                s = np.empty(len(r), np.float32)
-                for k in range(0, len(r), 1 << 16):
-                    part = slice(k, k + (1 << 16))
-                    s[part] = np.einsum("kd,kd->k", self.x4[q[r[part]]], self.x4[node[part]])
-                near = s >= edge
-                r, node, s = r[near], node[near], s[near]
+                nxt = []
+                for k in range(0, len(r), STEP):
+                    nb = self.adj[node[k : k + STEP]]
+                    rr, nn = np.repeat(r[k : k + STEP], nb.shape[1]), nb.ravel()
+                    good = (nn >= 0) & ~seen[rr, nn]
+                    key = np.unique(rr[good] * len(self.x) + nn[good])
+                    rr, nn = key // len(self.x), key % len(self.x)
+                    seen[rr, nn] = True
+                    for c in range(0, len(rr), STEP):
+                        r1, n1 = rr[c : c + STEP], nn[c : c + STEP]
+                        s1 = np.einsum("kd,kd->k", self.x4[q[r1]], self.x4[n1])
+                        near = s1 >= edge
+                        nxt.append((r1[near], n1[near], s1[near]))
+                r, node, s = (np.concatenate(x) for x in zip(*nxt, strict=True)) if nxt else (r[:0], node[:0], s[:0])
         i, j = (np.concatenate(f) if f else np.zeros(0, np.int64) for f in (found_q, found_x))
         exact = np.empty(len(i))
-        for k in range(0, len(i), 1 << 16):
-            part = slice(k, k + (1 << 16))
+        for k in range(0, len(i), 1 << 14):
+            part = slice(k, k + (1 << 14))
             exact[part] = np.einsum("kd,kd->k", self.x[i[part]], self.x[j[part]])
         good = (exact >= cosine) & (i != j)
         return i[good], j[good], np.concatenate(lost) if lost else np.zeros(0, np.int64)
