@@ -234,10 +234,10 @@ def covered(docs: DataFrame, task: Task, id_col: str, text_col: str, carry: list
 
 def mask(n: int, got: list[tuple[int, bytes]]) -> np.ndarray:
     """Which of a block's n tokens are covered."""
-    edge = np.zeros(n + 1, np.int64)
-    for _, blob in got:
-        lo, hi = B.loads(blob)
-        edge += np.bincount(lo, minlength=n + 1) - np.bincount(hi, minlength=n + 1)
+    if not got:
+        return np.zeros(n, bool)
+    lo, hi = (np.concatenate(x) for x in zip(*(B.loads(blob) for _, blob in got), strict=True))
+    edge = np.bincount(lo, minlength=n + 1) - np.bincount(hi, minlength=n + 1)
     return np.cumsum(edge[:-1]) > 0
 
 
