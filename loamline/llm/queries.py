@@ -77,5 +77,16 @@ def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
+#: Words, their windows, the windows that start in a document before, and the words that none of those covers.
+SUBSTRING_SQL = r"""with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+g as (select doc_id, p, array_to_string(ws[p:p + 12], ' ') as k from (select doc_id, ws, unnest(range(1, len(ws) - 11)) as p from w where len(ws) >= 13)),
+m as (select k, min(doc_id) as first from g group by k),
+c as (select distinct doc_id, unnest(range(p, p + 13)) as i from (select g.doc_id, g.p from g join m using (k) where m.first < g.doc_id)),
+x as (select w.doc_id, ws[i] as word, i from (select doc_id, ws, unnest(range(1, len(ws) + 1)) as i from w) w),
+kept as (select x.doc_id, string_agg(word, ' ' order by x.i) as t, count(*) as n from x left join c on c.doc_id = x.doc_id and c.i = x.i where c.i is null group by x.doc_id)
+select w.doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256 from w left join kept on kept.doc_id = w.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express a query and is quick enough over whole tables."""
+    return {"op7_substring_dedup": SUBSTRING_SQL}
