@@ -12,7 +12,9 @@ and repeated ids are therefore harmless.
 
 from __future__ import annotations
 
+import ctypes
 import pickle
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -81,6 +83,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def release() -> None:
+    """Gives freed memory back to the system: a worker lives on and runs other stages."""
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
 class Block:
     """The rows of a block: ids (None where null), order (ids for comparing) and texts as bytes."""
 
@@ -133,6 +143,7 @@ def to_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
                     ids, texts, held, seq, more = [], [], 0, seq + 1, [[] for _ in carry]
         if ids:
             yield out()
+        release()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry)))
     return rows.mapInArrow(build, BLOCK_SCHEMA)
@@ -146,6 +157,7 @@ def each_block(blocks: DataFrame, fn: Callable[[int, Block], Iterator[tuple[int,
             for n, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 got = list(fn(n, Block.unpack(payload.as_py())))
                 yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in got], pa.int32()), pa.array([n] * len(got), pa.int64()), pa.array([b for _, b in got], pa.binary())], schema=PART)
+                release()
 
     return blocks.select("block", "payload").mapInArrow(run, PART_SCHEMA)
 
@@ -160,6 +172,7 @@ def each_shard(parts: DataFrame, fn: Callable[[list[int], list[bytes]], list[byt
         t = t.sort_by("block")
         blocks = t.column("block").to_pylist()
         answers = fn(blocks, t.column("blob").to_pylist())
+        release()
         kept = [(b, a) for b, a in zip([*blocks, -1], answers, strict=False) if a is not None]
         return pa.Table.from_arrays([pa.array([t.column("shard")[0].as_py()] * len(kept), pa.int32()), pa.array([b for b, _ in kept], pa.int64()), pa.array([a for _, a in kept], pa.binary())], schema=PART)
 
@@ -173,7 +186,9 @@ def meet(blocks: DataFrame, parts: DataFrame, fn: Callable[[int, Block, list[tup
         t = t.sort_by("shard")
         shards, blobs = t.column("shard").to_pylist(), t.column("blob")
         at = [i for i, s in enumerate(shards) if s == -1]
-        return fn(t.column("block")[0].as_py(), Block.unpack(blobs[at[0]].as_py()), [(s, blobs[i].as_py()) for i, s in enumerate(shards) if s != -1])
+        out = fn(t.column("block")[0].as_py(), Block.unpack(blobs[at[0]].as_py()), [(s, blobs[i].as_py()) for i, s in enumerate(shards) if s != -1])
+        release()
+        return out
 
     own = blocks.select(F.lit(-1).cast("int").alias("shard"), "block", F.col("payload").alias("blob"))
     return own.unionByName(parts.select("shard", "block", "blob")).groupBy("block").applyInArrow(run, schema)

@@ -71,6 +71,7 @@ def pieces(docs: DataFrame, capacity: Capacity, tokenizer: str, id_col: str, tex
                     at, k, size = at + size, k + 1, most
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t, _ in zip(rows, kinds, names, strict=False)], names=names)
+        enc.forget()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, PIECES + ", ids binary" * with_ids)

@@ -60,8 +60,11 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return x if m == w else np.minimum(x[: len(x) - (w - m)], x[w - m :])
 
 
-def winnow(values: np.ndarray, sizes: np.ndarray, k: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor: first and last window start and the anchor, as places in all the block's tokens."""
+def winnow(values: np.ndarray, sizes: np.ndarray, k: int, length: int, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one anchor: first and last window start and the anchor, as places in all the block's tokens.
+
+    `table` gives a token's hash where values are small codes; it is looked up a chunk at a time.
+    """
     n, w = len(values), length - k + 1
     valid = np.ones(n, bool)
     ends = np.cumsum(sizes)
@@ -70,7 +73,8 @@ def winnow(values: np.ndarray, sizes: np.ndarray, k: int, length: int) -> tuple[
     at = np.zeros(n, np.uint32)
     for a in range(0, n - length + 1, CHUNK):
         b = min(a + CHUNK, n - length + 1)
-        h = kgram_hashes(values[a : b + length - 1], k)
+        v = values[a : b + length - 1]
+        h = kgram_hashes(v if table is None else table[v], k)
         key = B.mix(h) & ~LOW32 | np.arange(a, a + len(h), dtype=np.uint64)
         at[a:b] = sliding_min(key, w)[: b - a] & LOW32
     change = at[1:] != at[:-1]
@@ -83,11 +87,12 @@ def winnow(values: np.ndarray, sizes: np.ndarray, k: int, length: int) -> tuple[
 
 @dataclass
 class Tokens:
-    """A block's tokens: raw bytes of `unit` each, a hash of each, and how many each document has."""
+    """A block's tokens: raw bytes of `unit` each, a hash of each (or a code and the codes' table), and how many each document has."""
 
     raw: bytes
     values: np.ndarray
     sizes: np.ndarray
+    table: np.ndarray | None = None
 
 
 @dataclass
@@ -124,7 +129,7 @@ class Entries:
     def __init__(self, task: Task, b: B.Block):
         t = task.tokens(b)
         if b.extra is None:
-            lo, hi, q = winnow(t.values, t.sizes, task.k, task.length)
+            lo, hi, q = winnow(t.values, t.sizes, task.k, task.length, t.table)
         else:
             lo = B.unpack_sorted(b.extra[0]).astype(np.int64)
             hi, q = lo + B.unplanes(b.extra[1]), lo + B.unplanes(b.extra[2])
@@ -150,7 +155,7 @@ class Entries:
 def remember(task: Task) -> Callable[[B.Block], object]:
     def run(b: B.Block) -> object:
         t = task.tokens(b)
-        lo, hi, q = winnow(t.values, t.sizes, task.k, task.length)
+        lo, hi, q = winnow(t.values, t.sizes, task.k, task.length, t.table)
         return B.pack_sorted(lo.astype(np.uint32)), B.planes(B.narrow(hi - lo)), B.planes(B.narrow(q - lo))
 
     return run
@@ -234,11 +239,11 @@ def covered(docs: DataFrame, task: Task, id_col: str, text_col: str, carry: list
 
 def mask(n: int, got: list[tuple[int, bytes]]) -> np.ndarray:
     """Which of a block's n tokens are covered."""
-    if not got:
-        return np.zeros(n, bool)
-    lo, hi = (np.concatenate(x) for x in zip(*(B.loads(blob) for _, blob in got), strict=True))
-    edge = np.bincount(lo, minlength=n + 1) - np.bincount(hi, minlength=n + 1)
-    return np.cumsum(edge[:-1]) > 0
+    out = np.zeros(n, bool)
+    for _, blob in got:
+        for lo, hi in zip(*(x.tolist() for x in B.loads(blob)), strict=True):
+            out[lo:hi] = True
+    return out
 
 
 def runs(snippet: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

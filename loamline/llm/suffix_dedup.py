@@ -72,11 +72,13 @@ def meeting_steps(v: int) -> np.ndarray:
 
 def _words_at(text: np.ndarray, n: int, room: int) -> np.ndarray:
     """The eight bytes from each position on, big-endian; zeros after the end."""
-    padded = np.zeros(n + room + 8, np.uint64)
+    padded = np.zeros(n + room + 8, np.uint8)
     padded[:n] = text
     out = np.zeros(n + room, np.uint64)
-    for j in range(8):
-        out |= padded[j : j + n + room] << np.uint64(56 - 8 * j)
+    for at in range(0, n + room, 1 << 19):
+        part = out[at : at + (1 << 19)]
+        for j in range(8):
+            part |= padded[at + j : at + j + len(part)].astype(np.uint64) << np.uint64(56 - 8 * j)
     return out
 
 
@@ -110,7 +112,7 @@ class CoverRanks:
         cols = [*_columns(eight, at, v), np.minimum(n - at, v)]
         by = np.lexsort(cols[::-1])
         new = _breaks([c[by] for c in cols])
-        self.rank = np.zeros(n + room, np.int64)
+        self.rank = np.zeros(n + room, np.int32)
         self.rank[at[by]] = np.cumsum(new)
         reach = v
         while not new.all() and (depth is None or reach < depth):
@@ -196,7 +198,8 @@ def solve(x: R.Snippets, length: int = LENGTH, v: int = PERIOD) -> tuple[np.ndar
     base = np.cumsum(room) - room + (-x.offset) % v
     text = np.zeros(int(room.sum()) + v, np.uint8)
     src = np.cumsum(x.sizes) - x.sizes
-    text[np.repeat(base - src, x.sizes) + np.arange(len(x.raw))] = x.raw
+    for b, s, n in zip(base.tolist(), src.tolist(), x.sizes.tolist(), strict=True):
+        text[b : b + n] = x.raw[s : s + n]
     windows = x.sizes - length + 1
     snippet = np.repeat(np.arange(len(windows)), windows)
     window = np.arange(len(snippet)) - np.repeat(np.cumsum(windows) - windows, windows)
@@ -259,7 +262,7 @@ def rewrite(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
 def tokens(b: B.Block) -> R.Tokens:
     raw = b"".join(b.texts)
     table = B.mix(np.arange(1, 257, dtype=np.uint64))
-    return R.Tokens(raw, table[np.frombuffer(raw, np.uint8)], np.array([len(t) for t in b.texts], np.int64))
+    return R.Tokens(raw, np.frombuffer(raw, np.uint8), np.array([len(t) for t in b.texts], np.int64), table)
 
 
 def task(length: int = LENGTH) -> R.Task:

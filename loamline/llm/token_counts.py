@@ -60,6 +60,7 @@ def write_files(docs: DataFrame, tokenizer: str | None = None, eod: int = EOD, d
             yield rows(got)
         if held:
             yield rows([(part, block, bytes(held), None)])
+        enc.forget()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, FILE)
 

@@ -15,6 +15,8 @@ import re
 
 import numpy as np
 
+from loamline.llm.blocks import release
+
 #: Pieces held at most before the table starts anew; it bounds memory and changes no id.
 TABLE = 300_000
 SPECIAL = "<|endoftext|>"
@@ -43,6 +45,12 @@ class Encoder:
         ids = self.plain.encode_ordinary(piece) if self.plain else self.whole.encode(piece, add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
 
+    def forget(self) -> None:
+        """Empties the tables, at the end of a task: the process goes on to other stages."""
+        self.first.clear()
+        self.rest.clear()
+        release()
+
     def ids(self, text: str, special: bool = True) -> bytes:
         """With `special`, the special token's string in a text is that token, as the tokenizer has it; else ordinary text."""
         if special and SPECIAL in text:
