@@ -213,7 +213,7 @@ def covered(docs: DataFrame, task: Task, id_col: str, text_col: str, carry: list
             if len(i):
                 lo, hi = e.lo[i] * task.unit, (e.hi[i] + task.length) * task.unit
                 raw = b"".join(e.raw[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True))
-                rows.append((s, B.dumps((raw, e.hi[i] + task.length - e.lo[i], e.q[i] - e.lo[i], e.order[i], e.place[i], e.lo[i]))))
+                rows.append((s, B.dumps((raw, e.hi[i] + task.length - e.lo[i], e.q[i] - e.lo[i], e.order[i], e.place[i], e.lo[i], e.h[i]))))
         return pa.Table.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([n] * len(rows), pa.int64()), pa.array([x for _, x in rows], pa.binary())], schema=B.PART)
 
     answers = B.each_shard(B.each_block(blocks, ask), answer)
@@ -222,8 +222,8 @@ def covered(docs: DataFrame, task: Task, id_col: str, text_col: str, carry: list
     def solve(_: list[int], blobs: list[bytes]) -> list[bytes | None]:
         got = [B.loads(x) for x in blobs]
         kind = np.dtype(f"u{task.unit}")
-        cols = [np.concatenate([x[i] for x in got]) for i in range(1, 6)]
-        found = task.solve(Snippets(np.frombuffer(b"".join(x[0] for x in got), kind), *cols[:4]))
+        cols = [np.concatenate([x[i] for x in got]) for i in range(1, 7)]
+        found = in_parts(task, np.frombuffer(b"".join(x[0] for x in got), kind), cols[0], cols[5], cols[1:4])
         snippet, first, last = found
         block = np.repeat(np.arange(len(got)), [len(x[1]) for x in got])[snippet]
         lo = cols[4][snippet]
@@ -237,6 +237,26 @@ def covered(docs: DataFrame, task: Task, id_col: str, text_col: str, carry: list
     return blocks, sorted_out.filter(f"shard = {COVER}").unionByName(solved)
 
 
+def in_parts(task: Task, raw: np.ndarray, sizes: np.ndarray, anchors: np.ndarray, rest: list[np.ndarray], most: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A shard's snippets, solved some anchors at a time: equal windows have equal anchors, so parts need not know each other."""
+    by = np.argsort(anchors, kind="stable")
+    held = np.cumsum(sizes[by]) * task.unit
+    begin = np.flatnonzero(np.append(True, anchors[by][1:] != anchors[by][:-1]))
+    ends = np.cumsum(sizes)
+    out, at = [], 0
+    while at < len(by):
+        limit = (held[at - 1] if at else 0) + most
+        k = int(np.searchsorted(held, limit, side="right"))
+        fits = begin[(begin > at) & (begin <= k)]
+        upto = len(by) if k >= len(by) else int(fits[-1]) if len(fits) else int(next(iter(begin[begin > at]), len(by)))
+        own = by[at:upto]
+        part = np.concatenate([raw[e - n : e] for e, n in zip(ends[own].tolist(), sizes[own].tolist(), strict=True)])
+        snippet, first, last = task.solve(Snippets(part, sizes[own], *(x[own] for x in rest)))
+        out.append((own[snippet], first, last))
+        at = upto
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def mask(n: int, got: list[tuple[int, bytes]]) -> np.ndarray:
     """Which of a block's n tokens are covered."""
     out = np.zeros(n, bool)

@@ -34,13 +34,18 @@ class Encoder:
     """ids(text) as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, json_path: str, table: int = TABLE):
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(json_path)
+        self.path = json_path
         self.plain = _plain(json_path)
         self.first = _Table(self._encode, "", table)
         self.rest = _Table(self._encode, " ", table)
 
+    @functools.cached_property
+    def whole(self):
+        """The tokenizer itself; loaded where a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _encode(self, piece: str) -> bytes:
         ids = self.plain.encode_ordinary(piece) if self.plain else self.whole.encode(piece, add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()

@@ -53,3 +53,31 @@ def test_maximal_repeats(seed):
         elif len(at) > 1 and 0 in at and len({text[i + len(k)] if i + len(k) < 60 else ("end", i) for i in at}) > 1:
             want.add((k, len(at)))
     assert T.maximal_repeats(text, least, limit=8) == want
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_parts_need_not_know_each_other(seed):
+    import xxhash
+
+    rng = np.random.default_rng(seed)
+    base = rng.integers(97, 100, 400).astype(np.uint8)
+    docs = [np.concatenate([base[a : a + 120], rng.integers(97, 123, 30).astype(np.uint8), base[b : b + 60]]) for a, b in rng.integers(0, 280, (12, 2)).tolist()]
+    task = S.task(20)
+    rows = []
+    for d, text in enumerate(docs):
+        lo, hi, q = R.winnow(text.astype(np.uint64), np.array([len(text)]), task.k, 20)
+        rows += [(text[a : b + 20], c - a, d, a, xxhash.xxh64_intdigest(text[c : c + task.k].tobytes())) for a, b, c in zip(lo, hi, q, strict=True)]
+    sizes = np.array([len(r[0]) for r in rows])
+    raw = np.concatenate([r[0] for r in rows])
+    rest = [np.array([r[i] for r in rows]) for i in (1, 2, 3)]
+    anchors = np.array([r[4] for r in rows], np.uint64)
+
+    def windows(most):
+        return {(int(s), w) for s, a, b in zip(*R.in_parts(task, raw, sizes, anchors, rest, most), strict=True) for w in range(int(a), int(b) + 1)}
+
+    first = {}
+    for text, _, d, a, _ in sorted(rows, key=lambda r: (r[2], r[3])):
+        for w in range(len(text) - 19):
+            first.setdefault(text[w : w + 20].tobytes(), (d, a + w))
+    want = {(k, w) for k, (text, _, d, a, _) in enumerate(rows) for w in range(len(text) - 19) if first[text[w : w + 20].tobytes()] < (d, a + w)}
+    assert windows(1) == windows(300) == windows(1 << 30) == want and want
