@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-N_BEST, TABLE = 4, 200_000
+N_BEST, TABLE = 4, 400_000
 SPACE = "▁"
 BYTE_PENALTY = 10.0
 UNUSABLE = -1e8
