@@ -1,11 +1,17 @@
 """Embedding near-dedup with a robust-pruned flat graph.
 
 Vectors with one label are dealt to overlapping cluster shards: each goes to its
-nearest few centres, and shards that are still too large are dealt again.  In
-each shard a flat proximity graph is built by inserting vectors in batches: a
-greedy search from the shard's medoid finds candidates, robust pruning keeps a
-short list of them that cover all directions, and reverse edges are added and
-pruned likewise.  The adjacency lists that a vector has in its shards are
+nearest centre and to every centre whose half of the space begins within reach of
+a link.  So of two linked vectors one is always dealt to the nearest centre of the
+other, and every linked pair has a common shard.  Shards that are still too large
+are dealt again.  Where that would not halve the pairs to look at (a ball of near
+copies), the shard is cut into blocks instead, and each pair of blocks is a shard
+whose pairs are all compared.
+
+In each other shard a flat proximity graph is built by inserting vectors in
+batches: a greedy search from the shard's medoid finds candidates, robust pruning
+keeps a short list of them that cover all directions, and reverse edges are added
+and pruned likewise.  The adjacency lists that a vector has in its shards are
 united.  Then every vector is searched in each of its shards, from the medoid,
 over the united lists: greedily to its neighbourhood, and from there on through
 every vector in range until no new one is found.  Links are verified in double
@@ -41,10 +47,12 @@ from loamline.llm.components import components, local_forest
 from loamline.llm.store import Scratch
 
 COSINE, DEGREE, BEAM, ALPHA = 0.93, 24, 48, 1.2
-LIMIT, SAMPLE, OVERLAP, AUDIT, RECALL = 600, 4096, 3, 48, 0.995
+LIMIT, SAMPLE, AUDIT, RECALL = 600, 4096, 48, 0.995
 SLACK = 0.12
 #: Pairs of a query and a node that are looked at together; it bounds memory.
 STEP = 1 << 13
+#: Rows of a block, where a shard is compared pair by pair.
+BLOCK = 2048
 
 
 def unit(x: list | None) -> bytes | None:
@@ -264,44 +272,65 @@ def _matrix(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.stack(rows) if rows else np.zeros((0, 1))
 
 
-def shards(nodes: DataFrame, keep: Scratch, limit: int = LIMIT, overlap: int = OVERLAP, most_rounds: int = 8) -> DataFrame:
-    """Adds `shards`, the sorted shards of each node, to rows (id, mult, label, dim, x)."""
-    now = keep.save(nodes.withColumn("shards", F.array(F.xxhash64("label", "dim"))))
-    for step in range(most_rounds):
-        each = now.select("id", "x", F.explode("shards").alias("shard"))
+def reach(x: np.ndarray, c: np.ndarray, cosine: float) -> np.ndarray:
+    """Which centres each vector is dealt to: a vector in reach of it may have one of these as its nearest."""
+    sims = x @ c.T
+    top = sims.argmax(axis=1)
+    apart = np.sqrt(np.maximum(0, ((c[:, None] - c[None]) ** 2).sum(axis=2)))
+    radius = max(0.0, 2 - 2 * cosine) ** 0.5
+    return sims[np.arange(len(x)), top][:, None] - sims <= radius * apart[top] + 1e-4
+
+
+def _mixed(s: int, a: int, b: int) -> int:
+    """A shard of a shard: even for a centre's, odd for a pair of blocks."""
+    v = (s * 0x9E3779B97F4A7C15 + a * 0xBF58476D1CE4E5B9 + b * 0x94D049BB133111EB) % (1 << 64)
+    return ((v ^ v >> 31) * 0xD6E8FEB86659FD93 + (1 << 63)) % (1 << 64) - (1 << 63)
+
+
+def shards(nodes: DataFrame, keep: Scratch, limit: int = LIMIT, cosine: float = COSINE, block: int = BLOCK, most_rounds: int = 8) -> DataFrame:
+    """Adds `shards`, the sorted shards of each node, to rows (id, mult, label, dim, x).  Those with an odd number are to be compared pair by pair."""
+    now = keep.save(nodes.withColumn("shards", F.array(F.xxhash64("label", "dim").bitwiseAND(F.lit(-2)))))
+    for step in range(most_rounds + 1):
+        each = now.select("id", "x", F.explode("shards").alias("shard")).filter(F.col("shard").bitwiseAND(F.lit(1)) == 0)
         big = keep.save(each.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > limit))
-        if big.isEmpty():
+        sizes = {r["shard"]: r["n"] for r in big.collect()}
+        if not sizes:
             break
         pool = each.join(big, "shard").filter(F.pmod(F.xxhash64("id", F.lit(step)), F.lit(1 << 20)) < F.lit(float(SAMPLE) / 2 * (1 << 20)) / F.col("n"))
 
         def split(t: pa.Table) -> pa.Table:
             n = t.column("n")[0].as_py()
-            k = max(overlap + 1, min(64, -(-4 * n // limit)))
-            x = _matrix(t.column("x"))[:SAMPLE]
-            return pa.table({"shard": t.column("shard").slice(0, 1), "c": [centres(x, k, seed=step).astype(np.float32).tobytes()], "k": pa.array([min(k, len(x))], pa.int32())})
+            x = _matrix(t.column("x"))[:SAMPLE].astype(np.float32)
+            c = centres(x, max(4, min(64, -(-4 * n // limit))), seed=step).astype(np.float32)
+            pays = (reach(x, c, cosine).mean(axis=0) ** 2).sum() <= 0.5
+            return pa.table({"shard": t.column("shard").slice(0, 1), "c": [c.tobytes()], "k": pa.array([len(c) if pays else 0], pa.int32())})
 
-        got = pool.groupBy("shard").applyInArrow(split, "shard long, c binary, k int").collect()
+        got = pool.groupBy("shard").applyInArrow(split, "shard long, c binary, k int").filter("k > 0").collect() if step < most_rounds else []
         table = {r["shard"]: np.frombuffer(bytes(r["c"]), np.float32).reshape(r["k"], -1) for r in got}
-        shared = now.sparkSession.sparkContext.broadcast(table)
-        many = overlap if step == 0 else 2
+        shared = now.sparkSession.sparkContext.broadcast((table, {s: -(-n // block) for s, n in sizes.items() if s not in table}))
 
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table, blocks = shared.value
             for b in batches:
                 out = [[] for _ in range(b.num_rows)]
                 by: dict[int, list[int]] = {}
+                ids = b.column(b.schema.get_field_index("id")).to_pylist()
                 for i, own in enumerate(b.column(b.schema.get_field_index("shards")).to_pylist()):
                     for s in own:
-                        if s in shared.value:
+                        if s in table:
                             by.setdefault(s, []).append(i)
+                        elif s in blocks:
+                            g = blocks[s]
+                            own_block = (_mixed(s, ids[i], 0) >> 8) % g
+                            others = [j for j in range(g) if j != own_block] or [own_block]
+                            out[i] += [_mixed(s, 1 + min(own_block, j), 1 + max(own_block, j)) | 1 for j in others]
                         else:
                             out[i].append(s)
                 xs = b.column(b.schema.get_field_index("x"))
                 for s, rows in by.items():
-                    c = shared.value[s]
                     x = _matrix(xs.take(pa.array(rows))).astype(np.float32)
-                    near = np.argsort(-(x @ c.T), axis=1)[:, :many]
-                    for i, own in zip(rows, near.tolist(), strict=True):
-                        out[i] += [(s * 0x9E3779B97F4A7C15 + (step * 64 + k + 1) * 0xBF58476D1CE4E5B9 + (1 << 63)) % (1 << 64) - (1 << 63) for k in own]
+                    for i, c in zip(*(z.tolist() for z in np.nonzero(reach(x, table[s], cosine))), strict=True):
+                        out[rows[i]].append(_mixed(s, 1 + step, 1 + c) & -2)
                 at = b.schema.get_field_index("shards")
                 yield b.set_column(at, "shards", pa.array([sorted(set(o)) for o in out], pa.list_(pa.int64())))
 
@@ -311,6 +340,31 @@ def shards(nodes: DataFrame, keep: Scratch, limit: int = LIMIT, overlap: int = O
     return now
 
 
+def _shared_before(own: list[list[int]], mine: int) -> np.ndarray:
+    """For each row a 0/1 row of the shards before `mine` that it shares with another: a pair with a common one counts there."""
+    at = np.repeat(np.arange(len(own)), [len(s) for s in own])
+    s = np.array([v for o in own for v in o], np.int64)
+    at, s = at[s < mine], s[s < mine]
+    _, col, n = np.unique(s, return_inverse=True, return_counts=True)
+    twice = n > 1
+    out = np.zeros((len(own), int(twice.sum())), np.float32)
+    use = twice[col]
+    out[at[use], (np.cumsum(twice) - 1)[col[use]]] = 1
+    return out
+
+
+def compare_shard(x: np.ndarray, cosine: float, step: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All links (both ways) within a shard, every pair compared: batches of index pairs."""
+    for at in range(0, len(x), step):
+        s = x[at : at + step] @ x.T
+        # What rounding could turn is decided as everywhere else.
+        r, c = np.nonzero(np.abs(s - cosine) < 1e-9)
+        s[r, c] = np.einsum("kd,kd->k", x[at + r], x[c])
+        i, j = np.nonzero(s >= cosine)
+        i += at
+        yield i[i != j], j[i != j]
+
+
 def near_dedup(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", limit: int = LIMIT) -> DataFrame:
     """One row for each vector: vec_id, n_links, component_id, kept."""
     keep = Scratch(vectors.sparkSession, "flat-graph")
@@ -326,7 +380,7 @@ def near_dedup(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id
     # A node is a direction: its id a hash of label and bytes, its name the smallest vec_id.
     node_id = F.xxhash64("label", "x")
     nodes = keep.save(able.groupBy("label", "dim", "x").agg(F.count("*").alias("mult"), F.min("vec_id").alias("rep")).withColumn("id", node_id))
-    dealt = shards(nodes.select("id", "mult", "label", "dim", "x"), keep, limit).select("id", "mult", "x", "shards")
+    dealt = shards(nodes.select("id", "mult", "label", "dim", "x"), keep, limit, cosine).select("id", "mult", "x", "shards")
     placed = keep.save(dealt.withColumn("shard", F.explode("shards")))
 
     def build(t: pa.Table) -> pa.Table:
@@ -334,28 +388,36 @@ def near_dedup(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id
         ids = t.column("id").to_numpy()
         return pa.table({"id": ids, "near": pa.array([ids[a[a >= 0]].tolist() for a in g.adj], pa.list_(pa.int64()))})
 
-    lists = placed.select("shard", "id", "x").groupBy("shard").applyInArrow(build, "id long, near array<long>")
+    lists = placed.filter(F.col("shard").bitwiseAND(F.lit(1)) == 0).select("shard", "id", "x").groupBy("shard").applyInArrow(build, "id long, near array<long>")
     united = keep.save(lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
 
     def search(t: pa.Table) -> pa.Table:
         ids, mult, mine = t.column("id").to_numpy(), t.column("mult").to_numpy(), t.column("shard")[0].as_py()
-        i, j = search_shard(_matrix(t.column("x")), ids, t.column("near").to_pylist(), cosine)
-        own = t.column("shards").to_pylist()
-        width = max(map(len, own))
-        member = np.array([s + [np.iinfo(np.int64).min] * (width - len(s)) for s in own])
-        counts = np.zeros(len(ids), np.int64)
-        for k in range(0, len(i), 1 << 17):
-            a, b = i[k : k + (1 << 17)], j[k : k + (1 << 17)]
-            both = (member[a][:, :, None] == member[b][:, None, :]) & (member[a] != np.iinfo(np.int64).min)[:, :, None]
-            first = np.where(both.any(axis=2), member[a], np.iinfo(np.int64).max).min(axis=1)
-            here = first == mine
-            np.add.at(counts, a[here], mult[b[here]])
-        root = local_forest(len(ids), i, j)
+        x = _matrix(t.column("x"))
+        near = [v or [] for v in t.column("near").to_pylist()]
+        found = compare_shard(x, cosine) if mine & 1 else iter([search_shard(x, ids, near, cosine)])
+        before = _shared_before(t.column("shards").to_pylist(), mine)
+        counts, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        for i, j in found:
+            for k in range(0, len(i), 1 << 17):
+                a, b = i[k : k + (1 << 17)], j[k : k + (1 << 17)]
+                apart = root[a] != root[b]
+                if apart.any():
+                    root = local_forest(len(ids), np.concatenate([np.arange(len(ids)), a[apart]]), np.concatenate([root, b[apart]]))
+                if before.shape[1]:
+                    lo, hi = int(a.min()), int(a.max()) + 1
+                    for at in range(lo, hi, 512):
+                        part = (a >= at) & (a < at + 512)
+                        p, q = a[part], b[part]
+                        here = (before[at : at + 512] @ before.T)[p - at, q] == 0
+                        np.add.at(counts, p[here], mult[q[here]])
+                else:
+                    np.add.at(counts, a, mult[b])
         tree = np.flatnonzero(root != np.arange(len(ids)))
         some = np.flatnonzero(counts)
         return pa.table({"id": np.concatenate([ids[some], ids[tree]]), "other": pa.array([None] * len(some) + ids[root[tree]].tolist(), pa.int64()), "n": np.concatenate([counts[some], np.zeros(len(tree), np.int64)])})
 
-    found = keep.save(placed.join(united, "id").groupBy("shard").applyInArrow(search, "id long, other long, n long"))
+    found = keep.save(placed.join(united, "id", "left").groupBy("shard").applyInArrow(search, "id long, other long, n long"))
     counted = found.groupBy("id").agg(F.sum("n").alias("n"))
     name = nodes.select("id", "rep")
     edges = found.filter("other is not null").select("id", "other").distinct()

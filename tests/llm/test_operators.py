@@ -453,6 +453,41 @@ def test_flat_graph(spark, limit):
     assert flat_graph.near_dedup(none).count() == 0
 
 
+@pytest.mark.parametrize("n", [350, 2600])
+def test_flat_graph_dense_ball(spark, n):
+    """Distinct near copies at the production limit: every link counts, in balls within and beyond it, and across blocks."""
+    rng = np.random.default_rng(n)
+    centre = rng.normal(size=64)
+    ball = centre / np.linalg.norm(centre) * 8 + rng.normal(size=(n, 64)) * 0.26
+    x = np.concatenate([ball, rng.normal(size=(n // 2, 64))])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= flat_graph.COSINE
+    np.fill_diagonal(near, False)
+    assert 0.2 < near[:n, :n].mean() < 0.99
+    root = K.local_forest(len(x), *np.nonzero(near))
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in flat_graph.near_dedup(df).collect()}
+    if len(x) > flat_graph.LIMIT:
+        assert got == {i: (int(near[i].sum()), int(root[i])) for i in range(len(x))}
+    else:
+        assert sum(k for k, _ in got.values()) >= flat_graph.RECALL * near.sum()
+
+
+def test_flat_graph_dealing(spark):
+    """Each linked pair has a common shard, whether clusters are dealt to centres or cut into blocks."""
+    rng = np.random.default_rng(4)
+    c = rng.normal(size=(12, 16)) * 3
+    x = np.concatenate([k + rng.normal(size=(90, 16)) * 0.5 for k in c] + [rng.normal(size=(300, 16))])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, 1, "1", 16, v.tobytes()) for i, v in enumerate(u)]
+    df = spark.createDataFrame(rows, "id long, mult long, label string, dim int, x binary")
+    got = {r.id: set(r.shards) for r in flat_graph.shards(df, Scratch(spark, "test"), limit=150, block=64).collect()}
+    i, j = np.nonzero(u @ u.T >= flat_graph.COSINE)
+    assert len(i) > 10 * len(x) and all(got[a] & got[b] for a, b in zip(i.tolist(), j.tolist(), strict=True))
+    kinds = {s & 1 for own in got.values() for s in own}
+    assert kinds == {0, 1}
+
+
 def test_quality(spark, docs, empty):
     labels = spark.createDataFrame([(i, int(i % 2), 0) for i in range(40)] + [(None, 1, 0), (3, None, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
     got = quality.classify(docs, labels).collect()
