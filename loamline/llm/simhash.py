@@ -19,7 +19,9 @@ a seventh of their bits) fingerprints of several lanes are joined by `wide_links
 choices of some of their bits are keys, as many choices as the wanted recall
 takes; leaves that agree in a key are a trie of their own over further bits,
 walked with a budget for those, and what is left is held to the whole
-fingerprint's budget.
+fingerprint's budget.  Those links are candidates only, as are shared shingles of
+short texts (whose fingerprints are coarse): within each group that they connect
+the links are found by the exact Jaccard similarity of the shingles.
 
 Defined results: a text without words has fingerprint zero and links like any
 other; null texts are empty; rows with a null id have a fingerprint and no
@@ -42,6 +44,8 @@ from loamline.llm.components import components, local_forest
 from loamline.llm.store import Scratch
 
 BITS, BUDGET, SHINGLE, SEED, LIMIT = 64, 4, 4, 42, 1 << 13
+#: Distinct shingles up to which texts meet by their shingles, and rows of groups that are settled together.
+SHORT, GROUPED = 60, 2000
 
 
 def fingerprint(text: bytes, words: int = SHINGLE, seed: int = SEED) -> int:
@@ -246,18 +250,21 @@ def links(fps: DataFrame, keep: Scratch, budget: int = BUDGET, limit: int = LIMI
     return found.unionByName(dealt.groupBy("choice", "value", "lo", "hi").applyInArrow(two, "a long, b long"))
 
 
-def lanes_of(text: bytes, words: int, lanes: int, seed: int = SEED) -> bytes:
-    """A fingerprint of 64 bits a lane: the lanes are those of differently mixed hashes of the same shingles."""
+def shingles(text: bytes, words: int, seed: int = SEED) -> np.ndarray:
+    """The sorted hashes of a text's distinct shingles; of a shorter text the whole is one."""
     w = text.lower().split()
     if not w:
-        return bytes(8 * lanes)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(w)
     ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
     starts = np.append(0, ends[:-1] + 1)
     n = max(1, len(w) - words + 1)
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(joined[i:j], seed) for i, j in zip(starts[:n].tolist(), ends[min(words, len(w)) - 1 :].tolist(), strict=True)), np.uint64, n)
-    h = np.unique(h)
+    return np.unique(np.fromiter((digest(joined[i:j], seed) for i, j in zip(starts[:n].tolist(), ends[min(words, len(w)) - 1 :].tolist(), strict=True)), np.uint64, n))
+
+
+def lanes_of(h: np.ndarray, lanes: int) -> bytes:
+    """A fingerprint of 64 bits a lane: the lanes are those of differently mixed hashes of the same shingles."""
     count = np.zeros((lanes, BITS), np.int64)
     for at in range(0, len(h), 1 << 13):
         part = h[at : at + (1 << 13)]
@@ -266,14 +273,29 @@ def lanes_of(text: bytes, words: int, lanes: int, seed: int = SEED) -> bytes:
     return np.packbits(count.ravel() * 2 > len(h), bitorder="little").tobytes()
 
 
-def wide_fingerprints(docs: DataFrame, words: int = 5, lanes: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): a fingerprint of `lanes` x 64 bits of each text's distinct shingles, as bytes."""
+def least_common(n: np.ndarray | int, similarity: float) -> np.ndarray:
+    """How many of a set's n elements a set as similar as that must share."""
+    return np.ceil(np.asarray(n) * similarity - 1e-9).astype(np.int64)
+
+
+def wide_fingerprints(docs: DataFrame, similarity: float = 0.8, words: int = 5, lanes: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per text doc_id, the fingerprint of `lanes` x 64 bits of its distinct shingles, their digest, and of a short text
+    those of which another as similar must hold one: any fixed order does, here the smallest hashes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([lanes_of(t.as_py() or b"", words, lanes) for t in b.column(1)], pa.binary())], names=["doc_id", "fp"])
+            fp, digest, first = [], [], []
+            for t in b.column(1):
+                h = shingles(t.as_py() or b"", words)
+                fp.append(lanes_of(h, lanes))
+                digest.append(xxhash.xxh3_128_digest(h.tobytes()))
+                # A partner of a text of SHORT shingles has at most SHORT / similarity.
+                few = h[: len(h) - int(least_common(len(h), similarity)) + 1] if len(h) * similarity <= SHORT else h[:0]
+                first.append(few.view(np.int64).tolist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.binary()), pa.array(digest, pa.binary()), pa.array(first, pa.list_(pa.int64()))], names=["doc_id", "fp", "digest", "first"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp binary, digest binary, first array<long>")
 
 
 def differing_share(similarity: float) -> float:
@@ -282,18 +304,19 @@ def differing_share(similarity: float) -> float:
 
 
 def wide_links(fps: DataFrame, keep: Scratch, similarity: float = 0.8, lanes: int = 8, recall: float = 0.97, per_task: int = 1 << 15) -> DataFrame:
-    """A spanning forest (a, b) of the links between distinct wide fingerprints (column fp, bytes).
+    """A spanning forest (a, b) of the candidate links between distinct wide fingerprints (column fp, bytes).
 
-    Two are linked if they differ in at most the bits that a pair of the given similarity differs in, plus 1.3 standard
-    deviations of that number; `recall` is that of a pair just as similar, and more similar pairs have more.
+    Two are linked if they differ in at most the bits that a pair of the given similarity differs in, plus 5 standard
+    deviations of that number; `recall` is that of the keys for a pair 2 standard deviations off, nearer pairs have more.
     """
     n, bits, share = fps.count(), BITS * lanes, differing_share(similarity)
-    budget = int(bits * share + 1.3 * (bits * share * (1 - share)) ** 0.5)
+    spare = (bits * share * (1 - share)) ** 0.5
+    budget, far = int(bits * share + 5 * spare), share + 2 * spare / bits
     # Below a key of a table there are 256 leaves at most on average; the number of tables stays as it is until then.
     top = max(16, min(40, n.bit_length() - 8))
     rest = 48
-    rest_budget = int(rest * budget / bits + 3.3 * (rest * share * (1 - share)) ** 0.5)
-    tables = int(np.ceil(np.log(1 - recall) / np.log(1 - (1 - share) ** top)))
+    rest_budget = int(rest * far + 3.3 * (rest * far * (1 - far)) ** 0.5)
+    tables = int(np.ceil(np.log(1 - recall) / np.log(1 - (1 - far) ** top)))
     rng = np.random.default_rng(11)
     picks = [rng.permutation(bits)[: min(64, top + rest)] for _ in range(tables)]
     spread = max(0, min(top, (n // per_task).bit_length()))
@@ -335,16 +358,75 @@ def wide_links(fps: DataFrame, keep: Scratch, similarity: float = 0.8, lanes: in
     return fps.select("fp").mapInArrow(deal, "choice int, task int, fp binary").groupBy("choice", "task").applyInArrow(one, "a binary, b binary")
 
 
+def similar_groups(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set the first one that links of at least this Jaccard similarity connect it with, by exact counts.
+
+    A walk over the links: each set is compared with those that it hasn't reached yet.
+    """
+    group = np.arange(len(sets))
+    size = np.array([len(x) for x in sets])
+    kinds, vals = np.unique(np.concatenate(sets), return_inverse=True)
+    at = np.append(0, np.cumsum(size))
+    left, own = np.arange(len(sets)), np.repeat(np.arange(len(sets)), size)
+    rest = vals
+    mark = np.zeros(len(kinds), bool)
+    while len(left):
+        first, front = int(left[0]), [int(left[0])]
+        gone = np.zeros(len(sets), bool)
+        gone[first] = True
+        keep = ~gone[own]
+        left, own, rest = left[1:], own[keep], rest[keep]
+        while front and len(left):
+            k = front.pop()
+            mine = vals[at[k] : at[k + 1]]
+            mark[mine] = True
+            both = np.bincount(own[mark[rest]], minlength=len(sets))[left]
+            mark[mine] = False
+            near = left[both >= similarity * (size[k] + size[left] - both) - 1e-9]
+            if len(near):
+                group[near] = first
+                front += near.tolist()
+                gone[near] = True
+                left, keep = left[~gone[left]], ~gone[own]
+                own, rest = own[keep], rest[keep]
+    return group
+
+
 def dedup_similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) of documents whose wide fingerprints say that they are as similar as that, by 5-word shingles."""
+    """(doc_id, component_id) of documents that links of this Jaccard similarity of their 5-word shingles, or more, connect."""
     keep = Scratch(docs.sparkSession, "simhash-similar")
-    fps = keep.save(wide_fingerprints(docs, words, id_col=id_col, text_col=text_col).filter("doc_id is not null"))
-    leaf = keep.save(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    fps = keep.save(wide_fingerprints(docs, similarity, words, id_col=id_col, text_col=text_col).filter("doc_id is not null"))
+    # A set of shingles is named by its smallest doc_id; digests tell apart sets that one document's rows hold.
+    sets = keep.save(fps.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("first").alias("first")).withColumn("node", F.xxhash64("digest")))
+    leaf = keep.save(sets.groupBy("fp").agg(F.min("node").alias("node")))
     forest = keep.save(wide_links(leaf, keep, similarity).distinct())
-    joined = forest.join(leaf.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(leaf.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
-    comp = components(joined.select(F.col("ra").alias("a"), F.col("rb").alias("b")), keep)
-    named = leaf.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(named, "fp").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    wide = forest.join(leaf.select(F.col("fp").alias("a"), F.col("node").alias("na")), "a").join(leaf.select(F.col("fp").alias("b"), F.col("node").alias("nb")), "b").select("na", "nb")
+    equal = sets.join(leaf.withColumnRenamed("node", "nb"), "fp").select(F.col("node").alias("na"), "nb")
+    short = sets.select("node", F.explode("first").alias("h"))
+    short = short.join(short.groupBy("h").agg(F.min("node").alias("nb")), "h").select(F.col("node").alias("na"), "nb")
+    maybe = components(wide.unionByName(equal).unionByName(short).select(F.col("na").alias("a"), F.col("nb").alias("b")), keep)
+    grouped = keep.save(sets.join(maybe.withColumnRenamed("id", "node"), "node").select("rep", "digest", "component"))
+    buckets = 1 + grouped.count() // GROUPED
+    text = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("binary").alias("text"))
+
+    def exact(t: pa.Table) -> pa.Table:
+        got: dict[int, dict[bytes, tuple[int, np.ndarray]]] = {}
+        for rep, digest, comp, raw in zip(*(t.column(c) for c in ("rep", "digest", "component", "text")), strict=True):
+            h, d = shingles(raw.as_py() or b"", words), digest.as_py()
+            if xxhash.xxh3_128_digest(h.tobytes()) == d:
+                got.setdefault(comp.as_py(), {})[d] = (rep.as_py(), h)
+        digests, linked = [], []
+        for members in got.values():
+            order = sorted(members, key=lambda d: members[d][0])
+            group = similar_groups([members[d][1] for d in order], similarity)
+            digests += order
+            linked += [members[order[g]][0] for g in group.tolist()]
+        return pa.table({"digest": pa.array(digests, pa.binary()), "component": pa.array(linked, pa.int64())})
+
+    near = grouped.join(text, "rep").withColumn("bucket", F.pmod(F.xxhash64("component"), F.lit(buckets)))
+    named = keep.save(near.groupBy("bucket").applyInArrow(exact, "digest binary, component long"))
+    named = sets.join(named, "digest", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
+    return fps.select("doc_id", "digest").join(named, "digest").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
 
 
 def dedup(docs: DataFrame, budget: int = BUDGET, words: int = SHINGLE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

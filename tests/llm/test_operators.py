@@ -109,6 +109,27 @@ def test_similar(spark):
     assert got == {**{i: i for i in range(40)}, **{40 + i: i for i in range(20)}}
 
 
+def test_similar_exact(spark):
+    """Pairs of similarities around 0.8 and texts of few shingles, against brute force."""
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(9000)]
+    docs = [[], ["one"], ["one", "two"], *([f"s{k}" for k in range(n)] for n in (8, 9)), *([f"t{k}" for k in range(n)] for n in (12, 13))]
+    for k in range(260):
+        n = rng.choice((30, 60, 90, 200, 400))
+        base = rng.choices(words, k=n)
+        # The end is cut, or words are replaced, so that similarities are about 0.7 to 0.87.
+        cut = base[: round((n - 4) * rng.uniform(0.7, 0.87)) + 4]
+        docs += [base, cut if k % 2 else [rng.choice(words) if at % 50 == 25 else w for at, w in enumerate(base)]]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in docs]
+    near = [(i, j) for i in range(len(docs)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9]
+    root = K.local_forest(len(docs), *np.array(near).T)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.dedup_similar(df).collect()}
+    wrong = [i for i in range(len(docs)) if got[i] != root[i]]
+    assert all(got[i] == i for i in wrong), "a document went that is no near copy"
+    assert got[4] == 3 and got[6] == 5 and len(near) > 60 and len(wrong) <= 0.01 * len(near)
+
+
 @pytest.mark.parametrize("limit", [4, 1 << 13])
 def test_trie_cut(spark, limit):
     rng = np.random.default_rng(3)
