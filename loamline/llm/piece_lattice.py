@@ -8,9 +8,10 @@ backward from the end: complete paths come off its queue best first, and the
 search ends with the n-th.
 
 A text is escaped as the library does it (a space before the text, spaces as
-U+2581, nothing else normalised).  No piece spans a space and what is before it,
-so a segmentation of the text is one of each word, and the n best of the text
-are the n best sums of the words' alternatives.  Only the n - 1 words whose
+U+2581, nothing else normalised).  No piece spans a space and what is before it
+but for runs of spaces, so a segmentation of the text is one of each word with
+the spaces before it, and the n best of the text are the n best sums of the
+words' alternatives.  (A vocabulary with pieces that do is cut elsewhere only.)  Only the n - 1 words whose
 second choice costs least can differ from their best.  A forward and a backward
 Viterbi pass give every word's best and what its second loses (the best path
 over any arc off the best path), which a bounded table remembers; the A-star
@@ -26,6 +27,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -37,6 +39,7 @@ from pyspark.sql import functions as F
 N_BEST, TABLE = 4, 400_000
 SPACE = "▁"
 BYTE_PENALTY = 10.0
+#: Scores below are no measure for the bytes'.
 UNUSABLE = -1e8
 SCHEMA = "doc_id long, n_pieces long, ids_crc32 long, n_segmentations int, scores array<double>, decoded_sha256 string, round_trip boolean"
 
@@ -52,7 +55,15 @@ class Lattice:
 
     def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int], n: int = N_BEST, table: int = TABLE):
         self.pieces, self.byte_ids, self.n = pieces, byte_ids, n
-        self.byte_score = min((s for _, s in pieces.values()), default=0.0) - BYTE_PENALTY
+        self.byte_score = min((s for _, s in pieces.values() if s > UNUSABLE), default=0.0) - BYTE_PENALTY
+        # Characters after which a piece goes on with a space: no cut there.
+        joined = {a for p in pieces for a, b in zip(p, p[1:], strict=False) if b == SPACE}
+        joined |= {" "} if SPACE in joined else set()
+        if joined <= {" ", SPACE}:
+            self.chunks = re.compile(f"[ {SPACE}]{'+' * bool(joined)}[^ {SPACE}]*").findall
+        else:
+            cut = re.compile(f"(?<![{re.escape(''.join(sorted(joined)))}])(?=[ {SPACE}])")
+            self.chunks = lambda s: [w for w in cut.split(s) if w]
         self.longest: dict[str, int] = {}
         self.trie: dict = {}
         for p, v in pieces.items():
@@ -152,6 +163,10 @@ class Lattice:
             ahead[i] = most
         return np.array(ids[::-1], "<u4").tobytes(), best[n], best[n] - second
 
+    def cut(self, text: str) -> list[str]:
+        """The words of a text, with the spaces before them."""
+        return self.chunks(" " + text)
+
     def segment(self, text: str) -> tuple[bytes, list[float]]:
         """Ids of the best segmentation (little-endian unsigned 32-bit) and the scores of the n best."""
         ids, scores, _ = self._all(text)
@@ -160,7 +175,7 @@ class Lattice:
     def _all(self, text: str) -> tuple[bytes, list[float], list[dict[int, int]]]:
         if not text:
             return b"", [0.0], [{}]
-        words = text.split(" ")
+        words = self.cut(text)
         parts = list(map(self.words.__getitem__, words))
         ids = b"".join([p[0] for p in parts])
         total = float(sum([p[1] for p in parts]))
@@ -184,18 +199,18 @@ class Lattice:
     def segmentations(self, text: str) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a text, best first: (score, ids)."""
         _, scores, picks = self._all(text)
-        words = text.split(" ") if text else []
+        words = self.cut(text) if text else []
         out = []
         for score, pick in zip(scores, picks, strict=True):
             ids: list[int] = []
             for k, w in enumerate(words):
-                ids += self.n_best(SPACE + w)[pick.get(k, 0)][1]
+                ids += self.n_best(w.replace(" ", SPACE))[pick.get(k, 0)][1]
             out.append((score, ids))
         return out
 
     def losses(self, word: str) -> list[float]:
         """What each of a word's n best loses against the best."""
-        found = self.n_best(SPACE + word)
+        found = self.n_best(word.replace(" ", SPACE))
         return [found[0][0] - score for score, _ in found]
 
 
@@ -212,7 +227,7 @@ class _Words(dict):
     def __missing__(self, word: str) -> tuple[bytes, float, float]:
         got = self.old.get(word)
         if got is None:
-            got = self.lattice.best_two(SPACE + word)
+            got = self.lattice.best_two(word.replace(" ", SPACE))
         if len(word) <= 64:
             if len(self) >= self.most:
                 self.old = dict(self)
@@ -234,12 +249,11 @@ class Decoder:
 
 @functools.lru_cache(maxsize=2)
 def load(path: str, n: int = N_BEST) -> tuple[Lattice, Decoder]:
-    """A vocabulary file as lattice and decoder.  Control pieces have no arcs, nor have longer pieces with an unusable score;
-    a single character with one is the worst piece."""
+    """A vocabulary file as lattice and decoder.  Control pieces have no arcs; all others have the file's scores."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    pieces, alone, byte_ids, raw = {}, {}, [0] * 256, []
+    pieces, byte_ids, raw = {}, [0] * 256, []
     for i in range(sp.get_piece_size()):
         p = sp.id_to_piece(i)
         if sp.is_byte(i):
@@ -249,12 +263,7 @@ def load(path: str, n: int = N_BEST) -> tuple[Lattice, Decoder]:
             raw.append(b"")
         else:
             raw.append(p.replace(SPACE, " ").encode())
-            if sp.get_score(i) > UNUSABLE:
-                pieces[p] = (i, sp.get_score(i))
-            elif len(p) == 1:
-                alone[p] = i
-    least = min((s for _, s in pieces.values()), default=0.0)
-    pieces |= {p: (i, least - 1.0) for p, i in alone.items() if p not in pieces}
+            pieces[p] = (i, sp.get_score(i))
     return Lattice(pieces, byte_ids, n), Decoder(raw)
 
 

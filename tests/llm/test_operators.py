@@ -407,6 +407,27 @@ def test_pieces(docs, empty):
     assert piece_lattice.encode(empty).count() == 0
 
 
+@pytest.mark.parametrize("text", ["a   b", "a  b", "  a", "def f():\n        return  1 ", "x" + " " * 40 + "y", "a ▁  b", "   ", "one two three"])
+def test_runs_of_spaces(text):
+    """Cut into words or not, the segmentations are those of the whole text under the file's scores."""
+    import sentencepiece
+
+    path = piece_lattice.default_path()
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    la, decoder = piece_lattice.load(path)
+    for i in range(sp.get_piece_size()):
+        if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
+            assert la.pieces[sp.id_to_piece(i)] == (i, sp.get_score(i))
+    want = la.n_best("▁" + text.replace(" ", "▁"))
+    got = la.segmentations(text)
+    assert [s for s, _ in got] == pytest.approx([s for s, _ in want], rel=1e-12)
+    ids, scores = la.segment(text)
+    assert scores == pytest.approx([s for s, _ in want], rel=1e-12)
+    assert decoder.decode(ids) == text.replace("▁", " ").encode()
+    if text == "a   b":
+        assert [sp.id_to_piece(i) for i in np.frombuffer(ids, "<u4").tolist()] == ["▁a", "▁▁", "▁b"]
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_nbest(seed):
     rng = random.Random(seed)
