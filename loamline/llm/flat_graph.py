@@ -1,31 +1,36 @@
 """Embedding near-dedup with a robust-pruned flat graph.
 
-Vectors with one label are dealt to overlapping cluster shards: each goes to its
-nearest centre and to every centre whose half of the space begins within reach of
-a link.  So of two linked vectors one is always dealt to the nearest centre of the
-other, and every linked pair has a common shard.  Shards that are still too large
-are dealt again.  Where that would not halve the pairs to look at (a ball of near
-copies), the shard is cut into blocks instead, and each pair of blocks is a shard
-whose pairs are all compared.
-
-In each other shard a flat proximity graph is built by inserting vectors in
-batches: a greedy search from the shard's medoid finds candidates, robust pruning
-keeps a short list of them that cover all directions, and reverse edges are added
-and pruned likewise.  The adjacency lists that a vector has in its shards are
-united.  Then every vector is searched in each of its shards, from the medoid,
-over the united lists: greedily to its neighbourhood, and from there on through
-every vector in range until no new one is found.  Links are verified in double
-precision.  A pair counts in the first shard that both are in.
-
-Every vector is a node of its own graph, so a search that doesn't come across its
-own node went astray and is made again with a beam twice as wide.  Besides, each
-shard audits its recall: the exact links of a bounded number of its vectors are
-compared with those found, and below `recall` all its vectors are searched with
-the wider beam.
+Vectors with one label are dealt to overlapping cluster shards: each has one
+*home*, the cell of its nearest centre, and is a guest in the shards of the next
+nearest ones.  Shards with more than `limit` members are dealt again, with centres
+of their own; members that centres cannot part are parted by a hash.  A vector has
+three copies and one more for each further level, so copies grow with the logarithm
+of a label's size.
+
+In each shard a flat proximity graph is built by inserting vectors in batches: a
+greedy search from the shard's medoid finds candidates, robust pruning keeps a
+short list of them that cover all directions, and reverse edges are added and
+pruned likewise.  The adjacency lists that a vector has in its shards are united.
+Then every vector is searched from the medoid of its home shard over the united
+lists: greedily to its neighbourhood, and from there on through every vector in
+range until no new one is found.  A vector that doesn't come across its own node
+went astray and is searched again with a beam twice as wide.
+
+From shard to shard the search goes on by cells: a vector *touches* each cell that
+holds a link of it or a neighbour in its lists within `SLACK` of a link.  A pair of
+cells with such a vector is verified, all their vectors in double precision.  Where
+that finds links of a cell's vectors, the cells that those vectors' partners touch
+are in range too, and their pairs come next, until a round brings no new pair.  So
+a link counts once, in the pair of its ends' homes, and the pairs verified are as
+many as clusters have, not as a label has.
+
+The search is audited: for about `AUDIT` vectors of each label the links with all
+vectors of the label are counted and compared with those found.  Where less than
+`RECALL` of them was found, all pairs of the label's cells are verified.  The
+result's column `recall` is the share found before that (null: no links there).
 
 Only centres are fitted on a sample (`SAMPLE` vectors a shard at most); every
-vector is indexed and searched.  Centres come to the driver: at most one for
-`limit` / 4 vectors.
+vector is indexed and searched.  Nothing is collected to the driver.
 
 Defined results: a vector that is null, empty, zero or holds null or non-finite
 components, or whose label is null, links with nothing; vectors of different
@@ -47,12 +52,12 @@ from loamline.llm.components import components, local_forest
 from loamline.llm.store import Scratch
 
 COSINE, DEGREE, BEAM, ALPHA = 0.93, 24, 48, 1.2
-LIMIT, SAMPLE, AUDIT, RECALL = 600, 4096, 48, 0.995
+LIMIT, SAMPLE, AUDIT, RECALL = 2048, 4096, 64, 0.99
 SLACK = 0.12
 #: Pairs of a query and a node that are looked at together; it bounds memory.
 STEP = 1 << 13
-#: Rows of a block, where a shard is compared pair by pair.
-BLOCK = 2048
+#: Vectors that one task deals to centres or compares with a sample.
+ROWS = 20_000
 
 
 def unit(x: list | None) -> bytes | None:
@@ -272,101 +277,179 @@ def _matrix(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.stack(rows) if rows else np.zeros((0, 1))
 
 
-def reach(x: np.ndarray, c: np.ndarray, cosine: float) -> np.ndarray:
-    """Which centres each vector is dealt to: a vector in reach of it may have one of these as its nearest."""
-    sims = x @ c.T
-    top = sims.argmax(axis=1)
-    apart = np.sqrt(np.maximum(0, ((c[:, None] - c[None]) ** 2).sum(axis=2)))
-    radius = max(0.0, 2 - 2 * cosine) ** 0.5
-    return sims[np.arange(len(x)), top][:, None] - sims <= radius * apart[top] + 1e-4
-
-
 def _mixed(s: int, a: int, b: int) -> int:
-    """A shard of a shard: even for a centre's, odd for a pair of blocks."""
+    """The cell of a cell."""
     v = (s * 0x9E3779B97F4A7C15 + a * 0xBF58476D1CE4E5B9 + b * 0x94D049BB133111EB) % (1 << 64)
     return ((v ^ v >> 31) * 0xD6E8FEB86659FD93 + (1 << 63)) % (1 << 64) - (1 << 63)
 
 
-def shards(nodes: DataFrame, keep: Scratch, limit: int = LIMIT, cosine: float = COSINE, block: int = BLOCK, most_rounds: int = 8) -> DataFrame:
-    """Adds `shards`, the sorted shards of each node, to rows (id, mult, label, dim, x).  Those with an odd number are to be compared pair by pair."""
-    now = keep.save(nodes.withColumn("shards", F.array(F.xxhash64("label", "dim").bitwiseAND(F.lit(-2)))))
-    for step in range(most_rounds + 1):
-        each = now.select("id", "x", F.explode("shards").alias("shard")).filter(F.col("shard").bitwiseAND(F.lit(1)) == 0)
-        big = keep.save(each.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > limit))
-        sizes = {r["shard"]: r["n"] for r in big.collect()}
-        if not sizes:
+def _salted(rows: DataFrame, sizes: DataFrame, key: str, other: DataFrame, keep: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Rows of a key dealt to salts of about ROWS, and the one row or few that each salt of the key needs."""
+    salts = sizes.select(key, F.ceil(F.col("n") / F.lit(ROWS)).cast("int").alias("salts"))
+    left = rows.join(salts, key).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).drop("salts")
+    return left, keep.save(other.join(salts, key).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts"))
+
+
+def shards(nodes: DataFrame, keep: Scratch, limit: int = LIMIT, most_levels: int = 12) -> DataFrame:
+    """(id, x, cell, home): every node once at home and as a guest of other cells, no cell with more than `limit` members."""
+    now = keep.save(nodes.select("id", "x", F.xxhash64("label", "dim").alias("cell"), F.lit(True).alias("home")))
+    settled: DataFrame | None = None
+    for step in range(64):
+        sizes = keep.save(now.groupBy("cell").agg(F.count("*").alias("n")))
+        big = sizes.filter(F.col("n") > limit)
+        if big.isEmpty():
             break
-        pool = each.join(big, "shard").filter(F.pmod(F.xxhash64("id", F.lit(step)), F.lit(1 << 20)) < F.lit(float(SAMPLE) / 2 * (1 << 20)) / F.col("n"))
+        done = now.join(sizes.filter(F.col("n") <= limit).select("cell"), "cell", "left_semi")
+        settled = done if settled is None else settled.unionByName(done)
+        pool = now.join(big, "cell").filter(F.pmod(F.xxhash64("id", F.lit(step)), F.lit(1 << 20)) < F.lit(float(SAMPLE) / 2 * (1 << 20)) / F.col("n"))
 
         def split(t: pa.Table) -> pa.Table:
             n = t.column("n")[0].as_py()
             x = _matrix(t.column("x"))[:SAMPLE].astype(np.float32)
-            c = centres(x, max(4, min(64, -(-4 * n // limit))), seed=step).astype(np.float32)
-            pays = (reach(x, c, cosine).mean(axis=0) ** 2).sum() <= 0.5
-            return pa.table({"shard": t.column("shard").slice(0, 1), "c": [c.tobytes()], "k": pa.array([len(c) if pays else 0], pa.int32())})
-
-        got = pool.groupBy("shard").applyInArrow(split, "shard long, c binary, k int").filter("k > 0").collect() if step < most_rounds else []
-        table = {r["shard"]: np.frombuffer(bytes(r["c"]), np.float32).reshape(r["k"], -1) for r in got}
-        shared = now.sparkSession.sparkContext.broadcast((table, {s: -(-n // block) for s, n in sizes.items() if s not in table}))
-
-        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table, blocks = shared.value
-            for b in batches:
-                out = [[] for _ in range(b.num_rows)]
-                by: dict[int, list[int]] = {}
-                ids = b.column(b.schema.get_field_index("id")).to_pylist()
-                for i, own in enumerate(b.column(b.schema.get_field_index("shards")).to_pylist()):
-                    for s in own:
-                        if s in table:
-                            by.setdefault(s, []).append(i)
-                        elif s in blocks:
-                            g = blocks[s]
-                            own_block = (_mixed(s, ids[i], 0) >> 8) % g
-                            others = [j for j in range(g) if j != own_block] or [own_block]
-                            out[i] += [_mixed(s, 1 + min(own_block, j), 1 + max(own_block, j)) | 1 for j in others]
-                        else:
-                            out[i].append(s)
-                xs = b.column(b.schema.get_field_index("x"))
-                for s, rows in by.items():
-                    x = _matrix(xs.take(pa.array(rows))).astype(np.float32)
-                    for i, c in zip(*(z.tolist() for z in np.nonzero(reach(x, table[s], cosine))), strict=True):
-                        out[rows[i]].append(_mixed(s, 1 + step, 1 + c) & -2)
-                at = b.schema.get_field_index("shards")
-                yield b.set_column(at, "shards", pa.array([sorted(set(o)) for o in out], pa.list_(pa.int64())))
-
-        nxt = keep.save(now.mapInArrow(deal, now.schema))
-        keep.free(now)
-        now = nxt
-    return now
-
-
-def _shared_before(own: list[list[int]], mine: int) -> np.ndarray:
-    """For each row a 0/1 row of the shards before `mine` that it shares with another: a pair with a common one counts there."""
-    at = np.repeat(np.arange(len(own)), [len(s) for s in own])
-    s = np.array([v for o in own for v in o], np.int64)
-    at, s = at[s < mine], s[s < mine]
-    _, col, n = np.unique(s, return_inverse=True, return_counts=True)
-    twice = n > 1
-    out = np.zeros((len(own), int(twice.sum())), np.float32)
-    use = twice[col]
-    out[at[use], (np.cumsum(twice) - 1)[col[use]]] = 1
-    return out
-
-
-def compare_shard(x: np.ndarray, cosine: float, step: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All links (both ways) within a shard, every pair compared: batches of index pairs."""
+            k = max(4, min(64, -(-5 * n // limit)))
+            c = centres(x, k, seed=step).astype(np.float32)
+            parts = np.bincount((x @ c.T).argmax(axis=1), minlength=len(c)).max() <= len(x) / 2 and len(c) > 2 and step < most_levels
+            return pa.table({"cell": t.column("cell").slice(0, 1), "c": [c.tobytes() if parts else b""], "k": pa.array([len(c) if parts else k], pa.int32())})
+
+        found = pool.groupBy("cell").applyInArrow(split, "cell long, c binary, k int")
+        # A cell without a row in the sample is parted by a hash.
+        table = big.join(found, "cell", "left").select("cell", F.coalesce("c", F.lit(b"")).alias("c"), F.coalesce("k", F.lit(4)).alias("k"))
+        left, right = _salted(now, big, "cell", table, keep)
+
+        def deal(rows: pa.Table, about: pa.Table) -> pa.Table:
+            schema = pa.schema([("id", pa.int64()), ("x", pa.binary()), ("cell", pa.int64()), ("home", pa.bool_())])
+            if not rows.num_rows or not about.num_rows:
+                return schema.empty_table()
+            cell, k, raw = about.column("cell")[0].as_py(), about.column("k")[0].as_py(), about.column("c")[0].as_py()
+            guests = 2 if step == 0 else 1
+            if raw:
+                sims = _matrix(rows.column("x")).astype(np.float32) @ np.frombuffer(raw, np.float32).reshape(k, -1).T
+                order = np.argsort(-sims, axis=1, kind="stable")[:, : 1 + guests]
+            else:
+                ids = rows.column("id").to_numpy().view(np.uint64)
+                first = (ids * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(k)
+                order = np.stack([(first + (ids >> np.uint64(7)) % np.uint64(k - 1) * np.uint64(j > 0) + np.uint64(j)) % np.uint64(k) for j in range(1 + guests)], axis=1).astype(np.int64)
+            home = rows.column("home").to_numpy()
+            names = np.array([_mixed(cell, 1 + step, 1 + c) for c in range(k)], np.int64)
+            take, cells, homes = [], [], []
+            for j in range(order.shape[1]):
+                own = np.arange(len(home)) if j == 0 else np.flatnonzero(home)
+                take.append(own)
+                cells.append(names[order[own, j]])
+                homes.append(home[own] if j == 0 else np.zeros(len(own), bool))
+            rows = rows.take(pa.array(np.concatenate(take)))
+            return pa.Table.from_arrays([rows.column("id"), rows.column("x"), pa.array(np.concatenate(cells)), pa.array(np.concatenate(homes))], schema=schema)
+
+        dealt = left.groupBy("cell", "salt").cogroup(right.groupBy("cell", "salt")).applyInArrow(deal, "id long, x binary, cell long, home boolean")
+        # A guest of its own cell is no second member.
+        now = keep.save(dealt.groupBy("id", "cell").agg(F.first("x").alias("x"), F.max("home").alias("home")).select("id", "x", "cell", "home"))
+    return now if settled is None else keep.save(settled.unionByName(now))
+
+
+def compare(x: np.ndarray, y: np.ndarray, cosine: float, step: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of a row of x and one of y whose cosine is at least that: batches of index pairs."""
     for at in range(0, len(x), step):
-        s = x[at : at + step] @ x.T
+        s = x[at : at + step] @ y.T
         # What rounding could turn is decided as everywhere else.
         r, c = np.nonzero(np.abs(s - cosine) < 1e-9)
-        s[r, c] = np.einsum("kd,kd->k", x[at + r], x[c])
+        s[r, c] = np.einsum("kd,kd->k", x[at + r], y[c])
         i, j = np.nonzero(s >= cosine)
-        i += at
-        yield i[i != j], j[i != j]
+        yield i + at, j
+
+
+FOUND = "id long, n long, other long, a long, b long"
+
+
+def verify(t: pa.Table, cosine: float) -> pa.Table:
+    """A pair of cells: (id, n) links of each vector, (id, other) a spanning forest, and (a, b) pairs of cells that are in range through it."""
+    mine, cell, pair = t.column("id").to_numpy(), t.column("cell").to_numpy(), t.column("a")[0].as_py()
+    other = t.column("b")[0].as_py()
+    x, mult = _matrix(t.column("x")), t.column("mult").to_numpy()
+    p, q = np.flatnonzero(cell == pair), np.flatnonzero(cell == other)
+    counts, root = np.zeros(len(mine), np.int64), np.arange(len(mine))
+    for i, j in compare(x[p], x[q], cosine):
+        i, j = p[i], q[j]
+        if pair == other:
+            i, j = i[i != j], j[i != j]
+            counts += np.bincount(i, mult[j], len(mine)).astype(np.int64)
+        else:
+            counts += (np.bincount(i, mult[j], len(mine)) + np.bincount(j, mult[i], len(mine))).astype(np.int64)
+        apart = root[i] != root[j]
+        if apart.any():
+            root = local_forest(len(mine), np.concatenate([np.arange(len(mine)), i[apart]]), np.concatenate([root, j[apart]]))
+    tree, some = np.flatnonzero(root != np.arange(len(mine))), np.flatnonzero(counts)
+    ahead = set()
+    if pair != other:
+        touches = t.column("touches")
+        for k in some.tolist():
+            far = other if cell[k] == pair else pair
+            ahead |= {(min(far, c), max(far, c)) for c in touches[k].as_py() or ()}
+    ahead = sorted(ahead - {(pair, other)})
+    m, n, r = len(some), len(tree), len(ahead)
+    cols = [
+        np.concatenate([mine[some], mine[tree]]).tolist() + [None] * r,
+        counts[some].tolist() + [0] * (n + r),
+        [None] * m + mine[root[tree]].tolist() + [None] * r,
+        [None] * (m + n) + [c for c, _ in ahead],
+        [None] * (m + n) + [c for _, c in ahead],
+    ]
+    return pa.table({k: pa.array(v, pa.int64()) for k, v in zip(("id", "n", "other", "a", "b"), cols, strict=True)})
+
+
+def search_shard(x: np.ndarray, ids: np.ndarray, near: list[list[int]], own: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of members in range: links of `own` that a search over the united lists finds, and neighbours in lists that are almost links."""
+    g = Graph(x)
+    by = np.argsort(ids)
+    lists = []
+    for some in near:
+        a = np.asarray(some, np.int64)
+        at = np.minimum(np.searchsorted(ids[by], a), len(ids) - 1)
+        lists.append(by[at[ids[by][at] == a]])
+    g.adj = np.full((len(x), max(1, max(map(len, lists)))), -1, np.int64)
+    for k, a in enumerate(lists):
+        g.adj[k, : len(a)] = a
+    g.repair()
+    i, j = np.nonzero(g.adj >= 0)
+    j = g.adj[i, j]
+    close = np.concatenate([np.einsum("kd,kd->k", g.x4[i[k : k + STEP]], g.x4[j[k : k + STEP]]) for k in range(0, len(i), STEP)] or [np.zeros(0)]) >= cosine - SLACK
+    key = [i[close] * len(x) + j[close]]
+    pending, width = own, BEAM
+    while len(pending):
+        a, b, lost = g.in_range(pending, cosine, width)
+        key.append(np.unique(a * len(x) + b))
+        if width >= len(x):
+            break
+        pending, width = lost, 2 * width
+    key = np.unique(np.concatenate(key))
+    return key // len(x), key % len(x)
+
+
+def audit(nodes: DataFrame, counted: DataFrame, cosine: float, keep: Scratch) -> DataFrame:
+    """(label, dim, recall): the share of the links of sampled vectors with all of their label that was found; null without any."""
+    sizes = nodes.groupBy("label", "dim").agg(F.count("*").alias("n"))
+    keyed = nodes.withColumn("k", F.xxhash64("label", "dim"))
+    sizes = sizes.withColumn("k", F.xxhash64("label", "dim"))
+    sample = keep.save(keyed.join(sizes.select("k", "n"), "k").filter(F.pmod(F.xxhash64("id", F.lit(-5)), F.lit(1 << 20)) < F.lit(float(AUDIT) * (1 << 20)) / F.col("n")))
+    left, right = _salted(keyed.select("k", "id", "x", "mult"), sizes, "k", sample.select("k", F.col("id").alias("sid"), F.col("x").alias("sx")), keep)
+
+    def exact(rows: pa.Table, some: pa.Table) -> pa.Table:
+        if not rows.num_rows or not some.num_rows:
+            return pa.table({"id": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+        ids, mult, sid = rows.column("id").to_numpy(), rows.column("mult").to_numpy(), some.column("sid").to_numpy()
+        n = np.zeros(len(sid), np.int64)
+        for i, j in compare(_matrix(some.column("sx")), _matrix(rows.column("x")), cosine):
+            i, j = i[sid[i] != ids[j]], j[sid[i] != ids[j]]
+            n += np.bincount(i, mult[j], len(sid)).astype(np.int64)
+        return pa.table({"id": sid, "n": n})
+
+    true = left.groupBy("k", "salt").cogroup(right.groupBy("k", "salt")).applyInArrow(exact, "id long, n long").groupBy("id").agg(F.sum("n").alias("true"))
+    seen = sample.select("id", "label", "dim").join(true, "id").join(counted, "id", "left")
+    share = F.sum(F.least("true", F.coalesce("n", F.lit(0)))) / F.sum("true")
+    return seen.groupBy("label", "dim").agg(F.when(F.sum("true") > 0, share).alias("recall"))
 
 
 def near_dedup(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", limit: int = LIMIT) -> DataFrame:
-    """One row for each vector: vec_id, n_links, component_id, kept."""
+    """One row for each vector: vec_id, n_links, component_id, kept, recall (that of its label's audit)."""
     keep = Scratch(vectors.sparkSession, "flat-graph")
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,81 +463,59 @@ def near_dedup(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id
     # A node is a direction: its id a hash of label and bytes, its name the smallest vec_id.
     node_id = F.xxhash64("label", "x")
     nodes = keep.save(able.groupBy("label", "dim", "x").agg(F.count("*").alias("mult"), F.min("vec_id").alias("rep")).withColumn("id", node_id))
-    dealt = shards(nodes.select("id", "mult", "label", "dim", "x"), keep, limit, cosine).select("id", "mult", "x", "shards")
-    placed = keep.save(dealt.withColumn("shard", F.explode("shards")))
+    members = shards(nodes, keep, limit)
+    homes = members.filter("home").select("id", F.col("cell").alias("at"))
+    members = keep.save(members.join(homes, "id"))
 
     def build(t: pa.Table) -> pa.Table:
         g = Graph(_matrix(t.column("x"))).build()
         ids = t.column("id").to_numpy()
         return pa.table({"id": ids, "near": pa.array([ids[a[a >= 0]].tolist() for a in g.adj], pa.list_(pa.int64()))})
 
-    lists = placed.filter(F.col("shard").bitwiseAND(F.lit(1)) == 0).select("shard", "id", "x").groupBy("shard").applyInArrow(build, "id long, near array<long>")
+    lists = members.select("cell", "id", "x").groupBy("cell").applyInArrow(build, "id long, near array<long>")
     united = keep.save(lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
 
     def search(t: pa.Table) -> pa.Table:
-        ids, mult, mine = t.column("id").to_numpy(), t.column("mult").to_numpy(), t.column("shard")[0].as_py()
-        x = _matrix(t.column("x"))
-        near = [v or [] for v in t.column("near").to_pylist()]
-        found = compare_shard(x, cosine) if mine & 1 else iter([search_shard(x, ids, near, cosine)])
-        before = _shared_before(t.column("shards").to_pylist(), mine)
-        counts, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
-        for i, j in found:
-            for k in range(0, len(i), 1 << 17):
-                a, b = i[k : k + (1 << 17)], j[k : k + (1 << 17)]
-                apart = root[a] != root[b]
-                if apart.any():
-                    root = local_forest(len(ids), np.concatenate([np.arange(len(ids)), a[apart]]), np.concatenate([root, b[apart]]))
-                if before.shape[1]:
-                    lo, hi = int(a.min()), int(a.max()) + 1
-                    for at in range(lo, hi, 512):
-                        part = (a >= at) & (a < at + 512)
-                        p, q = a[part], b[part]
-                        here = (before[at : at + 512] @ before.T)[p - at, q] == 0
-                        np.add.at(counts, p[here], mult[q[here]])
-                else:
-                    np.add.at(counts, a, mult[b])
-        tree = np.flatnonzero(root != np.arange(len(ids)))
-        some = np.flatnonzero(counts)
-        return pa.table({"id": np.concatenate([ids[some], ids[tree]]), "other": pa.array([None] * len(some) + ids[root[tree]].tolist(), pa.int64()), "n": np.concatenate([counts[some], np.zeros(len(tree), np.int64)])})
-
-    found = keep.save(placed.join(united, "id", "left").groupBy("shard").applyInArrow(search, "id long, other long, n long"))
-    counted = found.groupBy("id").agg(F.sum("n").alias("n"))
+        ids, at = t.column("id").to_numpy(), t.column("at").to_numpy()
+        i, j = search_shard(_matrix(t.column("x")), ids, [v or [] for v in t.column("near").to_pylist()], np.flatnonzero(t.column("home").to_numpy()), cosine)
+        cells, code = np.unique(at, return_inverse=True)
+        both = np.unique(np.concatenate([i * len(cells) + code[j], j * len(cells) + code[i]]))
+        i, c = both // len(cells), both % len(cells)
+        away = code[i] != c
+        return pa.table({"id": ids[i[away]], "at": at[i[away]], "cell": cells[c[away]]})
+
+    near = keep.save(members.join(united, "id", "left").groupBy("cell").applyInArrow(search, "id long, at long, cell long").distinct())
+    touches = near.groupBy("id").agg(F.collect_list("cell").alias("touches"))
+    home = keep.save(members.filter("home").select("id", "x", "cell").join(nodes.select("id", "mult"), "id").join(touches, "id", "left"))
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("cell"))
+        return keep.save(home.join(sides, "cell").groupBy("a", "b").applyInArrow(lambda t: verify(t, cosine), FOUND))
+
+    every = home.select(F.col("cell").alias("a"), F.col("cell").alias("b")).distinct()
+    new = keep.save(every.unionByName(near.select(F.least("at", "cell").alias("a"), F.greatest("at", "cell").alias("b")).distinct()))
+    known, found = new, checked(new)
+    ahead = found
+    while True:
+        new = keep.save(ahead.filter("a is not null").select("a", "b").distinct().join(known, ["a", "b"], "left_anti"))
+        if new.isEmpty():
+            break
+        ahead, known = checked(new), known.unionByName(new)
+        found = found.unionByName(ahead)
+    counts = lambda: found.filter("id is not null").groupBy("id").agg(F.sum("n").alias("n"))
+    recall = keep.save(audit(nodes, counts(), cosine, keep))
+    short = recall.filter(F.col("recall") < RECALL).select("label", "dim")
+    if not short.isEmpty():
+        own = nodes.join(short, ["label", "dim"], "left_semi").select("id", F.xxhash64("label", "dim").alias("k")).join(home.select("id", "cell"), "id").select("k", "cell").distinct()
+        pairs = own.withColumnRenamed("cell", "a").join(own.withColumnRenamed("cell", "b"), "k").filter("a < b").select("a", "b")
+        found = found.unionByName(checked(keep.save(pairs.join(known, ["a", "b"], "left_anti"))))
+    counted = counts()
     name = nodes.select("id", "rep")
     edges = found.filter("other is not null").select("id", "other").distinct()
     edges = edges.join(name, "id").join(name.select(F.col("id").alias("other"), F.col("rep").alias("rep2")), "other").select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
     comp = components(edges, keep).withColumnRenamed("id", "rep")
-    about = nodes.join(counted, "id", "left").join(comp, "rep", "left").select("label", "x", (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    about = nodes.join(counted, "id", "left").join(comp, "rep", "left").join(recall, ["label", "dim"], "left")
+    about = about.select("label", "x", (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"), "recall")
     out = rows.join(about, ["label", "x"], "left")
     linked = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), linked.alias("component_id"), (F.col("vec_id") == linked).alias("kept"))
-
-
-def search_shard(x: np.ndarray, ids: np.ndarray, near: list[list[int]], cosine: float, audit: int = AUDIT, recall: float = RECALL) -> tuple[np.ndarray, np.ndarray]:
-    """All links (both ways) within a shard over united adjacency lists, searched until the audit is content."""
-    g = Graph(x)
-    by = np.argsort(ids)
-    lists = []
-    for own in near:
-        a = np.asarray(own, np.int64)
-        at = np.minimum(np.searchsorted(ids[by], a), len(ids) - 1)
-        lists.append(by[at[ids[by][at] == a]])
-    g.adj = np.full((len(x), max(1, max(map(len, lists)))), -1, np.int64)
-    for k, a in enumerate(lists):
-        g.adj[k, : len(a)] = a
-    sample = np.random.default_rng(len(x)).permutation(len(x))[:audit]
-    exact = x[sample] @ x.T >= cosine
-    exact[np.arange(len(sample)), sample] = False
-    g.repair()
-    key, beam = np.zeros(0, np.int64), BEAM
-    while True:
-        pending, width = np.arange(len(x)), beam
-        while len(pending):
-            i, j, lost = g.in_range(pending, cosine, width)
-            key = np.union1d(key, np.concatenate([i * len(x) + j, j * len(x) + i]))
-            if width >= len(x):
-                break
-            pending, width = lost, 2 * width
-        r, c = np.nonzero(exact)
-        if beam >= len(x) or np.isin(sample[r] * len(x) + c, key).sum() >= recall * len(r):
-            return key // len(x), key % len(x)
-        beam *= 2
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), linked.alias("component_id"), (F.col("vec_id") == linked).alias("kept"), "recall")

@@ -476,7 +476,7 @@ def test_flat_graph(spark, limit):
     links = {i: {j for j in ok if j != i and lab[i] == lab[j] and len(ok[i]) == len(ok[j]) and ok[i] @ ok[j] / np.linalg.norm(ok[i]) / np.linalg.norm(ok[j]) >= 0.93} for i in ok}
     assert len(got) == len(src)
     total = sum(map(len, links.values()))
-    assert sum(r.n_links for r in got.values()) >= (0.99 if limit > 1000 else 0.95) * total
+    assert sum(r.n_links for r in got.values()) >= 0.99 * total
     assert all(got[i].n_links <= len(links.get(i, ())) for i in got)
     for i in got:
         if i not in ok:
@@ -495,39 +495,59 @@ def test_flat_graph(spark, limit):
     assert flat_graph.near_dedup(none).count() == 0
 
 
-@pytest.mark.parametrize("n", [350, 2600])
-def test_flat_graph_dense_ball(spark, n):
-    """Distinct near copies at the production limit: every link counts, in balls within and beyond it, and across blocks."""
+def brute_links(u):
+    """Each vector's number of links and the smallest vector of its component, all pairs compared."""
+    n, root = np.zeros(len(u), np.int64), np.arange(len(u))
+    for at in range(0, len(u), 1000):
+        i, j = np.nonzero(u[at : at + 1000] @ u.T >= flat_graph.COSINE)
+        i += at
+        n += np.bincount(i, minlength=len(u)) - (np.arange(len(u)) // 1000 == at // 1000)
+        apart = root[i] != root[j]
+        root = K.local_forest(len(u), np.concatenate([np.arange(len(u)), i[apart]]), np.concatenate([root, j[apart]]))
+    return n, root
+
+
+@pytest.mark.parametrize("n, limit", [(1000, flat_graph.LIMIT), (3000, flat_graph.LIMIT), (3000, 300), (10000, flat_graph.LIMIT)])
+def test_flat_graph_dense_ball(spark, n, limit):
+    """Distinct near copies, within a shard and over many: the audit and brute force agree that every link is found."""
     rng = np.random.default_rng(n)
     centre = rng.normal(size=64)
     ball = centre / np.linalg.norm(centre) * 8 + rng.normal(size=(n, 64)) * 0.26
-    x = np.concatenate([ball, rng.normal(size=(n // 2, 64))])
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    near = u @ u.T >= flat_graph.COSINE
-    np.fill_diagonal(near, False)
-    assert 0.2 < near[:n, :n].mean() < 0.99
-    root = K.local_forest(len(x), *np.nonzero(near))
+    x = np.concatenate([ball, rng.normal(size=(500, 64))])
+    links, root = brute_links(x / np.linalg.norm(x, axis=1, keepdims=True))
+    assert 0.2 * n < links[:n].mean() < 0.99 * n
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in flat_graph.near_dedup(df, limit=limit).collect()}
+    assert sum(r.n_links for r in got.values()) >= 0.99 * links.sum()
+    assert all(got[i].n_links <= links[i] and got[i].component_id == root[i] for i in range(len(x)))
+    assert got[0].recall >= 0.99
+
+
+def test_flat_graph_falls_back(spark, monkeypatch):
+    """Where the audit misses links, all pairs of the label's cells are verified."""
+    x = np.random.default_rng(8).normal(size=(700, 64)) * 0.26 + 1
+    links, root = brute_links(x / np.linalg.norm(x, axis=1, keepdims=True))
     df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
-    got = {r.vec_id: (r.n_links, r.component_id) for r in flat_graph.near_dedup(df).collect()}
-    if len(x) > flat_graph.LIMIT:
-        assert got == {i: (int(near[i].sum()), int(root[i])) for i in range(len(x))}
-    else:
-        assert sum(k for k, _ in got.values()) >= flat_graph.RECALL * near.sum()
+    monkeypatch.setattr(flat_graph, "search_shard", lambda x, *_: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    got = {r.vec_id: r for r in flat_graph.near_dedup(df, limit=100).collect()}
+    assert got[0].recall < flat_graph.RECALL
+    assert {i: (r.n_links, r.component_id) for i, r in got.items()} == {i: (int(links[i]), int(root[i])) for i in range(len(x))}
 
 
 def test_flat_graph_dealing(spark):
-    """Each linked pair has a common shard, whether clusters are dealt to centres or cut into blocks."""
+    """Every node has one home; copies and shards are bounded, also for vectors that centres cannot part."""
     rng = np.random.default_rng(4)
     c = rng.normal(size=(12, 16)) * 3
-    x = np.concatenate([k + rng.normal(size=(90, 16)) * 0.5 for k in c] + [rng.normal(size=(300, 16))])
+    x = np.concatenate([k + rng.normal(size=(90, 16)) * 0.5 for k in c] + [rng.normal(size=(300, 16)), np.ones((400, 16)) + rng.normal(size=(400, 16)) * 1e-12])
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    rows = [(i, 1, "1", 16, v.tobytes()) for i, v in enumerate(u)]
-    df = spark.createDataFrame(rows, "id long, mult long, label string, dim int, x binary")
-    got = {r.id: set(r.shards) for r in flat_graph.shards(df, Scratch(spark, "test"), limit=150, block=64).collect()}
-    i, j = np.nonzero(u @ u.T >= flat_graph.COSINE)
-    assert len(i) > 10 * len(x) and all(got[a] & got[b] for a, b in zip(i.tolist(), j.tolist(), strict=True))
-    kinds = {s & 1 for own in got.values() for s in own}
-    assert kinds == {0, 1}
+    df = spark.createDataFrame([(int(i) * 7919 % (1 << 61), "1", 16, v.tobytes()) for i, v in enumerate(u)], "id long, label string, dim int, x binary")
+    got = flat_graph.shards(df, Scratch(spark, "test"), limit=100).collect()
+    homes = [r.id for r in got if r.home]
+    assert len(homes) == len(set(homes)) == len(u)
+    size, copies = {}, {}
+    for r in got:
+        size[r.cell], copies[r.id] = size.get(r.cell, 0) + 1, copies.get(r.id, 0) + 1
+    assert max(size.values()) <= 100 and max(copies.values()) <= 8
 
 
 def test_quality(spark, docs, empty):
