@@ -13,9 +13,15 @@ but for runs of spaces, so a segmentation of the text is one of each word with
 the spaces before it, and the n best of the text are the n best sums of the
 words' alternatives.  (A vocabulary with pieces that do is cut elsewhere only.)  Only the n - 1 words whose
 second choice costs least can differ from their best.  A forward and a backward
-Viterbi pass give every word's best and what its second loses (the best path
-over any arc off the best path), which a bounded table remembers; the A-star
-search then runs over the words that can differ.
+Viterbi pass, made in numpy for all words of one length together, give every
+word's best and what its second loses (the best path over any arc off the best
+path), which a bounded table remembers; the A-star search then runs over the
+words that can differ, and its paths are the other segmentations.
+
+Ids and pieces are those of the vocabulary file.  The scores of a file whose pieces
+come from merges are ranks, whose sum says nothing; `fit_scores` therefore takes a
+unigram model over the file's pieces, ``log((c+1)/(N+V))`` in steps of 2**-20, from the counts of the
+library's own segmentation of all texts.  (`fitted=False`: the file's scores.)
 
 Defined results: null and empty texts have no pieces and one segmentation, of
 score 0; U+2581 in a text decodes to a space; ties go to the longer first piece;
@@ -27,21 +33,30 @@ from __future__ import annotations
 import functools
 import hashlib
 import heapq
+import itertools
 import re
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamline.llm.blocks import release
+
 N_BEST, TABLE = 4, 400_000
 SPACE = "▁"
 BYTE_PENALTY = 10.0
+#: Longer words are segmented by themselves and not remembered.
+LONG = 64
 #: Scores below are no measure for the bytes'.
 UNUSABLE = -1e8
-SCHEMA = "doc_id long, n_pieces long, ids_crc32 long, n_segmentations int, scores array<double>, decoded_sha256 string, round_trip boolean"
+SCHEMA = "doc_id long, n_pieces long, ids_crc32 long, n_segmentations int, scores array<double>, n_best_pieces array<long>, n_best_crc32 array<long>, decoded_sha256 string, round_trip boolean"
+#: Characters that are segmented together, words that are counted together, and choices remembered; they bound memory and change no result.
+SLICE, COUNTED, CHOICES = 1 << 16, 200_000, 50_000
 
 
 def default_path() -> str:
@@ -73,6 +88,96 @@ class Lattice:
                 node = node.setdefault(ch, {})
             node[""] = v
         self.words = _Words(self, table)
+        self.choices: dict[str, list[tuple[float, bytes]]] = {}
+        # The trie in numpy: (node, character) in order, and what a step leads to.
+        edges, weight, piece = [], [np.nan], [-1]
+        held = [(0, self.trie)]
+        while held:
+            at, node = held.pop()
+            for ch, nxt in node.items():
+                if ch:
+                    edges.append((at << 21 | ord(ch), len(weight)))
+                    i, w = nxt.get("", (-1, np.nan))
+                    weight.append(w)
+                    piece.append(i)
+                    held.append((edges[-1][1], nxt))
+        edges.sort()
+        self.step_key = np.array([k for k, _ in edges] or [0], np.int64)
+        self.step_to = np.array([v for _, v in edges] or [0], np.int64)
+        self.weight, self.piece = np.array(weight), np.array(piece, np.int64)
+
+    def learn(self, words: set[str]) -> None:
+        """Puts the best and the loss of every word into the table."""
+        by: dict[int, list[str]] = {}
+        for w in words:
+            if w not in self.words:
+                got = self.words.old.get(w)
+                if got is not None:
+                    self.words.put(w, got)
+                elif len(w) <= LONG:
+                    by.setdefault(len(w), []).append(w)
+        for size, some in by.items():
+            for at in range(0, len(some), SLICE // size):
+                part = some[at : at + SLICE // size]
+                for w, got in zip(part, self.best_many([x.replace(" ", SPACE) for x in part]), strict=True):
+                    self.words.put(w, got or self.best_two(w.replace(" ", SPACE)))
+
+    def best_many(self, words: list[str]) -> list[tuple[bytes, float, float] | None]:
+        """`best_two` of words of one length; None for words with a character that is no piece."""
+        n, size = len(words), len(words[0])
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64).reshape(n, size)
+        row, col = (x.ravel() for x in np.indices((n, size)))
+        node = np.zeros(len(row), np.int64)
+        arcs, ids = [], []
+        for reach in range(1, size + 1):
+            inside = col + reach <= size
+            row, col, node = row[inside], col[inside], node[inside]
+            key = node << 21 | codes[row, col + reach - 1]
+            at = np.minimum(np.searchsorted(self.step_key, key), len(self.step_key) - 1)
+            hit = self.step_key[at] == key
+            row, col, node = row[hit], col[hit], self.step_to[at[hit]]
+            if not len(row):
+                break
+            w, i = np.full((size, n), -np.inf), np.zeros((size, n), np.int64)
+            is_piece = self.piece[node] >= 0
+            w[col[is_piece], row[is_piece]] = self.weight[node[is_piece]]
+            i[col[is_piece], row[is_piece]] = self.piece[node[is_piece]]
+            arcs.append(w)
+            ids.append(i)
+        if not arcs:
+            return [None] * n
+        best, back = np.full((size + 1, n), -np.inf), np.zeros((size + 1, n), np.int64)
+        best[0] = 0.0
+        for k in range(1, size + 1):
+            for i in range(max(0, k - len(arcs)), k):
+                t = best[i] + arcs[k - i - 1][i]
+                up = t > best[k]
+                best[k, up] = t[up]
+                back[k, up] = i
+        able = np.isfinite(arcs[0]).all(axis=0)
+        own = np.arange(n)
+        path, on_path, count, at = np.zeros((n, size), "<u4"), np.zeros((size, n), np.int64), np.zeros(n, np.int64), np.where(able, size, 0)
+        wide = np.stack(ids)
+        while True:
+            r = own[at > 0]
+            if not len(r):
+                break
+            k = at[r]
+            i = back[k, r]
+            on_path[i, r] = k
+            count[r] += 1
+            path[r, size - count[r]] = wide[k - i - 1, i, r]
+            at[r] = i
+        ahead, second = np.zeros((size + 1, n)), np.full(n, -np.inf)
+        for i in range(size - 1, -1, -1):
+            most = np.full(n, -np.inf)
+            for k in range(i + 1, min(size, i + len(arcs)) + 1):
+                t = arcs[k - i - 1][i] + ahead[k]
+                most = np.maximum(most, t)
+                second = np.where(on_path[i] == k, second, np.maximum(second, best[i] + t))
+            ahead[i] = most
+        raw, total, loss = path.tobytes(), best[size].tolist(), (best[size] - np.where(able, second, 0)).tolist()
+        return [(raw[4 * ((w + 1) * size - c) : 4 * (w + 1) * size], total[w], loss[w]) if ok else None for w, (c, ok) in enumerate(zip(count.tolist(), able.tolist(), strict=True))]
 
     def arcs(self, s: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """For each node, the arcs that end there: (first node, score, ids), longest first."""
@@ -167,51 +272,61 @@ class Lattice:
         """The words of a text, with the spaces before them."""
         return self.chunks(" " + text)
 
-    def segment(self, text: str) -> tuple[bytes, list[float]]:
-        """Ids of the best segmentation (little-endian unsigned 32-bit) and the scores of the n best."""
-        ids, scores, _ = self._all(text)
-        return ids, scores
-
-    def _all(self, text: str) -> tuple[bytes, list[float], list[dict[int, int]]]:
+    def n_best_of(self, text: str, words: list[str] | None = None) -> list[tuple[float, bytes]]:
+        """The n best segmentations of a text, best first: (score, ids as little-endian unsigned 32-bit)."""
         if not text:
-            return b"", [0.0], [{}]
-        words = self.cut(text)
+            return [(0.0, b"")]
+        words = self.cut(text) if words is None else words
         parts = list(map(self.words.__getitem__, words))
-        ids = b"".join([p[0] for p in parts])
+        raw = [p[0] for p in parts]
         total = float(sum([p[1] for p in parts]))
         gap = np.fromiter([p[2] for p in parts], np.float64, len(parts))
         n = self.n
         few = np.argsort(gap, kind="stable")[: n - 1] if len(gap) > n - 1 else np.arange(len(gap))
-        choices = [(int(k), self.losses(words[k])) for k in few if np.isfinite(gap[k])]
+        choices = [(int(k), self.alternatives(words[k])) for k in few if np.isfinite(gap[k])]
         # The n least sums: each step takes the least and lets one part after the last one changed go one choice on.
         found, queue, seen = [], [(0.0, (0,) * len(choices))], set()
         while queue and len(found) < n:
             cost, pick = heapq.heappop(queue)
             found.append((cost, pick))
-            for c, (_, losses) in enumerate(choices):
-                if pick[c] + 1 < len(losses):
+            for c, (_, own) in enumerate(choices):
+                if pick[c] + 1 < len(own):
                     nxt = (*pick[:c], pick[c] + 1, *pick[c + 1 :])
                     if nxt not in seen:
                         seen.add(nxt)
-                        heapq.heappush(queue, (sum(choices[k][1][x] for k, x in enumerate(nxt)), nxt))
-        return ids, [total - c for c, _ in found], [{choices[k][0]: x for k, x in enumerate(p) if x} for _, p in found]
-
-    def segmentations(self, text: str) -> list[tuple[float, list[int]]]:
-        """The n best segmentations of a text, best first: (score, ids)."""
-        _, scores, picks = self._all(text)
-        words = self.cut(text) if text else []
+                        heapq.heappush(queue, (sum(choices[k][1][x][0] for k, x in enumerate(nxt)), nxt))
         out = []
-        for score, pick in zip(scores, picks, strict=True):
-            ids: list[int] = []
-            for k, w in enumerate(words):
-                ids += self.n_best(w.replace(" ", SPACE))[pick.get(k, 0)][1]
-            out.append((score, ids))
+        for cost, pick in found:
+            own = raw.copy() if any(pick) else raw
+            for (k, some), x in zip(choices, pick, strict=True):
+                if x:
+                    own[k] = some[x][1]
+            out.append((total - cost, b"".join(own)))
         return out
 
-    def losses(self, word: str) -> list[float]:
-        """What each of a word's n best loses against the best."""
-        found = self.n_best(word.replace(" ", SPACE))
-        return [found[0][0] - score for score, _ in found]
+    def alternatives(self, word: str) -> list[tuple[float, bytes]]:
+        """A word's n best: (what it loses against the best, ids), by the A-star search."""
+        got = self.choices.get(word)
+        if got is None:
+            found = self.n_best(word.replace(" ", SPACE))
+            first = self.words[word][0]
+            got = [(found[0][0] - score, np.array(ids, "<u4").tobytes()) for score, ids in found]
+            # Of equals the search may have another first than the table.
+            got = [(0.0, first), *(x for x in got if x[1] != first)][: self.n]
+            if len(self.choices) >= CHOICES:
+                self.choices.clear()
+            if len(word) <= LONG:
+                self.choices[word] = got
+        return got
+
+    def segment(self, text: str) -> tuple[bytes, list[float]]:
+        """Ids of the best segmentation and the scores of the n best."""
+        found = self.n_best_of(text)
+        return found[0][1], [score for score, _ in found]
+
+    def segmentations(self, text: str) -> list[tuple[float, list[int]]]:
+        """The n best segmentations of a text, best first: (score, ids)."""
+        return [(score, np.frombuffer(ids, "<u4").tolist()) for score, ids in self.n_best_of(text)]
 
 
 class _Words(dict):
@@ -224,15 +339,18 @@ class _Words(dict):
         super().__init__()
         self.lattice, self.most, self.old = lattice, most, {}
 
+    def put(self, word: str, got: tuple[bytes, float, float]) -> None:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[word] = got
+
     def __missing__(self, word: str) -> tuple[bytes, float, float]:
         got = self.old.get(word)
         if got is None:
             got = self.lattice.best_two(word.replace(" ", SPACE))
-        if len(word) <= 64:
-            if len(self) >= self.most:
-                self.old = dict(self)
-                self.clear()
-            self[word] = got
+        if len(word) <= LONG:
+            self.put(word, got)
         return got
 
 
@@ -248,11 +366,15 @@ class Decoder:
 
 
 @functools.lru_cache(maxsize=2)
-def load(path: str, n: int = N_BEST) -> tuple[Lattice, Decoder]:
-    """A vocabulary file as lattice and decoder.  Control pieces have no arcs; all others have the file's scores."""
+def library(path: str):
     import sentencepiece
 
-    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    return sentencepiece.SentencePieceProcessor(model_file=path)
+
+
+def load(path: str, n: int = N_BEST, scores: dict[int, float] | None = None) -> tuple[Lattice, Decoder]:
+    """A vocabulary file as lattice and decoder.  Control pieces have no arcs; scores of ids stand for the file's."""
+    sp = library(path)
     pieces, byte_ids, raw = {}, [0] * 256, []
     for i in range(sp.get_piece_size()):
         p = sp.id_to_piece(i)
@@ -263,30 +385,110 @@ def load(path: str, n: int = N_BEST) -> tuple[Lattice, Decoder]:
             raw.append(b"")
         else:
             raw.append(p.replace(SPACE, " ").encode())
-            pieces[p] = (i, sp.get_score(i))
+            pieces[p] = (i, sp.get_score(i) if scores is None else scores[i])
     return Lattice(pieces, byte_ids, n), Decoder(raw)
 
 
-def encode(docs: DataFrame, path: str | None = None, n: int = N_BEST, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """Per document the best segmentation's digest, the scores of the n best and the decoded text's digest; with_ids: also the best ids."""
-    path = path or default_path()
+@functools.lru_cache(maxsize=2)
+def cutter(path: str) -> Callable[[str], list[str]]:
+    """The function that cuts a text into its words."""
+    return load(path)[0].cut
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def exactly(scores: np.ndarray) -> np.ndarray:
+    """Scores in steps of 2**-20: their sums are exact, so that equal paths are equal and the A-star search need not walk them all."""
+    return np.round(scores * (1 << 20)) / (1 << 20)
+
+
+def fit_scores(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> dict[int, float]:
+    """The unigram log-probability of each piece of the vocabulary, from the library's segmentation of all texts.
+
+    A word's segmentation does not depend on others, so each distinct word of a part is segmented once.  Only the
+    counts, one for a piece of the vocabulary, come to the driver.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, decoder = load(path, n)
+        sp, cut = library(path), cutter(path)
+        total = np.zeros(sp.get_piece_size(), np.int64)
+        held: Counter[str] = Counter()
+
+        def flush() -> None:
+            words = list(held)
+            for at in range(0, len(words), 1 << 14):
+                part = words[at : at + (1 << 14)]
+                # The library puts the first space itself, but none before nothing.
+                ids = [i or [sp.piece_to_id(SPACE)] for i in sp.encode([w[1:] for w in part], num_threads=1)]
+                times = np.repeat([held[w] for w in part], list(map(len, ids)))
+                np.add.at(total, np.fromiter(itertools.chain.from_iterable(ids), np.int64, len(times)), times)
+            held.clear()
+
         for b in batches:
-            cols: list[list] = [[] for _ in range(7)]
             for t in b.column(1):
-                text = t.as_py() or ""
-                ids, scores = lattice.segment(text)
-                back = decoder.decode(ids)
-                row = (len(ids) // 4, zlib.crc32(ids), len(scores), scores, hashlib.sha256(back).hexdigest(), back == text.replace(SPACE, " ").encode(), ids)
-                for c, v in zip(cols, row, strict=True):
-                    c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.string(), pa.bool_(), pa.binary())
-            names = [x.strip().split()[0] for x in SCHEMA.split(", ")] + ["ids"]
-            arrays = [b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))]
-            m = len(arrays) if with_ids else len(arrays) - 1
-            yield pa.RecordBatch.from_arrays(arrays[:m], names=names[:m])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, SCHEMA + ", ids binary" * with_ids)
+                text = t.as_py()
+                if text:
+                    held.update(cut(text))
+                if len(held) >= COUNTED:
+                    flush()
+        flush()
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["piece", "n"])
+
+    rows = _texts(docs, id_col, text_col).mapInArrow(run, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(library(path).get_piece_size())
+    for r in rows:
+        counts[r["piece"]] = r["n"]
+    return dict(enumerate(exactly(np.log((counts + 1) / (counts.sum() + len(counts)))).tolist()))
+
+
+_held: dict[str, tuple[Lattice, Decoder]] = {}
+
+
+def loaded(name: str, path: str, n: int, shared) -> tuple[Lattice, Decoder]:
+    """The process's lattice and decoder of a run."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = load(path, n, shared.value)
+    return _held[name]
+
+
+def encode(docs: DataFrame, path: str | None = None, n: int = N_BEST, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, fitted: bool = True) -> DataFrame:
+    """Per document digests and scores of the n best segmentations and of the text that each decodes to; with_ids: also the ids of each (`ids`, binary)."""
+    path = path or default_path()
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(fit_scores(docs, path, id_col, text_col) if fitted else None)
+    name = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice, decoder = loaded(name, path, n, shared)
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string(), pa.bool_(), pa.list_(pa.binary()))
+        names = [x.strip().split()[0] for x in SCHEMA.split(", ")] + ["ids"]
+        m = len(names) if with_ids else len(names) - 1
+        for b in batches:
+            texts, at = b.column(1), 0
+            while at < len(texts):
+                some, words, size = [], [], 0
+                while at + len(some) < len(texts) and size < 16 * SLICE:
+                    text = texts[at + len(some)].as_py() or ""
+                    some.append(text)
+                    words.append(lattice.cut(text))
+                    size += len(text)
+                lattice.learn(set().union(*words))
+                cols: list[list] = [[] for _ in kinds]
+                for text, own in zip(some, words, strict=True):
+                    found = lattice.n_best_of(text, own)
+                    back = [decoder.decode(ids) for _, ids in found]
+                    raw = text.replace(SPACE, " ").encode()
+                    ids = found[0][1]
+                    row = (len(ids) // 4, zlib.crc32(ids), len(found), [s for s, _ in found], [len(i) // 4 for _, i in found], [zlib.crc32(i) for _, i in found], hashlib.sha256(back[0]).hexdigest(), all(x == raw for x in back), [i for _, i in found])
+                    for c, v in zip(cols, row, strict=True):
+                        c.append(v)
+                arrays = [b.column(0).slice(at, len(some)), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))]
+                yield pa.RecordBatch.from_arrays(arrays[:m], names=names[:m])
+                at += len(some)
+        release()
+
+    return _texts(docs, id_col, text_col).mapInArrow(run, SCHEMA + ", ids array<binary>" * with_ids)

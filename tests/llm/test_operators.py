@@ -399,14 +399,57 @@ def test_jpeg_with_ac_and_colour():
     assert t.tolist() == [[128 + 2 * y for y in lum]]
 
 
+def whole_text_segmentations(la, text):
+    """The n best of a text as one word: no cuts, no tables."""
+    return la.n_best("▁" + text.replace(" ", "▁")) if text else [(0.0, ())]
+
+
 def test_pieces(docs, empty):
-    got = by_id(piece_lattice.encode(docs))
+    """Every column against an A-star search over each whole text, and scores against counts of the library's own pieces."""
+    import sentencepiece
+
+    path = piece_lattice.default_path()
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    counts = np.zeros(sp.get_piece_size())
+    for _, x in rows():
+        for i in sp.encode(x or ""):
+            counts[i] += 1
+    fitted = np.round(np.log((counts + 1) / (counts.sum() + len(counts))) * 2**20) / 2**20
+    assert piece_lattice.fit_scores(docs, path) == pytest.approx(dict(enumerate(fitted.tolist())))
+    la, decoder = piece_lattice.load(path, scores=dict(enumerate(fitted.tolist())))
+    got = by_id(piece_lattice.encode(docs, with_ids=True))
     for i, x in rows():
-        want = (x or "").replace("▁", " ").encode()
-        assert any(r["decoded_sha256"] == hashlib.sha256(want).hexdigest() and r["round_trip"] for r in got[i])
+        text = x or ""
+        want = text.replace("▁", " ").encode()
+        sha = hashlib.sha256(want).hexdigest()
+        mine = [r for r in got[i] if r["decoded_sha256"] == sha]
+        assert mine and all(r["round_trip"] for r in mine)
+        r = mine[0]
+        assert r["ids_crc32"] == zlib.crc32(r["ids"][0]) == r["n_best_crc32"][0] and r["n_pieces"] == len(r["ids"][0]) // 4
+        assert r["n_segmentations"] == len(r["scores"]) == len(set(r["n_best_crc32"])) and r["scores"] == sorted(r["scores"], reverse=True)
+        assert all(decoder.decode(ids) == want for ids in r["ids"])
+        if len(text) < 3000:
+            best = whole_text_segmentations(la, text)
+            assert r["scores"] == pytest.approx([s for s, _ in best], rel=1e-9)
+            for s, ids in zip(r["scores"], r["ids"], strict=True):
+                assert s == pytest.approx(sum(fitted[k] if not sp.is_byte(k) else la.byte_score for k in np.frombuffer(ids, "<u4").tolist()), rel=1e-9)
     assert piece_lattice.encode(empty).count() == 0
 
 
+def test_pieces_of_many_words_at_once():
+    la, _ = piece_lattice.load(piece_lattice.default_path())
+    rng = random.Random(3)
+    words = {"▁" * rng.randrange(3) + "".join(rng.choices("abcdeinorstué中", k=rng.randrange(1, 14))) for _ in range(400)}
+    for size in {len(w) for w in words}:
+        own = sorted(w for w in words if len(w) == size)
+        for w, got in zip(own, la.best_many(own), strict=True):
+            if got is None:
+                assert any(ch not in la.pieces for ch in w)
+            else:
+                ids, score, loss = la.best_two(w)
+                assert got[0] == ids and got[1:] == pytest.approx((score, loss))
+
+
 @pytest.mark.parametrize("text", ["a   b", "a  b", "  a", "def f():\n        return  1 ", "x" + " " * 40 + "y", "a ▁  b", "   ", "one two three"])
 def test_runs_of_spaces(text):
     """Cut into words or not, the segmentations are those of the whole text under the file's scores."""
