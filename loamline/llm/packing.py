@@ -4,7 +4,12 @@ A sequence has three capacities: tokens, documents and attention cost (the sum
 of squared piece lengths).  Pieces are placed from the longest to the shortest.
 Each goes to the open sequence with room in every dimension that fits best: by
 the largest weighted dot product of the piece with what the sequence already
-holds, or by the smallest weighted norm of what would be left.
+holds, or by the smallest weighted norm of what would be left.  `by="fewest"` makes
+both placements and takes that with fewer sequences.
+
+The production capacities are 1024 tokens and what so many tokens can come to at
+most: 1024 documents and a cost of 1024 squared.  Tighter ones would leave room
+unused; the three residuals weigh alike in the choice.
 
 Pieces of one length are alike, and so are sequences that hold the same lengths.
 The placement is therefore computed exactly from the number of pieces of each
@@ -25,18 +30,19 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamline.llm.blocks import NULL_ID
 from loamline.llm.store import Scratch
 from loamline.llm.token_ids import default_path, encoder
 
 TOKENS, DOCUMENTS, COST = 1024, 1024, 1024 * 1024
-WEIGHTS = (1.0, 0.0, 0.0)
+WEIGHTS = (1.0, 1.0, 1.0)
 END = 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
@@ -48,7 +54,7 @@ class Capacity:
     documents: int = DOCUMENTS
     cost: int = COST
     weights: tuple[float, float, float] = WEIGHTS
-    by: str = "norm"
+    by: str = "fewest"
 
 
 def pieces(docs: DataFrame, capacity: Capacity, tokenizer: str, id_col: str, text_col: str, end: int = END, with_ids: bool = False) -> DataFrame:
@@ -97,6 +103,8 @@ class Placement:
 
 def fit(histogram: dict[int, int], c: Capacity = Capacity()) -> Placement:
     """Places the pieces counted by length.  Open sequences alike in all three residuals are one group."""
+    if c.by == "fewest":
+        return min((fit(histogram, replace(c, by=rule)) for rule in ("norm", "dot")), key=lambda p: p.sequences)
     groups: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
     runs: list[tuple[int, int, int, int, int]] = []
     sequences = 0
@@ -181,7 +189,7 @@ def place(made: DataFrame, capacity: Capacity, keep: Scratch) -> DataFrame:
 
     def number(left: pa.Table, right: pa.Table) -> pa.Table:
         length = left.column("length").to_numpy()
-        by = np.lexsort((left.column("ids_crc32").to_numpy(), left.column("piece").to_numpy(), length))
+        by = np.lexsort((left.column("doc_id").fill_null(NULL_ID).to_numpy(), left.column("ids_crc32").to_numpy(), left.column("piece").to_numpy(), length))
         left, length = left.take(by), length[by]
         first = np.append(True, length[1:] != length[:-1])
         at = np.flatnonzero(first)
