@@ -10,13 +10,17 @@ Writing: a payload becomes a greyscale image of which each 8 x 8 block is even,
 so that the DC levels are its bytes and the thumbnail holds it losslessly.  The
 image is 64 blocks wide and as high as the payload needs (wider where a JPEG's
 height would not do), with a restart after every 64 blocks.  Payloads beyond the
-largest image go to several images one after another.
+largest image go to several images one after another; such a file's height is
+that of all of them and its hash that of all their hashes.
 
 A column of media bytes is a plain binary column; `read` gives its dimensions,
-thumbnail and thumbnail hash as further columns.
+thumbnail hash and payload digests as further columns.  The query writes the column
+as a table in the shared folder and reads that.
 
 Defined results: null and empty texts are payloads of 64 zero bytes; a null id
-is kept; equal texts have equal media; bytes that are no JPEG raise ValueError.
+is kept; equal texts have equal media; bytes that are no baseline JPEG, null or
+empty ones too, have null columns and say why in `error`; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamline.llm.store import Scratch
+
 ROW, SIDE = 64, 8191
 BATCH = 2 << 20
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -284,6 +290,8 @@ def _dc(images: list[Image], scans: list[bytes]) -> list[np.ndarray]:
         units += [(c, lookup(*one.huff[td]), lookup(*one.huff[16 + ta]), one.quant[q])] * (h * v)
     luma = sum(1 for u in units if u[0] == 0)
     mcus = [img.mcus[0] * img.mcus[1] for img in images]
+    if any(2 * n * len(units) > 8 * len(s) for n, s in zip(mcus, scans, strict=True)):
+        raise ValueError("the scan is shorter than its blocks")
     counts = []
     for img, s, n in zip(images, starts, mcus, strict=True):
         each = img.restart or n
@@ -390,13 +398,32 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return rows.mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+def decode(files: list[bytes | None]) -> list[tuple[list[tuple[Image, np.ndarray]], str | None]]:
+    """For each file its images, or none and what is wrong with it."""
+    try:
+        got = thumbnails([f or b"" for f in files])
+        return [(g, None if g else "no bytes") for g in got]
+    except (ValueError, IndexError, KeyError, ZeroDivisionError, struct.error) as e:
+        if len(files) == 1:
+            return [([], f"{type(e).__name__}: {e}")]
+    return [decode([f])[0] for f in files]
+
+
+def file_hash(images: list[tuple[Image, np.ndarray]]) -> str:
+    each = [thumbnail_hash(t) for _, t in images]
+    return each[0] if len(each) == 1 else hashlib.sha256("".join(each).encode()).hexdigest()[:16]
+
+
 def read(media: DataFrame, media_col: str = "media", with_payload: bool = False) -> DataFrame:
-    """Columns before `media` and, from the file's bytes: width, height, thumbnail_hash, media_bytes, media_sha256 and the payload's digests."""
-    names = [c for c in media.columns if c != media_col]
-    rows = media.select(*names, media_col)
-    extra = [("width", "int"), ("height", "int"), ("thumbnail_hash", "string"), ("media_bytes", "long"), ("media_sha256", "string"), ("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long")]
+    """Columns before `media` and, from the file's bytes: width, height, thumbnail_hash, media_bytes, media_sha256, the payload's digests and `error`.
+
+    Of columns with a clashing name those read from the file stay.
+    """
+    extra = [("width", "int"), ("height", "int"), ("thumbnail_hash", "string"), ("media_bytes", "long"), ("media_sha256", "string"), ("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("error", "string")]
     extra += [("payload", "binary")] * with_payload
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != media_col] + [f"{n} {t}" for n, t in extra])
+    names = [c for c in media.columns if c != media_col and c.lower() not in dict(extra)]
+    rows = media.select(*(F.col(f"`{c}`") for c in (*names, media_col)))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + [f"{n} {t}" for n, t in extra])
     kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -405,14 +432,13 @@ def read(media: DataFrame, media_col: str = "media", with_payload: bool = False)
             for s in _in_parts(sizes):
                 part = b.slice(s.start, s.stop - s.start)
                 files = [x.as_py() for x in part.column(len(names))]
-                got = thumbnails([f or b"" for f in files])
                 cols: list[list] = [[] for _ in extra]
-                for f, images in zip(files, got, strict=True):
+                for f, (images, error) in zip(files, decode(files), strict=True):
                     row: list = [None] * len(extra)
                     if images:
                         raw = b"".join(t.tobytes()[: img.payload] if img.payload is not None else t.tobytes() for img, t in images)
-                        first = images[0]
-                        row = [first[0].width, first[0].height, thumbnail_hash(first[1]), len(f), hashlib.sha256(f).hexdigest(), len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-ROW:]), raw][: len(extra)]
+                        row = [images[0][0].width, sum(img.height for img, _ in images), file_hash(images), len(f), hashlib.sha256(f).hexdigest(), len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-ROW:]), None, raw][: len(extra)]
+                    row[8] = error
                     for c, v in zip(cols, row, strict=True):
                         c.append(v)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), *(pa.array(c, kinds[t]) for c, (_, t) in zip(cols, extra, strict=True))], names=[*names, *(n for n, _ in extra)])
@@ -421,7 +447,7 @@ def read(media: DataFrame, media_col: str = "media", with_payload: bool = False)
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The query's columns: texts stored as media, and what their bytes say when read back."""
-    got = read(store(docs, id_col, text_col))
+    """The query's columns: texts stored as a table of media, and what its bytes say when read back."""
+    got = read(Scratch(docs.sparkSession, "media").save(store(docs, id_col, text_col)))
     feature = F.concat_ws(":", F.concat_ws("x", "width", "height"), "thumbnail_hash")
     return got.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))

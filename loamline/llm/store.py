@@ -2,12 +2,16 @@
 
 Every stage that is read more than once, or that ends a long lineage, is
 written as Parquet below ``spark.checkpoint.dir`` and read back, so that losing
-an executor costs one stage at most.  The folder is taken from the session; a
-folder of our own is made only where the session names none, as in tests.
+an executor costs one stage at most.  The folder is taken from the session.  Where
+the session names none, a local session (as in tests) gets one of its own that goes
+with the process; on a cluster that would be another folder on each machine, so
+there it is an error.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -23,7 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="loamline-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="loamline-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own[app] = "file://" + folder
     return _own[app]
 
 

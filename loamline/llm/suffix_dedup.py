@@ -240,10 +240,13 @@ def rewrite(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
     Bytes of a character that loses only some of its own go with it.  Null texts stay null.
     """
     others = [f for f in docs.schema.fields if f.name != text_col]
-    carry = [f.name for f in others] + ["_was_null"]
+    was_null = "_was_null"
+    while was_null.lower() in {n.lower() for n in docs.columns}:
+        was_null += "_"
+    carry = [f.name for f in others] + [was_null]
     kinds = [to_arrow_type(f.dataType) for f in others]
     names = [f.name for f in docs.schema.fields]
-    blocks, parts = R.covered(docs.withColumn("_was_null", F.col(text_col).isNull()), task(length), id_col, text_col, carry)
+    blocks, parts = R.covered(docs.withColumn(was_null, F.col(f"`{text_col}`").isNull()), task(length), id_col, text_col, carry)
 
     def finish(_: int, b: B.Block, got: list[tuple[int, bytes]]) -> pa.Table:
         m = R.mask(sum(len(t) for t in b.texts), got)

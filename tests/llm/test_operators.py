@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import struct
 import zlib
 from collections import Counter
 
@@ -348,6 +349,28 @@ def test_media(docs, empty):
     assert media.digest(empty).count() == 0
 
 
+def test_media_bad_rows(spark):
+    """Bytes that are no JPEG, or a broken one, have an error and no columns; the others are read."""
+    good = media.encode([b"x" * 128])[0]
+    huge = good.replace(struct.pack(">HH", 16, 512), struct.pack(">HH", 65535, 65535))
+    assert huge != good
+    cut = [good[: len(good) // 2], good[:-2], b"", b"no jpeg", None, good[:40] + b"\xff" * 60 + good[100:], huge]
+    df = spark.createDataFrame([(k, f, "w") for k, f in enumerate([good, *cut, good])], "doc_id long, media binary, width string")
+    got = {r.doc_id: r for r in media.read(df, with_payload=True).collect()}
+    assert len(got) == len(cut) + 2
+    for k in (0, len(cut) + 1):
+        assert got[k].error is None and got[k].payload == b"x" * 128 and got[k].width == 512
+    for k in range(1, len(cut) + 1):
+        assert got[k].error and got[k].width is None and got[k].payload_sha256 is None
+
+
+def test_media_of_several_images(monkeypatch):
+    """A file of several images has the hash of all."""
+    monkeypatch.setattr(media, "LARGEST", 128)
+    (a, _), (b, _) = media.decode(media.encode([b"a" * 256 + b"b" * 32 + b"c" * 32, b"a" * 256 + b"c" * 32 + b"b" * 32]))
+    assert len(a) == 3 and media.file_hash(a) != media.file_hash(b)
+
+
 def test_jpeg_wide_and_many():
     rng = np.random.default_rng(0)
     for n in (1, 8191, 8192, 20000):
