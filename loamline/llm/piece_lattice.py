@@ -9,7 +9,7 @@ search ends with the n-th.
 
 A text is escaped as the library does it (a space before the text, spaces as
 U+2581, nothing else normalised).  No piece spans a space and what is before it
-but for runs of spaces, so a segmentation of the text is one of each word with
+but for runs of spaces, and none has a line break, so a segmentation of the text is one of each word with
 the spaces before it, and the n best of the text are the n best sums of the
 words' alternatives.  (A vocabulary with pieces that do is cut elsewhere only.)  Only the n - 1 words whose
 second choice costs least can differ from their best.  A forward and a backward
@@ -56,7 +56,7 @@ LONG = 64
 UNUSABLE = -1e8
 SCHEMA = "doc_id long, n_pieces long, ids_crc32 long, n_segmentations int, scores array<double>, n_best_pieces array<long>, n_best_crc32 array<long>, decoded_sha256 string, round_trip boolean"
 #: Characters that are segmented together, words that are counted together, and choices remembered; they bound memory and change no result.
-SLICE, COUNTED, CHOICES = 1 << 16, 200_000, 50_000
+SLICE, COUNTED, CHOICES = 1 << 15, 300_000, 50_000
 
 
 def default_path() -> str:
@@ -74,8 +74,10 @@ class Lattice:
         # Characters after which a piece goes on with a space: no cut there.
         joined = {a for p in pieces for a, b in zip(p, p[1:], strict=False) if b == SPACE}
         joined |= {" "} if SPACE in joined else set()
+        # White space that no piece has stands alone in every segmentation.
+        self.alone = "".join(c for c in "\t\n\v\f\r" if not any(c in p for p in pieces))
         if joined <= {" ", SPACE}:
-            self.chunks = re.compile(f"[ {SPACE}]{'+' * bool(joined)}[^ {SPACE}]*").findall
+            self.chunks = re.compile(f"[ {SPACE}]{'+' * bool(joined)}[^ {SPACE}{self.alone}]*|[{self.alone}]|[^ {SPACE}{self.alone}]+").findall
         else:
             cut = re.compile(f"(?<![{re.escape(''.join(sorted(joined)))}])(?=[ {SPACE}])")
             self.chunks = lambda s: [w for w in cut.split(s) if w]
@@ -104,18 +106,14 @@ class Lattice:
         edges.sort()
         self.step_key = np.array([k for k, _ in edges] or [0], np.int64)
         self.step_to = np.array([v for _, v in edges] or [0], np.int64)
-        self.weight, self.piece = np.array(weight), np.array(piece, np.int64)
+        self.weight, self.piece = np.array(weight), np.array(piece, np.int32)
 
     def learn(self, words: set[str]) -> None:
         """Puts the best and the loss of every word into the table."""
         by: dict[int, list[str]] = {}
-        for w in words:
-            if w not in self.words:
-                got = self.words.old.get(w)
-                if got is not None:
-                    self.words.put(w, got)
-                elif len(w) <= LONG:
-                    by.setdefault(len(w), []).append(w)
+        for w in words - self.words.keys() - self.words.old.keys():
+            if len(w) <= LONG:
+                by.setdefault(len(w), []).append(w)
         for size, some in by.items():
             for at in range(0, len(some), SLICE // size):
                 part = some[at : at + SLICE // size]
@@ -138,7 +136,7 @@ class Lattice:
             row, col, node = row[hit], col[hit], self.step_to[at[hit]]
             if not len(row):
                 break
-            w, i = np.full((size, n), -np.inf), np.zeros((size, n), np.int64)
+            w, i = np.full((size, n), -np.inf), np.zeros((size, n), np.int32)
             is_piece = self.piece[node] >= 0
             w[col[is_piece], row[is_piece]] = self.weight[node[is_piece]]
             i[col[is_piece], row[is_piece]] = self.piece[node[is_piece]]
@@ -272,17 +270,22 @@ class Lattice:
         """The words of a text, with the spaces before them."""
         return self.chunks(" " + text)
 
-    def n_best_of(self, text: str, words: list[str] | None = None) -> list[tuple[float, bytes]]:
-        """The n best segmentations of a text, best first: (score, ids as little-endian unsigned 32-bit)."""
+    def n_best_of(self, text: str, words: list[str] | None = None) -> list[tuple[float, bytes, list[tuple[bytes, bytes]]]]:
+        """The n best segmentations of a text, best first: score, ids (little-endian unsigned 32-bit) and, of each word that differs from the best, the best's ids and its own."""
         if not text:
-            return [(0.0, b"")]
+            return [(0.0, b"", [])]
         words = self.cut(text) if words is None else words
         parts = list(map(self.words.__getitem__, words))
-        raw = [p[0] for p in parts]
-        total = float(sum([p[1] for p in parts]))
-        gap = np.fromiter([p[2] for p in parts], np.float64, len(parts))
+        raw, score, loss = zip(*parts, strict=True)
+        best, total = b"".join(raw), float(sum(score))
+        gap = np.fromiter(loss, np.float64, len(parts))
         n = self.n
-        few = np.argsort(gap, kind="stable")[: n - 1] if len(gap) > n - 1 else np.arange(len(gap))
+        few = np.argpartition(gap, n - 1)[: n - 1] if len(gap) > n - 1 else np.arange(len(gap))
+        if len(gap) > n - 1:
+            # Of equal losses the first words'.
+            edge = gap[few].max()
+            few = np.flatnonzero(gap <= edge)
+            few = few[np.argsort(gap[few], kind="stable")][: n - 1]
         choices = [(int(k), self.alternatives(words[k])) for k in few if np.isfinite(gap[k])]
         # The n least sums: each step takes the least and lets one part after the last one changed go one choice on.
         found, queue, seen = [], [(0.0, (0,) * len(choices))], set()
@@ -295,13 +298,15 @@ class Lattice:
                     if nxt not in seen:
                         seen.add(nxt)
                         heapq.heappush(queue, (sum(choices[k][1][x][0] for k, x in enumerate(nxt)), nxt))
+        ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
         out = []
         for cost, pick in found:
-            own = raw.copy() if any(pick) else raw
-            for (k, some), x in zip(choices, pick, strict=True):
-                if x:
-                    own[k] = some[x][1]
-            out.append((total - cost, b"".join(own)))
+            pieces, at, changed = [], 0, []
+            for k, own in sorted((k, some[x][1]) for (k, some), x in zip(choices, pick, strict=True) if x):
+                pieces += [best[at : int(ends[k]) - len(raw[k])], own]
+                at = int(ends[k])
+                changed.append((raw[k], own))
+            out.append((total - cost, b"".join([*pieces, best[at:]]) if changed else best, changed))
         return out
 
     def alternatives(self, word: str) -> list[tuple[float, bytes]]:
@@ -322,11 +327,11 @@ class Lattice:
     def segment(self, text: str) -> tuple[bytes, list[float]]:
         """Ids of the best segmentation and the scores of the n best."""
         found = self.n_best_of(text)
-        return found[0][1], [score for score, _ in found]
+        return found[0][1], [score for score, _, _ in found]
 
     def segmentations(self, text: str) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a text, best first: (score, ids)."""
-        return [(score, np.frombuffer(ids, "<u4").tolist()) for score, ids in self.n_best_of(text)]
+        return [(score, np.frombuffer(ids, "<u4").tolist()) for score, ids, _ in self.n_best_of(text)]
 
 
 class _Words(dict):
@@ -360,8 +365,12 @@ class Decoder:
     def __init__(self, raw: list[bytes]):
         self.raw = raw
 
+    def text(self, ids: bytes) -> bytes:
+        """The bytes of some ids of a text."""
+        return b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
     def decode(self, ids: bytes) -> bytes:
-        out = b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        out = self.text(ids)
         return out[1:] if out.startswith(b" ") else out
 
 
@@ -413,15 +422,16 @@ def fit_scores(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp, cut = library(path), cutter(path)
-        total = np.zeros(sp.get_piece_size(), np.int64)
+        total, first = np.zeros(sp.get_piece_size(), np.int64), (" ", SPACE)
         held: Counter[str] = Counter()
 
         def flush() -> None:
             words = list(held)
             for at in range(0, len(words), 1 << 14):
                 part = words[at : at + (1 << 14)]
-                # The library puts the first space itself, but none before nothing.
-                ids = [i or [sp.piece_to_id(SPACE)] for i in sp.encode([w[1:] for w in part], num_threads=1)]
+                # The library puts a space first, but none before nothing; what follows no space is put after a byte of its own.
+                ids = sp.encode([w[1:] if w[0] in first else "\0" + w for w in part], num_threads=1)
+                ids = [(i or [sp.piece_to_id(SPACE)]) if w[0] in first else i[2:] for w, i in zip(part, ids, strict=True)]
                 times = np.repeat([held[w] for w in part], list(map(len, ids)))
                 np.add.at(total, np.fromiter(itertools.chain.from_iterable(ids), np.int64, len(times)), times)
             held.clear()
@@ -480,10 +490,12 @@ def encode(docs: DataFrame, path: str | None = None, n: int = N_BEST, id_col: st
                 cols: list[list] = [[] for _ in kinds]
                 for text, own in zip(some, words, strict=True):
                     found = lattice.n_best_of(text, own)
-                    back = [decoder.decode(ids) for _, ids in found]
-                    raw = text.replace(SPACE, " ").encode()
                     ids = found[0][1]
-                    row = (len(ids) // 4, zlib.crc32(ids), len(found), [s for s, _ in found], [len(i) // 4 for _, i in found], [zlib.crc32(i) for _, i in found], hashlib.sha256(back[0]).hexdigest(), all(x == raw for x in back), [i for _, i in found])
+                    back = decoder.decode(ids)
+                    # What decodes alike word by word decodes alike.
+                    alike = back == text.replace(SPACE, " ").encode() and all(decoder.text(x) == decoder.text(y) for _, _, changed in found for x, y in changed)
+                    scores, every = [s for s, _, _ in found], [i for _, i, _ in found]
+                    row = (len(ids) // 4, zlib.crc32(ids), len(found), scores, [len(i) // 4 for i in every], [zlib.crc32(i) for i in every], hashlib.sha256(back).hexdigest(), alike, every)
                     for c, v in zip(cols, row, strict=True):
                         c.append(v)
                 arrays = [b.column(0).slice(at, len(some)), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))]
