@@ -1,18 +1,26 @@
 """LM scoring with a weighted backoff automaton.
 
-The model is a Dirichlet-smoothed bigram model over words.  Its n-grams are the
-states and arcs of an automaton: a state for the start of text and for each
-word seen in training; an arc for each bigram seen, weighted
-``log10((c(u,v) + mu*p(v)) / (c(u) + mu))``; from every state a failure arc to
-the root, weighted ``log10(mu / (c(u) + mu))``; and at the root an arc for every
-word, weighted with the unigram's ``log10((c(v)+1) / (N + V + 1))``.  What fails
-at a state pays the failure arc and goes on at the root, so the weights of all
-words after a state sum to one.  A text is read once from left to right.
+The model is a Dirichlet-smoothed trigram model over words.  Its n-grams are the
+states and arcs of an automaton: the root, a state for each word seen in training
+and for the start of text, and a state for each bigram seen.  An arc for each
+trigram seen leaves its bigram's state, weighted
+``log10((c(u,v,w) + mu*p(w|v)) / (c(u,v) + mu))``; an arc for each bigram seen
+leaves its word's state, weighted ``log10((c(v,w) + mu*p(w)) / (c(v) + mu))``; at
+the root there is an arc for every word, weighted ``log10((c(w)+1) / (N+V+1))``.
+A state that has no arc for a word fails: its failure arc, weighted
+``log10(mu / (c + mu))``, leads from a bigram to its second word and from a word to
+the root, and the word is tried again there.  So the weights of all words after a
+state sum to one.  An arc leads to the longest suffix that is a state.
+
+A text is read once from left to right: a state is carried from word to word, arcs
+and failure arcs add up.  All texts of a block are read in step, long ones as lanes
+of `LANE` words; a lane first reads the two words before it, after which the state
+is that of a reading from the start, as no state remembers more.
 
 The counts of all n-grams of all training texts are gathered by the packed
 exchange of :mod:`loamline.llm.blocks`; each block then builds the part of the
 automaton that its texts can reach and reads them with it.  Nothing is pruned,
-capped or sampled, and nothing but three totals comes to the driver.
+capped or sampled, and nothing but two totals comes to the driver.
 
 Defined results: a null or empty text has one token, the end; a null id counts
 as training; repeated rows count each time; an empty table gives no rows; with
@@ -37,6 +45,7 @@ END = np.uint64(0x9E3779B97F4A7C15)
 START = np.uint64(0xD1B54A32D192ED03)
 MU = 4.0
 FOLDS, HELD_OUT = 7, 2
+LANE = 1024
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -45,25 +54,47 @@ def fold_of(doc_id: int | None, folds: int) -> int | None:
 
 
 class Grams:
-    """The token and bigram keys of a block's texts, in reading order, and their distinct values."""
+    """The keys of the words, bigrams and trigrams of a block's texts, in reading order, and their distinct values.
+
+    The first word of a text ends no trigram: `tri_at` is -1 there.
+    """
 
     def __init__(self, texts: list[bytes]):
         words = [t.lower().split() for t in texts]
         self.sizes = np.array([len(w) + 1 for w in words], dtype=np.int64)
         ends = np.cumsum(self.sizes) - 1
-        self.tokens = np.empty(int(self.sizes.sum()), np.uint64)
-        is_word = np.ones(len(self.tokens), bool)
+        tokens = np.empty(int(self.sizes.sum()), np.uint64)
+        is_word = np.ones(len(tokens), bool)
         is_word[ends] = False
-        n = len(self.tokens) - len(texts)
-        self.tokens[is_word] = np.fromiter(map(xxhash.xxh64_intdigest, (w for ws in words for w in ws)), np.uint64, n)
-        self.tokens[ends] = END
+        tokens[is_word] = np.fromiter(map(xxhash.xxh64_intdigest, (w for ws in words for w in ws)), np.uint64, len(tokens) - len(texts))
+        tokens[ends] = END
         self.starts = ends - self.sizes + 1
-        self.before = np.empty_like(self.tokens)
-        self.before[1:] = self.tokens[:-1]
-        self.before[self.starts] = START
-        self.pairs = B.mix(self.before + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0x9FB21C651E98DF25) ^ B.mix(self.tokens)
-        self.uni, self.uni_at = np.unique(self.tokens, return_inverse=True)
-        self.bi, self.bi_at = np.unique(self.pairs, return_inverse=True)
+        before = np.empty_like(tokens)
+        before[1:] = tokens[:-1]
+        before[self.starts] = START
+        pairs = joined(before, tokens)
+        inner = np.ones(len(tokens), bool)
+        inner[self.starts] = False
+        self.inner = np.flatnonzero(inner)
+        self.uni, self.uni_at = np.unique(tokens, return_inverse=True)
+        self.bi, self.bi_first, self.bi_at = np.unique(pairs, return_index=True, return_inverse=True)
+        self.tri, first, at = np.unique(joined(pairs[self.inner - 1], tokens[self.inner]), return_index=True, return_inverse=True)
+        self.tri_first = self.inner[first]
+        self.tri_at = np.full(len(tokens), -1, np.int64)
+        self.tri_at[self.inner] = at
+
+    def keys(self) -> list[np.ndarray]:
+        return [self.uni, self.bi, self.tri]
+
+    def counts(self, weight: np.ndarray) -> list[np.ndarray]:
+        """How often each distinct n-gram ends at a token, by the tokens' weights."""
+        pairs = ((self.uni_at, self.uni, weight), (self.bi_at, self.bi, weight), (self.tri_at[self.inner], self.tri, weight[self.inner]))
+        return [np.bincount(at, w, len(k)).astype(np.int64) for at, k, w in pairs]
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The key of an n-gram from that of all but its last word, and that word's."""
+    return B.mix(a + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0x9FB21C651E98DF25) ^ B.mix(b)
 
 
 def in_training(ids: list, folds: int, held_out: int) -> np.ndarray:
@@ -71,24 +102,85 @@ def in_training(ids: list, folds: int, held_out: int) -> np.ndarray:
 
 
 class BackoffAutomaton:
-    """States, arcs and failure arcs over the words and bigrams a block can meet.
+    """The root (state 0), words (1 ..), the start of text and bigrams, with their arcs and failure arcs.
 
-    State s > 0 is word s-1 of the block, state 0 the start of text.  `context`
-    holds each state's count, `arcs` each bigram's count; both are zero where
-    training has none, and then the state has its failure arc alone.
+    `words`, `bigrams` and `trigrams` are training counts, of words as (n), of bigrams and trigrams as (context, label, n):
+    a bigram's context and every label is a word's number, or the number of words for the start of text; a trigram's
+    context is a bigram's number.  N-grams that training doesn't have are no states and no arcs.
     """
 
-    def __init__(self, context: np.ndarray, arcs: np.ndarray, unigrams: np.ndarray, total: float, distinct: float, mu: float):
-        self.root = np.log10((unigrams + 1.0) / (total + distinct + 1.0))
-        self.failure = np.where(context > 0, np.log10(mu / (context + mu)), 0.0)
-        self.context, self.arcs, self.mu = context, arcs, mu
-
-    def read(self, states: np.ndarray, labels: np.ndarray, arc: np.ndarray) -> np.ndarray:
-        """The weight of each step of a left-to-right reading: the arc where the state has one, else failure and root."""
-        root = self.root[labels]
-        count = self.arcs[arc]
-        direct = np.log10((count + self.mu * 10.0**root) / (self.context[states] + self.mu))
-        return np.where(count > 0, direct, self.failure[states] + root)
+    def __init__(self, words: np.ndarray, texts: float, bigrams: tuple[np.ndarray, ...], trigrams: tuple[np.ndarray, ...], total: float, distinct: float, mu: float):
+        size = len(words)
+        self.size, self.start = size, 1 + size
+        self.root = np.log10((words + 1.0) / (total + distinct + 1.0))
+        context = np.append(words, texts)
+        (b_from, b_label, b_n), (t_from, t_label, t_n) = bigrams, trigrams
+        second = (b_n + mu * 10.0 ** self.root[b_label]) / (context[b_from] + mu)
+        with np.errstate(divide="ignore"):
+            self.failure = np.concatenate([[0.0], np.log10(mu / (context + mu)), np.log10(mu / (b_n + mu))])
+        self.fails_to = np.concatenate([np.zeros(1 + len(context), np.int64), 1 + b_label])
+        is_bigram = 2 + size + np.arange(len(b_n))
+        by = np.argsort(b_from * size + b_label, kind="stable")
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        # The second and third word of a trigram seen are a bigram seen.
+        seen = t_n > 0
+        t_from, t_label, t_n = t_from[seen], t_label[seen], t_n[seen]
+        key = (b_from * size + b_label)[by]
+        to = by[np.searchsorted(key, b_label[t_from] * size + t_label)] if len(t_from) else t_from
+        third = (t_n + mu * second[to]) / (b_n[t_from] + mu)
+        some = b_n > 0
+        self.arc = np.concatenate([(1 + b_from[some]) * size + b_label[some], is_bigram[t_from] * size + t_label])
+        weight, leads = np.concatenate([np.log10(second[some]), np.log10(third)]), np.concatenate([is_bigram[some], is_bigram[to]])
+        order = np.argsort(self.arc, kind="stable")
+        self.arc, self.weight, self.leads = self.arc[order], weight[order], leads[order]
+        self.root_leads = np.where(words > 0, 1 + np.arange(size), 0)
+
+    def step(self, state: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One word for each reading: the state after it and the weight of the arcs taken."""
+        state, total = state.copy(), np.zeros(len(state))
+        nxt, open_ = np.zeros(len(state), np.int64), np.arange(len(state))
+        while len(open_):
+            at_root = state[open_] == 0
+            done = open_[at_root]
+            total[done] += self.root[label[done]]
+            nxt[done] = self.root_leads[label[done]]
+            open_ = open_[~at_root]
+            if not len(open_) or not len(self.arc):
+                total[open_] += self.failure[state[open_]]
+                state[open_] = 0
+                continue
+            key = state[open_] * self.size + label[open_]
+            at = np.minimum(np.searchsorted(self.arc, key), len(self.arc) - 1)
+            hit = self.arc[at] == key
+            done = open_[hit]
+            total[done] += self.weight[at[hit]]
+            nxt[done] = self.leads[at[hit]]
+            open_ = open_[~hit]
+            total[open_] += self.failure[state[open_]]
+            state[open_] = self.fails_to[state[open_]]
+        return nxt, total
+
+    def read(self, labels: np.ndarray, starts: np.ndarray, sizes: np.ndarray, lane: int = LANE) -> np.ndarray:
+        """The weight of each text, read from left to right; all lanes in step."""
+        lanes = -(-sizes // lane)
+        owner = np.repeat(np.arange(len(sizes)), lanes)
+        number = np.arange(len(owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        begin = starts[owner] + number * lane
+        end = np.minimum(begin + lane, (starts + sizes)[owner])
+        state = np.where(number > 0, 0, self.start)
+        for back in (2, 1):
+            inside = np.flatnonzero(number > 0)
+            state[inside] = self.step(state[inside], labels[begin[inside] - back])[0]
+        by = np.argsort(begin - end, kind="stable")
+        begin, end, state, owner = begin[by], end[by], state[by], owner[by]
+        length = end - begin
+        total = np.zeros(len(by))
+        for k in range(int(length.max()) if len(length) else 0):
+            live = int(np.searchsorted(-length, -k, side="left"))
+            state[:live], weight = self.step(state[:live], labels[begin[:live] + k])
+            total[:live] += weight
+        return np.bincount(owner, total, len(sizes))
 
 
 def score(docs: DataFrame, mu: float = MU, folds: int = FOLDS, held_out: int = HELD_OUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -100,26 +192,25 @@ def score(docs: DataFrame, mu: float = MU, folds: int = FOLDS, held_out: int = H
 
     def ask(_: int, b: B.Block) -> Iterator[tuple[int, bytes]]:
         g = Grams(b.texts)
-        train = np.repeat(in_training(b.ids, folds, held_out), g.sizes).astype(np.float64)
-        uni_n = np.bincount(g.uni_at, train, len(g.uni)).astype(np.int64)
-        bi_n = np.bincount(g.bi_at, train, len(g.bi)).astype(np.int64)
-        ue, be = B.shard_edges(g.uni, shards), B.shard_edges(g.bi, shards)
+        counts = g.counts(np.repeat(in_training(b.ids, folds, held_out), g.sizes).astype(np.float64))
+        edges = [B.shard_edges(k, shards) for k in g.keys()]
         for s in range(shards):
-            u, v = slice(ue[s], ue[s + 1]), slice(be[s], be[s + 1])
-            if u.start < u.stop or v.start < v.stop:
-                yield s, B.dumps((B.pack_sorted(g.uni[u]), B.planes(B.narrow(uni_n[u])), B.pack_sorted(g.bi[v]), B.planes(B.narrow(bi_n[v]))))
+            parts = [(k[e[s] : e[s + 1]], n[e[s] : e[s + 1]]) for k, n, e in zip(g.keys(), counts, edges, strict=True)]
+            if any(len(k) for k, _ in parts):
+                yield s, B.dumps([(B.pack_sorted(k), B.planes(B.narrow(n))) for k, n in parts])
 
     def total(_: list[int], blobs: list[bytes]) -> list[bytes]:
         got = [B.loads(x) for x in blobs]
-        sums = []
-        for k in (0, 2):
-            keys = [B.unpack_sorted(x[k]) for x in got]
+        answers: list[list] = [[] for _ in got]
+        about = None
+        for order in range(3):
+            keys = [B.unpack_sorted(x[order][0]) for x in got]
             uniq, at = np.unique(np.concatenate(keys), return_inverse=True)
-            n = np.bincount(at, np.concatenate([B.unplanes(x[k + 1]).astype(np.float64) for x in got]), len(uniq)).astype(np.int64)
-            sums.append((n, np.split(n[at], np.cumsum([len(x) for x in keys])[:-1])))
-        (uni, per_uni), (_, per_bi) = sums
-        about = B.dumps((int(uni.sum()), int((uni > 0).sum())))
-        return [B.dumps((B.planes(B.narrow(a)), B.planes(B.narrow(b)))) for a, b in zip(per_uni, per_bi, strict=True)] + [about]
+            n = np.bincount(at, np.concatenate([B.unplanes(x[order][1]).astype(np.float64) for x in got]), len(uniq)).astype(np.int64)
+            about = about or (int(n.sum()), int((n > 0).sum()))
+            for mine, a in zip(answers, np.split(n[at], np.cumsum([len(x) for x in keys])[:-1]), strict=True):
+                mine.append(B.planes(B.narrow(a)))
+        return [B.dumps(a) for a in answers] + [B.dumps(about)]
 
     answers = keep.save(B.each_shard(B.each_block(blocks, ask), total), "none")
 
@@ -135,16 +226,15 @@ def score(docs: DataFrame, mu: float = MU, folds: int = FOLDS, held_out: int = H
     def read(_: int, b: B.Block, got: list[tuple[int, bytes]]) -> pa.Table:
         g = Grams(b.texts)
         parts = [B.loads(x) for _, x in got]
-        uni = np.concatenate([B.unplanes(p[0]).astype(np.int64) for p in parts])
-        bi = np.concatenate([B.unplanes(p[1]).astype(np.int64) for p in parts])
-        texts_n = uni[np.searchsorted(g.uni, END)]
-        automaton = BackoffAutomaton(np.append(texts_n, uni), bi, uni, all_n, all_v, mu)
-        states = np.empty(len(g.tokens), np.int64)
-        states[1:] = g.uni_at[:-1] + 1
-        states[g.starts] = 0
+        uni, bi, tri = (np.concatenate([B.unplanes(p[order]).astype(np.int64) for p in parts]) for order in range(3))
+        before = np.append(-1, g.uni_at[:-1])
+        before[g.starts] = len(uni)
+        bigrams = before[g.bi_first], g.uni_at[g.bi_first], bi
+        trigrams = g.bi_at[g.tri_first - 1], g.uni_at[g.tri_first], tri
+        automaton = BackoffAutomaton(uni, uni[np.searchsorted(g.uni, END)], bigrams, trigrams, all_n, all_v, mu)
         known = np.add.reduceat((uni > 0)[g.uni_at].astype(np.int64), g.starts)
         base = np.add.reduceat(automaton.root[g.uni_at], g.starts)
-        full = np.add.reduceat(automaton.read(states, g.uni_at, g.bi_at), g.starts)
+        full = automaton.read(g.uni_at, g.starts, g.sizes)
         held = [fold_of(i, folds) == held_out for i in b.ids]
         return pa.table({"doc_id": pa.array(b.ids, pa.int64()), "held_out": pa.array(held, pa.bool_()), "n_tokens": g.sizes, "n_known": known, "train_tokens": pa.array([all_n] * len(b.ids), pa.int64()), "base_score": base, "score": full})
 

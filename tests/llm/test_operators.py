@@ -225,39 +225,71 @@ def test_substring(docs, empty):
     assert substring_dedup.dedup(empty).count() == 0
 
 
-def test_lm(docs, empty):
+class Trigrams:
+    """The model over plain counters: probabilities by their definition, not by an automaton."""
+
+    def __init__(self, texts, mu):
+        self.uni, self.bi, self.tri, self.texts, self.mu = Counter(), Counter(), Counter(), len(texts), mu
+        for w in texts:
+            self.uni.update(w)
+            self.bi.update(zip(["<s>", *w[:-1]], w, strict=True))
+            self.tri.update(zip(["<s>", *w], w, w[1:], strict=False))
+        self.n, self.v = sum(self.uni.values()), len(self.uni)
+
+    def one(self, w):
+        return (self.uni[w] + 1) / (self.n + self.v + 1)
+
+    def two(self, v, w):
+        return (self.bi[v, w] + self.mu * self.one(w)) / ((self.texts if v == "<s>" else self.uni[v]) + self.mu)
+
+    def three(self, u, v, w):
+        return (self.tri[u, v, w] + self.mu * self.two(v, w)) / (self.bi[u, v] + self.mu)
+
+    def score(self, text):
+        past = ["<s>", *text]
+        return math.log10(self.two("<s>", text[0])) + sum(math.log10(self.three(*past[k - 1 : k + 2])) for k in range(1, len(text)))
+
+
+@pytest.mark.parametrize("lane", [ngram_lm.LANE, 3])
+def test_lm(docs, empty, monkeypatch, lane):
+    monkeypatch.setattr(ngram_lm.BackoffAutomaton.read, "__defaults__", (lane,))
     got = by_id(ngram_lm.score(docs))
     src = [(i, raw(x).lower().split() + [None]) for i, x in rows()]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    c, bi, n_texts = Counter(), Counter(), 0
-    for i, w in src:
-        if not held(i):
-            c.update(w)
-            bi.update(zip(["<s>", *w[:-1]], w, strict=True))
-            n_texts += 1
-    n, v = sum(c.values()), len(c)
-    p1 = lambda x: (c[x] + 1) / (n + v + 1)
+    m = Trigrams([w for i, w in src if not held(i)], ngram_lm.MU)
+    assert any(m.tri[t] == 0 and m.bi[t[1:]] > 0 for _, w in src for t in zip(w, w[1:], w[2:], strict=False)) and max(m.tri.values()) > 1
     expect = {}
     for i, w in src:
-        s, prev = 0.0, "<s>"
-        for x in w:
-            cu = n_texts if prev == "<s>" else c[prev]
-            s += math.log10((bi[prev, x] + 4 * p1(x)) / (cu + 4)) if cu else math.log10(p1(x))
-            prev = x
-        expect.setdefault(i, []).append((len(w), sum(c[x] > 0 for x in w), sum(math.log10(p1(x)) for x in w), s))
+        expect.setdefault(i, []).append((len(w), sum(m.uni[x] > 0 for x in w), sum(math.log10(m.one(x)) for x in w), m.score(w)))
     for i, e in expect.items():
         for r, want in zip(sorted(got[i], key=lambda r: (r["n_tokens"], r["score"])), sorted(e, key=lambda x: (x[0], x[3])), strict=True):
-            assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (want[0], want[1], n, held(i))
+            assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (want[0], want[1], m.n, held(i))
             assert r["base_score"] == pytest.approx(want[2]) and r["score"] == pytest.approx(want[3])
     assert ngram_lm.score(empty).count() == 0
 
 
-def test_lm_sums_to_one():
-    a = ngram_lm.BackoffAutomaton(np.array([5.0]), np.array([3, 2]), np.array([4, 3, 1, 0]), 8, 3, 2.0)
-    # After state 0, words 0 and 1 have arcs; the others fail to the root.  The last unigram is all unseen words together.
-    seen = 10 ** a.read(np.zeros(2, int), np.array([0, 1]), np.array([0, 1]))
-    rest = 10 ** (a.failure[0] + a.root[[2, 3]])
-    assert seen.sum() + rest.sum() == pytest.approx(1.0)
+@pytest.mark.parametrize("lane", [1, 2, 3, 1000])
+def test_lm_reads_with_carried_states(lane):
+    """Words after any state sum to one, and lanes of any length read a text alike."""
+    rng = random.Random(5)
+    texts = [[rng.choice("abcde") for _ in range(rng.randrange(1, 30))] + ["</s>"] for _ in range(12)]
+    m = Trigrams(texts, 2.0)
+    kinds = sorted(m.uni) + ["unseen"]
+    at = {w: k for k, w in enumerate([*kinds, "<s>"])}
+    bi = [(u, v) for u in at for v in kinds]
+    tri = [(k, w) for k, (_, v) in enumerate(bi) for w in kinds]
+    cols = lambda x: tuple(np.array(c, np.int64) for c in zip(*x, strict=True))
+    a = ngram_lm.BackoffAutomaton(
+        np.array([m.uni[w] for w in kinds]), m.texts, cols([(at[u], at[v], m.bi[u, v]) for u, v in bi]), cols([(k, at[w], m.tri[*bi[k], w]) for k, w in tri]), m.n, m.v, 2.0
+    )
+    # Nothing follows the end of a text.
+    last = [None, *kinds, "<s>", *(v for _, v in bi)]
+    for state in (k for k, w in enumerate(last) if w != "</s>"):
+        _, weight = a.step(np.full(len(kinds), state), np.arange(len(kinds)))
+        assert (10.0**weight).sum() == pytest.approx(1.0)
+    for w in [*texts, ["e", "unseen", "a", "b", "unseen", "unseen", "c", "</s>"]]:
+        labels = np.array([at[x] for x in w])
+        assert a.read(labels, np.array([0]), np.array([len(w)]), lane)[0] == pytest.approx(m.score(w))
 
 
 def test_packing(docs, empty):
