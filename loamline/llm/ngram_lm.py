@@ -162,7 +162,7 @@ class BackoffAutomaton:
         return nxt, total
 
     def read(self, labels: np.ndarray, starts: np.ndarray, sizes: np.ndarray, lane: int = LANE) -> np.ndarray:
-        """The weight of each text, read from left to right; all lanes in step."""
+        """The weight of each text, read from left to right; all lanes (of two words at least) in step."""
         lanes = -(-sizes // lane)
         owner = np.repeat(np.arange(len(sizes)), lanes)
         number = np.arange(len(owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes)

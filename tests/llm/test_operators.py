@@ -268,7 +268,7 @@ def test_lm(docs, empty, monkeypatch, lane):
     assert ngram_lm.score(empty).count() == 0
 
 
-@pytest.mark.parametrize("lane", [1, 2, 3, 1000])
+@pytest.mark.parametrize("lane", [2, 3, 1000])
 def test_lm_reads_with_carried_states(lane):
     """Words after any state sum to one, and lanes of any length read a text alike."""
     rng = random.Random(5)
