@@ -9,7 +9,7 @@ search ends with the n-th.
 
 A text is escaped as the library does it (a space before the text, spaces as
 U+2581, nothing else normalised).  No piece spans a space and what is before it
-but for runs of spaces, and none has a line break, so a segmentation of the text is one of each word with
+but for runs of spaces, none has a line break, and none joins letters and marks, so a segmentation of the text is one of each word with
 the spaces before it, and the n best of the text are the n best sums of the
 words' alternatives.  (A vocabulary with pieces that do is cut elsewhere only.)  Only the n - 1 words whose
 second choice costs least can differ from their best.  A forward and a backward
@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from loamline.llm.blocks import release
 
-N_BEST, TABLE = 4, 400_000
+N_BEST, TABLE = 4, 500_000
 SPACE = "▁"
 BYTE_PENALTY = 10.0
 #: Longer words are segmented by themselves and not remembered.
@@ -74,10 +74,18 @@ class Lattice:
         # Characters after which a piece goes on with a space: no cut there.
         joined = {a for p in pieces for a, b in zip(p, p[1:], strict=False) if b == SPACE}
         joined |= {" "} if SPACE in joined else set()
-        # White space that no piece has stands alone in every segmentation.
-        self.alone = "".join(c for c in "\t\n\v\f\r" if not any(c in p for p in pieces))
+        # White space that no piece has stands alone in every segmentation; letters and marks that no piece joins are parted.
+        alone = "".join(c for c in "\t\n\v\f\r" if not any(c in p for p in pieces))
+        pairs = {a + b for p in pieces for a, b in zip(p, p[1:], strict=False)}
+        letters = re.compile("[A-Za-z0-9\u00c0-\u024f]")
+        beside = {c for x in pairs for c, other in (x, x[::-1]) if letters.match(other)}
+        marks = re.escape("".join(c for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~" if c not in beside)) or "\\b\\B"
         if joined <= {" ", SPACE}:
-            self.chunks = re.compile(f"[ {SPACE}]{'+' * bool(joined)}[^ {SPACE}{self.alone}]*|[{self.alone}]|[^ {SPACE}{self.alone}]+").findall
+            lead, word, mark = f"[ {SPACE}]*+", letters.pattern, f"[{marks}]"
+            other = f"(?![^{letters.pattern[1:-1]}{marks} {SPACE}{alone}])"
+            one = f"[ {SPACE}]{'+' * bool(joined)}"
+            lead = lead if joined else f"[ {SPACE}]?+"
+            self.chunks = re.compile(f"{lead}{word}++{other}|{lead}{mark}++{other}|{lead}[^ {SPACE}{alone}]+|{one}|[{alone}]").findall
         else:
             cut = re.compile(f"(?<![{re.escape(''.join(sorted(joined)))}])(?=[ {SPACE}])")
             self.chunks = lambda s: [w for w in cut.split(s) if w]
@@ -89,93 +97,108 @@ class Lattice:
             for ch in p:
                 node = node.setdefault(ch, {})
             node[""] = v
-        self.words = _Words(self, table)
+        self.words = Words(table)
         self.choices: dict[str, list[tuple[float, bytes]]] = {}
-        # The trie in numpy: (node, character) in order, and what a step leads to.
+        # The trie in numpy: (node, character) in order, and what a step leads to.  Characters are numbered; 0 is none of them.
+        self.letters = np.zeros(0x110000, np.int32)
+        used = sorted({ord(c) for p in pieces for c in p})
+        self.letters[used] = np.arange(1, len(used) + 1)
+        bits = len(used).bit_length()
         edges, weight, piece = [], [np.nan], [-1]
         held = [(0, self.trie)]
         while held:
             at, node = held.pop()
             for ch, nxt in node.items():
                 if ch:
-                    edges.append((at << 21 | ord(ch), len(weight)))
+                    edges.append((at << bits | int(self.letters[ord(ch)]), len(weight)))
                     i, w = nxt.get("", (-1, np.nan))
                     weight.append(w)
                     piece.append(i)
                     held.append((edges[-1][1], nxt))
         edges.sort()
-        self.step_key = np.array([k for k, _ in edges] or [0], np.int64)
-        self.step_to = np.array([v for _, v in edges] or [0], np.int64)
+        kind = np.int32 if len(weight) << bits < 1 << 31 else np.int64
+        self.bits, self.step_key = bits, np.array([k for k, _ in edges] or [0], kind)
+        self.step_to = np.array([v for _, v in edges] or [0], kind)
         self.weight, self.piece = np.array(weight), np.array(piece, np.int32)
 
-    def learn(self, words: set[str]) -> None:
-        """Puts the best and the loss of every word into the table."""
-        by: dict[int, list[str]] = {}
-        for w in words - self.words.keys() - self.words.old.keys():
-            if len(w) <= LONG:
-                by.setdefault(len(w), []).append(w)
+    def learn(self) -> None:
+        """Puts the best and the loss of every word that the table waits for into it."""
+        by: dict[int, list[int]] = {}
+        waiting = self.words.waiting
+        for k, w in enumerate(waiting):
+            by.setdefault(len(w), []).append(k)
+        base = len(self.words) - len(waiting)
         for size, some in by.items():
-            for at in range(0, len(some), SLICE // size):
-                part = some[at : at + SLICE // size]
-                for w, got in zip(part, self.best_many([x.replace(" ", SPACE) for x in part]), strict=True):
-                    self.words.put(w, got or self.best_two(w.replace(" ", SPACE)))
-
-    def best_many(self, words: list[str]) -> list[tuple[bytes, float, float] | None]:
-        """`best_two` of words of one length; None for words with a character that is no piece."""
-        n, size = len(words), len(words[0])
-        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64).reshape(n, size)
-        row, col = (x.ravel() for x in np.indices((n, size)))
-        node = np.zeros(len(row), np.int64)
+            for at in range(0, len(some), max(1, SLICE // size)):
+                part = np.array(some[at : at + max(1, SLICE // size)])
+                words = [waiting[k] for k in part.tolist()]
+                able = np.zeros(len(part), bool)
+                if size <= LONG:
+                    able, *got = self.best_many("".join(words).replace(" ", SPACE), len(words))
+                    self.words.put(base + part[able], *got)
+                for k in np.flatnonzero(~able).tolist():
+                    ids, score, loss = self.best_two(words[k].replace(" ", SPACE))
+                    self.words.put(base + part[k : k + 1], np.frombuffer(ids, "<u4"), np.array([len(ids) // 4]), np.array([score]), np.array([loss]))
+        self.words.waiting = []
+
+    def best_many(self, joined: str, n: int) -> tuple[np.ndarray, ...]:
+        """`best_two` of n words of one length, joined: which have only characters of pieces, and of those the ids one after another, their numbers, scores and losses."""
+        size = len(joined) // n
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4").reshape(n, size).T
+        codes = self.letters[codes].ravel()
+        pos, node = np.arange(size * n), np.zeros(size * n, self.step_key.dtype)
         arcs, ids = [], []
         for reach in range(1, size + 1):
-            inside = col + reach <= size
-            row, col, node = row[inside], col[inside], node[inside]
-            key = node << 21 | codes[row, col + reach - 1]
+            if reach > 1:
+                upto = int(np.searchsorted(pos, (size - reach + 1) * n))
+                pos, node = pos[:upto], node[:upto]
+            key = node << self.bits | codes[pos + (reach - 1) * n]
             at = np.minimum(np.searchsorted(self.step_key, key), len(self.step_key) - 1)
-            hit = self.step_key[at] == key
-            row, col, node = row[hit], col[hit], self.step_to[at[hit]]
-            if not len(row):
+            hit = np.flatnonzero(self.step_key[at] == key)
+            pos, node = pos[hit], self.step_to[at[hit]]
+            if not len(pos):
                 break
-            w, i = np.full((size, n), -np.inf), np.zeros((size, n), np.int32)
-            is_piece = self.piece[node] >= 0
-            w[col[is_piece], row[is_piece]] = self.weight[node[is_piece]]
-            i[col[is_piece], row[is_piece]] = self.piece[node[is_piece]]
-            arcs.append(w)
-            ids.append(i)
-        if not arcs:
-            return [None] * n
-        best, back = np.full((size + 1, n), -np.inf), np.zeros((size + 1, n), np.int64)
+            w, i = np.full(size * n, -np.inf), np.zeros(size * n, np.int32)
+            ends = np.flatnonzero(self.piece[node] >= 0)
+            w[pos[ends]] = self.weight[node[ends]]
+            i[pos[ends]] = self.piece[node[ends]]
+            arcs.append(w.reshape(size, n))
+            ids.append(i.reshape(size, n))
+        able = np.isfinite(arcs[0]).all(axis=0) if arcs else np.zeros(n, bool)
+        if not able.any():
+            return able, np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+        if not able.all():
+            arcs, ids, n = [w[:, able] for w in arcs], [i[:, able] for i in ids], int(able.sum())
+        best, back = np.full((size + 1, n), -np.inf), np.zeros((size + 1, n), np.int16)
         best[0] = 0.0
         for k in range(1, size + 1):
             for i in range(max(0, k - len(arcs)), k):
                 t = best[i] + arcs[k - i - 1][i]
                 up = t > best[k]
-                best[k, up] = t[up]
-                back[k, up] = i
-        able = np.isfinite(arcs[0]).all(axis=0)
+                np.copyto(best[k], t, where=up)
+                np.copyto(back[k], np.int16(i), where=up)
         own = np.arange(n)
-        path, on_path, count, at = np.zeros((n, size), "<u4"), np.zeros((size, n), np.int64), np.zeros(n, np.int64), np.where(able, size, 0)
+        path, on_path, count, at = np.zeros((n, size), "<u4"), np.zeros((size, n), np.int16), np.zeros(n, np.int64), np.full(n, size)
         wide = np.stack(ids)
-        while True:
-            r = own[at > 0]
-            if not len(r):
-                break
+        r = own
+        while len(r):
             k = at[r]
-            i = back[k, r]
+            i = back[k, r].astype(np.int64)
             on_path[i, r] = k
             count[r] += 1
             path[r, size - count[r]] = wide[k - i - 1, i, r]
             at[r] = i
+            r = r[i > 0]
         ahead, second = np.zeros((size + 1, n)), np.full(n, -np.inf)
         for i in range(size - 1, -1, -1):
             most = np.full(n, -np.inf)
             for k in range(i + 1, min(size, i + len(arcs)) + 1):
                 t = arcs[k - i - 1][i] + ahead[k]
-                most = np.maximum(most, t)
-                second = np.where(on_path[i] == k, second, np.maximum(second, best[i] + t))
+                np.maximum(most, t, out=most)
+                t += best[i]
+                np.maximum(second, t, out=second, where=on_path[i] != k)
             ahead[i] = most
-        raw, total, loss = path.tobytes(), best[size].tolist(), (best[size] - np.where(able, second, 0)).tolist()
-        return [(raw[4 * ((w + 1) * size - c) : 4 * (w + 1) * size], total[w], loss[w]) if ok else None for w, (c, ok) in enumerate(zip(count.tolist(), able.tolist(), strict=True))]
+        return able, path[np.arange(size) >= (size - count)[:, None]], count, best[size], best[size] - second
 
     def arcs(self, s: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """For each node, the arcs that end there: (first node, score, ids), longest first."""
@@ -270,23 +293,39 @@ class Lattice:
         """The words of a text, with the spaces before them."""
         return self.chunks(" " + text)
 
-    def n_best_of(self, text: str, words: list[str] | None = None) -> list[tuple[float, bytes, list[tuple[bytes, bytes]]]]:
-        """The n best segmentations of a text, best first: score, ids (little-endian unsigned 32-bit) and, of each word that differs from the best, the best's ids and its own."""
-        if not text:
-            return [(0.0, b"", [])]
-        words = self.cut(text) if words is None else words
-        parts = list(map(self.words.__getitem__, words))
-        raw, score, loss = zip(*parts, strict=True)
-        best, total = b"".join(raw), float(sum(score))
-        gap = np.fromiter(loss, np.float64, len(parts))
-        n = self.n
-        few = np.argpartition(gap, n - 1)[: n - 1] if len(gap) > n - 1 else np.arange(len(gap))
-        if len(gap) > n - 1:
+    def n_best_all(self, texts: list[str]) -> Iterator[list[tuple[float, bytes, list[tuple[bytes, bytes]]]]]:
+        """For each text its n best segmentations, best first: score, ids (little-endian unsigned 32-bit) and, of each word that differs from the best, the best's ids and its own."""
+        words = [self.cut(t) if t else [] for t in texts]
+        flat = list(itertools.chain.from_iterable(words))
+        table = self.words
+        at = np.fromiter(map(table.__getitem__, flat), np.int64, len(flat))
+        self.learn()
+        number, score, loss = table.number[at], table.score[at], table.loss[at]
+        ends = np.cumsum(number)
+        ids = table.pool[np.repeat(table.first[at] - ends + number, number) + np.arange(int(number.sum()))]
+        upto = np.cumsum(list(map(len, words)))
+        for text, hi, own in zip(texts, upto.tolist(), words, strict=True):
+            lo = hi - len(own)
+            if not text:
+                yield [(0.0, b"", [])]
+                continue
+            begin = int(ends[lo - 1]) if lo else 0
+            yield self._n_best(own, score[lo:hi], loss[lo:hi], ends[lo:hi] - begin, number[lo:hi], ids[begin : int(ends[hi - 1])].tobytes())
+        if len(table) > table.most:
+            table.forget()
+
+    def _n_best(self, words: list[str], score: np.ndarray, loss: np.ndarray, ends: np.ndarray, number: np.ndarray, best: bytes) -> list[tuple[float, bytes, list[tuple[bytes, bytes]]]]:
+        n, total = self.n, float(score.sum())
+        few = np.arange(len(loss))
+        if len(loss) > n - 1:
             # Of equal losses the first words'.
-            edge = gap[few].max()
-            few = np.flatnonzero(gap <= edge)
-            few = few[np.argsort(gap[few], kind="stable")][: n - 1]
-        choices = [(int(k), self.alternatives(words[k])) for k in few if np.isfinite(gap[k])]
+            few = np.flatnonzero(loss <= np.partition(loss, n - 2)[n - 2])
+            few = few[np.argsort(loss[few], kind="stable")][: n - 1]
+        choices = []
+        for k in few.tolist():
+            if np.isfinite(loss[k]):
+                hi = 4 * int(ends[k])
+                choices.append((k, self.alternatives(words[k], best[hi - 4 * int(number[k]) : hi])))
         # The n least sums: each step takes the least and lets one part after the last one changed go one choice on.
         found, queue, seen = [], [(0.0, (0,) * len(choices))], set()
         while queue and len(found) < n:
@@ -298,23 +337,22 @@ class Lattice:
                     if nxt not in seen:
                         seen.add(nxt)
                         heapq.heappush(queue, (sum(choices[k][1][x][0] for k, x in enumerate(nxt)), nxt))
-        ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
         out = []
         for cost, pick in found:
             pieces, at, changed = [], 0, []
-            for k, own in sorted((k, some[x][1]) for (k, some), x in zip(choices, pick, strict=True) if x):
-                pieces += [best[at : int(ends[k]) - len(raw[k])], own]
-                at = int(ends[k])
-                changed.append((raw[k], own))
+            for k, some, x in sorted((k, some, x) for (k, some), x in zip(choices, pick, strict=True) if x):
+                hi = 4 * int(ends[k])
+                pieces += [best[at : hi - 4 * int(number[k])], some[x][1]]
+                at = hi
+                changed.append((some[0][1], some[x][1]))
             out.append((total - cost, b"".join([*pieces, best[at:]]) if changed else best, changed))
         return out
 
-    def alternatives(self, word: str) -> list[tuple[float, bytes]]:
-        """A word's n best: (what it loses against the best, ids), by the A-star search."""
+    def alternatives(self, word: str, first: bytes) -> list[tuple[float, bytes]]:
+        """A word's n best: (what it loses against the best, ids), by the A-star search.  `first` is the table's best."""
         got = self.choices.get(word)
         if got is None:
             found = self.n_best(word.replace(" ", SPACE))
-            first = self.words[word][0]
             got = [(found[0][0] - score, np.array(ids, "<u4").tobytes()) for score, ids in found]
             # Of equals the search may have another first than the table.
             got = [(0.0, first), *(x for x in got if x[1] != first)][: self.n]
@@ -324,6 +362,9 @@ class Lattice:
                 self.choices[word] = got
         return got
 
+    def n_best_of(self, text: str) -> list[tuple[float, bytes, list[tuple[bytes, bytes]]]]:
+        return next(iter(list(self.n_best_all([text]))))
+
     def segment(self, text: str) -> tuple[bytes, list[float]]:
         """Ids of the best segmentation and the scores of the n best."""
         found = self.n_best_of(text)
@@ -334,29 +375,39 @@ class Lattice:
         return [(score, np.frombuffer(ids, "<u4").tolist()) for score, ids, _ in self.n_best_of(text)]
 
 
-class _Words(dict):
-    """word: (ids of the best, its score, what the second loses).
+class Words(dict):
+    """word: its number; of each number the best's ids (a run of the pool), its score and what the second loses.
 
-    Two generations: when the young one is full it becomes the old one, and words met again come back from it.
+    Words not met before are numbered and wait to be learnt.  Beyond `most` words the table starts anew.
     """
 
-    def __init__(self, lattice: Lattice, most: int):
+    def __init__(self, most: int):
         super().__init__()
-        self.lattice, self.most, self.old = lattice, most, {}
-
-    def put(self, word: str, got: tuple[bytes, float, float]) -> None:
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[word] = got
-
-    def __missing__(self, word: str) -> tuple[bytes, float, float]:
-        got = self.old.get(word)
-        if got is None:
-            got = self.lattice.best_two(word.replace(" ", SPACE))
-        if len(word) <= LONG:
-            self.put(word, got)
-        return got
+        self.most = most
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.waiting: list[str] = []
+        self.pool, self.used = np.zeros(1 << 12, "<u4"), 0
+        self.first, self.number = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64)
+        self.score, self.loss = np.zeros(1 << 10), np.zeros(1 << 10)
+
+    def __missing__(self, word: str) -> int:
+        self[word] = k = len(self)
+        self.waiting.append(word)
+        return k
+
+    def put(self, at: np.ndarray, ids: np.ndarray, number: np.ndarray, score: np.ndarray, loss: np.ndarray) -> None:
+        if len(self) > len(self.first):
+            size = max(len(self), 2 * len(self.first))
+            self.first, self.number, self.score, self.loss = (np.resize(x, size) for x in (self.first, self.number, self.score, self.loss))
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.resize(self.pool, max(self.used + len(ids), 2 * len(self.pool)))
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.first[at], self.number[at] = self.used + np.cumsum(number) - number, number
+        self.score[at], self.loss[at] = score, loss
+        self.used += len(ids)
 
 
 class Decoder:
@@ -480,16 +531,12 @@ def encode(docs: DataFrame, path: str | None = None, n: int = N_BEST, id_col: st
         for b in batches:
             texts, at = b.column(1), 0
             while at < len(texts):
-                some, words, size = [], [], 0
-                while at + len(some) < len(texts) and size < 16 * SLICE:
-                    text = texts[at + len(some)].as_py() or ""
-                    some.append(text)
-                    words.append(lattice.cut(text))
-                    size += len(text)
-                lattice.learn(set().union(*words))
+                some, size = [], 0
+                while at + len(some) < len(texts) and size < 32 * SLICE:
+                    some.append(texts[at + len(some)].as_py() or "")
+                    size += len(some[-1])
                 cols: list[list] = [[] for _ in kinds]
-                for text, own in zip(some, words, strict=True):
-                    found = lattice.n_best_of(text, own)
+                for text, found in zip(some, lattice.n_best_all(some), strict=True):
                     ids = found[0][1]
                     back = decoder.decode(ids)
                     # What decodes alike word by word decodes alike.

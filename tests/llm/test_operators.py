@@ -497,14 +497,22 @@ def test_pieces_of_many_words_at_once():
     words = {"▁" * rng.randrange(3) + "".join(rng.choices("abcdeinorstué中", k=rng.randrange(1, 14))) for _ in range(400)}
     for size in {len(w) for w in words}:
         own = sorted(w for w in words if len(w) == size)
-        for w, got in zip(own, la.best_many(own), strict=True):
-            if got is None:
-                assert any(ch not in la.pieces for ch in w)
-            else:
-                ids, score, loss = la.best_two(w)
-                assert got[0] == ids and got[1:] == pytest.approx((score, loss))
+        able, ids, number, score, loss = la.best_many("".join(own), len(own))
+        ends = np.cumsum(number)
+        assert able.tolist() == [all(ch in la.pieces for ch in w) for w in own]
+        for k, w in enumerate(w for w, ok in zip(own, able, strict=True) if ok):
+            want = la.best_two(w)
+            assert ids[ends[k] - number[k] : ends[k]].tobytes() == want[0] and (score[k], loss[k]) == pytest.approx(want[1:])
 
 
+@pytest.mark.parametrize("text", ["don't stop.\nNow,  go_on (x_1) 'tis", "a.b_c..d ...e_", "x\u2019s \u00e9t\u00e9!?\t# 3.14%", "_a.b-c_ \u2014z"])
+def test_cutting_changes_no_segmentation(text):
+    la, _ = piece_lattice.load(piece_lattice.default_path())
+    assert "".join(la.cut(text)) == " " + text
+    want = whole_text_segmentations(la, text)
+    assert [s for s, _ in la.segmentations(text)] == pytest.approx([s for s, _ in want], rel=1e-12)
+    assert len(la.cut("a.b")) == 3 and len(la.cut("a_b")) == 1
+
 @pytest.mark.parametrize("text", ["a   b", "a  b", "  a", "def f():\n        return  1 ", "x" + " " * 40 + "y", "a ▁  b", "   ", "one two three"])
 def test_runs_of_spaces(text):
     """Cut into words or not, the segmentations are those of the whole text under the file's scores."""
