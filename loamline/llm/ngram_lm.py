@@ -56,7 +56,7 @@ def fold_of(doc_id: int | None, folds: int) -> int | None:
 class Grams:
     """The keys of the words, bigrams and trigrams of a block's texts, in reading order, and their distinct values.
 
-    The first word of a text ends no trigram: `tri_at` is -1 there.
+    The first word of a text ends no trigram; `inner` are the places of the others.
     """
 
     def __init__(self, texts: list[bytes]):
@@ -73,25 +73,42 @@ class Grams:
         before[1:] = tokens[:-1]
         before[self.starts] = START
         pairs = joined(before, tokens)
+        del before, is_word
         inner = np.ones(len(tokens), bool)
         inner[self.starts] = False
-        self.inner = np.flatnonzero(inner)
-        self.uni, self.uni_at = np.unique(tokens, return_inverse=True)
-        self.bi, self.bi_first, self.bi_at = np.unique(pairs, return_index=True, return_inverse=True)
-        self.tri, first, at = np.unique(joined(pairs[self.inner - 1], tokens[self.inner]), return_index=True, return_inverse=True)
-        self.tri_first = self.inner[first]
-        self.tri_at = np.full(len(tokens), -1, np.int64)
-        self.tri_at[self.inner] = at
+        self.inner = np.flatnonzero(inner).astype(np.int32)
+        triples = joined(pairs[self.inner - 1], tokens[self.inner])
+        self.uni, self.uni_at = _numbered(tokens)
+        del tokens
+        self.bi, self.bi_at = _numbered(pairs)
+        del pairs
+        self.tri, self.tri_at = _numbered(triples)
+
+    def parents(self) -> tuple[np.ndarray, ...]:
+        """Of each bigram its first and second word (the number of words for the start of text), of each trigram its first and second bigram."""
+        before = np.empty(len(self.uni_at), np.int32)
+        before[1:] = self.uni_at[:-1]
+        before[self.starts] = len(self.uni)
+        out = [np.empty(len(self.bi), np.int32), np.empty(len(self.bi), np.int32), np.empty(len(self.tri), np.int32), np.empty(len(self.tri), np.int32)]
+        for own, at, x in ((out[0], self.bi_at, before), (out[1], self.bi_at, self.uni_at), (out[2], self.tri_at, self.bi_at[self.inner - 1]), (out[3], self.tri_at, self.bi_at[self.inner])):
+            own[at] = x
+        return tuple(out)
 
     def keys(self) -> list[np.ndarray]:
         return [self.uni, self.bi, self.tri]
 
     def counts(self, weight: np.ndarray) -> list[np.ndarray]:
         """How often each distinct n-gram ends at a token, by the tokens' weights."""
-        pairs = ((self.uni_at, self.uni, weight), (self.bi_at, self.bi, weight), (self.tri_at[self.inner], self.tri, weight[self.inner]))
+        pairs = ((self.uni_at, self.uni, weight), (self.bi_at, self.bi, weight), (self.tri_at, self.tri, weight[self.inner]))
         return [np.bincount(at, w, len(k)).astype(np.int64) for at, k, w in pairs]
 
 
+def _numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and which of them each is."""
+    kinds, at = np.unique(x, return_inverse=True)
+    return kinds, at.astype(np.int32)
+
+
 def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The key of an n-gram from that of all but its last word, and that word's."""
     return B.mix(a + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0x9FB21C651E98DF25) ^ B.mix(b)
@@ -102,63 +119,52 @@ def in_training(ids: list, folds: int, held_out: int) -> np.ndarray:
 
 
 class BackoffAutomaton:
-    """The root (state 0), words (1 ..), the start of text and bigrams, with their arcs and failure arcs.
+    """The root (state 0), words (1 ..), the start of text and bigrams, with their arcs and failure arcs, over the n-grams of a block.
 
-    `words`, `bigrams` and `trigrams` are training counts, of words as (n), of bigrams and trigrams as (context, label, n):
-    a bigram's context and every label is a word's number, or the number of words for the start of text; a trigram's
-    context is a bigram's number.  N-grams that training doesn't have are no states and no arcs.
+    An arc is found by the key of its n-gram, which comes from its state's and its label's: of a word's arc among the
+    bigrams, of a bigram's among the trigrams.  Training counts are given; an n-gram that training doesn't have is no
+    state and no arc.
     """
 
-    def __init__(self, words: np.ndarray, texts: float, bigrams: tuple[np.ndarray, ...], trigrams: tuple[np.ndarray, ...], total: float, distinct: float, mu: float):
-        size = len(words)
-        self.size, self.start = size, 1 + size
+    def __init__(self, g: Grams, words: np.ndarray, bigrams: np.ndarray, trigrams: np.ndarray, total: float, distinct: float, mu: float):
+        self.g, self.size = g, len(words)
+        self.start = 1 + self.size
+        context = np.append(words, words[np.searchsorted(g.uni, END)])
+        b_from, b_label, t_from, t_to = g.parents()
         self.root = np.log10((words + 1.0) / (total + distinct + 1.0))
-        context = np.append(words, texts)
-        (b_from, b_label, b_n), (t_from, t_label, t_n) = bigrams, trigrams
-        second = (b_n + mu * 10.0 ** self.root[b_label]) / (context[b_from] + mu)
-        with np.errstate(divide="ignore"):
-            self.failure = np.concatenate([[0.0], np.log10(mu / (context + mu)), np.log10(mu / (b_n + mu))])
-        self.fails_to = np.concatenate([np.zeros(1 + len(context), np.int64), 1 + b_label])
-        is_bigram = 2 + size + np.arange(len(b_n))
-        by = np.argsort(b_from * size + b_label, kind="stable")
-        place = np.empty(len(by), np.int64)
-        place[by] = np.arange(len(by))
-        # The second and third word of a trigram seen are a bigram seen.
-        seen = t_n > 0
-        t_from, t_label, t_n = t_from[seen], t_label[seen], t_n[seen]
-        key = (b_from * size + b_label)[by]
-        to = by[np.searchsorted(key, b_label[t_from] * size + t_label)] if len(t_from) else t_from
-        third = (t_n + mu * second[to]) / (b_n[t_from] + mu)
-        some = b_n > 0
-        self.arc = np.concatenate([(1 + b_from[some]) * size + b_label[some], is_bigram[t_from] * size + t_label])
-        weight, leads = np.concatenate([np.log10(second[some]), np.log10(third)]), np.concatenate([is_bigram[some], is_bigram[to]])
-        order = np.argsort(self.arc, kind="stable")
-        self.arc, self.weight, self.leads = self.arc[order], weight[order], leads[order]
-        self.root_leads = np.where(words > 0, 1 + np.arange(size), 0)
+        second = (bigrams + mu * 10.0 ** self.root[b_label]) / (context[b_from] + mu)
+        third = (trigrams + mu * second[t_to]) / (bigrams[t_from] + mu)
+        self.failure = np.concatenate([[0.0], np.log10(mu / (context + mu)), np.log10(mu / (bigrams + mu))])
+        self.fails_to = np.concatenate([np.zeros(1 + len(context), np.int32), 1 + b_label])
+        self.key = np.concatenate([np.zeros(1, np.uint64), g.uni, np.array([START]), g.bi])
+        self.two = g.bi, bigrams > 0, np.log10(second), np.arange(2 + self.size, 2 + self.size + len(bigrams), dtype=np.int32)
+        self.three = g.tri, trigrams > 0, np.log10(third), 2 + self.size + t_to
+        self.root_leads = np.where(words > 0, 1 + np.arange(self.size), 0)
 
     def step(self, state: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """One word for each reading: the state after it and the weight of the arcs taken."""
+        """One word for each reading: the state after it and the weight of the arcs taken.
+
+        Where a state has no arc for the word its failure arc is taken, from bigrams to words and from words to the root.
+        """
         state, total = state.copy(), np.zeros(len(state))
-        nxt, open_ = np.zeros(len(state), np.int64), np.arange(len(state))
-        while len(open_):
-            at_root = state[open_] == 0
-            done = open_[at_root]
-            total[done] += self.root[label[done]]
-            nxt[done] = self.root_leads[label[done]]
-            open_ = open_[~at_root]
-            if not len(open_) or not len(self.arc):
-                total[open_] += self.failure[state[open_]]
-                state[open_] = 0
-                continue
-            key = state[open_] * self.size + label[open_]
-            at = np.minimum(np.searchsorted(self.arc, key), len(self.arc) - 1)
-            hit = self.arc[at] == key
-            done = open_[hit]
-            total[done] += self.weight[at[hit]]
-            nxt[done] = self.leads[at[hit]]
-            open_ = open_[~hit]
-            total[open_] += self.failure[state[open_]]
-            state[open_] = self.fails_to[state[open_]]
+        nxt = np.zeros(len(state), np.int64)
+        left = np.flatnonzero(state > self.start)
+        for keys, seen, weight, leads in (self.three, self.two):
+            if len(left) and len(keys):
+                want = joined(self.key[state[left]], self.g.uni[label[left]])
+                at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+                hit = (keys[at] == want) & seen[at]
+                done = left[hit]
+                total[done] += weight[at[hit]]
+                nxt[done] = leads[at[hit]]
+                state[done] = -1
+                left = left[~hit]
+            total[left] += self.failure[state[left]]
+            state[left] = self.fails_to[state[left]]
+            left = np.flatnonzero(state > 0)
+        left = np.flatnonzero(state == 0)
+        total[left] += self.root[label[left]]
+        nxt[left] = self.root_leads[label[left]]
         return nxt, total
 
     def read(self, labels: np.ndarray, starts: np.ndarray, sizes: np.ndarray, lane: int = LANE) -> np.ndarray:
@@ -227,11 +233,7 @@ def score(docs: DataFrame, mu: float = MU, folds: int = FOLDS, held_out: int = H
         g = Grams(b.texts)
         parts = [B.loads(x) for _, x in got]
         uni, bi, tri = (np.concatenate([B.unplanes(p[order]).astype(np.int64) for p in parts]) for order in range(3))
-        before = np.append(-1, g.uni_at[:-1])
-        before[g.starts] = len(uni)
-        bigrams = before[g.bi_first], g.uni_at[g.bi_first], bi
-        trigrams = g.bi_at[g.tri_first - 1], g.uni_at[g.tri_first], tri
-        automaton = BackoffAutomaton(uni, uni[np.searchsorted(g.uni, END)], bigrams, trigrams, all_n, all_v, mu)
+        automaton = BackoffAutomaton(g, uni, bi, tri, all_n, all_v, mu)
         known = np.add.reduceat((uni > 0)[g.uni_at].astype(np.int64), g.starts)
         base = np.add.reduceat(automaton.root[g.uni_at], g.starts)
         full = automaton.read(g.uni_at, g.starts, g.sizes)

@@ -274,22 +274,18 @@ def test_lm_reads_with_carried_states(lane):
     rng = random.Random(5)
     texts = [[rng.choice("abcde") for _ in range(rng.randrange(1, 30))] + ["</s>"] for _ in range(12)]
     m = Trigrams(texts, 2.0)
-    kinds = sorted(m.uni) + ["unseen"]
-    at = {w: k for k, w in enumerate([*kinds, "<s>"])}
-    bi = [(u, v) for u in at for v in kinds]
-    tri = [(k, w) for k, (_, v) in enumerate(bi) for w in kinds]
-    cols = lambda x: tuple(np.array(c, np.int64) for c in zip(*x, strict=True))
-    a = ngram_lm.BackoffAutomaton(
-        np.array([m.uni[w] for w in kinds]), m.texts, cols([(at[u], at[v], m.bi[u, v]) for u, v in bi]), cols([(k, at[w], m.tri[*bi[k], w]) for k, w in tri]), m.n, m.v, 2.0
-    )
+    read = [*texts, ["e", "unseen", "a", "b", "unseen", "unseen", "c", "</s>"]]
+    g = ngram_lm.Grams([" ".join(w[:-1]).encode() for w in read])
+    counts = g.counts(np.repeat([1.0] * len(texts) + [0.0], g.sizes))
+    a = ngram_lm.BackoffAutomaton(g, *counts, m.n, m.v, 2.0)
+    got = a.read(g.uni_at, g.starts, g.sizes, lane)
+    assert got == pytest.approx([m.score(w) for w in read])
+    end = 1 + int(np.searchsorted(g.uni, ngram_lm.END))
+    last = np.concatenate([[0], 1 + np.arange(len(g.uni)), [a.start], a.fails_to[a.start + 1 :]])
     # Nothing follows the end of a text.
-    last = [None, *kinds, "<s>", *(v for _, v in bi)]
-    for state in (k for k, w in enumerate(last) if w != "</s>"):
-        _, weight = a.step(np.full(len(kinds), state), np.arange(len(kinds)))
+    for state in np.flatnonzero(last != end).tolist():
+        _, weight = a.step(np.full(len(g.uni), state), np.arange(len(g.uni)))
         assert (10.0**weight).sum() == pytest.approx(1.0)
-    for w in [*texts, ["e", "unseen", "a", "b", "unseen", "unseen", "c", "</s>"]]:
-        labels = np.array([at[x] for x in w])
-        assert a.read(labels, np.array([0]), np.array([len(w)]), lane)[0] == pytest.approx(m.score(w))
 
 
 def test_packing(docs, empty):
