@@ -15,7 +15,11 @@ steps that bring equal windows together without moving every suffix:
 3. *Solving.*  Those snippets, and only those, travel with their tokens to the
    shard of their anchor, where the operator's own suffix structure finds which
    of their windows start earlier elsewhere.
-4. *Cover.*  Blocks get the covered ranges back and mark the tokens.
+4. *Hot anchors.*  An anchor that more than `HOT` different contents share (a line
+   that a third of all documents hold, in other surroundings each) would gather
+   them in one task.  Its windows go their ways by their whole prefix instead: each
+   by the hash of all its tokens, so that equal ones still meet and others spread.
+5. *Cover.*  Blocks get the covered ranges back and mark the tokens.
 
 A block sends a content once however many of its documents hold it.  No window
 is dropped, sampled or capped.
@@ -37,6 +41,8 @@ from loamline.llm.store import Scratch
 FACTOR = 0x9E3779B97F4A7C55
 CHUNK = 1 << 18
 COVER, LOW32 = -2, np.uint64(0xFFFFFFFF)
+#: Contents of one anchor that one task takes.
+HOT = 1 << 13
 
 
 def kgram_hashes(v: np.ndarray, k: int) -> np.ndarray:
@@ -161,8 +167,8 @@ def remember(task: Task) -> Callable[[B.Block], object]:
     return run
 
 
-def classes(got: list[tuple]) -> list[np.ndarray]:
-    """For each block's contents: 0 alone, 1 starts earlier elsewhere, 2 the first of its content and its anchor has others."""
+def classes(got: list[tuple], hot: int = HOT) -> list[np.ndarray]:
+    """For each block's contents: 0 alone, 1 starts earlier elsewhere, 2 the first of its content and its anchor has others, 3 as 2 with more than `hot`."""
     sizes = [x[0][1] for x in got]
     h = np.concatenate([B.unpack_sorted(x[0]) for x in got])
     w, order, place = (np.concatenate([B.unplanes(x[i]).astype(d) for x in got]) for i, d in ((1, np.uint64), (2, np.int64), (3, np.int64)))
@@ -175,8 +181,8 @@ def classes(got: list[tuple]) -> list[np.ndarray]:
     cls, grp = np.cumsum(new) - 1, np.cumsum(new_h) - 1
     head = np.flatnonzero(new)[cls]
     later = (order > order[head]) | (order == order[head]) & (place > place[head])
-    many = np.bincount(grp, new) > 1
-    verdict = np.where(later, 1, np.where(many[grp], 2, 0)).astype(np.uint8)
+    many = np.bincount(grp, new)[grp]
+    verdict = np.where(later, 1, np.where(many > hot, 3, np.where(many > 1, 2, 0))).astype(np.uint8)
     out = np.empty(len(h), np.uint8)
     out[by] = verdict
     return np.split(out, np.cumsum(sizes)[:-1])
@@ -197,8 +203,10 @@ def covered(docs: DataFrame, task: Task, id_col: str, text_col: str, carry: list
                 i = f[edges[s] : edges[s + 1]]
                 yield s, B.dumps((B.pack_sorted(e.h[i]), B.planes(e.w[i]), B.planes(e.order[i]), B.planes(e.place[i].astype(np.uint32))))
 
+    hot = HOT
+
     def answer(_: list[int], blobs: list[bytes]) -> list[bytes]:
-        return [B.dumps(x.tobytes()) for x in classes([B.loads(x) for x in blobs])]
+        return [B.dumps(x.tobytes()) for x in classes([B.loads(x) for x in blobs], hot)]
 
     def sort_out(n: int, b: B.Block, got: list[tuple[int, bytes]]) -> pa.Table:
         e = Entries(task, b)
@@ -214,6 +222,7 @@ def covered(docs: DataFrame, task: Task, id_col: str, text_col: str, carry: list
                 lo, hi = e.lo[i] * task.unit, (e.hi[i] + task.length) * task.unit
                 raw = b"".join(e.raw[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True))
                 rows.append((s, B.dumps((raw, e.hi[i] + task.length - e.lo[i], e.q[i] - e.lo[i], e.order[i], e.place[i], e.lo[i], e.h[i]))))
+        rows += hot_windows(task, e, np.flatnonzero(~gone & (verdict == 3)), shards)
         return pa.Table.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([n] * len(rows), pa.int64()), pa.array([x for _, x in rows], pa.binary())], schema=B.PART)
 
     answers = B.each_shard(B.each_block(blocks, ask), answer)
@@ -221,6 +230,8 @@ def covered(docs: DataFrame, task: Task, id_col: str, text_col: str, carry: list
 
     def solve(_: list[int], blobs: list[bytes]) -> list[bytes | None]:
         got = [B.loads(x) for x in blobs]
+        if isinstance(got[0], HotWindows):
+            return [B.dumps((x.at[later], x.at[later] + task.length)) if later.any() else None for x, later in zip(got, earlier_elsewhere(got), strict=True)]
         kind = np.dtype(f"u{task.unit}")
         cols = [np.concatenate([x[i] for x in got]) for i in range(1, 7)]
         found = in_parts(task, np.frombuffer(b"".join(x[0] for x in got), kind), cols[0], cols[5], cols[1:4])
@@ -237,6 +248,44 @@ def covered(docs: DataFrame, task: Task, id_col: str, text_col: str, carry: list
     return blocks, sorted_out.filter(f"shard = {COVER}").unionByName(solved)
 
 
+@dataclass
+class HotWindows:
+    """A block's windows of hot anchors: 128 bits of each one's tokens, its document's order, its place there and in the block."""
+
+    h: np.ndarray
+    w: np.ndarray
+    order: np.ndarray
+    place: np.ndarray
+    at: np.ndarray
+
+
+def hot_windows(task: Task, e: Entries, snippets: np.ndarray, shards: int) -> list[tuple[int, bytes]]:
+    """Rows (shard, blob) with the windows of some snippets, to shards of their own beyond those of anchors."""
+    if not len(snippets):
+        return []
+    count = e.hi[snippets] - e.lo[snippets] + 1
+    at = np.repeat(e.lo[snippets] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+    own = np.repeat(snippets, count)
+    raw, u, n, digest = memoryview(e.raw), task.unit, task.length * task.unit, xxhash.xxh64_intdigest
+    h, w = (np.fromiter((digest(raw[i : i + n], seed) for i in (at * u).tolist()), np.uint64, len(at)) for seed in (0, 1))
+    place = e.place[own] + (at - e.lo[own]) if task.same_doc else np.zeros(len(at), np.int64)
+    by = np.argsort(h, kind="stable")
+    edges = B.shard_edges(h[by], shards)
+    return [(shards + s, B.dumps(HotWindows(*(x[by[edges[s] : edges[s + 1]]] for x in (h, w, e.order[own], place, at))))) for s in range(shards) if edges[s] < edges[s + 1]]
+
+
+def earlier_elsewhere(got: list[HotWindows]) -> list[np.ndarray]:
+    """For each block's windows whether an equal one starts earlier."""
+    h, w, order, place = (np.concatenate([getattr(x, name) for x in got]) for name in ("h", "w", "order", "place"))
+    by = np.lexsort((place, order, w, h))
+    new = np.ones(len(by), bool)
+    new[1:] = (h[by][1:] != h[by][:-1]) | (w[by][1:] != w[by][:-1])
+    head = by[np.flatnonzero(new)][np.cumsum(new) - 1]
+    later = np.empty(len(by), bool)
+    later[by] = (order[by] > order[head]) | (order[by] == order[head]) & (place[by] > place[head])
+    return np.split(later, np.cumsum([len(x.h) for x in got])[:-1])
+
+
 def in_parts(task: Task, raw: np.ndarray, sizes: np.ndarray, anchors: np.ndarray, rest: list[np.ndarray], most: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A shard's snippets, solved some anchors at a time: equal windows have equal anchors, so parts need not know each other."""
     by = np.argsort(anchors, kind="stable")

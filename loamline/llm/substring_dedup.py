@@ -5,9 +5,12 @@ word, and where a part is still larger than a task should hold by one word
 more, until it fits or the prefix is as long as a window.  For each part a
 suffix tree is built from its sorted suffixes; an internal node of depth d and
 its leaves say that a sequence of d words occurs once for each leaf, and the
-deep nodes are the maximal repeats.
+deep nodes are the maximal repeats.  The suffixes are those of whole snippets, not
+of windows: nodes have the depth that their texts have in common.  Of the nodes at
+least a window deep the topmost ones hold all places of a window.
 
-Texts reach the trees through :mod:`loamline.llm.repeats`.  Defined results: a
+Texts reach the trees through :mod:`loamline.llm.repeats`: as runs of words around
+an anchor, so a repeat that spans several anchors is the sum of its runs.  Defined results: a
 null text has no words; a null id orders after all others; rows with one id are
 one document; texts under a window keep every word; an empty table gives no
 rows.
@@ -88,6 +91,15 @@ def internal_nodes(lcp: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def topmost(nodes: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
+    """Of nodes, children before parents, those that are below no other."""
+    at = None
+    for node in reversed(nodes):
+        if at is None or node[2] < at:
+            yield node
+            at = node[1]
+
+
 def solve(x: R.Snippets, length: int = WINDOW, limit: int = PART_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows of snippets that start in a document before, by the deep nodes of the shard's suffix trees."""
     _, words = np.unique(x.raw, return_inverse=True)
@@ -100,10 +112,10 @@ def solve(x: R.Snippets, length: int = WINDOW, limit: int = PART_ROWS) -> tuple[
     found = []
     for depth, own in partitions(words, at, limit, length):
         s = owner[own]
-        by, lcp = sorted_with_lcp(words, own, np.minimum(ends[s] - own, length), depth)
+        by, lcp = sorted_with_lcp(words, own, ends[s] - own, depth)
         order = x.order[s][by]
         own = own[by]
-        for _, first, last in internal_nodes(lcp, length):
+        for _, first, last in topmost(internal_nodes(lcp, length)):
             group = order[first : last + 1]
             found.append(own[first : last + 1][group > group.min()])
     hit = np.concatenate(found) if found else np.zeros(0, np.int64)

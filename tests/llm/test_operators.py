@@ -12,7 +12,7 @@ import pytest
 import xxhash
 
 from loamline.llm import components as K
-from loamline.llm import flat_graph, media, ngram_lm, packing, piece_lattice, quality, simhash, substring_dedup, suffix_dedup, token_counts
+from loamline.llm import flat_graph, media, ngram_lm, packing, piece_lattice, quality, repeats, simhash, substring_dedup, suffix_dedup, token_counts
 from loamline.llm.store import Scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, block string, fp string, x string, shard int, mult string, id string"
@@ -202,6 +202,41 @@ def test_suffix(docs, empty):
     assert suffix_dedup.dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1, 20, repeats.HOT])
+def test_hot_anchors(spark, monkeypatch, hot):
+    """A line in a third of all rows, in other surroundings each, some of which repeat: bytes and words, hot or not."""
+    monkeypatch.setattr(repeats, "HOT", hot)
+    rng = random.Random(9)
+    words = [f"{rng.choice('abcdef')}{k}" for k in range(300)]
+    line = "this is a line that very many of the documents have in common today".split()
+    sides = [rng.choices(words, k=14) for _ in range(12)]
+    texts = []
+    for k in range(150):
+        before, after = rng.choices(words, k=rng.randrange(0, 25)), rng.choices(words, k=rng.randrange(0, 25))
+        if k % 3 == 0:
+            left, right = (rng.choice(sides) if rng.random() < 0.4 else rng.choices(words, k=14) for _ in range(2))
+            texts.append([*before, *left, *line, *right, *after])
+        else:
+            texts.append([*before, *rng.choice(sides), *after])
+    src = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    rng.shuffle(src)
+    df = spark.createDataFrame(src, "doc_id long, text string").repartition(3)
+    expect = covered_brute([(i, x.encode()) for i, x in src], 100, True)
+    got = {r.doc_id: (r.n_removed, r.kept_sha256) for r in suffix_dedup.dedup(df).collect()}
+    assert got == {i: (sum(m), hashlib.sha256(bytes(b for b, g in zip(x.encode(), m, strict=True) if not g)).hexdigest()) for (i, x), m in zip(src, expect, strict=True)}
+    expect = covered_brute([(i, x.split()) for i, x in src], 13, False)
+    assert sum(map(sum, expect)) > 500
+    got = {r.doc_id: (r.n_removed, r.kept_sha256) for r in substring_dedup.dedup(df).collect()}
+    assert got == {i: (sum(m), hashlib.sha256(" ".join(w for w, g in zip(x.split(), m, strict=True) if not g).encode()).hexdigest()) for (i, x), m in zip(src, expect, strict=True)}
+
+
+def test_suffix_rewrite_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "x" * 300, 7, "a"), (2, None, None, None)], "doc_id long, text string, _was_null int, block string")
+    out = suffix_dedup.rewrite(df)
+    assert out.schema == df.schema
+    assert {tuple(r) for r in out.collect()} == {(1, "x", 7, "a"), (2, None, None, None)}
+
+
 def test_suffix_rewrite(docs, empty):
     out = suffix_dedup.rewrite(docs)
     assert out.schema == docs.schema
