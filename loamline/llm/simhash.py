@@ -31,7 +31,7 @@ component; repeated ids are one node; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations, pairwise
+from itertools import chain, combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +46,8 @@ from loamline.llm.store import Scratch
 BITS, BUDGET, SHINGLE, SEED, LIMIT = 64, 4, 4, 42, 1 << 13
 #: Distinct shingles up to which texts meet by their shingles, and rows of groups that are settled together.
 SHORT, GROUPED = 60, 2000
+#: Sets of a group of candidates that one task compares; leaves below a key beyond which they are a star.
+SETTLED, STAR = 1024, 2048
 
 
 def fingerprint(text: bytes, words: int = SHINGLE, seed: int = SEED) -> int:
@@ -352,7 +354,15 @@ def wide_links(fps: DataFrame, keep: Scratch, similarity: float = 0.8, lanes: in
         v = keys(raw, t.column("choice")[0].as_py())
         by = np.argsort(v, kind="stable")
         wide = np.ascontiguousarray(raw[by]).view(np.uint64)
-        a, b = _forest(np.arange(len(v)), near(wide, trie_join(v[by], None, rest_budget, top=top)))
+        v = v[by]
+        # So many leaves below one key are a group of near copies: a star of candidates, whose links are verified like all.
+        key = v >> np.uint64(64 - top)
+        _, begin, size = np.unique(key, return_index=True, return_counts=True)
+        crowd = np.repeat(size > STAR, size)
+        head = np.repeat(begin, size)
+        own = np.flatnonzero(~crowd)
+        found = ((own[i], own[j]) for i, j in near(wide[own], trie_join(v[own], None, rest_budget, top=top)))
+        a, b = _forest(np.arange(len(v)), chain([(np.flatnonzero(crowd), head[crowd])], found))
         return pa.table({"a": pa.array([wide[k].tobytes() for k in a], pa.binary()), "b": pa.array([wide[k].tobytes() for k in b], pa.binary())})
 
     return fps.select("fp").mapInArrow(deal, "choice int, task int, fp binary").groupBy("choice", "task").applyInArrow(one, "a binary, b binary")
@@ -392,6 +402,79 @@ def similar_groups(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return group
 
 
+def settled(grouped: DataFrame, text: DataFrame, keep: Scratch, similarity: float, words: int, most: int = SETTLED) -> DataFrame:
+    """(digest, component): of candidates (rep, node, digest, component) the groups that exact links make, named by their least document.
+
+    Small groups are dealt to buckets.  A group of more than `most` sets is cut into blocks.  Links are looked for within
+    each block, and between the heads of the blocks' largest parts; that joins most of a group of near copies.  What is
+    not in the group's largest part by then is compared with all its blocks: of two sets with a link one is such, or both
+    are in the largest part already.
+    """
+
+    def walk(t: pa.Table) -> tuple[list[int], np.ndarray]:
+        """The table's distinct sets as rows in order of their documents, and for each the first that links connect it with."""
+        got: dict[bytes, tuple[int, int, np.ndarray]] = {}
+        for k, (rep, digest, raw) in enumerate(zip(t.column("rep").to_pylist(), t.column("digest").to_pylist(), t.column("text"), strict=True)):
+            if digest not in got:
+                h = shingles(raw.as_py() or b"", words)
+                # A document's rows may hold other texts.
+                if xxhash.xxh3_128_digest(h.tobytes()) == digest:
+                    got[digest] = (rep, k, h)
+        order = sorted(got.values(), key=lambda x: x[:2])
+        return [k for _, k, _ in order], similar_groups([h for _, _, h in order], similarity) if order else np.zeros(0, np.int64)
+
+    sizes = keep.save(grouped.groupBy("component").agg(F.count("*").alias("n")))
+    big = sizes.filter(F.col("n") > most)
+    small = grouped.join(big, "component", "left_anti")
+    buckets = 1 + grouped.count() // GROUPED
+
+    def whole(t: pa.Table) -> pa.Table:
+        digests, linked = [], []
+        comp = t.column("component").to_numpy()
+        for c in np.unique(comp).tolist():
+            part = t.take(pa.array(np.flatnonzero(comp == c)))
+            rows, group = walk(part)
+            rep, digest = part.column("rep").to_pylist(), part.column("digest").to_pylist()
+            digests += [digest[k] for k in rows]
+            linked += [rep[rows[g]] for g in group.tolist()]
+        return pa.table({"digest": pa.array(digests, pa.binary()), "component": pa.array(linked, pa.int64())})
+
+    near = small.join(text, "rep").withColumn("bucket", F.pmod(F.xxhash64("component"), F.lit(buckets)))
+    out = near.drop("node").groupBy("bucket").applyInArrow(whole, "digest binary, component long")
+    if big.isEmpty():
+        return out
+
+    def link(t: pa.Table) -> pa.Table:
+        """(a, head, top): each set with the first one that it is connected with, and whether that heads the part's largest group."""
+        rows, group = walk(t)
+        node = t.column("node").to_numpy()[rows] if rows else np.zeros(0, np.int64)
+        top = int(np.bincount(group).argmax()) if rows else 0
+        return pa.table({"a": node, "b": node[group], "top": pa.array(group == top)})
+
+    links = "a long, b long, top boolean"
+    half = F.lit(most // 2)
+    member = keep.save(grouped.join(big.select("component", F.ceil(F.col("n") / half).cast("int").alias("blocks")), "component").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")))
+    texts = keep.save(member.join(text, "rep"))
+    first = keep.save(texts.groupBy("component", "block").applyInArrow(link, links))
+    heads = texts.join(first.filter("top and a = b").select(F.col("a").alias("node")), "node", "left_semi").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("blocks") / F.lit(most))))
+    second = keep.save(heads.groupBy("component", "part").applyInArrow(link, links))
+    found = first.unionByName(second).select("a", "b")
+    label = keep.save(member.select("node", "component").join(components(found, keep).select(F.col("id").alias("node"), F.col("component").alias("label")), "node", "left").select("node", "component", F.coalesce("label", "node").alias("label")))
+    parts = label.groupBy("component", "label").agg(F.count("*").alias("n"))
+    largest = parts.groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
+    rest = keep.save(label.join(largest, "component").filter("label <> largest").select("node", "component"))
+    chunks = rest.groupBy("component").agg(F.ceil(F.count("*") / half).cast("int").alias("chunks"))
+    inside = texts.join(chunks, "component").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    other = texts.join(rest.select("node"), "node", "left_semi").join(chunks, "component").withColumn("chunk", F.pmod(F.xxhash64("digest", F.lit(7)), F.col("chunks")).cast("int"))
+    other = other.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    third = inside.unionByName(other.select(*inside.columns)).groupBy("component", "block", "chunk").applyInArrow(link, links)
+    found = found.unionByName(keep.save(third).select("a", "b"))
+    ends = components(found, keep).select(F.col("id").alias("node"), F.col("component").alias("label"))
+    named = keep.save(member.select("node", "rep", "digest").join(ends, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    least = named.groupBy("label").agg(F.min("rep").alias("component"))
+    return out.unionByName(named.join(least, "label").select("digest", "component"))
+
+
 def dedup_similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) of documents that links of this Jaccard similarity of their 5-word shingles, or more, connect."""
     keep = Scratch(docs.sparkSession, "simhash-similar")
@@ -405,26 +488,9 @@ def dedup_similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_c
     short = sets.select("node", F.explode("first").alias("h"))
     short = short.join(short.groupBy("h").agg(F.min("node").alias("nb")), "h").select(F.col("node").alias("na"), "nb")
     maybe = components(wide.unionByName(equal).unionByName(short).select(F.col("na").alias("a"), F.col("nb").alias("b")), keep)
-    grouped = keep.save(sets.join(maybe.withColumnRenamed("id", "node"), "node").select("rep", "digest", "component"))
-    buckets = 1 + grouped.count() // GROUPED
+    grouped = keep.save(sets.join(maybe.withColumnRenamed("id", "node"), "node").select("rep", "node", "digest", "component"))
     text = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("binary").alias("text"))
-
-    def exact(t: pa.Table) -> pa.Table:
-        got: dict[int, dict[bytes, tuple[int, np.ndarray]]] = {}
-        for rep, digest, comp, raw in zip(*(t.column(c) for c in ("rep", "digest", "component", "text")), strict=True):
-            h, d = shingles(raw.as_py() or b"", words), digest.as_py()
-            if xxhash.xxh3_128_digest(h.tobytes()) == d:
-                got.setdefault(comp.as_py(), {})[d] = (rep.as_py(), h)
-        digests, linked = [], []
-        for members in got.values():
-            order = sorted(members, key=lambda d: members[d][0])
-            group = similar_groups([members[d][1] for d in order], similarity)
-            digests += order
-            linked += [members[order[g]][0] for g in group.tolist()]
-        return pa.table({"digest": pa.array(digests, pa.binary()), "component": pa.array(linked, pa.int64())})
-
-    near = grouped.join(text, "rep").withColumn("bucket", F.pmod(F.xxhash64("component"), F.lit(buckets)))
-    named = keep.save(near.groupBy("bucket").applyInArrow(exact, "digest binary, component long"))
+    named = keep.save(settled(grouped, text, keep, similarity, words, SETTLED))
     named = sets.join(named, "digest", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     return fps.select("doc_id", "digest").join(named, "digest").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
 

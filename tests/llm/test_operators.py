@@ -131,6 +131,33 @@ def test_similar_exact(spark):
     assert got[4] == 3 and got[6] == 5 and len(near) > 60 and len(wrong) <= 0.01 * len(near)
 
 
+@pytest.mark.parametrize("settled, star", [(simhash.SETTLED, simhash.STAR), (40, simhash.STAR), (16, 10)])
+def test_similar_large_group(spark, monkeypatch, settled, star):
+    """A large group of near copies, a chain at its edge and one by one less similar ones: cut into blocks or not, the links are the exact ones."""
+    monkeypatch.setattr(simhash, "SETTLED", settled)
+    monkeypatch.setattr(simhash, "STAR", star)
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(5000)]
+    base = rng.choices(words, k=200)
+    docs = []
+    for k in range(160):
+        own = list(base)
+        for at in rng.sample(range(200), rng.choice((0, 1, 2, 4, 8, 12))):
+            own[at] = rng.choice(words)
+        docs.append(own)
+    chain = list(base)
+    for _ in range(12):
+        chain = [*chain[10:], *rng.choices(words, k=10)]
+        docs.append(chain)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in docs]
+    near = [(i, j) for i in range(len(docs)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9]
+    root = K.local_forest(len(docs), *np.array(near).T)
+    assert 1 < len(set(root.tolist())) < 80
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.dedup_similar(df).collect()}
+    assert [got[i] for i in range(len(docs))] == root.tolist()
+
+
 @pytest.mark.parametrize("limit", [4, 1 << 13])
 def test_trie_cut(spark, limit):
     rng = np.random.default_rng(3)
