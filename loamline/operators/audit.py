@@ -17,45 +17,47 @@ class Rule:
     severity: str
     pattern: str
     unless: str | None = None
+    #: Words in small letters of which every match has one: looked for before the pattern.
+    words: tuple[str, ...] = ()
 
 
 #: Secrets: our own patterns for the usual twelve families of credentials.
 SECRET_RULES = (
-    Rule("secret-aws", "HardcodedSecret", "critical", r"\bAKIA[0-9A-Z]{16}\b"),
-    Rule("secret-github", "HardcodedSecret", "critical", r"\bgh[pousr]_[A-Za-z0-9]{36}\b"),
-    Rule("secret-stripe", "HardcodedSecret", "critical", r"\b[sr]k_(live|test)_[A-Za-z0-9]{16,}"),
-    Rule("secret-jwt", "HardcodedSecret", "high", r"(?i)jwt_?secret\s*[:=]\s*[\"'][^\"']{8,}[\"']"),
-    Rule("secret-db-url", "HardcodedSecret", "critical", r"\b(postgres|postgresql|mysql|mongodb|redis)://[^\s:@/]+:[^\s@/]+@"),
-    Rule("secret-google", "HardcodedSecret", "high", r"\bAIza[0-9A-Za-z_-]{35}"),
-    Rule("secret-slack", "HardcodedSecret", "high", r"\bxox[abprs]-[0-9A-Za-z-]{10,}"),
-    Rule("secret-sendgrid", "HardcodedSecret", "high", r"\bSG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}"),
-    Rule("secret-private-key", "HardcodedSecret", "critical", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("secret-api-key", "HardcodedSecret", "high", r"(?i)api[_-]?key\s*[:=]\s*[\"'][^\"']{8,}[\"']"),
-    Rule("secret-password", "HardcodedSecret", "high", r"(?i)(password|passwd|pwd)\s*[:=]\s*[\"'][^\"']{4,}[\"']"),
-    Rule("secret-token", "HardcodedSecret", "high", r"(?i)\b(token|secret)\s*[:=]\s*[\"'][^\"']{8,}[\"']"),
+    Rule("secret-aws", "HardcodedSecret", "critical", r"\bAKIA[0-9A-Z]{16}\b", words=("akia",)),
+    Rule("secret-github", "HardcodedSecret", "critical", r"\bgh[pousr]_[A-Za-z0-9]{36}\b", words=("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
+    Rule("secret-stripe", "HardcodedSecret", "critical", r"\b[sr]k_(live|test)_[A-Za-z0-9]{16,}", words=("sk_live", "sk_test", "rk_live", "rk_test")),
+    Rule("secret-jwt", "HardcodedSecret", "high", r"(?i)jwt_?secret\s*[:=]\s*[\"'][^\"']{8,}[\"']", words=("jwt",)),
+    Rule("secret-db-url", "HardcodedSecret", "critical", r"\b(postgres|postgresql|mysql|mongodb|redis)://[^\s:@/]+:[^\s@/]+@", words=("://",)),
+    Rule("secret-google", "HardcodedSecret", "high", r"\bAIza[0-9A-Za-z_-]{35}", words=("aiza",)),
+    Rule("secret-slack", "HardcodedSecret", "high", r"\bxox[abprs]-[0-9A-Za-z-]{10,}", words=("xox",)),
+    Rule("secret-sendgrid", "HardcodedSecret", "high", r"\bSG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}", words=("sg.",)),
+    Rule("secret-private-key", "HardcodedSecret", "critical", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", words=("-----begin",)),
+    Rule("secret-api-key", "HardcodedSecret", "high", r"(?i)api[_-]?key\s*[:=]\s*[\"'][^\"']{8,}[\"']", words=("api",)),
+    Rule("secret-password", "HardcodedSecret", "high", r"(?i)(password|passwd|pwd)\s*[:=]\s*[\"'][^\"']{4,}[\"']", words=("pass", "pwd")),
+    Rule("secret-token", "HardcodedSecret", "high", r"(?i)\b(token|secret)\s*[:=]\s*[\"'][^\"']{8,}[\"']", words=("token", "secret")),
 )
 
 CODE_RULES = (
-    Rule("sqli-fstring", "SqlInjection", "high", r"(?i)f[\"'](select|insert|update|delete)\b.*\{"),
-    Rule("sqli-concat", "SqlInjection", "high", r"(?i)execute\(\s*[\"'].*[\"']\s*(\+|%)"),
-    Rule("cmdi-shell", "CommandInjection", "critical", r"subprocess\.\w+\(.*shell\s*=\s*True"),
-    Rule("cmdi-system", "CommandInjection", "critical", r"\bos\.(system|popen)\s*\("),
-    Rule("cmdi-eval", "CommandInjection", "critical", r"(^|[^.\w])(eval|exec)\s*\("),
-    Rule("pathtr-open", "PathTraversal", "high", r"\b(open|send_file|sendFile)\s*\(\s*(request|req|params)\b"),
-    Rule("deser-yaml", "InsecureDeserialization", "high", r"\byaml\.load\s*\(", r"SafeLoader"),
-    Rule("deser-pickle", "InsecureDeserialization", "high", r"\bpickle\.loads?\s*\("),
-    Rule("crypto-hash", "WeakCryptography", "medium", r"(?i)\b(md5|sha1)\s*\("),
-    Rule("xss-inner", "XssVulnerability", "high", r"\binnerHTML\s*=[^=]"),
-    Rule("xss-write", "XssVulnerability", "high", r"\bdocument\.write\s*\("),
-    Rule("xss-script", "XssVulnerability", "medium", r"<script>\s*var\b"),
-    Rule("debug-flask", "InsecureConfig", "medium", r"\bdebug\s*=\s*True"),
-    Rule("cors-open", "InsecureConfig", "medium", r"Access-Control-Allow-Origin\W+\*"),
-    Rule("bind-all", "InsecureConfig", "low", r"\b0\.0\.0\.0\b"),
-    Rule("err-bare", "UnsafeErrorHandling", "high", r"^\s*except\s*:"),
-    Rule("err-unwrap", "UnsafeErrorHandling", "medium", r"\.unwrap\(\)"),
-    Rule("err-discard", "UnsafeErrorHandling", "medium", r"\b_\s*(,\s*_\s*)?:?=\s*\w+\("),
-    Rule("pii-email", "PersonalData", "low", r"\b[A-Za-z0-9._]+@[A-Za-z0-9.-]+\.[a-z]{2,}\b"),
-    Rule("license-nc", "License", "info", r"(?i)licensed under cc by-nc"),
+    Rule("sqli-fstring", "SqlInjection", "high", r"(?i)f[\"'](select|insert|update|delete)\b.*\{", words=("select", "insert", "update", "delete")),
+    Rule("sqli-concat", "SqlInjection", "high", r"(?i)execute\(\s*[\"'].*[\"']\s*(\+|%)", words=("execute(",)),
+    Rule("cmdi-shell", "CommandInjection", "critical", r"subprocess\.\w+\(.*shell\s*=\s*True", words=("subprocess.",)),
+    Rule("cmdi-system", "CommandInjection", "critical", r"\bos\.(system|popen)\s*\(", words=("os.",)),
+    Rule("cmdi-eval", "CommandInjection", "critical", r"(^|[^.\w])(eval|exec)\s*\(", words=("eval", "exec")),
+    Rule("pathtr-open", "PathTraversal", "high", r"\b(open|send_file|sendFile)\s*\(\s*(request|req|params)\b", words=("open", "send")),
+    Rule("deser-yaml", "InsecureDeserialization", "high", r"\byaml\.load\s*\(", r"SafeLoader", words=("yaml.load",)),
+    Rule("deser-pickle", "InsecureDeserialization", "high", r"\bpickle\.loads?\s*\(", words=("pickle.",)),
+    Rule("crypto-hash", "WeakCryptography", "medium", r"(?i)\b(md5|sha1)\s*\(", words=("md5", "sha1")),
+    Rule("xss-inner", "XssVulnerability", "high", r"\binnerHTML\s*=[^=]", words=("innerhtml",)),
+    Rule("xss-write", "XssVulnerability", "high", r"\bdocument\.write\s*\(", words=("document.write",)),
+    Rule("xss-script", "XssVulnerability", "medium", r"<script>\s*var\b", words=("<script>",)),
+    Rule("debug-flask", "InsecureConfig", "medium", r"\bdebug\s*=\s*True", words=("debug",)),
+    Rule("cors-open", "InsecureConfig", "medium", r"Access-Control-Allow-Origin\W+\*", words=("access-control",)),
+    Rule("bind-all", "InsecureConfig", "low", r"\b0\.0\.0\.0\b", words=("0.0.0.0",)),
+    Rule("err-bare", "UnsafeErrorHandling", "high", r"^\s*except\s*:", words=("except",)),
+    Rule("err-unwrap", "UnsafeErrorHandling", "medium", r"\.unwrap\(\)", words=(".unwrap()",)),
+    Rule("err-discard", "UnsafeErrorHandling", "medium", r"\b_\s*(,\s*_\s*)?:?=\s*\w+\(", words=("_",)),
+    Rule("pii-email", "PersonalData", "low", r"\b[A-Za-z0-9._]+@[A-Za-z0-9.-]+\.[a-z]{2,}\b", words=("@",)),
+    Rule("license-nc", "License", "info", r"(?i)licensed under cc by-nc", words=("licensed under",)),
 )
 
 
@@ -66,10 +68,13 @@ def lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def findings(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(file, line, rule, category, severity): one row for each rule that a line meets.  One pass; rules are an array of matches."""
-    hits = []
+    """(file, line, rule, category, severity): one row for each rule that a line meets.  One pass; rules are an array of matches, a rule's words are looked for before its pattern."""
+    rows, hits = rows.withColumn("_low", F.lower("content")), []
     for r in rules:
-        cond = F.col("content").rlike(r.pattern)
+        near = F.lit(not r.words)
+        for w in r.words:
+            near = near | F.col("_low").contains(w)
+        cond = near & F.col("content").rlike(r.pattern)
         if r.unless:
             cond = cond & ~F.col("content").rlike(r.unless)
         hits.append(F.when(cond, F.struct(F.lit(r.id).alias("rule"), F.lit(r.category).alias("category"), F.lit(r.severity).alias("severity"))))

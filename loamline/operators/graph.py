@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ TRAIT_NAMES = ("fmt", "eq", "ne", "hash", "clone", "default", "drop", "from", "i
 
 def bfs(adjacency: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(node, depth): least number of edges from the seeds, up to a depth.  adjacency: (src, dst); seeds: (node)."""
+    adjacency = cut(adjacency)
     seen = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     front = seen
     for d in range(1, depth + 1):
@@ -115,6 +118,26 @@ def callees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return full.unionByName(typed).unionByName(bare.filter(same | one).select("caller", "target")).distinct()
 
 
+def expand_calls(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int = 1) -> DataFrame:
+    """(node, hops, via): what seeds (node) reach in so many steps over callers and callees, and how at its first step: caller, callee, test.
+
+    A caller that is a test is also a `test`.  Seeds are not among the rows.
+    """
+    back, forth = callers(nodes, edges), callees(nodes, edges)
+    tests = nodes.filter("is_test").select(F.col("qualified_name").alias("node"))
+    steps = back.select(F.col("target").alias("src"), F.col("caller").alias("node"), F.lit("caller").alias("via")).unionByName(forth.select(F.col("caller").alias("src"), F.col("target").alias("node"), F.lit("callee").alias("via")))
+    steps = cut(steps.distinct())
+    seen = front = cut(seeds.select("node").distinct())
+    out = None
+    for k in range(1, hops + 1):
+        got = steps.join(front.select(F.col("node").alias("src")), "src").select("node", "via").distinct().join(seen, "node", "left_anti")
+        got = cut(got.unionByName(got.filter("via = 'caller'").join(tests, "node", "left_semi").select("node", F.lit("test").alias("via"))).distinct().withColumn("hops", F.lit(k)))
+        front = got.select("node").distinct()
+        seen = seen.unionByName(front)
+        out = got if out is None else out.unionByName(got)
+    return out.groupBy("node", "hops").agg(F.array_sort(F.collect_set("via")).alias("via"))
+
+
 def coupling(modules: DataFrame, imports: DataFrame, key: str = "path", src: str = "src", dst: str = "dst") -> DataFrame:
     """(key, fan_in, fan_out) of every module, over edges between modules."""
     inside = imports.join(modules.select(F.col(key).alias(src)), src, "left_semi").join(modules.select(F.col(key).alias(dst)), dst, "left_semi")
@@ -126,12 +149,10 @@ def coupling(modules: DataFrame, imports: DataFrame, key: str = "path", src: str
 def adaptive_threshold(coupled: DataFrame) -> DataFrame:
     """One row: max(2 x the upper median of positive fan-ins, 3); the median is 1 where there is none.
 
-    Fan-ins are counted first, so that the median is taken over distinct values.
+    The upper median is the discrete one of the falling order; an aggregate of distinct values and their counts.
     """
-    c = coupled.filter("fan_in > 0").groupBy("fan_in").agg(F.count("*").alias("n"))
-    w = Window.orderBy("fan_in")
-    c = c.withColumn("upto", F.sum("n").over(w)).withColumn("all", F.sum("n").over(Window.partitionBy()))
-    return c.agg(F.greatest(2 * F.coalesce(F.min(F.expr("case when upto > floor(all / 2) then fan_in end")), F.lit(1)), F.lit(3)).alias("threshold"))
+    median = F.expr("percentile_disc(0.5) within group (order by fan_in desc)")
+    return coupled.filter("fan_in > 0").agg(F.greatest(2 * F.coalesce(median, F.lit(1)), F.lit(3)).cast("long").alias("threshold"))
 
 
 def dead_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -148,21 +169,73 @@ def dead_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return c.join(called, (F.col("parent_name").isNotNull()) & (typed == called["t"]), "left_anti")
 
 
-def scc(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds: int = 200) -> DataFrame:
+def local_components(s: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, component) of the edges s -> d, a component being named by its least node: depth-first, without recursion."""
+    nodes, at = np.unique(np.concatenate([s, d]), return_inverse=True)
+    a, b = at[: len(s)], at[len(s) :]
+    by = np.argsort(a, kind="stable")
+    out, first = b[by].tolist(), np.searchsorted(a[by], np.arange(len(nodes) + 1)).tolist()
+    low, number, name = [-1] * len(nodes), [-1] * len(nodes), [-1] * len(nodes)
+    held: list[int] = []
+    count = 0
+    for root in range(len(nodes)):
+        if number[root] >= 0:
+            continue
+        work = [(root, first[root])]
+        number[root] = low[root] = count
+        count += 1
+        held.append(root)
+        while work:
+            v, k = work.pop()
+            if k < first[v + 1]:
+                work.append((v, k + 1))
+                w = out[k]
+                if number[w] < 0:
+                    number[w] = low[w] = count
+                    count += 1
+                    held.append(w)
+                    work.append((w, first[w]))
+                elif name[w] < 0:
+                    low[v] = min(low[v], number[w])
+                continue
+            if low[v] == number[v]:
+                own = []
+                while not own or own[-1] != v:
+                    own.append(held.pop())
+                least = min(own)
+                for w in own:
+                    name[w] = least
+            if work:
+                low[work[-1][0]] = min(low[work[-1][0]], low[v])
+    return nodes, nodes[np.array(name, np.int64)] if len(nodes) else nodes
+
+
+def scc(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds: int = 200, local: int = 1 << 20) -> DataFrame:
     """(node, component, size) of cycles: strongly connected components of two nodes and more, named by their least node.
 
     Forward-backward colouring: every node takes the least label that reaches it, and what reaches a label's own node
-    within its colour is its component; the rest goes on.  Nodes without edges in or out are peeled off.
+    within its colour is its component; the rest goes on.  Nodes without edges in or out are peeled off.  Once no more
+    than `local` edges of whole numbers are left, one task finds their components.
     """
     left = cut(edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).filter("s <> d").distinct())
+    whole = all(t in ("bigint", "int", "smallint", "tinyint") for _, t in left.dtypes)
     done = None
     for _ in range(most_rounds):
-        while True:
+        n = left.count()
+        while n > (local if whole else 0):
             trimmed = cut(left.join(left.select(F.col("d").alias("s")).distinct(), "s", "left_semi").join(left.select(F.col("s").alias("d")).distinct(), "d", "left_semi").select("s", "d"))
-            same = trimmed.count() == left.count()
-            left = trimmed
-            if same:
+            before, n, left = n, trimmed.count(), trimmed
+            if n == before:
                 break
+        if whole and 0 < n <= local:
+
+            def one(t: pa.Table) -> pa.Table:
+                node, comp = local_components(t.column("s").to_numpy().astype(np.int64), t.column("d").to_numpy().astype(np.int64))
+                return pa.table({"n": node, "c": comp})
+
+            own = left.groupBy(F.lit(0).alias("all")).applyInArrow(one, "n long, c long")
+            done = own if done is None else done.unionByName(own)
+            break
         if left.isEmpty():
             break
         nodes = left.select(F.col("s").alias("n")).union(left.select("d")).distinct()
@@ -191,6 +264,7 @@ def scc(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds: int =
 
 def coverage_map(edges: DataFrame, tests: DataFrame, depth: int = 3) -> DataFrame:
     """(function, test, hops): what each test reaches over calls, at least hops.  edges: (src, dst); tests: (test)."""
+    edges = cut(edges)
     front = cut(tests.select("test", F.col("test").alias("node"), F.lit(0).alias("hops")))
     seen = front
     for d in range(1, depth + 1):

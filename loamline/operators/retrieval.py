@@ -1,8 +1,9 @@
 """Lexical and vector retrieval, and their fusion.
 
 A query's terms are few, so BM25 needs no postings of all words: one scan counts
-each term and the length of each document, one aggregate gives the corpus
-statistics, and the top k are taken without a full sort.
+each term and the length of each document, which is written (a few numbers a
+document); one aggregate of those gives the corpus statistics, and the top k are
+taken without a full sort.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamline.plans.lineage import cut
+
 TOKEN = r"[\p{L}\p{N}_]+"
 K1, B, RRF_K = 1.2, 0.75, 60.0
 
@@ -51,6 +54,7 @@ def bm25(docs: DataFrame, terms: list[str], id_col: str, text_col: str, k: int |
     """(id, score), higher is better.  A term in over half the documents keeps a small positive weight."""
     t = tokens(F.coalesce(F.col(text_col), F.lit("")))
     counted = docs.select(F.col(id_col).alias("id"), t.alias("t")).select("id", F.size("t").alias("dl"), *[_occurrences("t", term).alias(f"tf{i}") for i, term in enumerate(terms)])
+    counted = cut(counted)
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))])
     score = F.lit(0.0)
     for i in range(len(terms)):
@@ -140,12 +144,12 @@ def similarity_edges(vectors: DataFrame, threshold: float, id_col: str = "vec_id
     return pairs.filter(F.col("weight") > threshold).select("a", "b", F.round("weight", 6).alias("weight"))
 
 
-def fuzzy_search(names: DataFrame, needle: str, name_col: str, qualified_col: str, limit: int) -> DataFrame:
+def fuzzy_search(names: DataFrame, needle: str, name_col: str, qualified_col: str, limit: int, ties: list[str] | None = None) -> DataFrame:
     """Names that are, end with or contain a needle, without regard to case but for equality; `%` and `_` are wildcards."""
     name, qn, pattern = F.col(name_col), F.col(qualified_col), f"%{needle.lower()}%"
     rank = F.when(name == needle, 0).when(F.lower(qn).like(f"%::{needle.lower()}"), 1).otherwise(2)
     out = names.filter((name == needle) | F.lower(name).like(pattern) | F.lower(qn).like(pattern)).withColumn("rank", rank)
-    return out.orderBy("rank", F.length(qn), qn).limit(limit)
+    return out.orderBy("rank", F.length(qn), qn, *(ties or [])).limit(limit)
 
 
 def glob_regex(pattern: str) -> str:
@@ -175,15 +179,15 @@ def token_savings(docs: DataFrame, text_col: str, group: str) -> DataFrame:
     return docs.groupBy(group).agg(F.count("*").alias("n"), F.sum(F.floor(F.octet_length(text_col) / 4)).alias("tokens"), F.sum(F.octet_length(text_col)).alias("bytes"))
 
 
-#: Declarations by which symbols are found, one family a pattern.
+# Declarations by which symbols are found, one family a pattern.
 SYMBOL_PATTERNS = (
-    r"\bfn\s+([A-Za-z_]\w*)",
-    r"\bdef\s+([A-Za-z_]\w*)",
-    r"\bfunc\s+([A-Za-z_]\w*)",
-    r"\bfunction\s+([A-Za-z_]\w*)",
-    r"\bclass\s+([A-Za-z_]\w*)",
-    r"\bstruct\s+([A-Za-z_]\w*)",
-    r"\b(?:const|let|var)\s+([A-Za-z_]\w*)\s*=",
+    r"(?m)\b(?:fn|struct|impl|class|def|defp|defmodule|defprotocol|defimpl|defmacro|defmacrop|func|interface|trait|enum)\s+([A-Za-z_][A-Za-z0-9_.?!]*)",
+    r"(?m)\b(?:void|Future|Stream|Widget|List|Map|Set|String|int|double|bool|num|dynamic|Iterable|Iterator)(?:<[^>]+>)?\s+([A-Za-z_][A-Za-z0-9_]*)\s*\(",
+    r"(?m)^\s*([a-z][A-Za-z0-9_]*)\s*\([^\)\n]*\)\s*->",
+    r"(?m)\b(?:plug|pipeline|scope|resources|forward|live|get|post|put|delete|patch)\s+:?([A-Za-z_][A-Za-z0-9_]*)",
+    r"(?m)^\s*(?:@\w+\s+)?(?:static\s+|final\s+)?[A-Z][A-Za-z0-9_]*(?:<[^>;{}]*>)?\??\s+(_?[a-z][A-Za-z0-9_]*)\s*\(",
+    r"(?m)^\s*(?:factory\s+)?[A-Z][A-Za-z0-9_]*\.([a-z_][A-Za-z0-9_]*)\s*\(",
+    r"(?m)\bfinal\s+([a-z_][A-Za-z0-9_]*)\s*=\s*(?:State(?:Notifier)?Provider|Notifier(?:Provider)?|AsyncNotifierProvider|ChangeNotifierProvider|FutureProvider|StreamProvider|Provider)\b",
 )
 
 

@@ -2,14 +2,33 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_own: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share.  A local session that names none gets one of its own; on a cluster that is an error."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if sc.applicationId not in _own:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="loamline-rounds-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own[sc.applicationId] = "file://" + folder
+    return _own[sc.applicationId]
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the folder all executors share; one of our own only where the session names none."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="loamline-rounds-"))
-    return df.checkpoint()
+    """The same rows, written once and read again: what follows knows their size, and a lost executor costs one step."""
+    path = f"{shared_dir(df.sparkSession)}/rounds-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

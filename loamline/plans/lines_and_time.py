@@ -191,19 +191,19 @@ def a13(spark: SparkSession, d: str) -> DataFrame:
     return g.withColumn("pct", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("p_type")), 6))
 
 
-MODS = """m as (select s_suppkey as path, case s_nationkey % 4 when 0 then 'rust' when 1 then 'dart' else 'python' end as language, case when s_nationkey % 3 = 0 then 'controller' when s_nationkey % 3 = 1 then 'service' when s_suppkey % 19 = 0 then 'test' else 'repository' end as layer, count(*) * 2 as loc, count(distinct l_partkey) % 50 as function_count, count(distinct l_orderkey) % 30 as fan_out, (s_suppkey % 17 = 0) as is_hub, (s_suppkey % 23 = 0) as has_macros from supplier join lineitem on l_suppkey = s_suppkey where l_orderkey % 3 = 0 group by s_suppkey, s_nationkey),
-i as (select distinct l_suppkey as src, (l_partkey % (select count(*) from supplier)) as dst from lineitem where l_linenumber = 1)"""
+MODS = """m as (select s_suppkey as path, case s_nationkey % 4 when 0 then 'rust' when 1 then 'dart' else 'python' end as language, case when s_nationkey % 3 = 0 then 'controller' when s_nationkey % 3 = 1 then 'service' when s_suppkey % 19 = 0 then 'test' else 'repository' end as layer, count(*) * 2 as loc, count(distinct l_partkey) % 50 as function_count, count(distinct l_orderkey) % 30 as fan_out, (s_suppkey % 17 = 0) as is_hub, (s_suppkey % 23 = 0) as has_macros from supplier join lineitem on l_suppkey = s_suppkey group by s_suppkey, s_nationkey),
+i as (select distinct l_suppkey as src, (l_partkey % (select count(*) from supplier)) as dst from lineitem)"""
 
 
 def modules(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").filter("l_orderkey % 3 = 0").groupBy("l_suppkey").agg((F.count("*") * 2).alias("loc"), (F.countDistinct("l_partkey") % 50).alias("function_count"), (F.countDistinct("l_orderkey") % 30).alias("fan_out"))
+    li = table(spark, d, "lineitem").groupBy("l_suppkey").agg((F.count("*") * 2).alias("loc"), (F.countDistinct("l_partkey") % 50).alias("function_count"), (F.countDistinct("l_orderkey") % 30).alias("fan_out"))
     s = table(spark, d, "supplier").selectExpr("s_suppkey as path", "case s_nationkey % 4 when 0 then 'rust' when 1 then 'dart' else 'python' end as language", "case when s_nationkey % 3 = 0 then 'controller' when s_nationkey % 3 = 1 then 'service' when s_suppkey % 19 = 0 then 'test' else 'repository' end as layer", "s_suppkey % 17 = 0 as is_hub", "s_suppkey % 23 = 0 as has_macros")
     return s.join(li, s["path"] == li["l_suppkey"]).drop("l_suppkey")
 
 
 def imports(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "supplier").count()
-    return table(spark, d, "lineitem").filter("l_linenumber = 1").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % n).alias("dst")).distinct()
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % n).alias("dst")).distinct()
 
 
 @query("a14_antipatterns", f"""with {MODS}, t as (select *, case language when 'dart' then 800 when 'rust' then 600 else 500 end as l0, case language when 'dart' then 1500 when 'rust' then 1200 else 1000 end as l1, case language when 'dart' then 25 when 'rust' then 20 else 15 end as f0, case language when 'dart' then 40 when 'rust' then 35 else 25 end as f1 from m)
@@ -238,13 +238,6 @@ def j26(spark: SparkSession, d: str) -> DataFrame:
     return M.compare_snapshots(months(spark, d), "service", "ts", ["n", "cents"])
 
 
-@query("a16_trend", f"""with {MONTHS}, x as (select service, ts, n - lag(n) over w as dn from mo window w as (partition by service order by ts)) select service, ts, case when 2 * dn + dn > 1 then 'degrading' when 2 * dn + dn < -1 then 'improving' else 'stable' end as trend from x where dn is not null""")
-def a16(spark: SparkSession, d: str) -> DataFrame:
-    c = M.compare_snapshots(months(spark, d), "service", "ts", ["n"]).filter("d_n is not null")
-    z = F.lit(0)
-    return c.select("service", "ts", M.trend(F.col("d_n"), F.col("d_n"), z, z, z).alias("trend"))
-
-
 @query("w12_last_two", f"with {MONTHS}, r as (select *, row_number() over (partition by service order by ts desc) as rn from mo) select a.service, a.n as now_n, b.n as before_n from r a left join r b on b.service = a.service and b.rn = 2 where a.rn = 1")
 def w12(spark: SparkSession, d: str) -> DataFrame:
     top = I.last_n(months(spark, d), ["service"], [F.desc("ts")], 2)

@@ -70,13 +70,13 @@ def w11(spark: SparkSession, d: str) -> DataFrame:
     return s.select("file", "line", (F.col("s") - F.least(F.lit(0), F.min("s").over(w))).cast("long").alias("depth"))
 
 
-@query("j19_import_resolution", """with i as (select distinct l_partkey as src, ['p' || (l_suppkey * 3)::varchar, 'p' || l_suppkey::varchar, 'p' || (l_suppkey + 1)::varchar] as c from lineitem where l_linenumber = 1 and l_orderkey % 5 = 0), m as (select 'p' || p_partkey::varchar as path from part where p_size % 3 = 0),
+@query("j19_import_resolution", """with i as (select distinct l_partkey as src, ['p' || (l_suppkey * 3)::varchar, 'p' || l_suppkey::varchar, 'p' || (l_suppkey + 1)::varchar] as c from lineitem), m as (select 'p' || p_partkey::varchar as path from part where p_size % 3 = 0),
 x as (select src, c, unnest(c) as path, generate_subscripts(c, 1) as r from i), y as (select src, c, arg_min(path, r) as resolved from x where path in (select path from m) group by src, c)
 select i.src, i.c[2] as second, resolved from i left join y on y.src = i.src and y.c = i.c""")
 def j19(spark: SparkSession, d: str) -> DataFrame:
     p = lambda c: F.concat(F.lit("p"), c.cast("string"))
     s = F.col("l_suppkey")
-    i = table(spark, d, "lineitem").filter("l_linenumber = 1 and l_orderkey % 5 = 0").select(F.col("l_partkey").alias("src"), F.array(p(s * 3), p(s), p(s + 1)).alias("c")).distinct()
+    i = table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.array(p(s * 3), p(s), p(s + 1)).alias("c")).distinct()
     m = table(spark, d, "part").filter("p_size % 3 = 0").select(p(F.col("p_partkey")).alias("path"))
     return C.first_existing(i, m, ["src", "c"], "c", "path").select("src", F.get("c", 1).alias("second"), "resolved")
 
@@ -218,12 +218,6 @@ def r01(spark: SparkSession, d: str) -> DataFrame:
     return code.chunks(docs)
 
 
-@query("a21_complexity")
-def a21(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".js")).alias("path"), "text")
-    return code.complexity(docs)
-
-
 @query("r05_search_modes", None)
 def r05(spark: SparkSession, d: str) -> DataFrame:
     from loamline.plans.basics import TERMS, query_vector

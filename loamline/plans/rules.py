@@ -94,15 +94,6 @@ def a19(spark: SparkSession, d: str) -> DataFrame:
     return M.quality_score(found(spark, d).join(docs, "file").withColumn("severity", sev), docs.select("tool").distinct())
 
 
-@query("a25_hot_spots", FINDINGS + " select file, '' as symbol, 'findings' as reason, 'medium' as severity from f group by file having count(*) > 3")
-def a25(spark: SparkSession, d: str) -> DataFrame:
-    per = found(spark, d).groupBy(F.col("file").cast("string").alias("file")).agg(F.count("*").alias("n"))
-    none = spark.createDataFrame([], "file string, name string, complexity int")
-    pat = spark.createDataFrame([], "path string, kind string, severity string")
-    return M.hot_spots(per, none, pat).withColumn("file", F.col("file").cast("long"))
-
-
-
 @query("st06_log_filter", f"""with {LINES}, s as (select file, line, regexp_replace(content, '\\x1b\\[[0-9;?]*[A-Za-z]', '', 'g') as c from l), p as (select * from s where not (regexp_matches(c, '^\\s*\\d{{1,3}}(\\.\\d+)?%\\s*$') or regexp_matches(c, '^\\s*\\[[=#>. -]+\\]') or regexp_matches(c, '^\\s*[|/\\\\-]\\s*$') or regexp_matches(c, '^[\\s█▓▒░▏▎▍▌▋▊▉=>#.-]{{5,}}$'))),
 q as (select *, lag(c) over (partition by file order by line) as prev from p) select file, line, md5(c) as digest from q where prev is null or prev <> c""".replace("\\\\-]", "\\-]").replace("\\x1b", "\x1b"))
 def st06(spark: SparkSession, d: str) -> DataFrame:
@@ -188,11 +179,6 @@ FIELDS = [("lineitem", "order_key"), ("lineitem", "part_key"), ("lineitem", "sup
 MODELS = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
 
 
-@query("j22_fk_inference", "select * from (values ('lineitem', 'order_key', 'orders'), ('lineitem', 'part_key', 'part'), ('lineitem', 'supplier_key', 'supplier'), ('orders', 'customerId', 'customer'), ('customer', 'nation_id', 'nation'), ('nation', 'region_id', 'region'), ('supplier', 'nation_id', 'nation')) v(model, field, target)")
-def j22(spark: SparkSession, d: str) -> DataFrame:
-    return C.infer_keys(spark.createDataFrame(FIELDS, "model string, field string"), spark.createDataFrame([(m,) for m in MODELS], "model string"))
-
-
 @query("j27_sync_merge", """with m as (select distinct substr(sha256(lang || '|' || coalesce(text, '')), 1, 8) as hash from documents where doc_id % 2 = 0), t as (select distinct substr(sha256(lang || '|' || coalesce(text, '')), 1, 8) as hash from documents where doc_id % 3 = 0)
 select coalesce(m.hash, t.hash) as hash, case when t.hash is null then 'insert' when m.hash is null then 'resolve' else 'unchanged' end as action from m full join t on m.hash = t.hash""")
 def j27(spark: SparkSession, d: str) -> DataFrame:
@@ -253,11 +239,6 @@ def a24(spark: SparkSession, d: str) -> DataFrame:
     return one.groupBy("w").agg(F.sum("c").alias("n"), F.count("*").alias("docs"))
 
 
-@query("explicit_debt", f"""with {LINES}, k as (select file, line, content, case when regexp_matches(content, '(^|[^A-Za-z0-9_])TODO') then 'TODO' when regexp_matches(content, '(^|[^A-Za-z0-9_])TEMP') then 'TEMP' end as kind from l) select file, kind, count(*) as n from k where kind is not null group by 1, 2""")
-def explicit_debt(spark: SparkSession, d: str) -> DataFrame:
-    return A.explicit_debt(doc_lines(spark, d)).filter("kind in ('TODO', 'TEMP')").groupBy("file", "kind").agg(F.count("*").alias("n"))
-
-
 @query("j21_outer_fill", """select coalesce(d.doc_id, l.doc_id) as doc_id, coalesce(d.lang, 'unknown') as lang, coalesce(d.q, l.quality) as q from (select doc_id, lang, null::int as q from documents where doc_id % 2 = 0) d full join labels l on l.doc_id = d.doc_id""")
 def j21(spark: SparkSession, d: str) -> DataFrame:
     left = table(spark, d, "documents").filter("doc_id % 2 = 0").select("doc_id", "lang", F.lit(None).cast("int").alias("q"))

@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamline.operators import audit, contracts, graph, index, intervals, metrics, retrieval
+from loamline.operators import audit, code_audit, contracts, graph, index, intervals, metrics, retrieval
 from loamline.plans.ship import ship
 from loamline.sources import code, coverage, documents, files, history
 
@@ -42,7 +42,9 @@ class Project:
 
     @cached_property
     def findings(self) -> DataFrame:
-        return audit.findings(self.lines, audit.SECRET_RULES + audit.CODE_RULES)
+        settings = files.hidden(self.spark, self.root, ".*").unionByName(self.files.select("path", "text"))
+        found = audit.findings(self.lines, audit.SECRET_RULES).unionByName(code_audit.line_findings(self.files))
+        return found.unionByName(code_audit.error_findings(self.files)).unionByName(code_audit.config_findings(settings))
 
     def search(self, query: str, k: int = 10) -> DataFrame:
         """Chunks by BM25 of their text and path."""
@@ -53,10 +55,11 @@ class Project:
         top = retrieval.bm25(c, terms, "chunk_id", "doc", k)
         return top.join(self.chunks.select(F.col("chunk_id").alias("id"), "path", "line_start", "line_end", "text"), "id").orderBy(F.desc("score"), "id")
 
-    def impact(self, changed: list[str], depth: int = 2, most: int = 500, only_calls: bool = True) -> DataFrame:
-        """What changed files reach and are reached from, over calls resolved to their targets."""
+    def impact(self, changed: list[str] | DataFrame, depth: int = 2, most: int = 500, only_calls: bool = True) -> DataFrame:
+        """What changed files (paths, or rows with a column `file`) reach and are reached from, over calls resolved to their targets."""
         n, e = self.call_graph
-        seeds = n.filter(F.col("file_path").isin(*changed)).select(F.col("qualified_name").alias("node"))
+        rows = changed.select(F.col("file").alias("file_path")).distinct() if isinstance(changed, DataFrame) else self.spark.createDataFrame([(x,) for x in changed], "file_path string")
+        seeds = n.join(rows, "file_path", "left_semi").select(F.col("qualified_name").alias("node"))
         calls = graph.callees(n, e).select(F.lit("CALLS").alias("kind"), F.col("caller").alias("source_qualified"), F.col("target").alias("target_qualified"))
         e = calls.unionByName(e.filter("kind <> 'CALLS'").select(calls.columns))
         return graph.impact_radius(e, seeds, depth, most, "CALLS" if only_calls else None, n)
@@ -97,9 +100,8 @@ class Project:
         ranges = hunks.filter("start is not null")
         symbols = intervals.hunks_to_symbols(nodes, ranges)
         near = intervals.near_ranges(self.findings, ranges, "file", "line", "start", "end")
-        changed = [r["file"] for r in hunks.select("file").distinct().limit(1000).collect()]
         totals = hunks.agg(F.countDistinct("file").alias("files"), F.sum("added").alias("added"), F.sum("removed").alias("removed"))
-        return {"symbols": symbols, "findings": near, "impact": self.impact(changed, 2, 200), "totals": totals}
+        return {"symbols": symbols, "findings": near, "impact": self.impact(hunks, 2, 200), "totals": totals}
 
     def env(self) -> DataFrame:
         """(key, status): variables read but not in any settings file, and those in one that nothing reads."""

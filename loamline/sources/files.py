@@ -14,7 +14,9 @@ from pyspark.sql.types import StructType
 LANGUAGES = {"rs": "rust", "py": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "go": "go", "dart": "dart", "java": "java", "kt": "kotlin", "rb": "ruby", "php": "php", "c": "c", "h": "c", "cpp": "cpp", "cs": "csharp", "swift": "swift", "verse": "verse", "sql": "sql", "proto": "proto", "md": "markdown", "yaml": "yaml", "yml": "yaml", "toml": "toml", "json": "json", "html": "html", "css": "css", "sh": "shell"}
 SKIP_DIRS = ("node_modules", "target", "dist", "build", ".git", "__pycache__", ".venv", "venv", "vendor", ".next", ".dart_tool", "coverage")
 GENERATED = (".min.js", ".min.css", ".g.dart", ".freezed.dart", ".pb.go", "_pb2.py", ".generated.ts", ".lock")
-SENSITIVE = (r"(^|/)\.env(\.[^/]*)?$", r"\.(pem|key|p12|pfx|keystore|jks)$", r"(^|/)id_(rsa|dsa|ecdsa|ed25519)$", r"(^|/)credentials(\.json)?$", r"(^|/)\.(npmrc|netrc|pypirc)$")
+# Extensions and whole names of files that may hold credentials.
+SENSITIVE_EXTENSIONS = ("pem", "key", "p12", "pfx", "jks", "keystore", "crt", "cer", "der", "p7b")
+SENSITIVE_FILENAMES = (".env", ".env.local", ".env.production", ".env.staging", ".env.development", ".env.test", "credentials.json", "service-account.json", "secrets.yaml", "secrets.yml", "secrets.json", "secrets.toml", ".npmrc", ".pypirc", ".netrc", ".htpasswd", "id_rsa", "id_ed25519", "id_ecdsa", "id_dsa", "known_hosts", "authorized_keys", ".pgpass", "token.json")
 TEST_PATH = r"(^|/)(tests?|__tests__|spec)/|(^|/)(test_[^/]*|[^/]*_test\.[^/]*|[^/]*\.(test|spec)\.[^/]*)$"
 
 
@@ -34,10 +36,9 @@ def language(path: Column) -> Column:
 
 
 def is_sensitive(path: Column) -> Column:
-    hit = F.lit(False)
-    for p in SENSITIVE:
-        hit = hit | path.rlike(p)
-    return hit
+    """Whether a path's name, or what follows its last dot, stands for credentials.  A dot that begins a name begins no extension."""
+    name = F.element_at(F.split(path, "/"), -1)
+    return name.isin(*SENSITIVE_FILENAMES) | F.regexp_extract(name, r"^.+\.([^.]+)$", 1).isin(*SENSITIVE_EXTENSIONS)
 
 
 def is_generated(path: Column) -> Column:
@@ -131,9 +132,24 @@ def env_keys(files: DataFrame) -> DataFrame:
     return ln.select("path", key.alias("key")).filter("key <> ''").distinct()
 
 
-#: How environment variables are read, one pattern a language or library.
-ENV_READS = (r"os\.environ(?:\.get\(|\[)\s*[\"']([A-Z][A-Z0-9_]*)", r"os\.getenv\(\s*[\"']([A-Z][A-Z0-9_]*)", r"process\.env\.([A-Z][A-Z0-9_]*)", r"process\.env\[\s*[\"']([A-Z][A-Z0-9_]*)", r"import\.meta\.env\.([A-Z][A-Z0-9_]*)", r"env::var(?:_os)?\(\s*\"([A-Z][A-Z0-9_]*)", r"(?:std::)?env!\(\s*\"([A-Z][A-Z0-9_]*)", r"os\.(?:Getenv|LookupEnv)\(\s*\"([A-Z][A-Z0-9_]*)", r"System\.getenv\(\s*\"([A-Z][A-Z0-9_]*)", r"ENV\[\s*[\"']([A-Z][A-Z0-9_]*)", r"String\.fromEnvironment\(\s*'([A-Z][A-Z0-9_]*)", r"getenv\(\s*[\"']([A-Z][A-Z0-9_]*)")
-AMBIENT = ("PATH", "HOME", "USER", "SHELL", "PWD", "LANG", "TERM", "TMPDIR", "TEMP", "TMP", "HOSTNAME", "CI", "EDITOR")
+# How environment variables are read, and variables of any shell.
+ENV_READS = (
+    r"process\.env\.([A-Z][A-Z0-9_]+)",
+    r"""process\.env\[["']([A-Z][A-Z0-9_]+)["']\]""",
+    r"import\.meta\.env\.([A-Z][A-Z0-9_]+)",
+    r"""Deno\.env\.get\(["']([A-Z][A-Z0-9_]+)["']\)""",
+    r"""os\.environ\[["']([A-Z][A-Z0-9_]+)["']\]""",
+    r"""os\.environ\.get\(\s*["']([A-Z][A-Z0-9_]+)["']""",
+    r"""os\.getenv\(\s*["']([A-Z][A-Z0-9_]+)["']""",
+    r'env::var(?:_os)?\(\s*"([A-Z][A-Z0-9_]+)"',
+    r'(?:option_)?env!\(\s*"([A-Z][A-Z0-9_]+)"',
+    r'os\.(?:Getenv|LookupEnv)\(\s*"([A-Z][A-Z0-9_]+)"',
+    r"""Platform\.environment\[["']([A-Z][A-Z0-9_]+)["']\]""",
+    r"""fromEnvironment\(\s*["']([A-Z][A-Z0-9_]+)["']""",
+    r'System\.getenv\(\s*"([A-Z][A-Z0-9_]+)"',
+    r"""ENV(?:\.fetch\(|\[)\s*["']([A-Z][A-Z0-9_]+)["']""",
+)
+AMBIENT = ("PATH", "HOME", "TERM", "USER", "SHELL", "LANG", "LC_ALL", "PWD", "TMPDIR", "TEMP", "TMP", "HOSTNAME", "EDITOR", "XDG_CONFIG_HOME")
 
 
 def env_reads(files: DataFrame) -> DataFrame:

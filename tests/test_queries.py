@@ -10,6 +10,10 @@ import pytest
 from loamline.plans import registry
 
 SQL = registry.oracle_sql()
+#: Queries without SQL, held against plain Python elsewhere.
+BRUTE = {"r14_communities", "r05_search_modes", "r01_chunks"}
+#: Queries whose answer over the smallest tables is that there is none.
+EMPTY: set[str] = set()
 
 
 def plain(v):
@@ -35,8 +39,10 @@ def test_query(spark, sf_dir, duck, name):
     df = registry.queries()[name](spark, sf_dir)
     cols = sorted(df.columns)
     got = sorted(str([plain(r[c]) for c in cols]) for r in df.collect())
+    # A query that returns nothing shows nothing.
+    assert got or name in EMPTY
     if name not in SQL:
-        assert len(cols)
+        assert name in BRUTE
         return
     cur = duck.execute(SQL[name])
     names = [x[0] for x in cur.description]
