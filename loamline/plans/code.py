@@ -9,6 +9,7 @@ from loamline.operators import audit as A
 from loamline.operators import code_audit as K
 from loamline.operators import contracts as C
 from loamline.operators import graph as G
+from loamline.operators import layers as L
 from loamline.operators import metrics as M
 from loamline.operators import retrieval as R
 from loamline.plans.basics import COMMON, PFX, table
@@ -369,3 +370,62 @@ def a16(spark: SparkSession, d: str) -> DataFrame:
     q = q.agg(F.count("*").alias("anti_n"), F.round(F.sum("o_totalprice") / F.count("*") / 10000).cast("long").alias("cc"), count_if("F").alias("god"), count_if("P").alias("cyc"), F.countDistinct("o_custkey").alias("cov"))
     c = M.compare_snapshots(q, "service", "ts", names).filter("d_anti_n is not null")
     return c.select("service", "ts", M.trend(*(F.col(f"d_{x}") for x in names)).alias("trend"))
+
+
+# --- Layers.
+
+DIRS = ("src/", "api/", "services/", "db/migrations/", "models/dto/", "utils/", "config/", "tests/", "x/")
+SIGS = tuple(p for p, _, _ in L.SIGNALS)
+
+
+def _sig(n: str) -> str:
+    return f"{_list(SIGS)}[1 + ({n}) % {len(SIGS)}]"
+
+
+MODULE_FILES = f"mf as (select {_list(DIRS)}[1 + p_size % {len(DIRS)}] || 'm' || p_partkey::varchar || ['.rs', '_config.py', '/main.rs', '.ts'][1 + p_partkey % 4] as path, case when p_partkey % 3 = 0 then 'nothing' else {_sig('p_partkey')} || chr(10) || {_sig('p_partkey * 7 + p_size')} || chr(10) || {_sig('p_size * 11')} end as text from part)"
+SIGNAL_ROWS = "sg(pattern, layer, weight) as (values " + ", ".join(f"({_quoted(p)}, '{a}', {w})" for p, a, w in L.SIGNALS) + ")"
+FOLDER_ROWS = "fd(name, layer) as (values " + ", ".join(f"('{n}', '{k}')" for k, ns in L.FOLDERS.items() for n in ns) + ")"
+SCORES = f"""with {MODULE_FILES}, {SIGNAL_ROWS}, {FOLDER_ROWS}, pt as (select path, unnest(string_split(lower(path), '/')) as name from mf),
+sc as (select path, layer, sum(w)::int as score from (select path, layer, weight as w from mf join sg on contains(text, pattern) union all select path, layer, 2 from pt join fd using (name)) group by 1, 2)"""
+RANK = "case layer " + " ".join(f"when '{k}' then {i}" for i, k in enumerate(L.LAYERS)) + " end"
+
+
+def module_files(spark: SparkSession, d: str) -> DataFrame:
+    """(path, text): for every part a module in some folder, with some of the signals."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    path = F.concat(_pick(DIRS, s), F.lit("m"), k.cast("string"), _pick((".rs", "_config.py", "/main.rs", ".ts"), k))
+    text = F.when(k % 3 == 0, "nothing").otherwise(F.concat_ws("\n", _pick(SIGS, k), _pick(SIGS, k * 7 + s), _pick(SIGS, s * 11)))
+    return table(spark, d, "part").select(path.alias("path"), text.alias("text"))
+
+
+@query("a11_layer_signals", SCORES + " select path, layer, score from sc where score <> 0")
+def a11s(spark: SparkSession, d: str) -> DataFrame:
+    return L.layer_scores(module_files(spark, d))
+
+
+CLASSES = (
+    SCORES
+    + f""", best as (select path, layer from (select path, layer, score, row_number() over (partition by path order by score desc, {RANK}) as rn from sc) where rn = 1 and score > 0),
+cl as (select mf.path, case when contains(lower(mf.path), 'test') or contains(lower(mf.path), 'spec') then 'test' when contains(lower(mf.path), '.env') or regexp_matches(lower(mf.path), '({"|".join(x.replace(".", "[.]") for x in L.CONFIG_ENDS)})$') then 'config'
+ when regexp_matches(lower(mf.path), '({"|".join(x.replace(".", "[.]") for x in L.ENTRY_ENDS)})$') then 'utility' else coalesce(best.layer, 'unknown') end as layer from mf left join best on best.path = mf.path)"""
+)
+
+
+@query("a11_layers", CLASSES + " select path, layer from cl")
+def a11l(spark: SparkSession, d: str) -> DataFrame:
+    return L.classify(module_files(spark, d))
+
+
+UNKNOWN = """with m as (select s_suppkey as path, case when s_nationkey % 3 = 0 then 'service' else 'unknown' end as layer from supplier),
+i as (select distinct l_suppkey as src, (l_partkey % (select count(*) from supplier)) as dst from lineitem),
+c as (select path, layer, (select count(*) from i where dst = path and src in (select path from m)) as fi, (select count(*) from i where src = path and dst in (select path from m)) as fo from m),
+t as (select greatest(2 * coalesce((select fi from c where fi > 0 order by fi limit 1 offset (select count(*) // 2 from c where fi > 0)), 1), 3) as th)"""
+
+
+@query("a10_refined_layers", UNKNOWN + " select path, case when layer <> 'unknown' then layer when fi >= th and fo <= 1 then 'model' when fi >= th then 'utility' when fo >= th and fi <= 1 then 'controller' when fo > fi and fo >= 2 then 'service' else 'unknown' end as layer from c, t")
+def a10r(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "supplier")
+    n = s.count()
+    m = s.select(F.col("s_suppkey").alias("path"), F.when(F.col("s_nationkey") % 3 == 0, "service").otherwise("unknown").alias("layer"))
+    i = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % n).alias("dst")).distinct()
+    return L.refine(m, i)
