@@ -108,6 +108,14 @@ def described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, x array<double>")
 
 
+def forward(factor: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """y with factor @ y = b for a lower triangular factor, row by row."""
+    y = np.empty_like(b, dtype=np.float64)
+    for k in range(len(b)):
+        y[k] = (b[k] - factor[k, :k] @ y[:k]) / factor[k, k]
+    return y
+
+
 @dataclass
 class Model:
     """Means, Cholesky factors and log determinants of both classes, and the log odds of class 1 before a text is seen."""
@@ -122,7 +130,7 @@ class Model:
         z = np.full(len(x), self.prior)
         if len(self.means):
             for c, sign in ((0, -1.0), (1, 1.0)):
-                y = np.linalg.solve(self.factors[c], (x - self.means[c]).T)
+                y = forward(self.factors[c], (x - self.means[c]).T)
                 z += sign * (-0.5 * (y * y).sum(axis=0) - self.half_dets[c])
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
@@ -175,17 +183,18 @@ def is_held_out(doc_id: int | None, folds: int = FOLDS, held_out: int = HELD_OUT
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % folds == held_out
 
 
-def train(docs: DataFrame, labels: DataFrame, shrinkage: float, folds: int, held_out: int, id_col: str, text_col: str, label_col: str, keep: Scratch) -> tuple[Model, DataFrame]:
-    """A model of the labelled rows outside the held-out fold, and the statistics of every document."""
-    x = keep.save(described(docs, id_col, text_col))
+def training(labels: DataFrame, folds: int, held_out: int, id_col: str, label_col: str) -> DataFrame:
+    """(doc_id, quality) of the labels outside the held-out fold."""
     known = labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).alias("quality"))
-    known = known.filter(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) != held_out)
-    return fit(x.join(known, "doc_id"), shrinkage), x
+    return known.filter(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) != held_out)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, shrinkage: float = SHRINKAGE, folds: int = FOLDS, held_out: int = HELD_OUT, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", least: float = 0.5) -> DataFrame:
-    """The rows of documents, unchanged, that score at least `least`."""
-    model, _ = train(docs, labels, shrinkage, folds, held_out, id_col, text_col, label_col, Scratch(docs.sparkSession, "quality"))
+    """The rows of documents, unchanged, that score at least `least`: only labelled texts are described to fit, then each text once."""
+    known = Scratch(docs.sparkSession, "quality").save(training(labels, folds, held_out, id_col, label_col))
+    own = F.col(id_col).cast("long")
+    labelled = docs.select(own.alias("doc_id"), F.col(text_col).alias("text")).join(known.select("doc_id").distinct(), "doc_id", "left_semi")
+    model = fit(described(labelled, "doc_id", "text").join(known, "doc_id"), shrinkage)
 
     def keep_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -198,7 +207,8 @@ def accepted(docs: DataFrame, labels: DataFrame, shrinkage: float = SHRINKAGE, f
 def classify(docs: DataFrame, labels: DataFrame, shrinkage: float = SHRINKAGE, folds: int = FOLDS, held_out: int = HELD_OUT, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep: Scratch | None = None) -> DataFrame:
     """Scores of every document by a model of the labelled ones whose crc32(id) mod folds is not held_out."""
     keep = keep or Scratch(docs.sparkSession, "quality")
-    model, x = train(docs, labels, shrinkage, folds, held_out, id_col, text_col, label_col, keep)
+    x = keep.save(described(docs, id_col, text_col))
+    model = fit(x.join(training(labels, folds, held_out, id_col, label_col), "doc_id"), shrinkage)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
