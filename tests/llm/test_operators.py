@@ -399,11 +399,14 @@ def test_fit_keeps_every_capacity(seed, by):
 
 
 def test_token_counts(docs, empty):
-    from loamline.llm.token_ids import default_path, encoder
+    from tokenizers import Tokenizer
+
+    from loamline.llm.token_ids import default_path
 
-    enc = encoder(default_path())
+    tok = Tokenizer.from_file(default_path())
+    tok.encode_special_tokens = True
     got = Counter((r.doc_id, r.n_tokens) for r in token_counts.count_documents(docs).collect())
-    assert got == Counter((i, len(enc.ids(x or "", special=False)) // 4) for i, x in rows())
+    assert got == Counter((i, len(tok.encode(x or "", add_special_tokens=False).ids)) for i, x in rows())
     assert token_counts.count_documents(empty).count() == 0
 
 
@@ -729,6 +732,63 @@ def test_quality(spark, docs, empty):
     assert quality.accepted(docs, labels).schema == docs.schema
 
 
+@pytest.mark.parametrize("text", ["", "a", "Ab, cd! cd cd\n\nAb, cd! #x\tY\n|z|", "\u00e9\u00e8 " * 7 + "1 2 2 2\x00", "x" * 500])
+def test_quality_statistics(text):
+    """Each statistic by its definition, a character or a word at a time."""
+    raw_ = text.encode()
+    words = raw_.split()
+    lines = [x for x in raw_.split(b"\n") if x]
+    kinds = [
+        lambda b: 65 <= b <= 90, lambda b: 97 <= b <= 122, lambda b: 48 <= b <= 57, lambda b: b in b" \t\r\x0b\x0c", lambda b: b == 10, lambda b: b in b".,;:'\"()-?", lambda b: b in b"!",
+        lambda b: b in b"#$%&*+=@^~<>\\/_", lambda b: b in b"|[]{}", lambda b: b >= 128, lambda b: b < 32 and b not in b"\t\n\r\x0b\x0c",
+    ]
+    share = [sum(map(k, raw_)) / len(raw_) if raw_ else 0.0 for k in kinds]
+    more = [0.0] * 10
+    if words:
+        m, sizes, runs = len(words), [len(w) for w in words], [1]
+        for a, b in zip(words, words[1:], strict=False):
+            runs.append(runs[-1] + 1 if a == b else 1)
+        mean = sum(sizes) / m
+        more = [
+            sum(any(kinds[k](w[-1]) for k in (6, 7, 8)) for w in words) / m,
+            sum(kinds[0](w[0]) for w in words) / m,
+            sum(kinds[8](w[0]) for w in words) / m,
+            1 - len(set(words)) / m,
+            1 - len(set(lines)) / len(lines),
+            sum(a == b for a, b in zip(words, words[1:], strict=False)) / m,
+            math.log(max(runs)) / 100,
+            math.log1p(mean) / 100,
+            math.log1p((sum((x - mean) ** 2 for x in sizes) / m) ** 0.5) / 100,
+            math.log1p(m / max(1, len(lines))) / 100,
+        ]
+    assert quality.statistics(raw_) == pytest.approx([math.log1p(100 * x) for x in [*share, *more]])
+
+
+def test_quality_fit_and_scores(spark, docs):
+    """The query's scores against a discriminant fitted and evaluated without it."""
+    labels = {i: int(i % 3 > 0) for i in range(40)}
+    df = spark.createDataFrame(list(labels.items()), "doc_id long, quality int")
+    learn = [(quality.statistics(raw(x)), labels[i]) for i, x in rows() if i in labels and zlib.crc32(str(i).encode()) % 3 != 1]
+    side = {}
+    for c in (0, 1):
+        x = np.array([v for v, y in learn if y == c])
+        mean, cov = x.mean(axis=0), np.cov(x.T, bias=True)
+        target = 0.9 * np.diag(np.diag(cov)) + 0.1 * np.trace(cov) / quality.D * np.eye(quality.D)
+        side[c] = len(x), mean, (1 - quality.SHRINKAGE) * cov + quality.SHRINKAGE * target + 1e-6 * np.eye(quality.D)
+
+    def log_density(v, c):
+        n, mean, cov = side[c]
+        return math.log(n) - 0.5 * (v - mean) @ np.linalg.solve(cov, v - mean) - 0.5 * np.linalg.slogdet(cov)[1]
+
+    want = Counter()
+    for i, x in rows():
+        v = quality.statistics(raw(x))
+        z = log_density(v, 1) - log_density(v, 0)
+        want[i, round(1 / (1 + math.exp(-max(-500, min(500, z)))), 6)] += 1
+    got = quality.classify(docs, df).collect()
+    assert Counter((r.doc_id, round(r.score, 6)) for r in got) == want
+
+
 def test_quality_score_is_the_density_ratio():
     rng = np.random.default_rng(0)
     a, b = rng.normal(0, 1, (300, quality.D)), rng.normal(0.4, 1.5, (200, quality.D))
