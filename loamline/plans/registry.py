@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from loamline.plans import basics, code, lines_and_time, more, rules  # noqa: F401
+    from loamline.plans import basics, code, lines_and_time, lookups, more, rules  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
