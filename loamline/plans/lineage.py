@@ -1,8 +1,9 @@
-"""Cutting lineage between rounds of an iteration."""
+"""Cutting lineage between rounds of an iteration, and the tables that are written on the way."""
 
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -10,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,14 +23,34 @@ def shared_dir(spark: SparkSession) -> str:
     if sc.applicationId not in _own:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="loamline-rounds-")
+        folder = tempfile.mkdtemp(prefix="loamline-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         _own[sc.applicationId] = "file://" + folder
     return _own[sc.applicationId]
 
 
+def table_dir(spark: SparkSession, name: str) -> str:
+    """A new path for tables of a run.  Results may still read them, so they go when the driver's process ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@atexit.register
+def _clear() -> None:
+    for spark, path in _made:
+        # The session, or the JVM with it, may be gone by now: then the folder's owner clears it.
+        with contextlib.suppress(Exception):
+            delete(spark, path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written once and read again: what follows knows their size, and a lost executor costs one step."""
-    path = f"{shared_dir(df.sparkSession)}/rounds-{uuid.uuid4().hex}"
+    path = table_dir(df.sparkSession, "rounds")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

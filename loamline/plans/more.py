@@ -218,7 +218,17 @@ def r01(spark: SparkSession, d: str) -> DataFrame:
     return code.chunks(docs)
 
 
-@query("r05_search_modes", None)
+def _modes_sql() -> str:
+    from loamline.plans.basics import COS, bm25_sql
+
+    lists = f"""with b as (select id, row_number() over (order by score desc, id) as r from ({bm25_sql(limit=30)})),
+v as (select id, row_number() over (order by score desc, id) as r from (select vec_id as id, round({COS}, 6) as score from embeddings order by score desc, id limit 30)),
+u as (select 'hybrid' as mode, id, 1.0 / (60 + r) as w from v union all select 'hybrid', id, 1.0 / (60 + r) from b union all select 'vector', id, 1.0 / (60 + r) from v union all select 'lexical', id, 1.0 / (60 + r) from b),
+s as (select mode, id, round(sum(w), 6) as score from u group by 1, 2), k as (select *, row_number() over (partition by mode order by score desc, id) as rn from s)"""
+    return lists + " select mode, id, score from k where rn <= 10 and id in (select doc_id from documents)"
+
+
+@query("r05_search_modes", _modes_sql())
 def r05(spark: SparkSession, d: str) -> DataFrame:
     from loamline.plans.basics import TERMS, query_vector
 
