@@ -2,44 +2,22 @@
 
 Every stage that is read more than once, or that ends a long lineage, is
 written as Parquet below ``spark.checkpoint.dir`` and read back, so that losing
-an executor costs one stage at most.  The folder is taken from the session.  Where
-the session names none, a local session (as in tests) gets one of its own that goes
-with the process; on a cluster that would be another folder on each machine, so
-there it is an error.
+an executor costs one stage at most.  What no later stage reads is freed; the
+rest goes when the driver's process ends, as a result may read from it.
 """
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for written tables."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="loamline-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        _own[app] = "file://" + folder
-    return _own[app]
+from loamline.plans.lineage import delete, table_dir
 
 
 class Scratch:
     """Tables of one run; ``free`` deletes one that no later stage reads."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.spark, self.base, self.n = spark, table_dir(spark, name), 0
 
     def save(self, df: DataFrame, compression: str = "zstd", schema: str | None = None) -> DataFrame:
         self.n += 1
@@ -52,6 +30,4 @@ class Scratch:
     def free(self, df: DataFrame) -> None:
         path = getattr(df, "_loamline_path", None)
         if path:
-            jvm = self.spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            delete(self.spark, path)
