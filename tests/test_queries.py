@@ -11,7 +11,7 @@ from loamline.plans import registry
 
 SQL = registry.oracle_sql()
 #: Queries without SQL, held against plain Python elsewhere.
-BRUTE = {"r14_communities", "r14_modularity", "r05_search_modes", "r01_chunks"}
+BRUTE = {"r14_communities", "r14_modularity", "r01_chunks"}
 #: Queries whose answer over the smallest tables is that there is none.
 EMPTY: set[str] = set()
 
