@@ -85,6 +85,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def release() -> None:
     """Gives freed memory back to the system: a worker lives on and runs other stages."""
+    pa.default_memory_pool().release_unused()
     if sys.platform == "linux":
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
         if trim:

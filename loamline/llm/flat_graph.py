@@ -48,6 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamline.llm.blocks import release
 from loamline.llm.components import components, local_forest
 from loamline.llm.store import Scratch
 
@@ -386,6 +387,7 @@ def verify(t: pa.Table, cosine: float) -> pa.Table:
             ahead |= {(min(far, c), max(far, c)) for c in touches[k].as_py() or ()}
     ahead = sorted(ahead - {(pair, other)})
     m, n, r = len(some), len(tree), len(ahead)
+    release()
     cols = [
         np.concatenate([mine[some], mine[tree]]).tolist() + [None] * r,
         counts[some].tolist() + [0] * (n + r),
@@ -482,6 +484,7 @@ def near_dedup(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id
         both = np.unique(np.concatenate([i * len(cells) + code[j], j * len(cells) + code[i]]))
         i, c = both // len(cells), both % len(cells)
         away = code[i] != c
+        release()
         return pa.table({"id": ids[i[away]], "at": at[i[away]], "cell": cells[c[away]]})
 
     near = keep.save(members.join(united, "id", "left").groupBy("cell").applyInArrow(search, "id long, at long, cell long").distinct())

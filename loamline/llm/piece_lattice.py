@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from loamline.llm.blocks import release
 
-N_BEST, TABLE = 4, 500_000
+N_BEST, TABLE = 4, 700_000
 SPACE = "▁"
 BYTE_PENALTY = 10.0
 #: Longer words are segmented by themselves and not remembered.

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamline.llm.blocks import release
 from loamline.llm.store import Scratch
 
 FOLDS, HELD_OUT = 3, 1
@@ -104,6 +105,7 @@ def described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for b in batches:
             x = np.array([statistics(t.as_py() or b"") for t in b.column(1)]).reshape(-1, D)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), D).cast(pa.list_(pa.float64()))], names=["doc_id", "x"])
+        release()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, x array<double>")
 
@@ -200,6 +202,7 @@ def accepted(docs: DataFrame, labels: DataFrame, shrinkage: float = SHRINKAGE, f
         for b in batches:
             x = np.array([statistics((t.as_py() or "").encode()) for t in b.column(b.schema.get_field_index(text_col))]).reshape(-1, D)
             yield b.filter(pa.array(model.score(x) >= least))
+        release()
 
     return docs.mapInArrow(keep_rows, docs.schema)
 

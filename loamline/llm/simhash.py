@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm.blocks import mix
+from loamline.llm.blocks import mix, release
 from loamline.llm.components import components, local_forest
 from loamline.llm.store import Scratch
 
@@ -296,6 +296,7 @@ def wide_fingerprints(docs: DataFrame, similarity: float = 0.8, words: int = 5,
                 few = h[: len(h) - int(least_common(len(h), similarity)) + 1] if len(h) * similarity <= SHORT else h[:0]
                 first.append(few.view(np.int64).tolist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.binary()), pa.array(digest, pa.binary()), pa.array(first, pa.list_(pa.int64()))], names=["doc_id", "fp", "digest", "first"])
+        release()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp binary, digest binary, first array<long>")
 
@@ -305,7 +306,7 @@ def differing_share(similarity: float) -> float:
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def wide_links(fps: DataFrame, keep: Scratch, similarity: float = 0.8, lanes: int = 8, recall: float = 0.97, per_task: int = 1 << 15) -> DataFrame:
+def wide_links(fps: DataFrame, keep: Scratch, similarity: float = 0.8, lanes: int = 8, recall: float = 0.99, per_task: int = 1 << 15) -> DataFrame:
     """A spanning forest (a, b) of the candidate links between distinct wide fingerprints (column fp, bytes).
 
     Two are linked if they differ in at most the bits that a pair of the given similarity differs in, plus 5 standard
@@ -363,6 +364,7 @@ def wide_links(fps: DataFrame, keep: Scratch, similarity: float = 0.8, lanes: in
         own = np.flatnonzero(~crowd)
         found = ((own[i], own[j]) for i, j in near(wide[own], trie_join(v[own], None, rest_budget, top=top)))
         a, b = _forest(np.arange(len(v)), chain([(np.flatnonzero(crowd), head[crowd])], found))
+        release()
         return pa.table({"a": pa.array([wide[k].tobytes() for k in a], pa.binary()), "b": pa.array([wide[k].tobytes() for k in b], pa.binary())})
 
     return fps.select("fp").mapInArrow(deal, "choice int, task int, fp binary").groupBy("choice", "task").applyInArrow(one, "a binary, b binary")
@@ -437,6 +439,7 @@ def settled(grouped: DataFrame, text: DataFrame, keep: Scratch, similarity: floa
             rep, digest = part.column("rep").to_pylist(), part.column("digest").to_pylist()
             digests += [digest[k] for k in rows]
             linked += [rep[rows[g]] for g in group.tolist()]
+        release()
         return pa.table({"digest": pa.array(digests, pa.binary()), "component": pa.array(linked, pa.int64())})
 
     near = small.join(text, "rep").withColumn("bucket", F.pmod(F.xxhash64("component"), F.lit(buckets)))
@@ -449,6 +452,7 @@ def settled(grouped: DataFrame, text: DataFrame, keep: Scratch, similarity: floa
         rows, group = walk(t)
         node = t.column("node").to_numpy()[rows] if rows else np.zeros(0, np.int64)
         top = int(np.bincount(group).argmax()) if rows else 0
+        release()
         return pa.table({"a": node, "b": node[group], "top": pa.array(group == top)})
 
     links = "a long, b long, top boolean"
