@@ -86,8 +86,102 @@ def api_routes(files: DataFrame) -> DataFrame:
     return rows_of(files, routes, "path string, line int, method string, route string")
 
 
+METHODS = ("get", "post", "put", "delete", "patch", "options", "head")
+
+
+def swagger_routes(path: str, text: str) -> Iterator[tuple]:
+    """(path, method, route, summary, tag) of an interface description in YAML, by its indents: paths, their methods, what those say."""
+    route, route_indent, method, method_indent, said, tagged = None, 0, None, 0, {}, False
+
+    def done() -> Iterator[tuple]:
+        if route and method:
+            yield path, method.upper(), route, said.get("summary"), said.get("tag")
+
+    for ln in text.split("\n"):
+        body, indent = ln.strip(), len(ln) - len(ln.lstrip())
+        if not body or body.startswith("#"):
+            continue
+        key = re.match(r"""['"]?([^'"]*?)['"]?\s*:\s*$""", body)
+        if key and key[1].startswith("/"):
+            yield from done()
+            route, route_indent, method, said, tagged = key[1], indent, None, {}, False
+        elif route and key and key[1].lower() in METHODS and indent > route_indent:
+            yield from done()
+            method, method_indent, said, tagged = key[1].lower(), indent, {}, False
+        elif method and indent > method_indent:
+            if m := re.match(r"summary:\s*(.*)", body):
+                said.setdefault("summary", m[1].strip("'\""))
+                tagged = False
+            elif m := re.match(r"tags:\s*(?:\[\s*([^,\]]+).*)?$", body):
+                tagged = not m[1]
+                if m[1]:
+                    said.setdefault("tag", m[1].strip().strip("'\""))
+            elif tagged and body.startswith("- "):
+                said.setdefault("tag", body[2:].strip().strip("'\""))
+                tagged = False
+            else:
+                tagged = False
+    yield from done()
+
+
+def documented_routes(files: DataFrame) -> DataFrame:
+    return rows_of(files, swagger_routes, "path string, method string, route string, summary string, tag string")
+
+
+def with_documentation(routes: DataFrame, documented: DataFrame) -> DataFrame:
+    """Routes (method, route) with the summary and tag that an interface description has for them, and the routes that only it has (source: swagger)."""
+    d = documented.groupBy("method", "route").agg(F.min("summary").alias("summary"), F.min("tag").alias("tag"))
+    r = routes.select("method", "route").distinct().withColumn("source", F.lit("code"))
+    return r.join(d, ["method", "route"], "full_outer").select("method", "route", F.coalesce("source", F.lit("swagger")).alias("source"), "summary", "tag")
+
+
+def _block(text: str, at: int) -> str:
+    """What the braces hold that open at or after a place."""
+    start = text.find("{", at)
+    depth = 0
+    for k in range(start, len(text)) if start >= 0 else ():
+        depth += (text[k] == "{") - (text[k] == "}")
+        if not depth:
+            return text[start + 1 : k]
+    return text[start + 1 :] if start >= 0 else ""
+
+
+def sequelize_rows(path: str, text: str) -> Iterator[tuple]:
+    """(path, model, field, type) of `define('Name', {..})` and `Name.init({..})`: fields of the first block, by type or by its `type` entry."""
+    found = [(m[1], m.end()) for m in re.finditer(r"\.define(?:<[^(]*>)?\(\s*['\"`](\w+)['\"`]", text)] + [(m[1], m.end() - 1) for m in re.finditer(r"(\w+)\.init\(\s*\{", text)]
+    seen = set()
+    for model, at in sorted(found, key=lambda x: x[1]):
+        if model in seen:
+            continue
+        seen.add(model)
+        body = _block(text, at)
+        k = 0
+        while m := re.compile(r"(\w+)\s*:\s*(\{|(?:\w+\.)*(\w+)(\([^)]*\))?)").search(body, k):
+            if m[2] == "{":
+                inner = _block(body, m.start(2))
+                t = re.search(r"\btype\s*:\s*(?:\w+\.)*(\w+)", inner)
+                yield path, model, m[1], t[1] if t else ""
+                k = m.end() + len(inner) + 1
+            else:
+                yield path, model, m[1], m[3]
+                k = m.end()
+
+
+def drift_rows(path: str, text: str) -> Iterator[tuple]:
+    """(path, model, field, type) of table classes: getters whose column type begins the name of their builder."""
+    for m in re.finditer(r"(?m)^\s*class\s+(\w+)\s+extends\s+Table\b[^{]*", text):
+        for c in re.finditer(r"(\w+)Column\s+get\s+(\w+)\s*=>", _block(text, m.end() - 1)):
+            yield path, m[1], c[2], c[1].lower()
+
+
 def model_rows(path: str, text: str) -> Iterator[tuple]:
-    """(path, model, field, type) of classes with columns, schema blocks, structs with tags, and messages."""
+    """(path, model, field, type) of classes with columns, schema blocks, structs with tags, messages, and definitions of two libraries of their own."""
+    if path.endswith((".js", ".ts", ".mjs")):
+        yield from sequelize_rows(path, text)
+        return
+    if path.endswith(".dart"):
+        yield from drift_rows(path, text)
+        return
     model, block = None, None
     for ln in text.split("\n"):
         if m := re.match(r"^class\s+(\w+)\s*\([^)]*(?:Model|Base|Table|DeclarativeBase)\b", ln):
@@ -148,22 +242,42 @@ def infrastructure(files: DataFrame) -> DataFrame:
     return rows_of(files, infra_rows, "path string, kind string, name string, detail string")
 
 
+#: Severities of one tool's words; others are low.
+NPM_SEVERITY = {"critical": "critical", "high": "high", "moderate": "medium"}
+
+
 def advisories(path: str, text: str) -> Iterator[tuple]:
-    """(path, package, severity, id) of dependency audits' JSON."""
+    """(path, package, severity, id) of dependency audits' JSON: whole documents, or a document a line."""
+    docs = []
     try:
-        data = json.loads(text)
+        docs.append(json.loads(text))
     except ValueError:
-        return
-    if isinstance(data, dict) and isinstance(data.get("vulnerabilities"), dict) and "list" not in data["vulnerabilities"]:
-        for name, v in data["vulnerabilities"].items():
-            yield path, name, str(v.get("severity", "")), ""
-    elif isinstance(data, dict) and isinstance(data.get("vulnerabilities"), dict):
-        for v in data["vulnerabilities"].get("list", []):
-            yield path, v.get("package", {}).get("name", ""), "high", v.get("advisory", {}).get("id", "")
-    deps = data.get("dependencies", []) if isinstance(data, dict) else data if isinstance(data, list) else []
-    for d in deps if isinstance(deps, list) else []:
-        for v in d.get("vulns", []):
-            yield path, d.get("name", ""), "high", v.get("id", "")
+        for ln in text.split("\n"):
+            try:
+                docs.append(json.loads(ln))
+            except ValueError:
+                continue
+    for data in docs:
+        if isinstance(data, list):
+            data = {"dependencies": data}
+        if not isinstance(data, dict):
+            continue
+        vulns = data.get("vulnerabilities")
+        if isinstance(vulns, dict) and "list" not in vulns:
+            for name, v in vulns.items():
+                yield path, name, NPM_SEVERITY.get(str(v.get("severity", "")) if isinstance(v, dict) else "", "low"), ""
+        listed = [x for x in vulns.get("list", []) if isinstance(x, dict)] if isinstance(vulns, dict) else []
+        for v in [*listed, *([data] if "advisory" in data else [])]:
+            found = (v.get("advisory") or {}).get("id") or "RUSTSEC-????"
+            yield path, (v.get("package") or {}).get("name") or "unknown", "high" if "RUSTSEC" in found else "medium", found
+        if isinstance(data.get("finding"), dict):
+            f = data["finding"]
+            trace = next((t for t in f.get("trace") or [] if isinstance(t, dict)), {})
+            yield path, trace.get("module") or "unknown", "high", f.get("osv") or "GO-????"
+        deps = data.get("dependencies")
+        for d in (x for x in deps if isinstance(x, dict)) if isinstance(deps, list) else ():
+            for v in d.get("vulns") or []:
+                yield path, d.get("name") or "unknown", "high", v.get("id") or "CVE-????"
 
 
 def vulnerabilities(files: DataFrame) -> DataFrame:
