@@ -9,6 +9,7 @@ taken without a full sort.
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,8 +43,23 @@ def search_mode(mode: str | None) -> str:
     return {"vector": "vector", "semantic": "vector", "lexical": "lexical", "bm25": "lexical", "text": "lexical"}.get((mode or "").lower(), "hybrid")
 
 
+def _accents() -> tuple[str, str]:
+    """Letters with marks of the Latin blocks, and the letters without, by their canonical decompositions."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in range(0xC0, 0x250)]
+    pairs = [(a, b[0]) for a, b in pairs if len(b) > 1 and all(unicodedata.combining(x) for x in b[1:])]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+ACCENTS = _accents()
+
+
+def folded(text: Column) -> Column:
+    """Small letters without marks."""
+    return F.lower(F.translate(text, *ACCENTS))
+
+
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"), F.lit(1))
+    return F.regexp_extract_all(folded(text), F.lit(f"({TOKEN})"), F.lit(1))
 
 
 def _occurrences(array: str, term: str) -> Column:

@@ -23,7 +23,7 @@ def bm25_sql(terms: tuple[str, ...] = TERMS, limit: int | None = 20) -> str:
     df = ", ".join(f"sum((tf{i} > 0)::int) as df{i}" for i in range(len(terms)))
     one = " + ".join(f"greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), 1e-6) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in range(len(terms)))
     hit = " or ".join(f"tf{i} > 0" for i in range(len(terms)))
-    return f"""with tk as (select doc_id as id, regexp_extract_all(lower(coalesce(text, '')), '{TOK}') as t from documents),
+    return f"""with tk as (select doc_id as id, regexp_extract_all(lower(strip_accents(coalesce(text, ''))), '{TOK}') as t from documents),
 c as (select id, len(t) as dl, {tf} from tk), s as (select count(*) as n, avg(dl) as avgdl, {df} from c)
 select id, round({one}, 6) as score from c, s where {hit} order by score desc, id""" + (f" limit {limit}" if limit else "")
 

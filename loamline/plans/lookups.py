@@ -129,7 +129,7 @@ def j34i(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "r06_hashed_embedding",
-    f"""with t as (select doc_id as id, unnest(regexp_extract_all(lower(coalesce(text, '')), '{TOK}')) as t from documents), tf as (select id, t, count(*) as tf from t group by 1, 2), df as (select t, count(*) as df from tf group by 1), n as (select count(distinct id) as n from tf),
+    f"""with t as (select doc_id as id, unnest(regexp_extract_all(lower(strip_accents(coalesce(text, ''))), '{TOK}')) as t from documents), tf as (select id, t, count(*) as tf from t group by 1, 2), df as (select t, count(*) as df from tf group by 1), n as (select count(distinct id) as n from tf),
 w as (select id, (('0x' || substr(md5(t), 1, 4))::int % 64) as b, sum(tf * ln(1 + n / df)) as w from tf join df using (t), n group by 1, 2), q as (select id, sqrt(sum(w * w)) as norm from w group by 1)
 select id, round(max(case when b = 7 then w else 0 end) / max(norm), 6) as v7, round(max(case when b = 40 then w else 0 end) / max(norm), 6) as v40, round(sum(w * b) / max(norm), 4) as mixed from w join q using (id) group by id""",
 )

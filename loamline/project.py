@@ -25,7 +25,7 @@ class Project:
 
     @cached_property
     def chunks(self) -> DataFrame:
-        return code.chunks(self.files).withColumn("chunk_id", F.xxhash64("path", "chunk"))
+        return code.chunks(files.indexable(self.spark, self.root, self.ignore)).withColumn("chunk_id", F.xxhash64("path", "chunk"))
 
     @cached_property
     def call_graph(self) -> tuple[DataFrame, DataFrame]:

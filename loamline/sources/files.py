@@ -86,6 +86,33 @@ def scan(spark: SparkSession, root: str, languages: Iterable[str] | None = None,
     return f.select("path", F.col("content").cast("string").alias("text"), F.col("length").alias("bytes"), "language")
 
 
+# What goes into the index: extensions (or whole names), folders that don't, ends and names of generated files, most bytes, folders deep.
+INDEX_EXTENSIONS = ("rs", "go", "py", "js", "ts", "tsx", "jsx", "java", "kt", "swift", "dart", "c", "cpp", "h", "hpp", "cs", "rb", "php", "lua", "zig", "ex", "exs", "vue", "svelte", "astro", "proto", "sql", "md", "dockerfile", "verse")
+INDEX_SKIP_DIRS = ("node_modules", "target", "__pycache__", "dist", "build", ".git", "vendor", ".venv", "venv", ".env", ".next", ".nuxt", ".dart_tool", ".turbo", "coverage", "Intermediate", "Saved", "Binaries", "DerivedDataCache")
+INDEX_GENERATED = (".pb.rs", "_pb2.py", ".pb.go", ".g.dart", ".freezed.dart", ".gen.go")
+INDEX_GENERATED_NAMES = ("lcov.info", "coverage.xml")
+INDEX_BYTES, INDEX_DEPTH = 500_000, 6
+
+
+def is_indexable(path: Column) -> Column:
+    """Whether a relative path is one for the index: of a kind, not hidden, generated, sensitive or below a folder that isn't one's own, and not too deep."""
+    parts = F.split(path, "/")
+    name = F.element_at(parts, -1)
+    kind = F.lower(F.regexp_extract(name, r"^.+\.([^.]+)$", 1)).isin(*INDEX_EXTENSIONS) | F.lower(name).isin(*INDEX_EXTENSIONS)
+    own = ~F.exists(parts, lambda p: p.startswith(".") | p.isin(*INDEX_SKIP_DIRS)) & (F.size(parts) <= INDEX_DEPTH)
+    made = name.isin(*INDEX_GENERATED_NAMES)
+    for end in INDEX_GENERATED:
+        made = made | name.endswith(end)
+    return kind & own & ~made & ~is_sensitive(path)
+
+
+def indexable(spark: SparkSession, root: str, ignore: list[str] | None = None) -> DataFrame:
+    """(path, text, bytes, language) of the files that the index holds; sizes and names are looked at before contents."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter(F.col("length") <= INDEX_BYTES).withColumn("path", relative(F.col("path"), root))
+    f = f.filter(is_indexable(F.col("path")) & ~ignored(F.col("path"), ignore or []))
+    return f.select("path", F.col("content").cast("string").alias("text"), F.col("length").alias("bytes"), language(F.col("path")).alias("language"))
+
+
 def hidden(spark: SparkSession, root: str, name: str, depth: int = 3) -> DataFrame:
     """(path, text) of settings files that Spark's listing leaves out (names that begin with a dot), by a name pattern, to a depth.
 

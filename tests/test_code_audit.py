@@ -41,6 +41,22 @@ def test_symbols(spark):
     assert [r.s for r in df.collect()] == [["load", "paint", "loop", "auth", "currentUser", "guest", "authProvider"], []]
 
 
+def test_index_files(spark, tmp_path):
+    keep = ["a.rs", "src/B.PY", "Dockerfile", "x/y/z/u/v.md", "lib/q.verse", "Plugins/p.cpp"]
+    skip = ["a.txt", ".hidden/a.py", "node_modules/a.js", "Saved/a.cpp", "x/y/z/u/v/w/t.md", "a.pb.go", "m_pb2.py", "n.gen.go", "coverage.xml", "secrets.json", "DerivedDataCache/a.c", "big.py", "skipme/a.py", "id_rsa"]
+    for x in keep + skip:
+        (tmp_path / x).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / x).write_text("x" * (500_001 if x == "big.py" else 3))
+    got = FS.indexable(spark, str(tmp_path), ["skipme/"])
+    assert {r.path for r in got.collect()} == set(keep) and len(FS.INDEX_EXTENSIONS) == 30
+
+
+def test_terms_without_marks(spark):
+    df = spark.createDataFrame([(1, "Crème brûlée"), (2, "creme"), (3, "Ångström øre"), (4, None)], "doc_id long, text string")
+    assert {r.id for r in R.bm25(df, ["creme"], "doc_id", "text").collect()} == {1, 2}
+    assert [r.t for r in df.filter("doc_id = 3").select(R.tokens(F.col("text")).alias("t")).collect()] == [["angstrom", "øre"]]
+
+
 def found(spark, path, text, *families):
     df = spark.createDataFrame([(path, text)], "path string, text string")
     return [(r.line, r.rule, r.severity) for r in K.line_findings(df, families or tuple(K.FAMILIES)).orderBy("line").collect()]
