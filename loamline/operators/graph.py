@@ -282,6 +282,22 @@ def suggest_tests(coverage: DataFrame, changed: DataFrame) -> DataFrame:
     return got.groupBy("test").agg(F.countDistinct("function").alias("covers"), F.min("hops").alias("hops"))
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds each row's place from 0 in an order over the whole table, in two levels: in its partition of the sorted rows, and over the partitions' counts."""
+    at = F.monotonically_increasing_id()
+    part = cut(rows.orderBy(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", at - F.spark_partition_id().cast("long") * (1 << 33)))
+    counts = part.groupBy("_p").agg(F.count("*").alias("_n"))
+    # A row for each partition.
+    before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    return part.join(F.broadcast(before), "_p").withColumn(name, F.col("_b") + F.col("_i")).drop("_p", "_i", "_b")
+
+
+def community_sizes(members: DataFrame, label: str) -> DataFrame:
+    """(label, size, community): communities numbered by size from 0, equals by label."""
+    sizes = members.groupBy(label).agg(F.count("*").alias("size"))
+    return numbered(sizes, [F.desc("size"), F.col(label)], "community")
+
+
 def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """(node, community, size): each node takes the heaviest label around it, the least of equals; communities are numbered by size from 0.
 
@@ -299,6 +315,4 @@ def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
         label = moved
         if same and step % 2:
             break
-    sizes = label.groupBy("label").agg(F.count("*").alias("size"))
-    number = F.row_number().over(Window.orderBy(F.desc("size"), "label")) - 1
-    return label.join(sizes.withColumn("community", number), "label").select("node", "community", "size")
+    return label.join(community_sizes(label, "label"), "label").select("node", "community", "size")

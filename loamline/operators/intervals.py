@@ -107,6 +107,7 @@ def next_value(rows: DataFrame, ts: str, tie: str, value: str, name: str, unit:
     keyed = rows.withColumn("_d", F.date_trunc(unit, F.col(ts)))
     inside = Window.partitionBy("_d").orderBy(ts, tie)
     firsts = keyed.groupBy("_d").agg(F.min_by(value, F.struct(ts, tie)).alias("_first"))
+    # One row a day, whatever the number of rows.
     up = firsts.select("_d", F.lead("_first").over(Window.orderBy("_d")).alias("_up"))
     last = F.row_number().over(Window.partitionBy("_d").orderBy(F.desc(ts), F.desc(tie))) == 1
     out = keyed.withColumn("_n", F.lead(value).over(inside)).withColumn("_l", last).join(up, "_d", "left")

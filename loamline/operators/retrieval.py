@@ -105,7 +105,7 @@ def overfetch(k: int) -> int:
 
 
 def ranked(top: DataFrame) -> DataFrame:
-    """Ranks from 1 of a bounded top list."""
+    """Ranks from 1 of a top list: as many rows as were asked for, so one task will do."""
     return top.select("id", F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("rank"))
 
 

@@ -172,10 +172,9 @@ def a07(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a08_community_sizes", "select label, size, (row_number() over (order by size desc, label) - 1)::bigint as community from (select label, count(*) as size from embeddings group by label)")
 def a08(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
+    from loamline.operators import graph as G
 
-    g = table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("size"))
-    return g.withColumn("community", (F.row_number().over(Window.orderBy(F.desc("size"), "label")) - 1).cast("long"))
+    return G.community_sizes(table(spark, d, "embeddings"), "label").select("label", "size", F.col("community").cast("long").alias("community"))
 
 
 @query("a12_layer_distribution", "select p_type as layer, count(*) as n, round(sum(p_size), 4)::double as weight, round(100.0 * count(*) / (select count(*) from part), 6) as pct from part group by p_type")

@@ -51,6 +51,7 @@ def board_text(tasks: DataFrame) -> DataFrame:
 
 def board_history(snapshots: DataFrame) -> DataFrame:
     """(task, seq, column, previous) of snapshots (seq, task, column): where a task's column changes; `(removed)` where it goes."""
+    # One row a snapshot: as many as a board's file has commits.
     seqs = snapshots.select("seq").distinct().withColumn("nxt", F.lead("seq").over(Window.orderBy("seq")))
     w = Window.partitionBy("task").orderBy("seq")
     own = snapshots.join(seqs, "seq").withColumn("prev", F.lag("column").over(w)).withColumn("after", F.lead("seq").over(w)).withColumn("pseq_next", F.lag("nxt").over(w))
