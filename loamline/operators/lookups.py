@@ -308,3 +308,66 @@ def communities(edges: DataFrame, most: int = 1 << 20) -> DataFrame:
 
     rows = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.col("weight").cast("double").alias("weight"))
     return rows.groupBy(F.lit(0).alias("all")).applyInArrow(one, "node long, community long, size long")
+
+
+#: Confidences of architectural patterns.
+PATTERNS = {"clean_hexagonal": 0.85, "layered_full": 0.8, "mvc": 0.75, "layered": 0.7, "monolith_large": 0.6, "monolith_small": 0.5, "unknown": 0.3}
+
+
+def architecture(modules: DataFrame, imports: DataFrame) -> DataFrame:
+    """One row (pattern, confidence) from which layers there are; layered with all four is clean if neither services nor models import controllers.
+
+    modules: (path, layer); imports: (src, dst) between modules.
+    """
+    has = lambda x: F.coalesce(F.max((F.col("layer") == x).cast("int")), F.lit(0)) == 1
+    shape = modules.agg(F.count("*").alias("n"), *[has(x).alias(x) for x in ("controller", "service", "repository", "model")])
+    a, b = modules.select(F.col("path").alias("src"), F.col("layer").alias("f")), modules.select(F.col("path").alias("dst"), F.col("layer").alias("t"))
+    outward = imports.join(a, "src").join(b, "dst").filter("t = 'controller' and f in ('service', 'model')").agg((F.count("*") == 0).alias("clean"))
+    c, s, r, m, n = (F.col(x) for x in ("controller", "service", "repository", "model", "n"))
+    name = (
+        F.when(c & s & r & m, F.when(F.col("clean"), "clean_hexagonal").otherwise("layered_full"))
+        .when(c & m & ~s, "mvc")
+        .when(c & s, "layered")
+        .when((n > 20) & ~c & ~s, "monolith_large")
+        .when(n <= 5, "monolith_small")
+        .otherwise("unknown")
+    )
+    table = F.create_map(*[F.lit(x) for kv in PATTERNS.items() for x in kv])
+    # Both sides are one row.
+    row = shape.crossJoin(outward).withColumn("_k", name)
+    return row.select(F.split_part("_k", F.lit("_"), F.lit(1)).alias("pattern"), F.element_at(table, F.col("_k")).alias("confidence"))
+
+
+def _ends(path: Column) -> Column:
+    """A path and what is left of it below each of its folders."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+
+
+def tasks_touching(tasks: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(board, task) of tasks, not done, a link of which is a changed file, ends one or is ended by one, or is a changed symbol or its last name.
+
+    tasks: (board, column, task, links); files: (file); symbols: (symbol).  Joined by equality on every end that a path has.
+    """
+    links = tasks.filter(F.lower("column") != "done").select("board", "task", F.explode("links").alias("l")).withColumn("l", slashes(F.col("l")))
+    f = files.select(slashes(F.col("file")).alias("f")).distinct()
+    below = links.join(f.select(F.explode(_ends(F.col("f"))).alias("l")).distinct(), "l", "left_semi")
+    above = links.withColumn("f", F.explode(_ends(F.col("l")))).join(f, "f", "left_semi")
+    named = symbols.select(F.explode(F.array("symbol", G.last_segment(F.col("symbol")))).alias("l")).distinct()
+    return below.select("board", "task").unionByName(above.select("board", "task")).unionByName(links.join(named, "l", "left_semi").select("board", "task")).distinct()
+
+
+def resolve_local(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Calls (source_qualified, file_path, target_qualified) with targets of the same file in full: bare names and `Type::name`, the first by line of a name.
+
+    nodes need line_start; what the file doesn't define stays as it is.
+    """
+    n = nodes.filter("kind in ('Function', 'Class', 'Test')")
+    first = lambda key: n.withColumn("k", key).filter("k is not null").groupBy("file_path", "k").agg(F.min(F.struct("line_start", "qualified_name")).alias("m")).select("file_path", "k", F.col("m.qualified_name").alias("r"))
+    bare, typed = first(F.col("name")), first(F.when(F.col("parent_name") != "", F.concat_ws("::", "parent_name", "name")))
+    e = edges.filter("kind = 'CALLS'").withColumnRenamed("target_qualified", "k")
+    got = e.filter("instr(k, '::') = 0").join(bare, ["file_path", "k"], "left")
+    open_ = F.expr("instr(k, '::') > 0")
+    local = open_ & (F.instr("k", "/") == 0) & (F.instr("k", ".") == 0)
+    got = got.unionByName(e.filter(local).join(typed, ["file_path", "k"], "left")).unionByName(e.filter(open_ & ~local).withColumn("r", F.lit(None).cast("string")))
+    return got.select("source_qualified", "file_path", F.coalesce("r", "k").alias("target_qualified"))

@@ -162,3 +162,67 @@ def r12(spark: SparkSession, d: str) -> DataFrame:
     context = seeds.select(F.col("id").cast("string").alias("node")).join(n.select(F.col("qualified_name").alias("node")), "node", "left_semi").select(F.lit(0).cast("long").alias("id"), F.lit(1).alias("hops"))
     got = R.merge_ranked(seeds, context, ["id"])
     return got.agg((F.sum((F.col("origin") == "structural").cast("int")) == 0).alias("degraded"), F.sum((F.col("origin") == "structural").cast("long")).alias("context")).select(F.lit("documents").alias("part"), "degraded", "context")
+
+
+ARCH = """with m as (select s_suppkey as path, ['controller', 'service', 'repository', 'model', 'utility'][1 + s_nationkey % 5] as layer from supplier), i as (select distinct l_suppkey as src, l_partkey % (select count(*) from supplier) as dst from lineitem),
+h as (select count(*) as n, bool_or(layer = 'controller') as c, bool_or(layer = 'service') as s, bool_or(layer = 'repository') as r, bool_or(layer = 'model') as d from m),
+k as (select case when c and s and r and d then case when not exists (select 1 from i join m a on a.path = src join m b on b.path = dst where b.layer = 'controller' and a.layer in ('service', 'model')) then 'clean_hexagonal' else 'layered_full' end when c and d and not s then 'mvc' when c and s then 'layered' when n > 20 and not c and not s then 'monolith_large' when n <= 5 then 'monolith_small' else 'unknown' end as k from h)
+select split_part(k, '_', 1) as pattern, """ + "case k " + " ".join(f"when '{k}' then {v}" for k, v in K.PATTERNS.items()) + " end::double as confidence from k"
+
+
+@query("a12_architecture", ARCH)
+def a12a(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "supplier")
+    n = s.count()
+    layer = F.element_at(F.array(*map(F.lit, ("controller", "service", "repository", "model", "utility"))), (1 + F.col("s_nationkey") % 5).cast("int"))
+    i = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % n).alias("dst")).distinct()
+    return K.architecture(s.select(F.col("s_suppkey").alias("path"), layer.alias("layer")), i)
+
+
+TASKS = """t as (select 'b' || (p_partkey % 3)::varchar as board, ['Todo', 'Doing', 'DONE'][1 + p_size % 3] as col, 't' || p_partkey::varchar as task, ['m' || (p_partkey % 8)::varchar || '/f' || (p_partkey % 64)::varchar || '.py', 'f' || (p_partkey % 64)::varchar || '.py', 'repo/m' || (p_partkey % 8)::varchar || '/f' || (p_partkey % 64)::varchar || '.py', 'sym' || (p_partkey % 50)::varchar][1 + p_size % 4] as l from part),
+f as (select distinct 'm' || (s_suppkey % 8)::varchar || '/f' || (s_suppkey % 64)::varchar || '.py' as f from supplier where s_acctbal < 2000), y as (select 'a::b::sym' || n_nationkey::varchar as s from nation)"""
+
+
+@query("j25_tasks_of_changes", f"with {TASKS} select distinct board, task from t where lower(col) <> 'done' and (exists (select 1 from f where f = l or ends_with(f, '/' || l) or ends_with(l, '/' || f)) or exists (select 1 from y where s = l or split_part(s, '::', 3) = l))")
+def j25t(spark: SparkSession, d: str) -> DataFrame:
+    k, s = F.col("p_partkey"), F.col("p_size")
+    f = F.concat(F.lit("f"), (k % 64).cast("string"), F.lit(".py"))
+    whole = F.concat(F.lit("m"), (k % 8).cast("string"), F.lit("/"), f)
+    link = F.element_at(F.array(F.translate(whole, "/", "\\"), f, F.concat(F.lit("repo/"), whole), F.concat(F.lit("sym"), (k % 50).cast("string"))), (1 + s % 4).cast("int"))
+    column = F.element_at(F.array(*map(F.lit, ("Todo", "Doing", "DONE"))), (1 + s % 3).cast("int"))
+    tasks = table(spark, d, "part").select(F.concat(F.lit("b"), (k % 3).cast("string")).alias("board"), column.alias("column"), F.concat(F.lit("t"), k.cast("string")).alias("task"), F.array(link).alias("links"))
+    files = table(spark, d, "supplier").filter("s_acctbal < 2000").select(F.concat(F.lit("m"), (F.col("s_suppkey") % 8).cast("string"), F.lit("/f"), (F.col("s_suppkey") % 64).cast("string"), F.lit(".py")).alias("file"))
+    symbols = table(spark, d, "nation").select(F.concat(F.lit("a::b::sym"), F.col("n_nationkey").cast("string")).alias("symbol"))
+    return K.tasks_touching(tasks, files, symbols)
+
+
+@query("j36_typed_resolution", CTE + """, nl as (select *, (p_partkey * 13 % 997)::int as line_start from n), b as (select file_path, name as k, arg_min(qualified_name, (line_start, qualified_name)) as r from nl group by 1, 2 union all select file_path, parent_name || '::' || name, arg_min(qualified_name, (line_start, qualified_name)) from nl where parent_name <> '' group by 1, 2)
+select source_qualified, e.file_path, coalesce(r, target_qualified) as target_qualified from e left join b on b.file_path = e.file_path and b.k = target_qualified and not contains(target_qualified, '/') and not contains(target_qualified, '.')""")
+def j36t(spark: SparkSession, d: str) -> DataFrame:
+    n, e = call_graph(spark, d)
+    return K.resolve_local(n.withColumn("line_start", (F.col("p_partkey") * 13 % 997).cast("int")), e)
+
+
+LOG = "lg as (select l_suppkey as file, l_orderkey * 10 + l_linenumber as line, min(case l_linenumber % 4 when 0 then 'INFO ' || l_shipdate::date::varchar when 1 then chr(27) || '[31mERROR ' || l_returnflag || chr(27) || '[0m' when 2 then '  42%' else 'plain ' || l_returnflag end) as content from lineitem group by 1, 2)"
+
+
+@query(
+    "st06_quiet_logs",
+    f"""with {LOG}, a as (select file, line, regexp_replace(content, chr(27) || '\\[[0-9;?]*[A-Za-z]', '', 'g') as c from lg), b as (select * from a where c <> '  42%'), r as (select *, case when lag(c) over w = c then 0 else 1 end as nw from b window w as (partition by file order by line)),
+g as (select *, sum(nw) over (partition by file order by line) as run from r), u as (select file, run, min(line) as line, min(c) as c, count(*) as n from g group by 1, 2), v as (select file, line, case when n > 1 then c || ' (×' || n::varchar || ')' else c end as c from u),
+x as (select *, sum((contains(upper(c), 'INFO') or contains(upper(c), 'ERROR'))::int) over (partition by file) as lv, count(*) over (partition by file) as al from v), y as (select file, line, c from x where not (lv * 5 >= al and lv > 0 and contains(upper(c), 'INFO') and not contains(upper(c), 'ERROR'))),
+z as (select *, row_number() over (partition by file order by line) as rn, count(*) over (partition by file) as n from y)
+select file, (case when n > 150 and rn > 21 then rn - n + 51 else rn end)::bigint as position, case when n > 150 and rn = 21 then '... [' || (n - 50)::varchar || ' lines omitted] ...' else c end as content from z where n <= 150 or rn <= 21 or rn > n - 30""",
+)
+def st06q(spark: SparkSession, d: str) -> DataFrame:
+    from loamline.operators import logs
+
+    return logs.quiet(log_lines(spark, d))
+
+
+def log_lines(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("l_linenumber") % 4
+    esc = F.lit("\x1b")
+    error = F.concat(esc, F.lit("[31mERROR "), "l_returnflag", esc, F.lit("[0m"))
+    content = F.when(k == 0, F.concat(F.lit("INFO "), F.col("l_shipdate").cast("date").cast("string"))).when(k == 1, error).when(k == 2, "  42%").otherwise(F.concat(F.lit("plain "), "l_returnflag"))
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("file"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), content.alias("content")).groupBy("file", "line").agg(F.min("content").alias("content"))

@@ -93,3 +93,36 @@ def test_expand_over_hops(spark):
     e = spark.createDataFrame([("CALLS", f"f.py::{x}", "f.py", f"f.py::{y}") for x, y in (("a", "b"), ("b", "c"), ("c", "d"), ("test_a", "a"))], "kind string, source_qualified string, file_path string, target_qualified string")
     got = {r.node[6:]: (r.hops, r.via) for r in G.expand_calls(n, e, spark.createDataFrame([("f.py::a",)], "node string"), 3).collect()}
     assert got == {"b": (1, ["callee"]), "test_a": (1, ["caller", "test"]), "c": (2, ["callee"]), "d": (3, ["callee"])}
+
+
+@pytest.mark.parametrize(
+    "layers, imports, want",
+    [
+        (["controller", "model", "utility"], [], ("mvc", 0.75)),
+        (["controller", "service", "repository", "model"], [(1, 0)], ("layered", 0.8)),
+        (["controller", "service", "repository", "model"], [(0, 1)], ("clean", 0.85)),
+        (["controller", "service"], [], ("layered", 0.7)),
+        (["utility"] * 21, [], ("monolith", 0.6)),
+        (["utility"] * 5, [], ("monolith", 0.5)),
+        (["utility"] * 9, [], ("unknown", 0.3)),
+        ([], [], ("monolith", 0.5)),
+    ],
+)
+def test_architecture(spark, layers, imports, want):
+    m = spark.createDataFrame(list(enumerate(layers)), "path long, layer string")
+    assert tuple(K.architecture(m, spark.createDataFrame(imports, "src long, dst long")).first()) == want
+
+
+def test_quiet_logs(spark):
+    from loamline.operators import logs
+
+    text = ["\x1b[32mstart\x1b[0m", "same", "same", "same", " 42%", "same", "last", "last"]
+    df = spark.createDataFrame([("a", k, x) for k, x in enumerate(text)] + [("b", k, f"line {k}") for k in range(200)] + [("c", k, ("INFO x", "WARN y", "no level")[k % 3] + str(k)) for k in range(9)], "file string, line long, content string")
+    got = {}
+    for r in logs.quiet(df).orderBy("file", "position").collect():
+        got.setdefault(r.file, []).append((r.position, r.content))
+    assert [c for _, c in got["a"]] == ["start", "same (×4)", "last (×2)"]
+    assert [p for p, _ in got["b"]] == list(range(1, 52)) and got["b"][20][1] == "... [150 lines omitted] ..." and got["b"][19][1] == "line 19" and got["b"][21][1] == "line 170"
+    assert [c for _, c in got["c"]] == ["WARN y1", "no level2", "WARN y4", "no level5", "WARN y7", "no level8"]
+    assert {(r.file, r.lines_original, r.lines_filtered) for r in logs.savings(df, logs.quiet(df)).collect()} == {("a", 8, 3), ("b", 200, 51), ("c", 9, 6)}
+    assert logs.quiet(df.limit(0)).count() == 0
