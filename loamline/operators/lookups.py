@@ -371,3 +371,77 @@ def resolve_local(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     local = open_ & (F.instr("k", "/") == 0) & (F.instr("k", ".") == 0)
     got = got.unionByName(e.filter(local).join(typed, ["file_path", "k"], "left")).unionByName(e.filter(open_ & ~local).withColumn("r", F.lit(None).cast("string")))
     return got.select("source_qualified", "file_path", F.coalesce("r", "k").alias("target_qualified"))
+
+
+def gone_files(stored: DataFrame, current: DataFrame, key: str) -> DataFrame:
+    """(key) of stored files that are no more."""
+    return stored.join(current.select(key).distinct(), key, "left_anti").select(key)
+
+
+def env_drift(reads: DataFrame, known: DataFrame, key: str = "key") -> DataFrame:
+    """(key, status): variables that are read and not documented, and documented ones that nothing reads."""
+    a, b = reads.select(key).distinct(), known.select(key).distinct()
+    return a.join(b, key, "left_anti").withColumn("status", F.lit("undocumented")).unionByName(b.join(a, key, "left_anti").withColumn("status", F.lit("dead")))
+
+
+def demoted(names: DataFrame, tally: DataFrame, key: str, uses: str = "n") -> DataFrame:
+    """Names with how often the text has them (0 where it doesn't) and confidence: uncertain beyond once, else dead."""
+    n = F.coalesce(F.col(uses), F.lit(0))
+    return names.join(tally, key, "left").withColumn(uses, n.cast("long")).withColumn("confidence", F.when(F.col(uses) > 1, "uncertain").otherwise("dead"))
+
+
+def shared(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """(key) of what both sides have."""
+    return left.select(key).distinct().join(right.select(key).distinct(), key, "left_semi")
+
+
+def siblings(rows: DataFrame, group: str, key: str, name: str) -> DataFrame:
+    """(member, dependency): every member of a group with every other, for groups that are small by nature (a workspace's members)."""
+    b = rows.select(group, F.col(name).alias("dependency"), F.col(key).alias("_k"))
+    return rows.join(b, group).filter(F.col(key) != F.col("_k")).select(F.col(name).alias("member"), "dependency").distinct()
+
+
+def share_within(rows: DataFrame, group: str, part: str) -> DataFrame:
+    """(group, part, n, pct): how many rows of a group each part has."""
+    g = rows.groupBy(group, part).agg(F.count("*").alias("n"))
+    return g.withColumn("pct", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(group)), 6))
+
+
+def folder_sizes(files: DataFrame, path: str, size: Column) -> DataFrame:
+    """(folder, bytes, files) by the first folder of paths."""
+    return files.groupBy(F.split_part(path, F.lit("/"), F.lit(1)).alias("folder")).agg(F.sum(size).cast("long").alias("bytes"), F.count("*").alias("files"))
+
+
+def most_frequent(rows: DataFrame, value: str, n: int, name: str = "n") -> DataFrame:
+    """(value, n) of the n most frequent values, equals by value."""
+    return rows.groupBy(value).agg(F.count("*").alias(name)).orderBy(F.desc(name), value).limit(n)
+
+
+def coverage_by(rows: DataFrame, key: str, hit: Column) -> DataFrame:
+    """(key, lines, hit, pct): covered lines of each key."""
+    from loamline.operators.metrics import percent
+
+    g = rows.groupBy(key).agg(F.count("*").alias("lines"), F.sum(hit.cast("long")).alias("hit"))
+    return g.withColumn("pct", F.round(percent(F.col("hit"), F.col("lines")), 6))
+
+
+def snapshot(modules: DataFrame, key: str, size: str, flags: dict[str, Column]) -> DataFrame:
+    """(key, n, loc, max_size, avg_size, ..): a debt snapshot's measures: modules, lines, the largest, the mean, and how many a flag holds for."""
+    counts = [F.sum(c.cast("long")).alias(n) for n, c in flags.items()]
+    return modules.groupBy(key).agg(F.count("*").alias("n"), F.sum(size).alias("loc"), F.max(size).alias("max_size"), F.round(F.avg(size), 6).alias("avg_size"), *counts)
+
+
+def review_totals(hunks: DataFrame, key: str, symbol: str, added: str, kind: str) -> DataFrame:
+    """(key, hunks, symbols, added, kinds) of changes."""
+    return hunks.groupBy(key).agg(F.count("*").alias("hunks"), F.countDistinct(symbol).alias("symbols"), F.round(F.sum(added), 2).alias("added"), F.sort_array(F.collect_set(kind)).alias("kinds"))
+
+
+def shape_flags(rows: DataFrame, key: str, flags: dict[str, tuple[str, Column]]) -> DataFrame:
+    """(key, ..): whether a condition holds for `all` or `any` of a key's rows."""
+    how = {"all": F.bool_and, "any": F.bool_or}
+    return rows.groupBy(key).agg(*[how[h](c).alias(n) for n, (h, c) in flags.items()])
+
+
+def latest_per(rows: DataFrame, key: str, ts: str, first: str) -> DataFrame:
+    """(key, latest, first): a key's last time and its least `first`."""
+    return rows.groupBy(key).agg(F.max(ts).alias("latest"), F.min(first).alias("first"))

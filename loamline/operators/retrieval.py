@@ -34,6 +34,12 @@ def is_identifier(query: str) -> bool:
     return not re.search(r"\s", q) and ("_" in q or (q != q.lower() and q != q.upper() and not q.istitle()))
 
 
+def identifier_flag(token: Column) -> Column:
+    """As `is_identifier`, of a column of single tokens: an underscore, or a capital after a small letter's like."""
+    rest = F.substr(token, F.lit(2))
+    return token.contains("_") | ((token != F.lower(token)) & (token != F.upper(token)) & (rest != F.lower(rest)))
+
+
 def query_allowed(query: str, mode: str = "hybrid") -> bool:
     """Two words at least, unless the query is an identifier or the mode is lexical."""
     return len(query.split()) > 1 or is_identifier(query) or search_mode(mode) == "lexical"

@@ -52,9 +52,7 @@ def f10(spark: SparkSession, d: str) -> DataFrame:
 from (select unnest(regexp_extract_all(coalesce(text, ''), '{TOK}')) as token from documents) group by token""")
 def r04(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"({TOK})"), F.lit(1))).alias("token"))
-    rest = F.expr("substr(token, 2)")
-    flag = F.col("token").contains("_") | ((F.col("token") != F.lower("token")) & (F.col("token") != F.upper("token")) & (rest != F.lower(rest)))
-    return t.groupBy("token").agg(F.count("*").alias("n")).withColumn("is_identifier", flag)
+    return t.groupBy("token").agg(F.count("*").alias("n")).withColumn("is_identifier", R.identifier_flag(F.col("token")))
 
 
 def query_vector(spark: SparkSession, d: str) -> list[float]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loamline.operators import audit as A
 from loamline.operators import intervals as I
+from loamline.operators import lookups as U
 from loamline.operators import metrics as M
 from loamline.plans.basics import CTE, call_graph, table
 from loamline.plans.registry import query
@@ -167,7 +168,7 @@ def a04(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a07_max_per_file", "select l_partkey, max(l_shipdate) as latest, min(l_orderkey) as first_order from lineitem group by l_partkey")
 def a07(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").groupBy("l_partkey").agg(F.max("l_shipdate").alias("latest"), F.min("l_orderkey").alias("first_order"))
+    return U.latest_per(table(spark, d, "lineitem"), "l_partkey", "l_shipdate", "l_orderkey").withColumnRenamed("first", "first_order")
 
 
 @query("a08_community_sizes", "select label, size, (row_number() over (order by size desc, label) - 1)::bigint as community from (select label, count(*) as size from embeddings group by label)")
@@ -184,10 +185,7 @@ def a12(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a13_layer_share", "select p_type, p_brand, count(*) as n, round(100.0 * count(*) / sum(count(*)) over (partition by p_type), 6) as pct from part group by p_type, p_brand")
 def a13(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    g = table(spark, d, "part").groupBy("p_type", "p_brand").agg(F.count("*").alias("n"))
-    return g.withColumn("pct", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("p_type")), 6))
+    return U.share_within(table(spark, d, "part"), "p_type", "p_brand")
 
 
 MODS = """m as (select s_suppkey as path, case s_nationkey % 4 when 0 then 'rust' when 1 then 'dart' else 'python' end as language, case when s_nationkey % 3 = 0 then 'controller' when s_nationkey % 3 = 1 then 'service' when s_suppkey % 19 = 0 then 'test' else 'repository' end as layer, count(*) * 2 as loc, count(distinct l_partkey) % 50 as function_count, count(distinct l_orderkey) % 30 as fan_out, (s_suppkey % 17 = 0) as is_hub, (s_suppkey % 23 = 0) as has_macros from supplier join lineitem on l_suppkey = s_suppkey group by s_suppkey, s_nationkey),
@@ -266,28 +264,28 @@ def a31(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a32_shape_flags", "select l_orderkey, bool_and(l_returnflag = 'R') as all_returned, bool_or(l_returnflag = 'R') as any_returned, bool_and(l_linestatus = 'F') as all_final from lineitem group by l_orderkey")
 def a32(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.bool_and(F.col("l_returnflag") == "R").alias("all_returned"), F.bool_or(F.col("l_returnflag") == "R").alias("any_returned"), F.bool_and(F.col("l_linestatus") == "F").alias("all_final"))
+    returned, final = F.col("l_returnflag") == "R", F.col("l_linestatus") == "F"
+    return U.shape_flags(table(spark, d, "lineitem"), "l_orderkey", {"all_returned": ("all", returned), "any_returned": ("any", returned), "all_final": ("all", final)})
 
 
 @query("a33_review_totals", "select l_returnflag, count(*) as hunks, count(distinct l_partkey) as symbols, round(sum(l_quantity), 2) as added, list_sort(list(distinct l_linestatus)) as kinds from lineitem group by l_returnflag")
 def a33(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("hunks"), F.countDistinct("l_partkey").alias("symbols"), F.round(F.sum("l_quantity"), 2).alias("added"), F.sort_array(F.collect_set("l_linestatus")).alias("kinds"))
+    return U.review_totals(table(spark, d, "lineitem"), "l_returnflag", "l_partkey", "l_quantity", "l_linestatus")
 
 
 @query("a20_coverage_totals", "select l_suppkey, count(*) as lines, sum((l_discount > 0.05)::int)::bigint as hit, round(case when count(*) > 0 then 100.0 * sum((l_discount > 0.05)::int) / count(*) else 0 end, 6) as pct from lineitem group by l_suppkey")
 def a20(spark: SparkSession, d: str) -> DataFrame:
-    g = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("lines"), F.sum((F.col("l_discount") > 0.05).cast("long")).alias("hit"))
-    return g.withColumn("pct", F.round(M.percent(F.col("hit"), F.col("lines")), 6))
+    return U.coverage_by(table(spark, d, "lineitem"), "l_suppkey", F.col("l_discount") > 0.05)
 
 
 @query("t10_hot_symbols", "with recursive " + "x as (select l_partkey as part, count(*) as calls from lineitem group by 1) select part, calls from x order by calls desc, part limit 5")
 def t10(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("part")).agg(F.count("*").alias("calls")).orderBy(F.desc("calls"), "part").limit(5)
+    return U.most_frequent(table(spark, d, "lineitem").withColumnRenamed("l_partkey", "part"), "part", 5, "calls")
 
 
 @query("a26_language_mix", "select lang, count(*) as n from documents group by lang order by n desc, lang limit 3")
 def a26(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(3)
+    return U.most_frequent(table(spark, d, "documents"), "lang", 3)
 
 
 @query("a27_index_lines", f"with {LINES}, f as (select file, max(line) as loc, count(*) filter (where length(trim(content)) > 0) as filled from l group by file) select count(*) as files, sum(loc)::bigint as loc, sum(filled)::bigint as filled from f")

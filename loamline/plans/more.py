@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loamline.functions import scalars as S
 from loamline.operators import contracts as C
 from loamline.operators import intervals as I
+from loamline.operators import lookups as U
 from loamline.operators import retrieval as R
 from loamline.plans.basics import CTE, call_graph, table
 from loamline.plans.lines_and_time import LINES, doc_lines
@@ -134,14 +135,12 @@ def j35(spark: SparkSession, d: str) -> DataFrame:
 @query("j37_shared_symbols", "select p_name as symbol from part where p_size < 20 intersect select p_name from part where p_size >= 20")
 def j37(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
-    return p.filter("p_size < 20").select(F.col("p_name").alias("symbol")).intersect(p.filter("p_size >= 20").select("p_name"))
+    return U.shared(p.filter("p_size < 20").withColumnRenamed("p_name", "symbol"), p.filter("p_size >= 20").withColumnRenamed("p_name", "symbol"), "symbol")
 
 
 @query("j39_member_pairs", "select distinct a.n_name as member, b.n_name as dependency from nation a join nation b on a.n_regionkey = b.n_regionkey and a.n_nationkey <> b.n_nationkey")
 def j39(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "nation")
-    b = n.select(F.col("n_regionkey"), F.col("n_name").alias("dependency"), F.col("n_nationkey").alias("k"))
-    return n.join(b, "n_regionkey").filter("n_nationkey <> k").select(F.col("n_name").alias("member"), "dependency").distinct()
+    return U.siblings(table(spark, d, "nation"), "n_regionkey", "n_nationkey", "n_name")
 
 
 @query("a11_layer_scores", """with s as (select page_id, 2 * contains(html, '<nav')::int + 3 * contains(html, '<form')::int as view, 4 * contains(html, '<table')::int + contains(html, '<pre')::int as data, contains(html, '<p>')::int + contains(html, '<li>')::int as prose from pages)
@@ -155,13 +154,12 @@ def a11(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a15_snapshot_metrics", "select p_brand, count(*) as n, sum(p_size)::bigint as loc, max(p_size) as max_size, round(avg(p_size), 6) as avg_size, sum((p_size >= 10)::int)::bigint as complex, sum((p_type = 'SMALL')::int)::bigint as small from part group by p_brand")
 def a15(spark: SparkSession, d: str) -> DataFrame:
-    n = lambda c: F.sum(c.cast("long"))
-    return table(spark, d, "part").groupBy("p_brand").agg(F.count("*").alias("n"), F.sum("p_size").alias("loc"), F.max("p_size").alias("max_size"), F.round(F.avg("p_size"), 6).alias("avg_size"), n(F.col("p_size") >= 10).alias("complex"), n(F.col("p_type") == "SMALL").alias("small"))
+    return U.snapshot(table(spark, d, "part"), "p_brand", "p_size", {"complex": F.col("p_size") >= 10, "small": F.col("p_type") == "SMALL"})
 
 
 @query("a34_folder_sizes", f"select split_part({PAGE_PATH}, '/', 1) as folder, sum(octet_length(encode(html)))::bigint as bytes, count(*) as files from pages group by 1")
 def a34(spark: SparkSession, d: str) -> DataFrame:
-    return pages(spark, d).groupBy(F.split_part("path", F.lit("/"), F.lit(1)).alias("folder")).agg(F.sum(F.octet_length("html")).cast("long").alias("bytes"), F.count("*").alias("files"))
+    return U.folder_sizes(pages(spark, d), "path", F.octet_length("html"))
 
 
 @query("a36_ignored_count", f"select count(*) filter (where ends_with(path, '/') or starts_with(path, 'm.')) as ignored, count(*) as n from (select {PAGE_PATH} as path from pages)")

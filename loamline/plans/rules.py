@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loamline.operators import audit as A
 from loamline.operators import contracts as C
 from loamline.operators import incremental as N
+from loamline.operators import lookups as U
 from loamline.operators import metrics as M
 from loamline.plans.basics import TOK, table
 from loamline.plans.lines_and_time import LINES, doc_lines
@@ -203,7 +204,7 @@ def r18(spark: SparkSession, d: str) -> DataFrame:
 @query("j28_stale_files", f"with {STATE} select doc_id from s where doc_id not in (select doc_id from w)")
 def j28(spark: SparkSession, d: str) -> DataFrame:
     w, s = states(spark, d)
-    return s.join(w, "doc_id", "left_anti").select("doc_id")
+    return U.gone_files(s, w, "doc_id")
 
 
 @query("j29_dependents", "with i as (select distinct l_suppkey as src, l_partkey as dst from lineitem), c as (select p_partkey from part where p_size = 3) select distinct src as path from i where dst in (select p_partkey from c) and src not in (select p_partkey from c)")
@@ -218,8 +219,7 @@ ENV = f"with a as (select distinct unnest(regexp_extract_all(text, '{TOK}')) as
 @query("j33_env_drift", ENV + " select name, 'undocumented' as status from a where name not in (select name from b) union all select name, 'dead' from b where name not in (select name from a)")
 def j33(spark: SparkSession, d: str) -> DataFrame:
     tok = lambda n: table(spark, d, n).select(F.explode(F.regexp_extract_all("text", F.lit(f"({TOK})"), F.lit(1))).alias("name")).distinct()
-    a, b = tok("documents"), tok("benchmark")
-    return a.join(b, "name", "left_anti").withColumn("status", F.lit("undocumented")).unionByName(b.join(a, "name", "left_anti").withColumn("status", F.lit("dead")))
+    return U.env_drift(tok("documents"), tok("benchmark"), "name")
 
 
 @query("j31_token_demotion", f"""with t as (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{TOK}')) as w from documents), g as (select w, count(*) as n from t group by w), b as (select distinct unnest(regexp_extract_all(text, '{TOK}')) as w from benchmark)
@@ -227,8 +227,7 @@ select b.w, coalesce(n, 0)::bigint as n, case when coalesce(n, 0) > 1 then 'unce
 def j31(spark: SparkSession, d: str) -> DataFrame:
     tok = lambda n: table(spark, d, n).select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"({TOK})"), F.lit(1))).alias("w"))
     g = tok("documents").groupBy("w").agg(F.count("*").alias("n"))
-    n = F.coalesce("n", F.lit(0))
-    return tok("benchmark").distinct().join(g, "w", "left").select("w", n.cast("long").alias("n"), F.when(n > 1, "uncertain").otherwise("dead").alias("confidence"))
+    return U.demoted(tok("benchmark").distinct(), g, "w")
 
 
 @query("a24_token_tally", f"select w, count(*) as n, count(distinct doc_id) as docs from (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{TOK}')) as w from documents) group by w")

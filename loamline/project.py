@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamline.operators import audit, code_audit, contracts, graph, index, intervals, metrics, retrieval
+from loamline.operators import audit, code_audit, contracts, graph, index, intervals, lookups, metrics, retrieval
 from loamline.plans.ship import ship
 from loamline.sources import code, coverage, documents, files, history
 
@@ -107,7 +107,7 @@ class Project:
         """(key, status): variables read but not in any settings file, and those in one that nothing reads."""
         reads = files.env_reads(self.files).select("key")
         known = files.env_keys(files.hidden(self.spark, self.root, ".env*")).select("key").distinct()
-        return reads.join(known, "key", "left_anti").withColumn("status", F.lit("undocumented")).unionByName(known.join(reads, "key", "left_anti").withColumn("status", F.lit("dead")))
+        return lookups.env_drift(reads, known)
 
     def audit(self, suppress: list[tuple[str, str]] | None = None) -> DataFrame:
         """Findings that nothing silences, with severity and confidence where they stand."""

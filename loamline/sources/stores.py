@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from loamline.plans.lineage import cut
+
 
 def _path(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -87,7 +89,7 @@ def cached(spark: SparkSession, files: DataFrame, path: str, schema: str, make)
     now = files.select("path", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("_digest"))
     held = open_table(spark, path, f"_digest string, _seen boolean, {schema}")
     fresh = now.join(held.select("path", "_digest").distinct(), ["path", "_digest"], "left_anti")
-    made = make(fresh.select("path", "text")).join(fresh.select("path", "_digest"), "path").withColumn("_seen", F.lit(True))
+    made = cut(make(fresh.select("path", "text")).join(fresh.select("path", "_digest"), "path").withColumn("_seen", F.lit(True)))
     # A file without rows is remembered too, by one row that is nothing but its hash.
     none = fresh.select("path", "_digest").join(made.select("path").distinct(), "path", "left_anti").withColumn("_seen", F.lit(False))
     kept = held.join(now.select("path", "_digest"), ["path", "_digest"], "left_semi")
