@@ -15,32 +15,35 @@ COMMON_NAMES = ("new", "from", "default", "get", "set", "path", "fmt", "clone",
 TRAIT_NAMES = ("fmt", "eq", "ne", "hash", "clone", "default", "drop", "from", "into", "try_from", "deserialize", "serialize", "next", "poll", "deref", "deref_mut", "as_ref", "as_mut", "partial_cmp", "cmp", "to_string", "build", "visit", "index", "add", "sub", "mul", "call", "call_once", "call_mut", "new")
 
 
-def bfs(adjacency: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """(node, depth): least number of edges from the seeds, up to a depth.  adjacency: (src, dst); seeds: (node)."""
-    adjacency = cut(adjacency)
+def bfs(edges: DataFrame, seeds: DataFrame, depth: int, both: bool = False) -> DataFrame:
+    """(node, depth): least number of edges from the seeds, up to a depth, along them or in both directions.  edges: (src, dst); seeds: (node).
+
+    Edges are written once, as they come; a round joins them with its front, which is small or not, as the planner sees.
+    """
+    edges = cut(edges.select("src", "dst"))
     seen = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     front = seen
     for d in range(1, depth + 1):
-        nxt = front.join(adjacency, front["node"] == adjacency["src"]).select(F.col("dst").alias("node")).distinct()
-        front = cut(nxt.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(d)))
+        own = front.select("node")
+        nxt = edges.join(own, edges["src"] == own["node"]).select(F.col("dst").alias("node"))
+        if both:
+            nxt = nxt.unionByName(edges.join(own, edges["dst"] == own["node"]).select(F.col("src").alias("node")))
+        front = cut(nxt.distinct().join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(d)))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
     return seen
 
 
-def undirected(edges: DataFrame, src: str = "source_qualified", dst: str = "target_qualified") -> DataFrame:
-    one = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst"))
-    return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-
-
 def impact_radius(edges: DataFrame, seeds: DataFrame, depth: int, most: int, kind: str | None = "CALLS", nodes: DataFrame | None = None) -> DataFrame:
     """(node, min_depth, truncated): what seeds reach over edges in both directions, nearest first, at most `most`.
 
     `truncated` is true when the cap is reached, also by exactly as many.  Targets that are no node are dropped after the cap.
     """
     own = edges.filter(F.col("kind") == kind) if kind else edges
-    got = bfs(undirected(own), seeds, depth).groupBy("node").agg(F.min("depth").alias("min_depth"))
+    pairs = own.select(F.col("source_qualified").alias("src"), F.col("target_qualified").alias("dst"))
+    # A node is seen at one depth only.
+    got = bfs(pairs, seeds, depth, both=True).withColumnRenamed("depth", "min_depth")
     top = got.orderBy("min_depth", "node").limit(most)
     count = top.agg((F.count("*") >= most).alias("truncated"))
     out = top.join(F.broadcast(count))

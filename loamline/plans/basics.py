@@ -138,7 +138,7 @@ m as (select node, min(depth) as min_depth from bfs group by node), t as (select
 select node, min_depth, (select count(*) >= 500 from t) as truncated from t""")
 def j01(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem")
-    e = li.select(F.lit("CALLS").alias("kind"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source_qualified"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("target_qualified")).distinct()
+    e = li.select(F.lit("CALLS").alias("kind"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source_qualified"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("target_qualified"))
     return G.impact_radius(e, spark.createDataFrame([("s1",)], "node string"), 2, 500)
 
 
