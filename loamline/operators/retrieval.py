@@ -68,14 +68,16 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(folded(text), F.lit(f"({TOKEN})"), F.lit(1))
 
 
-def _occurrences(array: str, term: str) -> Column:
-    return F.size(F.filter(array, lambda x: x == term))
+def occurrences(text: Column, term: str) -> Column:
+    """How often a text of small letters has a term between what is no part of terms; no array of all terms is made."""
+    inside = r"[\p{L}\p{N}_]"
+    return F.when(text.contains(term), F.regexp_count(text, F.lit(rf"(?<!{inside})\Q{term}\E(?!{inside})"))).otherwise(0)
 
 
 def bm25(docs: DataFrame, terms: list[str], id_col: str, text_col: str, k: int | None = None) -> DataFrame:
     """(id, score), higher is better.  A term in over half the documents keeps a small positive weight."""
-    t = tokens(F.coalesce(F.col(text_col), F.lit("")))
-    counted = docs.select(F.col(id_col).alias("id"), t.alias("t")).select("id", F.size("t").alias("dl"), *[_occurrences("t", term).alias(f"tf{i}") for i, term in enumerate(terms)])
+    low = docs.select(F.col(id_col).alias("id"), folded(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
+    counted = low.select("id", F.regexp_count("t", F.lit(TOKEN)).alias("dl"), *[occurrences(F.col("t"), term).alias(f"tf{i}") for i, term in enumerate(terms)])
     counted = cut(counted)
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))])
     score = F.lit(0.0)
