@@ -144,6 +144,16 @@ def hybrid(docs: DataFrame, vectors: DataFrame, query: str, query_vector: list[f
     return fused.join(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id").join(cos, "id", "left").select("id", "score", F.coalesce("cosine", F.lit(0.0)).alias("cosine"), "text")
 
 
+def hydrate(fused: DataFrame, docs: DataFrame, vectors: DataFrame, communities: DataFrame, query_vector: list[float]) -> DataFrame:
+    """Fused ids (id, score) with what stands behind them: their rows of docs (id, ..), their community (id, community; null without one) and their cosine to the query (id, vector; 0 without a vector).
+
+    Ids that are no document go.
+    """
+    q = F.array(*[F.lit(float(x)) for x in query_vector])
+    cos = vectors.select("id", F.round(cosine(F.col("vector"), q), 6).alias("cosine"))
+    return fused.join(docs, "id").join(communities.select("id", "community"), "id", "left").join(cos, "id", "left").fillna(0.0, ["cosine"])
+
+
 def row_index(df: DataFrame, id_col: str, width: int = 1 << 16) -> DataFrame:
     """Adds `idx`, each row's place from 0 in order of an integer id, in two levels: within id ranges, and over the ranges' counts."""
     part = F.floor(F.col(id_col) / width)

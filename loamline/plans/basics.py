@@ -89,14 +89,14 @@ def w04(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("j14_hydrated_search", RRF_SQL + f""", t as (select id, round(sum(w), 6) as score from u group by id order by score desc, id limit 10)
-select t.id, t.score, coalesce(round({COS}, 6), 0.0) as cosine, sha256(d.text) as text_sha from t join documents d on d.doc_id = t.id left join embeddings e on e.vec_id = t.id""")
+select t.id, t.score, coalesce(round({COS}, 6), 0.0) as cosine, e.label as community, sha256(d.text) as text_sha from t join documents d on d.doc_id = t.id left join embeddings e on e.vec_id = t.id""")
 def j14(spark: SparkSession, d: str) -> DataFrame:
     docs, vec = table(spark, d, "documents"), table(spark, d, "embeddings")
     q = query_vector(spark, d)
     top = R.rrf([(R.knn(vec, q, "vec_id", "embedding", 30), 1.0), (R.bm25(docs, list(TERMS), "doc_id", "text", 30), 2.0)], 10)
-    qv = F.array(*[F.lit(x) for x in q])
-    cos = vec.select(F.col("vec_id").alias("id"), F.round(R.cosine(F.col("embedding"), qv), 6).alias("cosine"))
-    return top.join(docs.select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("text_sha")), "id").join(cos, "id", "left").select("id", "score", F.coalesce("cosine", F.lit(0.0)).alias("cosine"), "text_sha")
+    texts = docs.select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("text_sha"))
+    own = vec.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("label").alias("community"))
+    return R.hydrate(top, texts, own, own, q).select("id", "score", "cosine", "community", "text_sha")
 
 
 @query("a28_savings", "select source, count(*) as n, sum(octet_length(encode(coalesce(text, ''))) // 4)::bigint as tokens, sum(octet_length(encode(coalesce(text, ''))))::bigint as bytes from documents group by source")

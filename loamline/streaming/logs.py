@@ -99,3 +99,26 @@ def states(stream: DataFrame, key: str, code: str, order: str) -> DataFrame:
 
     kind = dict(stream.dtypes)[key]
     return stream.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, state string", "state string", "update", GroupStateTimeout.NoTimeout)
+
+
+def subscription(stream: DataFrame, key: str, wanted: list[str] | None) -> DataFrame:
+    """The rows of some keys; none named is all of them.  Nothing is skipped for a subscriber that lags: it reads on from its checkpoint."""
+    return stream.filter(F.col(key).isin(*wanted)) if wanted else stream
+
+
+def job_state(spark: SparkSession, name: str, started: dict[str, object]) -> str:
+    """idle, running, completed or failed: of the background query of a name among those `started`."""
+    q = started.get(name)
+    if q is None:
+        return "idle"
+    if q.isActive:
+        return "running"
+    return "failed" if q.exception() is not None else "completed"
+
+
+def start_once(spark: SparkSession, name: str, started: dict[str, object], start) -> bool:
+    """Starts a background query unless one of its name runs; whether it did.  `start` returns the query."""
+    if job_state(spark, name, started) == "running":
+        return False
+    started[name] = start()
+    return True

@@ -227,3 +227,25 @@ def test_streams(spark, tmp_path):
     codes = str(tmp_path / "codes")
     spark.createDataFrame([(1, "a", None), (2, "a", 1), (1, "b", 0)], "t int, k string, code int").coalesce(1).write.parquet(codes)
     assert rows(logs.drain(spark, logs.states(spark.readStream.schema("t int, k string, code int").parquet(codes), "k", "code", "t"), "update"), "k", "state") == [("a", "failed"), ("b", "stopped")]
+    assert rows(logs.drain(spark, logs.subscription(stream(), "k", ["b"]), "append"), "t", "k") == [(4, "b")]
+    assert logs.drain(spark, logs.subscription(stream(), "k", None), "append").count() == 4
+
+
+def test_background_jobs(spark, tmp_path):
+    src = str(tmp_path / "in")
+    spark.createDataFrame([(1,)], "t int").write.parquet(src)
+    jobs = {}
+    begin = lambda col, trigger: lambda: spark.readStream.schema("t int").parquet(src).select(col).writeStream.format("noop").trigger(**trigger).start()
+    assert logs.job_state(spark, "index", jobs) == "idle"
+    assert logs.start_once(spark, "index", jobs, begin(F.col("t"), {"processingTime": "1 hour"}))
+    assert not logs.start_once(spark, "index", jobs, begin(F.col("t"), {"availableNow": True})) and logs.job_state(spark, "index", jobs) == "running"
+    jobs["index"].stop()
+    assert logs.start_once(spark, "index", jobs, begin(F.col("t"), {"availableNow": True}))
+    jobs["index"].awaitTermination()
+    assert logs.job_state(spark, "index", jobs) == "completed"
+    logs.start_once(spark, "index", jobs, begin(F.raise_error(F.lit("no")).cast("int"), {"availableNow": True}))
+    try:
+        jobs["index"].awaitTermination()
+    except Exception as e:
+        assert "no" in str(e)
+    assert logs.job_state(spark, "index", jobs) == "failed"
