@@ -132,6 +132,14 @@ def period(ts: Column, unit: str) -> Column:
     return F.date_format(ts, {"day": "yyyy-MM-dd", "month": "yyyy-MM", "year": "yyyy"}[unit])
 
 
+def timeline(commits: DataFrame, tasks: DataFrame, unit: str) -> DataFrame:
+    """(period, commits, tasks) newest first: ids of a period's commits (id, ts) and of the tasks (id, ts) whose last move was in it, in order."""
+    ids = lambda df, name: df.groupBy(period(F.col("ts"), unit).alias("period")).agg(F.sort_array(F.collect_list("id")).alias(name))
+    both = ids(commits, "commits").join(ids(tasks, "tasks"), "period", "full_outer")
+    none = F.array().cast("array<long>")
+    return both.select("period", F.coalesce("commits", none).alias("commits"), F.coalesce("tasks", none).alias("tasks")).orderBy(F.desc("period"))
+
+
 def hot_spots(findings_per_file: DataFrame, complexity: DataFrame, patterns: DataFrame) -> DataFrame:
     """(file, symbol, reason, severity): files with over 3 findings, functions of complexity 30 and more, grave anti-patterns; one row a place, the gravest."""
     a = findings_per_file.filter("n > 3").select("file", F.lit("").alias("symbol"), F.lit("findings").alias("reason"), F.lit("medium").alias("severity"))

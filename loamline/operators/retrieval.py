@@ -239,6 +239,12 @@ def structural_score(hops: Column) -> Column:
     return F.lit(0.4) / F.greatest(hops, F.lit(1))
 
 
+def nearest_context(context: DataFrame, key: list[str], order: list[str], most: int = 20) -> DataFrame:
+    """Of a structural context (key, hops, ..) each key once, by its fewest hops; the first `most` by hops and then by `order`."""
+    best = context.groupBy(*key).agg(F.min("hops").alias("hops"), *[F.min(c).alias(c) for c in order if c not in key])
+    return best.orderBy("hops", *order).limit(most)
+
+
 def merge_ranked(seeds: DataFrame, context: DataFrame, key: list[str]) -> DataFrame:
     """Seeds (key, s) and context (key, hops) as one list: the seed's score wins where both have a key."""
     both = seeds.select(*key, F.round(seed_score(F.col("s")), 6).alias("score"), F.lit(0).alias("origin"), F.lit(0).alias("hops")).unionByName(

@@ -226,3 +226,21 @@ def log_lines(spark: SparkSession, d: str) -> DataFrame:
     error = F.concat(esc, F.lit("[31mERROR "), "l_returnflag", esc, F.lit("[0m"))
     content = F.when(k == 0, F.concat(F.lit("INFO "), F.col("l_shipdate").cast("date").cast("string"))).when(k == 1, error).when(k == 2, "  42%").otherwise(F.concat(F.lit("plain "), "l_returnflag"))
     return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("file"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), content.alias("content")).groupBy("file", "line").agg(F.min("content").alias("content"))
+
+
+@query(
+    "a30_timeline_lists",
+    "with c as (select strftime(o_orderdate, '%Y-%m') as period, list_sort(list(o_orderkey)) as commits from orders group by 1), t as (select strftime(m, '%Y-%m') as period, list_sort(list(l_suppkey)) as tasks from (select l_suppkey, max(l_shipdate) as m from lineitem group by 1) group by 1) select coalesce(c.period, t.period) as period, coalesce(commits, []) as commits, coalesce(tasks, []) as tasks from c full join t on c.period = t.period",
+)
+def a30l(spark: SparkSession, d: str) -> DataFrame:
+    from loamline.operators import metrics as M
+
+    commits = table(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("id"), F.col("o_orderdate").alias("ts"))
+    tasks = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").cast("long").alias("id")).agg(F.max("l_shipdate").alias("ts"))
+    return M.timeline(commits, tasks, "month")
+
+
+@query("t03_nearest_context", "with c as (select l_partkey as part, min(l_linenumber) as hops, min(l_suppkey) as supp from lineitem group by 1) select part, hops, supp from c order by hops, supp, part limit 20")
+def t03(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_linenumber").alias("hops"), F.col("l_suppkey").alias("supp"))
+    return R.nearest_context(c, ["part"], ["supp", "part"]).select("part", "hops", "supp")

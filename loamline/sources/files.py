@@ -139,6 +139,22 @@ def dominant_language(files: DataFrame) -> DataFrame:
     return files.filter("language is not null").groupBy("language").agg(F.count("*").alias("n")).orderBy(F.desc("n"), rank, "language").limit(1)
 
 
+# Manifests at the root and the language each stands for, in the order in which they are looked for; ends of game projects' files.
+MANIFESTS = (("requirements.txt", "python"), ("pyproject.toml", "python"), ("setup.py", "python"), ("*.py", "python"), ("package.json", "javascript"), ("go.mod", "go"), ("pubspec.yaml", "dart"), ("Cargo.toml", "rust"), ("*.uproject", "verse"), ("*.uplugin", "verse"), ("*.verse", "verse"))
+
+
+def project_language(files: DataFrame) -> DataFrame:
+    """One row (language): that of the first manifest in the root (JavaScript with tsconfig.json is TypeScript), else the dominant one; files: (path, language)."""
+    path = F.col("path")
+    fits = lambda m: (~path.contains("/") & path.endswith(m[1:])) if m.startswith("*") else path == m
+    rank = F.coalesce(*[F.when(fits(m), F.struct(F.lit(i).alias("i"), F.lit(x).alias("language"))) for i, (m, x) in enumerate(MANIFESTS)])
+    found = files.agg(F.min(rank).alias("m"), F.max((path == "tsconfig.json").cast("int")).alias("ts"))
+    # One row each.
+    both = found.join(dominant_language(files).select(F.col("language").alias("most")), F.lit(True), "left")
+    by_manifest = F.when((F.col("m.language") == "javascript") & (F.col("ts") == 1), "typescript").otherwise(F.col("m.language"))
+    return both.select(F.coalesce(by_manifest, "most").alias("language")).filter("language is not null")
+
+
 def rows_of(files: DataFrame, parse: Callable[[str, str], Iterable[tuple]], schema: str, columns: tuple[str, str] = ("path", "text")) -> DataFrame:
     """Rows that a parser yields for each (path, text), in Arrow batches.  A null text has none."""
     arrow = to_arrow_schema(StructType.fromDDL(schema))

@@ -51,6 +51,24 @@ def test_index_files(spark, tmp_path):
     assert {r.path for r in got.collect()} == set(keep) and len(FS.INDEX_EXTENSIONS) == 30
 
 
+@pytest.mark.parametrize(
+    "paths, want",
+    [
+        (["package.json", "src/a.py", "src/b.py"], "javascript"),
+        (["package.json", "tsconfig.json"], "typescript"),
+        (["go.mod", "setup.py"], "python"),
+        (["main.py", "Cargo.toml"], "python"),
+        (["src/x.py", "Cargo.toml"], "rust"),
+        (["game.uproject"], "verse"),
+        (["a/b.go", "a/c.go", "d.rs"], "go"),
+        (["readme"], None),
+    ],
+)
+def test_project_language(spark, paths, want):
+    df = spark.createDataFrame([(x,) for x in paths], "path string").withColumn("language", FS.language(F.col("path")))
+    assert [r.language for r in FS.project_language(df).collect()] == ([want] if want else [])
+
+
 def test_terms_without_marks(spark):
     df = spark.createDataFrame([(1, "Crème brûlée"), (2, "creme"), (3, "Ångström øre"), (4, None)], "doc_id long, text string")
     assert {r.id for r in R.bm25(df, ["creme"], "doc_id", "text").collect()} == {1, 2}
