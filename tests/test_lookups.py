@@ -126,3 +126,49 @@ def test_quiet_logs(spark):
     assert [c for _, c in got["c"]] == ["WARN y1", "no level2", "WARN y4", "no level5", "WARN y7", "no level8"]
     assert {(r.file, r.lines_original, r.lines_filtered) for r in logs.savings(df, logs.quiet(df)).collect()} == {("a", 8, 3), ("b", 200, 51), ("c", 9, 6)}
     assert logs.quiet(df.limit(0)).count() == 0
+
+
+def test_impact_over_calls_alone(spark):
+    """A thousand nodes, 20 000 imports between them and a chain of calls: imports are not followed."""
+    imports = [("IMPORTS_FROM", f"f{i}", f"f{(i * 7 + j * 13) % 1000}") for i in range(1000) for j in range(20)]
+    calls = [("CALLS", f"f{i}", f"f{i + 1}") for i in range(0, 10)]
+    e = spark.createDataFrame(imports + calls, "kind string, source_qualified string, target_qualified string")
+    n = spark.createDataFrame([(f"f{i}",) for i in range(1000)], "qualified_name string")
+    seed = spark.createDataFrame([("f5",)], "node string")
+    got = {r.node: (r.min_depth, r.truncated) for r in G.impact_radius(e, seed, 2, 500, nodes=n).collect()}
+    assert got == {"f5": (0, False), "f4": (1, False), "f6": (1, False), "f3": (2, False), "f7": (2, False)}
+    wide = G.impact_radius(e, seed, 2, 50, kind=None)
+    assert wide.count() == 50 and {r.truncated for r in wide.collect()} == {True}
+
+
+def test_dead_candidates(spark):
+    names = [
+        ("called", "a.rs", None, "rust", "fn called()", "", False),
+        ("gone", "a.rs", None, "rust", "fn gone()", "", False),
+        ("shown", "a.rs", None, "rust", "  pub fn shown()", "", False),
+        ("tool", "a.rs", None, "rust", "fn tool()", "#[tool(x)]", False),
+        ("Args1", "a.rs", None, "rust", "struct Args1", "#[derive(Debug, Args)]", False),
+        ("Plain", "a.rs", None, "rust", "struct Plain", "#[derive(Debug)]", False),
+        ("fmt", "a.rs", "T", "rust", "fn fmt()", "", False),
+        ("main", "a.rs", None, "rust", "fn main()", "", False),
+        ("method", "a.rs", "T", "rust", "fn method()", "", False),
+        ("helper", "tests/h.rs", None, "rust", "fn helper()", "", False),
+        ("checked", "a.rs", None, "rust", "fn checked()", "", True),
+        ("cli", "src/bin/x.rs", None, "rust", "fn cli()", "", False),
+        ("step", "build.rs", None, "rust", "fn step()", "", False),
+        ("route", "web\\r.rs", None, "rust", "fn route()", "", False),
+        ("Upper", "g.go", None, "go", "func Upper()", "", False),
+        ("lower", "g.go", None, "go", "func lower()", "", False),
+        ("_own", "d.dart", None, "dart", "void _own()", "", False),
+        ("made", "m.ts", None, "typescript", "export function made()", "", False),
+        ("any", "p.py", None, "python", None, None, False),
+    ]
+    rows = [(f"{f}::{p + '::' if p else ''}{n}", f, n, p, "Class" if n in ("Args1", "Plain") else "Function", t, lang, d, a, k) for k, (n, f, p, lang, d, a, t) in enumerate(names)]
+    n = spark.createDataFrame(rows, "qualified_name string, file_path string, name string, parent_name string, kind string, is_test boolean, language string, decl string, above string, line_start int")
+    e = spark.createDataFrame([("CALLS", "x", "called"), ("CALLS", "x", "T::method"), ("IMPORTS_FROM", "x", "gone")], "kind string, source_qualified string, target_qualified string")
+    contracts = spark.createDataFrame([("web/r.rs",)], "file_path string")
+    dead = K.dead_candidates(n, e, contracts)
+    got = {r.name: r.confidence for r in dead.collect()}
+    assert got == {"gone": "high", "shown": "medium", "Plain": "high", "Upper": "medium", "lower": "high", "_own": "high", "made": "medium", "any": "medium"}
+    top = K.dead_report(dead, 3).collect()
+    assert [r.name for r in top] == ["gone", "Plain", "_own"] and {r.total_found for r in top} == {8}
