@@ -60,14 +60,18 @@ class Grams:
     """
 
     def __init__(self, texts: list[bytes]):
-        words = [t.lower().split() for t in texts]
-        self.sizes = np.array([len(w) + 1 for w in words], dtype=np.int64)
+        # A text's words are hashed before the next one is cut: at no time are more held than a text's.
+        digest, each = xxhash.xxh64_intdigest, []
+        for t in texts:
+            words = t.lower().split()
+            each.append(np.fromiter(map(digest, words), np.uint64, len(words)))
+        self.sizes = np.array([len(w) + 1 for w in each], dtype=np.int64)
         ends = np.cumsum(self.sizes) - 1
-        tokens = np.empty(int(self.sizes.sum()), np.uint64)
+        tokens = np.full(int(self.sizes.sum()), END, np.uint64)
         is_word = np.ones(len(tokens), bool)
         is_word[ends] = False
-        tokens[is_word] = np.fromiter(map(xxhash.xxh64_intdigest, (w for ws in words for w in ws)), np.uint64, len(tokens) - len(texts))
-        tokens[ends] = END
+        tokens[is_word] = np.concatenate([*each, np.zeros(0, np.uint64)])
+        del each
         self.starts = ends - self.sizes + 1
         before = np.empty_like(tokens)
         before[1:] = tokens[:-1]
