@@ -74,68 +74,157 @@ def module_definitions(nodes: DataFrame) -> DataFrame:
     return nodes.filter("kind <> 'File'").groupBy("name", module_prefix(F.col("file_path")).alias("prefix")).agg(F.countDistinct("file_path").alias("files_here"))
 
 
+# Stand for files that aren't known: they are equal to no path, nor to each other.
+NO_CALLER_FILE, NO_TARGET_FILE = "\0", "\1"
+
+
+def bare_calls(edges: DataFrame) -> DataFrame:
+    """(caller, c_file, t, name, alone): distinct calls, the last segment of what they name, and whether it is the caller's only call with that one.
+
+    All ways to a node end in its name, so a call alone finds each of its nodes once, and the pairs need no shuffle to be
+    distinct.  Written once: each way to a node reads other columns of it, and no exchange would serve two of them.
+    """
+    calls = edges.filter("kind = 'CALLS'").select(F.col("source_qualified").alias("caller"), F.coalesce("file_path", F.lit(NO_CALLER_FILE)).alias("c_file"), F.col("target_qualified").alias("t")).distinct()
+    return cut(calls.withColumn("name", last_segment(F.col("t"))).withColumn("alone", F.count("*").over(Window.partitionBy("caller", "name")) == 1))
+
+
+def targets(nodes: DataFrame) -> DataFrame:
+    """(target, t_file, name, parent_name, single): distinct nodes, and whether a call alone finds one in one way only."""
+    n = nodes.select(F.col("qualified_name").alias("target"), F.coalesce("file_path", F.lit(NO_TARGET_FILE)).alias("t_file"), "name", "parent_name", "kind").distinct()
+    one = (F.count("*").over(Window.partitionBy("target")) == 1) & (F.instr("target", "::") > 0) & (last_segment(F.col("target")) == F.col("name"))
+    typed = F.concat_ws("::", "parent_name", "name")
+    return cut(n.withColumn("single", F.coalesce(one & (F.col("parent_name").isNull() | (typed != F.col("target"))), F.lit(False))))
+
+
+def once(pairs: DataFrame, *cols: str) -> DataFrame:
+    """Distinct pairs; those that are known to come once (alone, single) aren't shuffled for it."""
+    sole = F.col("alone") & F.col("single")
+    return pairs.filter(sole).select(*cols).unionByName(pairs.filter(~sole).select(*cols).distinct())
+
+
+def by_full_name(calls: DataFrame, n: DataFrame, few: bool = False) -> DataFrame:
+    """(target, caller, alone, single): calls of a node by its full name or by its type and name."""
+    names = n.select("target", "single", F.explode(F.array_compact(F.array("target", last_two(F.col("target"))))).alias("t")).distinct()
+    return calls.join(names.hint("broadcast" if few else "merge"), "t").select("target", "caller", "alone", "single")
+
+
 def callers_typed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(target, caller): calls of a node by its full name or by its type and name."""
-    calls = edges.filter("kind = 'CALLS'").select(F.col("source_qualified").alias("caller"), F.col("target_qualified").alias("t"))
-    names = nodes.select("qualified_name", F.array_compact(F.array("qualified_name", last_two(F.col("qualified_name")))).alias("ts"))
-    return names.select(F.col("qualified_name").alias("target"), F.explode("ts").alias("t")).join(calls, "t").select("target", "caller").distinct()
+    return once(by_full_name(bare_calls(edges), targets(nodes)), "target", "caller")
 
 
-def callers(nodes: DataFrame, edges: DataFrame, low_confidence: bool = False) -> DataFrame:
-    """(target, caller) with bare names resolved.
+def places(nodes: DataFrame, n: DataFrame) -> DataFrame:
+    """(name, t_file, prefix, files, files_here): each file that defines a name, how many files do, and how many of its module.
+
+    Joins with what comes from nodes are never broadcasts: rows of a few numbers become rows of texts, which no estimate sees.
+    """
+    at = n.select("name", "t_file").distinct().join(definitions(nodes).select("name", "files").hint("merge"), "name").withColumn("prefix", module_prefix(F.col("t_file")))
+    return cut(at.join(module_definitions(nodes).hint("merge"), ["name", "prefix"], "left"))
+
+
+def without_files(at: DataFrame, sites: DataFrame, local: bool) -> DataFrame:
+    """(name, c_file, t_file) for the files that call a name: the file that defines it alone or alone in the caller's module; also the caller's own, if `local`.
+
+    Each case has its own equality, so that a name that many files define and many call is never joined with itself.
+    """
+    rare = sites.filter(~F.col("name").isin(*COMMON_NAMES))
+    out = rare.join(at.filter("files = 1").select("name", "t_file").hint("merge"), "name")
+    here = at.filter("files_here = 1").select("name", "prefix", "t_file")
+    out = out.unionByName(rare.withColumn("prefix", module_prefix(F.col("c_file"))).join(here.hint("merge"), ["name", "prefix"]).select("name", "c_file", "t_file"))
+    if local:
+        out = out.unionByName(sites.join(at.select("name", F.col("t_file").alias("c_file"), "t_file").hint("merge"), ["name", "c_file"]))
+    return out.select("name", "c_file", "t_file")
+
+
+#: Imports are matched with stems by keys of so many letters at most.
+KEY = 8
+
+
+def evidence(edges: DataFrame, at: DataFrame) -> DataFrame:
+    """(c_file, stem): files whose imports hold the stem of a file's name; `_` and `%` of a stem stand for anything.
+
+    A stem's first letters without such are a key, and so is each run of letters of an import.
+    """
+    imports = edges.filter("kind = 'IMPORTS_FROM'").select(F.col("file_path").alias("c_file"), F.col("target_qualified").alias("imported")).distinct()
+    stems = at.select("stem").distinct().withColumn("key", F.substring(F.regexp_extract("stem", r"([^%_\\\\]*)", 1), 1, KEY))
+    size = F.length("imported")
+    runs = lambda i: F.transform(F.sequence(F.lit(1), F.lit(KEY)), lambda k: F.substring(F.col("imported"), i, k))
+    keys = F.array_distinct(F.concat(F.array(F.lit("")), F.when(size > 0, F.flatten(F.transform(F.sequence(F.lit(1), size), runs))).otherwise(F.array().cast("array<string>"))))
+    texts = imports.select("imported").distinct().withColumn("key", F.explode(keys))
+    found = texts.join(stems.hint("merge"), "key").filter(F.expr("imported like concat('%', stem, '%')")).select("imported", "stem")
+    return imports.join(found.hint("merge"), "imported").select("c_file", "stem").distinct()
+
+
+def callers(nodes: DataFrame, edges: DataFrame, low_confidence: bool = False, of: DataFrame | None = None, few: bool = False) -> DataFrame:
+    """(target, caller) with bare names resolved; of some targets (node), if given, which may be few enough to broadcast.
 
     A bare call is of a node if the name is not too common (then only within the file) and the node's is the only
     definition, or in the caller's file, or the only one in the caller's module, or in a file that the caller's imports.
+    Files decide that, so it is settled between the files that call a name and those that define it, and joined with calls then.
     """
-    exact = callers_typed(nodes, edges)
-    t = nodes.filter("kind <> 'File'").select(F.col("qualified_name").alias("target"), F.col("file_path").alias("t_file"), last_segment(F.col("qualified_name")).alias("name"))
-    calls = edges.filter("kind = 'CALLS' and instr(target_qualified, '::') = 0").select(F.col("source_qualified").alias("caller"), F.col("file_path").alias("c_file"), F.col("target_qualified").alias("name")).distinct()
-    pairs = calls.join(t, "name").join(definitions(nodes).select("name", "files"), "name")
-    here = module_definitions(nodes)
-    pairs = pairs.withColumn("prefix", module_prefix(F.col("t_file"))).join(here, ["name", "prefix"], "left")
-    same_file = F.col("c_file") == F.col("t_file")
-    same_module = (module_prefix(F.col("c_file")) == F.col("prefix")) & (F.col("files_here") == 1)
-    stem = F.regexp_extract("t_file", r"([^/]*?)(\.[^./]*)?$", 1)
-    imports = edges.filter("kind = 'IMPORTS_FROM'").select(F.col("file_path").alias("i_file"), F.col("target_qualified").alias("imported")).distinct()
-    pairs = pairs.withColumn("sure", same_file | (~F.col("name").isin(*COMMON_NAMES) & ((F.col("files") == 1) | same_module))).withColumn("stem", stem)
-    unsure = pairs.filter(~F.col("sure") & ~F.col("name").isin(*COMMON_NAMES))
-    evident = unsure.join(imports, (F.col("c_file") == F.col("i_file")) & F.expr("imported like concat('%', stem, '%')"), "left_semi")
-    found = pairs.filter("sure").select("target", "caller").unionByName(evident.select("target", "caller"))
+    calls, n = bare_calls(edges), targets(nodes)
+    if of is not None:
+        n = n.join(of.select(F.col("node").alias("target")), "target", "left_semi")
+    exact = by_full_name(calls, n, few)
+    # Here a node's name is the last segment of its full one.
+    t = n.filter("kind <> 'File'").select("target", "t_file", "single", last_segment(F.col("target")).alias("name"))
+    bare = calls.filter("instr(t, '::') = 0").select("caller", "c_file", "name", "alone")
     if low_confidence:
-        found = pairs.select("target", "caller")
-    return exact.unionByName(found).distinct()
-
-
-def callees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(caller, target): targets by full name, by type and name, and bare names that one definition can mean."""
-    calls = edges.filter("kind = 'CALLS'").select(F.col("source_qualified").alias("caller"), F.col("file_path").alias("c_file"), F.col("target_qualified").alias("t")).distinct()
-    n = nodes.filter("kind <> 'File'").select(F.col("qualified_name").alias("target"), "file_path", "name", "parent_name")
-    full = calls.join(n, calls["t"] == n["target"]).select("caller", "target")
-    typed = calls.filter("size(split(t, '::')) = 2").select("caller", F.split_part("t", F.lit("::"), F.lit(1)).alias("parent_name"), F.split_part("t", F.lit("::"), F.lit(2)).alias("name")).join(n, ["parent_name", "name"]).select("caller", "target")
-    bare = calls.filter("instr(t, '::') = 0").withColumnRenamed("t", "name").join(n, "name").join(definitions(nodes), "name")
-    bare = bare.withColumn("prefix", module_prefix(F.col("file_path"))).join(module_definitions(nodes), ["name", "prefix"], "left")
-    local = bare.groupBy("caller", "name").agg(F.max((F.col("c_file") == F.col("file_path")).cast("int")).alias("has_local"))
-    bare = bare.join(local, ["caller", "name"])
-    same = F.col("c_file") == F.col("file_path")
-    one = (F.col("has_local") == 0) & ~F.col("name").isin(*COMMON_NAMES) & ((F.col("files") == 1) | ((module_prefix(F.col("c_file")) == F.col("prefix")) & (F.col("files_here") == 1)))
-    return full.unionByName(typed).unionByName(bare.filter(same | one).select("caller", "target")).distinct()
+        found = bare.join(t.join(definitions(nodes).select("name").hint("merge"), "name", "left_semi").hint("merge"), "name")
+        return once(exact.unionByName(found.select(*exact.columns)), "target", "caller")
+    at, sites = places(nodes, t), cut(bare.select("name", "c_file").distinct())
+    kept = without_files(at, sites, True)
+    stem = at.withColumn("stem", F.regexp_extract("t_file", r"([^/]*?)(\.[^./]*)?$", 1))
+    rare = sites.filter(~F.col("name").isin(*COMMON_NAMES))
+    evident = rare.join(stem.select("name", "t_file", "stem").hint("merge"), "name").join(evidence(edges, stem), ["c_file", "stem"], "left_semi")
+    kept = kept.unionByName(evident.select("name", "c_file", "t_file")).distinct()
+    means = kept.join(t.hint("merge"), ["name", "t_file"]).select("name", "c_file", "target", "single")
+    found = bare.join(means if few else means.hint("merge"), ["name", "c_file"])
+    return once(exact.unionByName(found.select(*exact.columns)), "target", "caller")
+
+
+def callees(nodes: DataFrame, edges: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(caller, target): targets by full name, by type and name, and bare names that one definition can mean; of some callers (node), if given."""
+    calls, n = bare_calls(edges), targets(nodes.filter("kind <> 'File'"))
+    if of is not None:
+        calls = calls.join(of.select(F.col("node").alias("caller")), "caller", "left_semi")
+    cols = ("caller", "target", "alone", "single")
+    full = calls.join(n.select("target", "single").distinct().hint("merge"), F.col("t") == F.col("target")).select(*cols)
+    typed = calls.filter("size(split(t, '::')) = 2").select("caller", "alone", F.split_part("t", F.lit("::"), F.lit(1)).alias("parent_name"), F.split_part("t", F.lit("::"), F.lit(2)).alias("name"))
+    typed = typed.join(n.select("target", "single", "parent_name", "name").distinct().hint("merge"), ["parent_name", "name"]).select(*cols)
+    bare = calls.filter(F.instr("t", "::") == 0).filter(F.col("c_file") != NO_CALLER_FILE).select("caller", "c_file", "name", "alone")
+    at, sites = places(nodes, n), cut(bare.select("name", "c_file").distinct())
+    means = n.select("name", "t_file", "target", "single")
+    own = bare.join(means.withColumnRenamed("t_file", "c_file").hint("merge"), ["name", "c_file"])
+    # A caller with a definition in its own file means no other; calls of a name that are alone have one file.
+    elsewhere = sites.join(at.select("name", F.col("t_file").alias("c_file")).hint("merge"), ["name", "c_file"], "left_anti")
+    one = without_files(at, elsewhere, False).distinct().join(means.hint("merge"), ["name", "t_file"]).select("name", "c_file", "target", "single")
+    one = bare.join(one.hint("merge"), ["name", "c_file"])
+    several = one.filter("not alone").join(own.filter("not alone").select("caller", "name").distinct().hint("merge"), ["caller", "name"], "left_anti")
+    return once(full.unionByName(typed).unionByName(own.select(*cols)).unionByName(one.filter("alone").select(*cols)).unionByName(several.select(*cols)), "caller", "target")
+
+
+#: Starts of a step that go to every executor.
+FEW = 1 << 14
 
 
 def expand_calls(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int = 1) -> DataFrame:
     """(node, hops, via): what seeds (node) reach in so many steps over callers and callees, and how at its first step: caller, callee, test.
 
-    A caller that is a test is also a `test`.  Seeds are not among the rows.
+    A caller that is a test is also a `test`.  Seeds are not among the rows.  Calls are resolved for what a step starts from.
     """
-    back, forth = callers(nodes, edges), callees(nodes, edges)
     tests = nodes.filter("is_test").select(F.col("qualified_name").alias("node"))
-    steps = back.select(F.col("target").alias("src"), F.col("caller").alias("node"), F.lit("caller").alias("via")).unionByName(forth.select(F.col("caller").alias("src"), F.col("target").alias("node"), F.lit("callee").alias("via")))
-    steps = cut(steps.distinct())
+    edges = cut(edges)
     seen = front = cut(seeds.select("node").distinct())
     out = None
     for k in range(1, hops + 1):
-        got = steps.join(front.select(F.col("node").alias("src")), "src").select("node", "via").distinct().join(seen, "node", "left_anti")
-        got = cut(got.unionByName(got.filter("via = 'caller'").join(tests, "node", "left_semi").select("node", F.lit("test").alias("via"))).distinct().withColumn("hops", F.lit(k)))
-        front = got.select("node").distinct()
+        few = front.count() <= FEW
+        front = front.hint("broadcast" if few else "merge")
+        back = callers(nodes, edges, of=front, few=few).select(F.col("caller").alias("node"), F.lit("caller").alias("via"))
+        forth = callees(nodes, edges, of=front).select(F.col("target").alias("node"), F.lit("callee").alias("via"))
+        got = back.unionByName(forth).distinct().join(seen, "node", "left_anti")
+        got = cut(got.unionByName(got.filter("via = 'caller'").join(tests.hint("merge"), "node", "left_semi").select("node", F.lit("test").alias("via"))).distinct().withColumn("hops", F.lit(k)))
+        front = cut(got.select("node").distinct())
         seen = seen.unionByName(front)
         out = got if out is None else out.unionByName(got)
     return out.groupBy("node", "hops").agg(F.array_sort(F.collect_set("via")).alias("via"))

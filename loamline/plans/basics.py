@@ -128,7 +128,9 @@ def call_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     a = n.select(F.col("p_partkey").alias("l_partkey"), F.col("qualified_name").alias("source_qualified"), "file_path")
     b = n.select(F.col("p_partkey").alias("k"), F.col("qualified_name").alias("q"), F.col("name").alias("bn"), F.concat_ws("::", "parent_name", "name").alias("typed"))
     m = F.col("l_linenumber") % 3
-    e = li.join(a, "l_partkey").join(b, "k").select(F.lit("CALLS").alias("kind"), "source_qualified", "file_path", F.when(m == 0, F.col("q")).when(m == 1, F.col("typed")).otherwise(F.col("bn")).alias("target_qualified")).distinct()
+    # No broadcasts: a part's numbers are small in their file, its names are not.  A caller's rows come together, for what follows.
+    e = li.join(b.hint("merge"), "k").select("l_partkey", F.when(m == 0, F.col("q")).when(m == 1, F.col("typed")).otherwise(F.col("bn")).alias("target_qualified"))
+    e = e.join(a.hint("merge"), "l_partkey").select(F.lit("CALLS").alias("kind"), "source_qualified", "file_path", "target_qualified").repartition("source_qualified").distinct()
     return n, e
 
 

@@ -285,9 +285,11 @@ def code_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     li = table(spark, d, "lineitem").select("l_partkey", "l_linenumber", "l_suppkey", ((F.col("l_suppkey") * 7 + F.col("l_linenumber")) % total).alias("to"))
     a = n.select(F.col("p_partkey").alias("l_partkey"), F.col("qualified_name").alias("source_qualified"), "file_path")
     b = n.select(F.col("p_partkey").alias("to"), F.col("name").alias("target_qualified"))
-    own = li.join(a, "l_partkey")
-    calls = own.join(b, "to").select(F.lit("CALLS").alias("kind"), "source_qualified", "file_path", "target_qualified").distinct()
-    imports = own.filter("l_linenumber = 1").select(F.lit("IMPORTS_FROM").alias("kind"), F.col("file_path").alias("source_qualified"), "file_path", F.concat(F.lit("pkg.f"), (F.col("l_suppkey") % 64).cast("string")).alias("target_qualified")).distinct()
+    # No broadcasts: a part's numbers are small in their file, its names are not.  A caller's rows come together, for what follows.
+    calls = li.join(b.hint("merge"), "to").select("l_partkey", "target_qualified").join(a.hint("merge"), "l_partkey")
+    calls = calls.select(F.lit("CALLS").alias("kind"), "source_qualified", "file_path", "target_qualified").repartition("source_qualified").distinct()
+    imported = li.filter("l_linenumber = 1").select("l_partkey", F.concat(F.lit("pkg.f"), (F.col("l_suppkey") % 64).cast("string")).alias("target_qualified"))
+    imports = imported.join(a.hint("merge"), "l_partkey").select(F.lit("IMPORTS_FROM").alias("kind"), F.col("file_path").alias("source_qualified"), "file_path", "target_qualified").distinct()
     return n, calls.unionByName(imports)
 
 
