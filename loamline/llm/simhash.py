@@ -20,8 +20,9 @@ choices of some of their bits are keys, as many choices as the wanted recall
 takes; leaves that agree in a key are a trie of their own over further bits,
 walked with a budget for those, and what is left is held to the whole
 fingerprint's budget.  Those links are candidates only, as are shared shingles of
-short texts (whose fingerprints are coarse): within each group that they connect
-the links are found by the exact Jaccard similarity of the shingles.
+short texts (whose fingerprints are coarse), rare ones first: within each group that
+they connect the links are found by the exact Jaccard similarity of the shingles.
+Groups too large for a task are first cut by shared rare shingles of whole texts.
 
 Defined results: a text without words has fingerprint zero and links like any
 other; null texts are empty; rows with a null id have a fingerprint and no
@@ -268,10 +269,11 @@ def shingles(text: bytes, words: int, seed: int = SEED) -> np.ndarray:
 def lanes_of(h: np.ndarray, lanes: int) -> bytes:
     """A fingerprint of 64 bits a lane: the lanes are those of differently mixed hashes of the same shingles."""
     count = np.zeros((lanes, BITS), np.int64)
-    for at in range(0, len(h), 1 << 13):
-        part = h[at : at + (1 << 13)]
-        for k in range(lanes):
-            count[k] += np.unpackbits(mix(part + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    salt = np.array([k * 0x9E3779B97F4A7C15 & (1 << 64) - 1 for k in range(lanes)], np.uint64)[:, None]
+    # 255 bits at most in a sum, which a byte holds.
+    for at in range(0, len(h), 255):
+        bits = np.unpackbits(mix(h[at : at + 255] + salt).view(np.uint8).reshape(lanes, -1, 8), axis=2, bitorder="little")
+        count += np.add.reduce(bits, axis=1, dtype=np.uint8)
     return np.packbits(count.ravel() * 2 > len(h), bitorder="little").tobytes()
 
 
@@ -281,24 +283,25 @@ def least_common(n: np.ndarray | int, similarity: float) -> np.ndarray:
 
 
 def wide_fingerprints(docs: DataFrame, similarity: float = 0.8, words: int = 5, lanes: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per text doc_id, the fingerprint of `lanes` x 64 bits of its distinct shingles, their digest, and of a short text
-    those of which another as similar must hold one: any fixed order does, here the smallest hashes.
+    """Per text doc_id, the fingerprint of `lanes` x 64 bits of its distinct shingles, their digest, a short text's
+    shingles, and how many of those, in whatever order, another as similar must hold one of.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp, digest, first = [], [], []
+            fp, digest, short, first = [], [], [], []
             for t in b.column(1):
                 h = shingles(t.as_py() or b"", words)
                 fp.append(lanes_of(h, lanes))
                 digest.append(xxhash.xxh3_128_digest(h.tobytes()))
                 # A partner of a text of SHORT shingles has at most SHORT / similarity.
-                few = h[: len(h) - int(least_common(len(h), similarity)) + 1] if len(h) * similarity <= SHORT else h[:0]
-                first.append(few.view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.binary()), pa.array(digest, pa.binary()), pa.array(first, pa.list_(pa.int64()))], names=["doc_id", "fp", "digest", "first"])
+                own = h if len(h) * similarity <= SHORT else h[:0]
+                short.append(own.view(np.int64).tolist())
+                first.append(len(own) - int(least_common(len(own), similarity)) + 1 if len(own) else 0)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.binary()), pa.array(digest, pa.binary()), pa.array(short, pa.list_(pa.int64())), pa.array(first, pa.int32())], names=["doc_id", "fp", "digest", "short", "first"])
         release()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp binary, digest binary, first array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp binary, digest binary, short array<long>, first int")
 
 
 def differing_share(similarity: float) -> float:
@@ -370,6 +373,47 @@ def wide_links(fps: DataFrame, keep: Scratch, similarity: float = 0.8, lanes: in
     return fps.select("fp").mapInArrow(deal, "choice int, task int, fp binary").groupBy("choice", "task").applyInArrow(one, "a binary, b binary")
 
 
+def rare_links(sets: DataFrame, keep: Scratch, *within: str) -> DataFrame:
+    """(na, nb): stars over sets (node, short, first) that share one of their first shingles, rare ones before common ones.
+
+    Any order of all shingles loses no link.  By this one a line that many texts hold is among the first of those only
+    that are little else, so that it doesn't connect texts that merely hold it.  What one set alone has finds nobody,
+    but takes its place.  Columns `within` are equal in sets that are looked at together.
+    """
+    by = [*within, "h"]
+    all_ = sets.select("node", "first", F.size("short").alias("size"), *within, F.explode("short").alias("h"))
+    common = all_.groupBy(*by).agg(F.count("*").alias("n")).filter("n > 1")
+    ranked = all_.join(common, by).groupBy("node", "first", "size", *within).agg(F.sort_array(F.collect_set(F.struct("n", "h"))).alias("at"))
+    ranked = ranked.withColumn("left", F.col("first") - (F.col("size") - F.size("at"))).filter("left > 0")
+    rows = keep.save(ranked.select("node", *within, F.explode(F.slice("at", F.lit(1), F.col("left"))).alias("x")).select("node", *within, "x.h"))
+    return rows.join(rows.groupBy(*by).agg(F.min("node").alias("nb")), by).select(F.col("node").alias("na"), "nb").filter("na <> nb")
+
+
+def refined(grouped: DataFrame, text: DataFrame, keep: Scratch, similarity: float, words: int, most: int = SETTLED) -> DataFrame:
+    """Candidates (rep, node, digest, component), those of groups of more than `most` sets in finer groups: by shared rare shingles of all their texts, which loses no link."""
+    large = keep.save(grouped.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("component"))
+    if large.isEmpty():
+        return grouped
+    inside = keep.save(grouped.join(large, "component"))
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, short, first = [], [], []
+            for k, (digest, t) in enumerate(zip(b.column("digest").to_pylist(), b.column("text"), strict=True)):
+                h = shingles(t.as_py() or b"", words)
+                if xxhash.xxh3_128_digest(h.tobytes()) == digest:
+                    rows.append(k)
+                    short.append(h.view(np.int64))
+                    first.append(len(h) - int(least_common(len(h), similarity)) + 1)
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("node").take(at), b.column("component").take(at), pa.array(short, pa.list_(pa.int64())), pa.array(first, pa.int32())], names=["node", "component", "short", "first"])
+
+    sets = inside.join(text, "rep").select("node", "component", "digest", "text").mapInArrow(own, "node long, component long, short array<long>, first int")
+    finer = components(rare_links(sets, keep, "component").select(F.col("na").alias("a"), F.col("nb").alias("b")), keep)
+    finer = inside.drop("component").join(finer.withColumnRenamed("id", "node"), "node").select("rep", "node", "digest", "component")
+    return keep.save(grouped.join(large, "component", "left_anti").select(*finer.columns).unionByName(finer))
+
+
 def similar_groups(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     """For each set the first one that links of at least this Jaccard similarity connect it with, by exact counts.
 
@@ -484,16 +528,15 @@ def dedup_similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_c
     keep = Scratch(docs.sparkSession, "simhash-similar")
     fps = keep.save(wide_fingerprints(docs, similarity, words, id_col=id_col, text_col=text_col).filter("doc_id is not null"))
     # A set of shingles is named by its smallest doc_id; digests tell apart sets that one document's rows hold.
-    sets = keep.save(fps.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("first").alias("first")).withColumn("node", F.xxhash64("digest")))
+    sets = keep.save(fps.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("short").alias("short"), F.first("first").alias("first")).withColumn("node", F.xxhash64("digest")))
     leaf = keep.save(sets.groupBy("fp").agg(F.min("node").alias("node")))
     forest = keep.save(wide_links(leaf, keep, similarity).distinct())
     wide = forest.join(leaf.select(F.col("fp").alias("a"), F.col("node").alias("na")), "a").join(leaf.select(F.col("fp").alias("b"), F.col("node").alias("nb")), "b").select("na", "nb")
     equal = sets.join(leaf.withColumnRenamed("node", "nb"), "fp").select(F.col("node").alias("na"), "nb")
-    short = sets.select("node", F.explode("first").alias("h"))
-    short = short.join(short.groupBy("h").agg(F.min("node").alias("nb")), "h").select(F.col("node").alias("na"), "nb")
-    maybe = components(wide.unionByName(equal).unionByName(short).select(F.col("na").alias("a"), F.col("nb").alias("b")), keep)
+    maybe = components(wide.unionByName(equal).unionByName(rare_links(sets, keep)).select(F.col("na").alias("a"), F.col("nb").alias("b")), keep)
     grouped = keep.save(sets.join(maybe.withColumnRenamed("id", "node"), "node").select("rep", "node", "digest", "component"))
     text = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("binary").alias("text"))
+    grouped = refined(grouped, text, keep, similarity, words, SETTLED)
     named = keep.save(settled(grouped, text, keep, similarity, words, SETTLED))
     named = sets.join(named, "digest", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     return fps.select("doc_id", "digest").join(named, "digest").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
