@@ -10,6 +10,7 @@ from loamline.operators import intervals as I
 from loamline.operators import lookups as U
 from loamline.operators import metrics as M
 from loamline.plans.basics import CTE, call_graph, table
+from loamline.plans.lineage import cut
 from loamline.plans.registry import query
 
 LINES = "l as (select doc_id as file, unnest(string_split(coalesce(text, ''), chr(10))) as content, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as line from documents)"
@@ -192,8 +193,23 @@ MODS = """m as (select s_suppkey as path, case s_nationkey % 4 when 0 then 'rust
 i as (select distinct l_suppkey as src, (l_partkey % (select count(*) from supplier)) as dst from lineitem)"""
 
 
-def modules(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").groupBy("l_suppkey").agg((F.count("*") * 2).alias("loc"), (F.countDistinct("l_partkey") % 50).alias("function_count"), (F.countDistinct("l_orderkey") % 30).alias("fan_out"))
+#: Rows of a table that a task holds at once while it looks for distinct ones.
+DEALT = 1 << 18
+
+
+def dealt(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """Distinct rows of the keys, with how many there are of each (n): dealt by them to as many tasks as n rows want."""
+    return df.select(*keys).repartition(1 + n // DEALT, *keys).groupBy(*keys).agg(F.count("*").alias("n"))
+
+
+def modules(spark: SparkSession, d: str, pairs: DataFrame | None = None) -> DataFrame:
+    """Modules with their figures; pairs: their imports (l_suppkey, l_partkey, n), if they are written already."""
+    rows = table(spark, d, "lineitem")
+    n = rows.count()
+    pairs = dealt(rows, n, "l_suppkey", "l_partkey") if pairs is None else pairs
+    parts = pairs.groupBy("l_suppkey").agg((F.sum("n") * 2).alias("loc"), (F.count("l_partkey") % 50).alias("function_count"))
+    orders = dealt(rows, n, "l_suppkey", "l_orderkey").groupBy("l_suppkey").agg((F.count("l_orderkey") % 30).alias("fan_out"))
+    li = parts.join(orders, "l_suppkey")
     s = table(spark, d, "supplier").selectExpr("s_suppkey as path", "case s_nationkey % 4 when 0 then 'rust' when 1 then 'dart' else 'python' end as language", "case when s_nationkey % 3 = 0 then 'controller' when s_nationkey % 3 = 1 then 'service' when s_suppkey % 19 = 0 then 'test' else 'repository' end as layer", "s_suppkey % 17 = 0 as is_hub", "s_suppkey % 23 = 0 as has_macros")
     return s.join(li, s["path"] == li["l_suppkey"]).drop("l_suppkey")
 
@@ -211,10 +227,15 @@ union all select path, 'excessive_coupling', case when fan_out > 20 then 'high'
 union all select path, 'no_service_layer', 'medium' from m where layer = 'controller' and (select count(*) from m) > 5 and not exists (select 1 from m where layer = 'service')
 union all select path, 'circular_dependency', 'high' from m where path in (select x.src from i x join i y on x.src = y.dst and x.dst = y.src where x.src <> x.dst)""")
 def a14(spark: SparkSession, d: str) -> DataFrame:
-    i = imports(spark, d)
-    back = i.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    m = modules(spark, d)
-    mutual = i.join(back, ["src", "dst"]).filter("src <> dst").select(F.col("src").alias("node")).distinct().join(m.select(F.col("path").alias("node")), "node", "left_semi")
+    """Pairs and modules are written once; both directions of an import meet under one key, without a join."""
+    rows = table(spark, d, "lineitem")
+    n = rows.count()
+    pairs = cut(dealt(rows, n, "l_suppkey", "l_partkey"))
+    m = cut(modules(spark, d, pairs))
+    i = pairs.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % table(spark, d, "supplier").count()).alias("dst"))
+    ends = i.filter("src <> dst").select(F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi"), (F.col("src") < F.col("dst")).alias("up"))
+    both = ends.repartition(1 + n // DEALT, "lo", "hi").groupBy("lo", "hi").agg(F.min("up").alias("all_up"), F.max("up").alias("any_up")).filter("any_up and not all_up")
+    mutual = both.select(F.explode(F.array("lo", "hi")).alias("node")).distinct().join(m.select(F.col("path").alias("node")), "node", "left_semi")
     return M.antipatterns(m, i, mutual)
 
 
