@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,6 +72,31 @@ def lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return parts.select("file", (F.col("p") + 1).alias("line"), "content")
 
 
+def near_lines(df: DataFrame, id_col: str, text_col: str, rules: tuple[Rule, ...]) -> DataFrame:
+    """(file, line, content) of the lines, from 1, that have a word of a rule: all that a rule can meet.
+
+    All words are looked for at once, by one automaton over whole batches, before lines become rows.
+    """
+    if not all(r.words for r in rules):
+        return lines(df, id_col, text_col).withColumn("line", F.col("line").cast("long"))
+    words = "(?i)" + "|".join(re.sub(r"([^A-Za-z0-9_])", r"\\\1", w) for w in sorted({w for r in rules for w in r.words}))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                b = batch.slice(at, 512)
+                parts = pc.split_pattern(b.column(1), b"\n")
+                row, content = pc.list_parent_indices(parts), pc.list_flatten(parts)
+                hit = pa.array(np.flatnonzero(pc.match_substring_regex(content, words).to_numpy(zero_copy_only=False)))
+                row = row.to_numpy()
+                line = np.arange(len(row)) - np.searchsorted(row, row) + 1
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row).take(hit)), pa.array(line).take(hit), content.take(hit)], names=["file", "line", "content"])
+
+    rows = df.select(F.col(id_col).alias("file"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    found = rows.mapInArrow(run, f"file {rows.schema['file'].dataType.simpleString()}, line long, content binary")
+    return found.select("file", "line", F.col("content").cast("string").alias("content"))
+
+
 def findings(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """(file, line, rule, category, severity): one row for each rule that a line meets.  One pass; rules are an array of matches, a rule's words are looked for before its pattern."""
     rows, hits = rows.withColumn("_low", F.lower("content")), []
