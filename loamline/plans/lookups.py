@@ -57,7 +57,7 @@ def f16(spark: SparkSession, d: str) -> DataFrame:
     return K.visible(m, e, 20)[1].select("src", "dst").distinct()
 
 
-@query("j05_callees_low_confidence", f"with {CODE_NODES}, {CODE_EDGES}, {NAMED}, {CALLEES}, b as (select distinct source_qualified as caller, target_qualified as name from e), st as (select distinct ce.caller, n.name from ce join n on n.qualified_name = ce.target), lo as (select distinct b.caller, n.qualified_name as target from b join n using (name) where (b.caller, b.name) not in (select caller, name from st)), lr as (select *, row_number() over (partition by caller order by target) as rn from lo) select caller, target, 'high' as confidence from ce union all select caller, target, 'low' from lr where rn <= 20")
+@query("j05_callees_low_confidence", f"with {CODE_NODES}, {CODE_EDGES}, {NAMED}, {CALLEES}, b as (select distinct source_qualified as caller, target_qualified as name from e), st as (select distinct ce.caller, n.name from ce join n on n.qualified_name = ce.target), lo as (select distinct b.caller, n.qualified_name as target from b join n using (name) where (b.caller, b.name) not in (select caller, name from st)) select caller, target, 'high' as confidence from ce union all select caller, target, 'low' from lo")
 def j05l(spark: SparkSession, d: str) -> DataFrame:
     return K.low_confidence_callees(*code_graph(spark, d))
 

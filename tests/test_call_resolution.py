@@ -48,3 +48,10 @@ def test_nodes_are_not_broadcast(spark, run):
     plan = run(n, e.filter("kind = 'CALLS'"))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan
     assert "BroadcastHashJoin" not in plan.replace("BroadcastHashJoin [c_file", "")
+
+
+def test_all_nodes_that_an_undecided_call_can_mean_are_rows(spark):
+    n = [node("c/v.py", "k"), *(node(f"m{i % 2}/f{i}.py", name) for i in range(15) for name in ("f", "g"))]
+    e = [("CALLS", "c/v.py::k", "c/v.py", "f"), ("CALLS", "c/v.py::k", "c/v.py", "g")]
+    got = K.low_confidence_callees(spark.createDataFrame(n, NODE), spark.createDataFrame(e, EDGE)).collect()
+    assert sorted(r.target for r in got) == sorted(x[0] for x in n[1:]) and {(r.caller, r.confidence) for r in got} == {("c/v.py::k", "low")}
