@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -78,39 +80,67 @@ def module_definitions(nodes: DataFrame) -> DataFrame:
 NO_CALLER_FILE, NO_TARGET_FILE = "\0", "\1"
 
 
+#: Groups of a caller's calls by one name with at most so many longer ones are made distinct row by row.
+WAYS = 64
+
+#: Calls by more than a name.
+LONG = "instr(t, '::') > 0"
+
+
 def bare_calls(edges: DataFrame) -> DataFrame:
-    """(caller, c_file, t, name, alone): distinct calls, the last segment of what they name, and whether it is the caller's only call with that one.
+    """(caller, c_file, t, name, clear, mixed, others): distinct calls and the last segment of what they name.
 
-    All ways to a node end in its name, so a call alone finds each of its nodes once, and the pairs need no shuffle to be
-    distinct.  Written once: each way to a node reads other columns of it, and no exchange would serve two of them.
+    All ways to a node end in its name, so only calls of one group (caller, name) find the same node.  In a `clear` group, of
+    one file and at most WAYS calls by more than a name, `others` has what the others say (null if nothing): a pair is then
+    left out where another call gives it, and pairs need no shuffle to be distinct.  `mixed` groups have bare calls and longer
+    ones.  Written once: each way to a node reads other columns of it, and no exchange would serve two of them.
     """
     calls = edges.filter("kind = 'CALLS'").select(F.col("source_qualified").alias("caller"), F.coalesce("file_path", F.lit(NO_CALLER_FILE)).alias("c_file"), F.col("target_qualified").alias("t")).distinct()
-    return cut(calls.withColumn("name", last_segment(F.col("t"))).withColumn("alone", F.count("*").over(Window.partitionBy("caller", "name")) == 1))
+    w = Window.partitionBy("caller", "name")
+    long = F.count(F.when(F.expr(LONG), 1)).over(w)
+    calls = calls.withColumn("name", last_segment(F.col("t")))
+    calls = calls.withColumn("clear", (F.min("c_file").over(w) == F.max("c_file").over(w)) & (long <= WAYS)).withColumn("mixed", (long > 0) & (long < F.count("*").over(w)))
+    calls = calls.withColumn("others", F.collect_list(F.when(F.col("clear") & F.expr(LONG), F.col("t"))).over(w))
+    return cut(calls.withColumn("others", F.when(F.size("others") > F.when(F.expr(LONG), 1).otherwise(0), F.col("others"))))
+
+
+def unsaid(*ways: Column) -> Column:
+    """Whether no other call of a clear group names the node in one of these ways."""
+    return ~F.coalesce(F.arrays_overlap("others", F.array(*ways)), F.lit(False))
 
 
 def targets(nodes: DataFrame) -> DataFrame:
-    """(target, t_file, name, parent_name, single): distinct nodes, and whether a call alone finds one in one way only."""
-    n = nodes.select(F.col("qualified_name").alias("target"), F.coalesce("file_path", F.lit(NO_TARGET_FILE)).alias("t_file"), "name", "parent_name", "kind").distinct()
-    one = (F.count("*").over(Window.partitionBy("target")) == 1) & (F.instr("target", "::") > 0) & (last_segment(F.col("target")) == F.col("name"))
-    typed = F.concat_ws("::", "parent_name", "name")
-    return cut(n.withColumn("single", F.coalesce(one & (F.col("parent_name").isNull() | (typed != F.col("target"))), F.lit(False))))
+    """(target, t_file, name, parent_name, is_file, odd): distinct nodes; `odd` are those whose ways their full name doesn't tell."""
+    n = nodes.select(F.col("qualified_name").alias("target"), F.coalesce("file_path", F.lit(NO_TARGET_FILE)).alias("t_file"), "name", "parent_name", (~F.coalesce(F.col("kind") != "File", F.lit(False))).alias("is_file")).distinct()
+    told = F.col("name").eqNullSafe(last_segment(F.col("target"))) & F.concat("parent_name", F.lit("::"), "name").eqNullSafe(last_two(F.col("target")))
+    return cut(n.withColumn("odd", F.max(~told).over(Window.partitionBy("target"))))
 
 
 def once(pairs: DataFrame, *cols: str) -> DataFrame:
-    """Distinct pairs; those that are known to come once (alone, single) aren't shuffled for it."""
-    sole = F.col("alone") & F.col("single")
-    return pairs.filter(sole).select(*cols).unionByName(pairs.filter(~sole).select(*cols).distinct())
+    """Distinct pairs; those of clear groups come once and aren't shuffled for it.
+
+    The filters reach the calls, so that each call is shuffled for one of the two.
+    """
+    return pairs.filter("clear").select(*cols).unionByName(pairs.filter("not clear").select(*cols).distinct())
 
 
 def by_full_name(calls: DataFrame, n: DataFrame, few: bool = False) -> DataFrame:
-    """(target, caller, alone, single): calls of a node by its full name or by its type and name."""
-    names = n.select("target", "single", F.explode(F.array_compact(F.array("target", last_two(F.col("target"))))).alias("t")).distinct()
-    return calls.join(names.hint("broadcast" if few else "merge"), "t").select("target", "caller", "alone", "single")
+    """(target, caller, clear): calls by more than a name, of a node by its full name or by its type and name."""
+    names = n.select("target", F.explode(F.array_compact(F.array("target", last_two(F.col("target"))))).alias("t")).distinct()
+    found = calls.filter(LONG).select("caller", "t", "clear", "others").join(names.hint("broadcast" if few else "merge"), "t")
+    return found.filter((F.col("t") == F.col("target")) | unsaid(F.col("target"))).select("target", "caller", "clear")
+
+
+def loose(n: DataFrame) -> DataFrame:
+    """(name, target): nodes whose full name is one that a bare call can have."""
+    return n.filter("instr(target, '::') = 0").select(F.col("target").alias("name"), "target").distinct()
 
 
 def callers_typed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(target, caller): calls of a node by its full name or by its type and name."""
-    return once(by_full_name(bare_calls(edges), targets(nodes)), "target", "caller")
+    calls, n = bare_calls(edges), targets(nodes)
+    bare = calls.filter(f"not ({LONG})").select("caller", "name", "clear").join(loose(n).hint("merge"), "name")
+    return once(by_full_name(calls, n).unionByName(bare.select("target", "caller", "clear")), "target", "caller")
 
 
 def places(nodes: DataFrame, n: DataFrame) -> DataFrame:
@@ -167,20 +197,63 @@ def callers(nodes: DataFrame, edges: DataFrame, low_confidence: bool = False, of
         n = n.join(of.select(F.col("node").alias("target")), "target", "left_semi")
     exact = by_full_name(calls, n, few)
     # Here a node's name is the last segment of its full one.
-    t = n.filter("kind <> 'File'").select("target", "t_file", "single", last_segment(F.col("target")).alias("name"))
-    bare = calls.filter("instr(t, '::') = 0").select("caller", "c_file", "name", "alone")
+    t = n.filter("not is_file").select("target", "t_file", last_segment(F.col("target")).alias("name"))
+    bare = calls.filter(f"not ({LONG})").select("caller", "c_file", "name", "clear", "others")
     if low_confidence:
-        found = bare.join(t.join(definitions(nodes).select("name").hint("merge"), "name", "left_semi").hint("merge"), "name")
-        return once(exact.unionByName(found.select(*exact.columns)), "target", "caller")
-    at, sites = places(nodes, t), cut(bare.select("name", "c_file").distinct())
-    kept = without_files(at, sites, True)
-    stem = at.withColumn("stem", F.regexp_extract("t_file", r"([^/]*?)(\.[^./]*)?$", 1))
-    rare = sites.filter(~F.col("name").isin(*COMMON_NAMES))
-    evident = rare.join(stem.select("name", "t_file", "stem").hint("merge"), "name").join(evidence(edges, stem), ["c_file", "stem"], "left_semi")
-    kept = kept.unionByName(evident.select("name", "c_file", "t_file")).distinct()
-    means = kept.join(t.hint("merge"), ["name", "t_file"]).select("name", "c_file", "target", "single")
-    found = bare.join(means if few else means.hint("merge"), ["name", "c_file"])
-    return once(exact.unionByName(found.select(*exact.columns)), "target", "caller")
+        named = t.select("name", "target").distinct().join(definitions(nodes).select("name").hint("merge"), "name", "left_semi")
+        found = bare.join(named.unionByName(loose(n)).distinct().hint("merge"), "name")
+    else:
+        at, sites = places(nodes, t), cut(bare.select("name", "c_file").distinct())
+        kept = without_files(at, sites, True)
+        stem = at.withColumn("stem", F.regexp_extract("t_file", r"([^/]*?)(\.[^./]*)?$", 1))
+        rare = sites.filter(~F.col("name").isin(*COMMON_NAMES))
+        evident = rare.join(stem.select("name", "t_file", "stem").hint("merge"), "name").join(evidence(edges, stem), ["c_file", "stem"], "left_semi")
+        kept = kept.unionByName(evident.select("name", "c_file", "t_file"))
+        means = kept.join(t.hint("merge"), ["name", "t_file"]).select("name", "c_file", "target").unionByName(sites.join(loose(n).hint("merge"), "name").select("name", "c_file", "target"))
+        # Dealt by the key of the join that follows, which also makes them distinct.
+        means = means.repartition("name", "c_file").distinct()
+        found = bare.join(means if few else means.hint("merge"), ["name", "c_file"])
+    found = found.filter(unsaid(F.col("target"), last_two(F.col("target")))).select(*exact.columns)
+    return once(exact.unionByName(found), "target", "caller")
+
+
+def meant(nodes: DataFrame, n: DataFrame, calls: DataFrame) -> DataFrame:
+    """(name, c_file, target, odd, full, local): what a bare name means in a file that calls it: a node of that full name, those of the file, or else of the one that defines it."""
+    sites = cut(calls.filter(f"not ({LONG})").select("name", "c_file").distinct())
+    own, at = n.select("name", "t_file", "target", "odd").distinct(), places(nodes, n)
+    filed = sites.filter(F.col("c_file") != NO_CALLER_FILE)
+    # A site with a definition in its own file means no other.
+    elsewhere = filed.join(at.select("name", F.col("t_file").alias("c_file")).hint("merge"), ["name", "c_file"], "left_anti")
+    files = without_files(at, elsewhere, False).withColumn("local", F.lit(False)).unionByName(filed.select("name", "c_file", F.col("c_file").alias("t_file"), F.lit(True).alias("local")))
+    cols = ("name", "c_file", "target", "odd", "full", "local")
+    found = files.join(own.hint("merge"), ["name", "t_file"]).withColumn("full", F.lit(False)).select(*cols)
+    whole = loose(n).join(n.select("target", "odd").distinct().hint("merge"), "target")
+    found = found.unionByName(sites.join(whole.hint("merge"), "name").withColumn("full", F.lit(True)).withColumn("local", F.lit(False)).select(*cols))
+    # Dealt by the key of the join that follows, which also brings a target's rows together.
+    return found.repartition("name", "c_file").groupBy("name", "c_file", "target").agg(*(F.max(c).alias(c) for c in cols[3:]))
+
+
+def callee_pairs(calls: DataFrame, n: DataFrame, means: DataFrame) -> DataFrame:
+    """(caller, target): what calls mean, distinct; odd nodes' pairs and those of groups that aren't clear are shuffled for it."""
+    cols, target = ("caller", "target", "clear", "odd"), F.col("target")
+    long = calls.filter(LONG)
+    full = long.select("caller", "t", "clear").join(n.select("target", "odd").distinct().hint("merge"), F.col("t") == target).select(*cols)
+    typed = long.filter("size(split(t, '::')) = 2").select("caller", "t", "clear", "others", F.split_part("t", F.lit("::"), F.lit(1)).alias("parent_name"), F.split_part("t", F.lit("::"), F.lit(2)).alias("name"))
+    typed = typed.join(n.select("target", "odd", "parent_name", "name").distinct().hint("merge"), ["parent_name", "name"])
+    typed = typed.filter(F.col("odd") | ((F.col("t") != target) & unsaid(target))).select(*cols)
+    bare = calls.filter(f"not ({LONG})").select("caller", "c_file", "name", "clear", "others").join(means.hint("merge"), ["name", "c_file"])
+    bare = bare.filter(F.col("odd") | unsaid(target, last_two(target)))
+    # A caller with a definition in its own file means no other, in whichever of its files.
+    vague = bare.filter("not clear")
+    local = vague.filter("local").select("caller", "name").distinct()
+    there = vague.filter("not (full or local)").join(local.hint("merge"), ["caller", "name"], "left_anti")
+    vague = vague.filter("full or local").select(*cols).unionByName(there.select(*cols))
+    sole, shared = [x.filter("clear") for x in (full, typed, bare)], [full.filter("not clear"), typed.filter("not clear"), vague]
+    if not n.filter("odd").isEmpty():
+        shared += [x.filter("odd") for x in sole]
+        sole = [x.filter("not odd") for x in sole]
+    union = lambda of: functools.reduce(DataFrame.unionByName, [x.select("caller", "target") for x in of])
+    return union(sole).unionByName(union(shared).distinct())
 
 
 def callees(nodes: DataFrame, edges: DataFrame, of: DataFrame | None = None) -> DataFrame:
@@ -188,20 +261,7 @@ def callees(nodes: DataFrame, edges: DataFrame, of: DataFrame | None = None) ->
     calls, n = bare_calls(edges), targets(nodes.filter("kind <> 'File'"))
     if of is not None:
         calls = calls.join(of.select(F.col("node").alias("caller")), "caller", "left_semi")
-    cols = ("caller", "target", "alone", "single")
-    full = calls.join(n.select("target", "single").distinct().hint("merge"), F.col("t") == F.col("target")).select(*cols)
-    typed = calls.filter("size(split(t, '::')) = 2").select("caller", "alone", F.split_part("t", F.lit("::"), F.lit(1)).alias("parent_name"), F.split_part("t", F.lit("::"), F.lit(2)).alias("name"))
-    typed = typed.join(n.select("target", "single", "parent_name", "name").distinct().hint("merge"), ["parent_name", "name"]).select(*cols)
-    bare = calls.filter(F.instr("t", "::") == 0).filter(F.col("c_file") != NO_CALLER_FILE).select("caller", "c_file", "name", "alone")
-    at, sites = places(nodes, n), cut(bare.select("name", "c_file").distinct())
-    means = n.select("name", "t_file", "target", "single")
-    own = bare.join(means.withColumnRenamed("t_file", "c_file").hint("merge"), ["name", "c_file"])
-    # A caller with a definition in its own file means no other; calls of a name that are alone have one file.
-    elsewhere = sites.join(at.select("name", F.col("t_file").alias("c_file")).hint("merge"), ["name", "c_file"], "left_anti")
-    one = without_files(at, elsewhere, False).distinct().join(means.hint("merge"), ["name", "t_file"]).select("name", "c_file", "target", "single")
-    one = bare.join(one.hint("merge"), ["name", "c_file"])
-    several = one.filter("not alone").join(own.filter("not alone").select("caller", "name").distinct().hint("merge"), ["caller", "name"], "left_anti")
-    return once(full.unionByName(typed).unionByName(own.select(*cols)).unionByName(one.filter("alone").select(*cols)).unionByName(several.select(*cols)), "caller", "target")
+    return callee_pairs(calls, n, meant(nodes, n, calls))
 
 
 #: Starts of a step that go to every executor.

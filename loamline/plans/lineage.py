@@ -7,6 +7,7 @@ import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,8 +50,21 @@ def _clear() -> None:
             delete(spark, path)
 
 
+@contextlib.contextmanager
+def dropped_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffles of what runs within are dropped when it is done, not when the driver's collector finds them."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was) if was is not None else spark.conf.unset(key)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written once and read again: what follows knows their size, and a lost executor costs one step."""
-    path = table_dir(df.sparkSession, "rounds")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, table_dir(df.sparkSession, "rounds")
+    with dropped_shuffles(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

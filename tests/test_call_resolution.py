@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import glob
+import hashlib
+import os
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 from loamline.operators import graph as G
 from loamline.operators import lookups as K
+from loamline.plans.lineage import cut
 
 NODE = "qualified_name string, file_path string, name string, parent_name string, kind string, is_test boolean"
 EDGE = "kind string, source_qualified string, file_path string, target_qualified string"
@@ -55,3 +62,32 @@ def test_all_nodes_that_an_undecided_call_can_mean_are_rows(spark):
     e = [("CALLS", "c/v.py::k", "c/v.py", "f"), ("CALLS", "c/v.py::k", "c/v.py", "g")]
     got = K.low_confidence_callees(spark.createDataFrame(n, NODE), spark.createDataFrame(e, EDGE)).collect()
     assert sorted(r.target for r in got) == sorted(x[0] for x in n[1:]) and {(r.caller, r.confidence) for r in got} == {("c/v.py::k", "low")}
+
+
+def hub(spark):
+    """Functions that all call T::f and g, which are defined in many files."""
+    h = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(200)]
+    n = [(*node(f"{x}/{x}.py", "f", "T")[:4], kind, False) for x in h for kind in ("Function", "Class")] + [node(f"{x}/{x}.py", "g") for x in h]
+    e = [("CALLS", f"c/v.py::{x[::-1]}", "c/v.py", t) for x in h for t in ("T::f", "g")]
+    return spark.createDataFrame(n, NODE), spark.createDataFrame(e, EDGE)
+
+
+@pytest.mark.parametrize(("run", "rows"), [(G.callers, 40000)])
+def test_pairs_are_not_shuffled(spark, run, rows):
+    n, e = hub(spark)
+    written = lambda: spark._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    assert run(n, e).count() == rows
+    assert written() - before < 1 << 20
+
+
+def test_a_table_that_is_cut_leaves_no_shuffle_behind(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    held = lambda: {f for d in folders for f in glob.glob(f"{d}/*/shuffle_*.data")}
+    before = held()
+    table = cut(spark.range(200000).select((F.col("id") * 7).alias("id")).groupBy("id").count())
+    until = time.time() + 20
+    while held() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not held() - before
+    assert table.count() == 200000
