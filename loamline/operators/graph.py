@@ -236,11 +236,12 @@ def meant(nodes: DataFrame, n: DataFrame, calls: DataFrame) -> DataFrame:
 def callee_pairs(calls: DataFrame, n: DataFrame, means: DataFrame) -> DataFrame:
     """(caller, target): what calls mean, distinct; odd nodes' pairs and those of groups that aren't clear are shuffled for it."""
     cols, target = ("caller", "target", "clear", "odd"), F.col("target")
-    long = calls.filter(LONG)
-    full = long.select("caller", "t", "clear").join(n.select("target", "odd").distinct().hint("merge"), F.col("t") == target).select(*cols)
-    typed = long.filter("size(split(t, '::')) = 2").select("caller", "t", "clear", "others", F.split_part("t", F.lit("::"), F.lit(1)).alias("parent_name"), F.split_part("t", F.lit("::"), F.lit(2)).alias("name"))
-    typed = typed.join(n.select("target", "odd", "parent_name", "name").distinct().hint("merge"), ["parent_name", "name"])
-    typed = typed.filter(F.col("odd") | ((F.col("t") != target) & unsaid(target))).select(*cols)
+    # Full names and those of a type and a name are ways of one join.  A node of both in one text is found in full.
+    typed = F.concat("parent_name", F.lit("::"), "name")
+    ways = n.select("target", "odd", F.col("target").alias("t"), F.lit(True).alias("full")).unionByName(n.select("target", "odd", typed.alias("t"), F.lit(False).alias("full")).filter("size(split(t, '::')) = 2"))
+    ways = ways.groupBy("t", "target").agg(F.max("full").alias("full"), F.max("odd").alias("odd"))
+    long = calls.filter(LONG).select("caller", "t", "clear", "others").join(ways.hint("merge"), "t")
+    long = long.filter(F.col("odd") | F.col("full") | unsaid(target)).select(*cols)
     bare = calls.filter(f"not ({LONG})").select("caller", "c_file", "name", "clear", "others").join(means.hint("merge"), ["name", "c_file"])
     bare = bare.filter(F.col("odd") | unsaid(target, last_two(target)))
     # A caller with a definition in its own file means no other, in whichever of its files.
@@ -248,7 +249,7 @@ def callee_pairs(calls: DataFrame, n: DataFrame, means: DataFrame) -> DataFrame:
     local = vague.filter("local").select("caller", "name").distinct()
     there = vague.filter("not (full or local)").join(local.hint("merge"), ["caller", "name"], "left_anti")
     vague = vague.filter("full or local").select(*cols).unionByName(there.select(*cols))
-    sole, shared = [x.filter("clear") for x in (full, typed, bare)], [full.filter("not clear"), typed.filter("not clear"), vague]
+    sole, shared = [x.filter("clear") for x in (long, bare)], [long.filter("not clear"), vague]
     if not n.filter("odd").isEmpty():
         shared += [x.filter("odd") for x in sole]
         sole = [x.filter("not odd") for x in sole]
